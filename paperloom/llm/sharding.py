@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import ranked, stored
 
 
 def interleaved(rows: DataFrame, source: str, shuffle: list[str], seed: int) -> DataFrame:
@@ -44,6 +44,15 @@ def assign(rows: DataFrame, source: str = "source", shuffle: list[str] | None =
     return placed.withColumn("_shard", shard).select(*keep, F.col("_shard").cast("int").alias("shard"), (F.col("rank") - start).cast("long").alias("slot"))
 
 
+def sharded(docs: DataFrame, *, shards: int = 24, seed: int = 17) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``. Rows are numbered once, ranked without their texts, and joined back."""
+    base = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = base.select("_row", F.col("source").cast("string").alias("source"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    placed = assign(rows, "source", ["doc_id", "text_hash", "_row"], shards=shards, seed=seed).select(F.col("_row").alias("_placed"), "shard", "slot")
+    keep = [c for c in docs.columns if c not in ("shard", "slot")]
+    return base.select("_row", *keep).join(placed, F.col("_row") == F.col("_placed")).select(*keep, "shard", "slot")
+
+
 def light(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("text").alias("text_hash"))
