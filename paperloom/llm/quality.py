@@ -140,7 +140,8 @@ def judge(docs: DataFrame, text: str = "text", *, min_words: int = 50, max_repea
 
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The kept documents with their failing lines removed; same columns as ``docs``."""
-    df = judge(docs, **limits).filter("q_kept").withColumn("text", F.col("q_text"))
+    # The random column keeps the filter above the projections; pushed below them, it would repeat their expressions.
+    df = judge(docs, **limits).withColumn("q_stay", F.rand(1)).filter("q_kept AND q_stay >= 0").withColumn("text", F.col("q_text"))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast("long"))
     return df.select(*docs.columns)
