@@ -171,10 +171,11 @@ def _repeats(suffixes: DataFrame, group_rows: int) -> DataFrame:
     spark = suffixes.sparkSession
     total = suffixes.count()
     buckets = max(16, 16 * total // group_rows)
-    rows = suffixes.withColumn("bucket", F.pmod(F.xxhash64("prefix"), F.lit(buckets)))
+    bucket = F.pmod(F.xxhash64("prefix"), F.lit(buckets))
+    rows = suffixes.withColumn("bucket", bucket)
     large = rows.groupBy("bucket").count().filter(F.col("count") > group_rows).select("bucket")
     if large.limit(1).count() == 0:
-        grouped, big = rows, None
+        grouped, big = suffixes.repartition(partitions(spark), bucket), None
     else:
         large = stored(large, "large").withColumn("_large", F.lit(True))
         rows = rows.join(large, "bucket", "left")
@@ -183,6 +184,7 @@ def _repeats(suffixes: DataFrame, group_rows: int) -> DataFrame:
         big = rows.join(nodes, ["prefix", "rest"]).filter("doc_id > least").select("doc_id", "place")
         rows = rows.join(nodes, ["prefix", "rest"], "left_anti")
         grouped = rows.withColumn("bucket", F.when(F.col("_large"), F.xxhash64("prefix", "rest")).otherwise(F.col("bucket"))).drop("_large")
+        grouped = grouped.repartition(partitions(spark), "bucket")
 
     def subtrees(batches):
         parts = [[b.column(c).to_numpy() for c in ("prefix", "rest", "doc_id", "place")] for b in batches if b.num_rows]
@@ -199,7 +201,7 @@ def _repeats(suffixes: DataFrame, group_rows: int) -> DataFrame:
         out = doc > least
         yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(place[out])], names=["doc_id", "place"])
 
-    found = grouped.repartition(partitions(spark), "bucket").mapInArrow(subtrees, "doc_id long, place long")
+    found = grouped.mapInArrow(subtrees, "doc_id long, place long")
     return found if big is None else found.unionByName(big)
 
 
