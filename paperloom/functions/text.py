@@ -74,7 +74,7 @@ def author_name(c: Column, unicode: bool = False) -> Column:
 
 def author_list(c: Column) -> Column:
     """Names of an `A and B` list; transliterate the whole list first if it may hold other letters."""
-    return F.filter(F.transform(F.split(some(c), r"(?iU)\s+and\s+"), author_name), lambda x: x != "")
+    return F.filter(F.transform(F.split(some(c), r"(?iU)\s+and\s+"), lambda x: author_name(x)), lambda x: x != "")
 
 
 def tokens(c: Column) -> Column:

@@ -39,7 +39,8 @@ def bibliography_summary(entries: DataFrame) -> DataFrame:
 def issue_counts(entries: DataFrame) -> DataFrame:
     """Entries by kind of issue, each entry once a kind; kinds without entries are left out."""
     kinds = {"Title Mismatch": "Title mismatch", "Author Mismatch": "Author mismatch", "Year Mismatch": "Year mismatch", "Unable to Verify": "Unable"}
-    hits = [F.when(F.exists("issues", lambda i, p=p: F.startswith(i, F.lit(p))), name) for name, p in kinds.items()]
+    holds = lambda p: F.exists("issues", lambda i: F.startswith(i, F.lit(p)))
+    hits = [F.when(holds(p), name) for name, p in kinds.items()]
     hits.append(F.when(F.exists("scores", lambda s: s <= LOW_SCORE), "Low Relevance"))
     return entries.select(F.explode(F.array_compact(F.array(*hits))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 

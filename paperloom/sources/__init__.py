@@ -124,9 +124,9 @@ def crossref_items(body: Column) -> Column:
 
     def one(x: Column) -> Column:
         people = F.filter(F.coalesce(x["author"], F.array()), lambda a: some(a["family"]) != "")
-        year = lambda k: x[k]["date-parts"][0][0].cast("string")
+        year = lambda k: F.get(F.get(x[k]["date-parts"], F.lit(0)), F.lit(0)).cast("string")
         return F.struct(
-            x["title"][0].alias("title"),
+            F.get(x["title"], F.lit(0)).alias("title"),
             F.transform(people, lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"]))).alias("authors"),
             F.coalesce(year("published-print"), year("published-online"), year("created"), F.lit("")).alias("year"),
             some(x["DOI"]).alias("doi"),
