@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,8 +38,6 @@ _SPELLED = {"ß": "ss", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "œ": "oe"
 def normalize_unicode(c: Column) -> Column:
     """Compatibility decomposition and ASCII spelling; other scripts are dropped. The one Arrow function here,
     used only for texts with a character outside ASCII."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def ascii_(texts: pd.Series) -> pd.Series:
         import unicodedata
