@@ -41,7 +41,7 @@ BLOCK_BYTES, RESTART, SHARD_BYTES, BLOOM_BITS = 64 << 10, 16, 256 << 20, 10
 FOOTER = struct.Struct("<QQQQQQ8s")
 END_ID = 2
 #: Words kept with their ids for a worker's life; further ones are encoded again in each chunk.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 350_000
 
 
 def _varint(n: int) -> bytes:
@@ -196,25 +196,28 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _new(self, words: list[bytes]) -> list[list[int]]:
-        cores, tails, out = [], [], []
+        # Letters without their case and closing punctuation are often known, or meet in one batch.
+        fresh: dict[str, None] = {}
+        parts: list[tuple[str, str] | None] = []
         for w in words:
             m = self.CORE.fullmatch(w.decode("utf-8", "replace"))
-            out.append(None if m is None else len(cores))
+            parts.append(None if m is None else (m[1].lower(), m[2]))
             if m is not None:
-                cores.append(m[1])
-                tails.append(m[2])
-        ids: list[list[int]] = []
-        parts = [cores[i : i + 256] for i in range(0, len(cores), 256)]
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                fresh[parts[-1][0]] = None
+        known = {c: self.words.get(c.encode()) for c in fresh}
+        cores = [c for c, at in known.items() if at is None]
+        ids: dict[str, list[int]] = {c: self.pool[self.starts[at] : self.starts[at] + self.lens[at]].tolist() for c, at in known.items() if at is not None}
+        runs = [cores[i : i + 256] for i in range(0, len(cores), 256)]
+        for run, got in zip(runs, self.tokenizer.encode_batch_fast([" ".join(p) for p in runs], add_special_tokens=False), strict=True):
             row = got.ids
             cuts = (np.nonzero(self.ends[row])[0] + 1).tolist()
-            if len(cuts) == len(part) and cuts[-1] == len(row):
-                ids += [row[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+            if len(cuts) == len(run) and cuts[-1] == len(row):
+                ids.update(zip(run, (row[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
             else:
-                ids += [self._one(c) for c in part]
-        for t in {t for t in tails if t} - self.punctuation.keys():
+                ids.update((c, self._one(c)) for c in run)
+        for t in {p[1] for p in parts if p and p[1]} - self.punctuation.keys():
             self.punctuation[t] = self._one(t)
-        return [self._one(w.decode("utf-8", "replace")) if k is None else ids[k] + self.punctuation[tails[k]] if tails[k] else ids[k] for w, k in zip(words, out, strict=True)]
+        return [self._one(w.decode("utf-8", "replace")) if p is None else ids[p[0]] + self.punctuation[p[1]] if p[1] else ids[p[0]] for w, p in zip(words, parts, strict=True)]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
