@@ -76,6 +76,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _least_common(counts: DataFrame) -> int:
+    """The least count for which at most COMMON words have as many, up to steps of a quarter of a percent;
+    a histogram over the logarithm of the counts is all that is gathered."""
+    step = F.floor(F.log("c") * 400)
+    left, least = COMMON, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["step"]):
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["c"]
+    return least if least is not None else 2**62
+
+
 class Model:
     """Vectors, biases and position weights; ``flat`` is all of them in a row."""
 
@@ -214,7 +227,7 @@ def score(docs: DataFrame) -> DataFrame:
     counts = stored(word_counts(docs), "counts")
     sums = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = sums[0] or 0, sums[1]
-    common = counts.orderBy(F.desc("c"), "word").limit(COMMON).collect()
+    common = counts.filter((F.col("c") >= _least_common(counts)) | (F.col("word") == F.lit(END))).collect()  # COMMON + 1 rows at most
     lexicon = Lexicon([(bytes(r["word"]), r["c"]) for r in common], total, distinct)
     model = fit(docs, lexicon)
     shared = spark.sparkContext.broadcast((lexicon, model.flat))
