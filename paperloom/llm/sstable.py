@@ -22,6 +22,7 @@ the order is that of a hash of the text; an empty table gives no shards.
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
 import os
 import re
@@ -31,6 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ MAGIC = b"PLSSTAB1"
 BLOCK_BYTES, RESTART, SHARD_BYTES, BLOOM_BITS = 64 << 10, 16, 256 << 20, 10
 FOOTER = struct.Struct("<QQQQQQ8s")
 END_ID = 2
-#: Words kept with their ids for a worker's life; further ones are encoded again in each chunk.
-CACHE_WORDS = 350_000
+#: Pieces of words kept with their ids for a worker's life; further ones are encoded again in each chunk.
+CACHE_WORDS = 700_000
 
 
 def _varint(n: int) -> bytes:
@@ -167,20 +169,24 @@ class Reader:
         return next((ids for k, ids in self._entries(i) if k == key), None)
 
 
+def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The positions of all spans, one after another."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
     """Ids of texts by a tokenizer whose pieces never cross ASCII white space: words are encoded once.
 
-    Words of plain letters, which are one piece each, are encoded many in a row and cut at the tokens
-    that end a word; closing punctuation after them is a piece of its own; all else goes singly.
+    Arrow splits a chunk and finds its distinct words. A word of plain letters and a run of symbols after
+    it are two pieces, met again in many words, so only letters in lower case and symbols are encoded:
+    letters many in a row, cut at the tokens that end a piece. All other words go singly and as they are.
     """
 
-    CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-
-    class _Words(dict):
-        extra: dict = {}
-
-        def __missing__(self, word):
-            return self.extra[word]
+    LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+    LETTER = "".join(c for c in map(chr, range(256)) if re.fullmatch("[A-Za-zÀ-ÖØ-öø-ÿ]", c))
+    #: Symbols that are one piece after letters: ASCII ones but those of contractions and special tokens.
+    SYMBOLS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -190,60 +196,62 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words, self.starts, self.lens, self.pool, self.punctuation = self._Words(), [], [], np.zeros(0, np.uint32), {}
-
-    def _one(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _new(self, words: list[bytes]) -> list[list[int]]:
-        # Letters without their case and closing punctuation are often known, or meet in one batch.
-        fresh: dict[str, None] = {}
-        parts: list[tuple[str, str] | None] = []
-        for w in words:
-            m = self.CORE.fullmatch(w.decode("utf-8", "replace"))
-            parts.append(None if m is None else (m[1].lower(), m[2]))
-            if m is not None:
-                fresh[parts[-1][0]] = None
-        known = {c: self.words.get(c.encode()) for c in fresh}
-        cores = [c for c, at in known.items() if at is None]
-        ids: dict[str, list[int]] = {c: self.pool[self.starts[at] : self.starts[at] + self.lens[at]].tolist() for c, at in known.items() if at is not None}
-        runs = [cores[i : i + 256] for i in range(0, len(cores), 256)]
-        for run, got in zip(runs, self.tokenizer.encode_batch_fast([" ".join(p) for p in runs], add_special_tokens=False), strict=True):
-            row = got.ids
+        self.places: dict[bytes, int] = {}
+        self.starts, self.lens, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _each(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[list[int]]:
+        runs = [words[i : i + 256] for i in range(0, len(words), 256)]
+        out = []
+        for run, row in zip(runs, self._each([" ".join(r) for r in runs]), strict=True):
             cuts = (np.nonzero(self.ends[row])[0] + 1).tolist()
-            if len(cuts) == len(run) and cuts[-1] == len(row):
-                ids.update(zip(run, (row[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
-            else:
-                ids.update((c, self._one(c)) for c in run)
-        for t in {p[1] for p in parts if p and p[1]} - self.punctuation.keys():
-            self.punctuation[t] = self._one(t)
-        return [self._one(w.decode("utf-8", "replace")) if p is None else ids[p[0]] + self.punctuation[p[1]] if p[1] else ids[p[0]] for w, p in zip(words, parts, strict=True)]
+            whole = len(cuts) == len(run) and cuts[-1] == len(row)
+            out += [row[a:b] for a, b in zip([0, *cuts], cuts, strict=False)] if whole else self._each(run)
+        return out
+
+    def _slots(self, pieces: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each piece's ids start and how many they are, and the pool that holds them."""
+        raw = pieces.view(pa.large_binary()).to_pylist()
+        slots = np.fromiter(map(self.places.get, raw, itertools.repeat(-1)), np.int64, len(raw))
+        new = np.nonzero(slots < 0)[0]
+        if not len(new):
+            return self.starts[slots], self.lens[slots], self.pool
+        order = np.concatenate([new[letters[new]], new[~letters[new]]])
+        text = [raw[i].decode("utf-8", "replace") for i in order]
+        n = int(letters[new].sum())
+        ids = self._letters(text[:n]) + self._each(text[n:])
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lens.sum()))])
+        starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lens) - lens])
+        lens = np.concatenate([self.lens, lens])
+        slots[order] = np.arange(len(self.lens), len(lens))
+        if len(lens) <= CACHE_WORDS:
+            self.places.update(zip((raw[i] for i in order), range(len(self.lens), len(lens)), strict=True))
+            self.starts, self.lens, self.pool = starts, lens, pool
+        return starts[slots], lens[slots], pool
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        words = [w for s in split for w in s]
-        new = list(set(words).difference(self.words))
-        kept, pool = len(self.starts), len(self.pool)
-        if new:
-            ids = self._new(new)
-            lens = [len(x) for x in ids]
-            flat = np.array([i for x in ids for i in x], np.uint32)
-            keep = kept + len(new) <= CACHE_WORDS
-            place = dict(zip(new, range(kept, kept + len(new)), strict=True))
-            (self.words.update(place) if keep else setattr(self.words, "extra", place))
-            self.starts += (pool + np.cumsum([0, *lens[:-1]])).tolist()
-            self.lens += lens
-            self.pool = np.concatenate([self.pool, flat])
-        code = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        lens = np.array(self.lens, np.int64)[code]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.pool[np.repeat(np.array(self.starts, np.int64)[code] - (ends - lens), lens) + np.arange(total)] if total else np.zeros(0, np.uint32)
-        if new and not keep:
-            del self.starts[kept:], self.lens[kept:]
-            self.pool, self.words.extra = self.pool[:pool], {}
-        at = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
-        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        core = pc.ascii_rtrim(words, characters=self.SYMBOLS)
+        plain = pc.match_substring_regex(core, self.LETTERS)
+        head = pc.if_else(plain, pc.utf8_lower(pc.if_else(plain, core, "")), words)
+        tail = pc.utf8_ltrim(pc.if_else(plain, words, ""), characters=self.LETTER)
+        heads, tails = head.dictionary_encode(), tail.dictionary_encode()
+        pieces = pa.concat_arrays([heads.dictionary, tails.dictionary])
+        letters = pc.match_substring_regex(pieces, self.LETTERS).to_numpy(zero_copy_only=False)
+        starts, lens, pool = self._slots(pieces, letters)
+        # Each word is its head and its tail; then each text is its words.
+        pair = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + len(heads.dictionary)], 1).ravel()
+        pool = pool[_spans(starts[pair], lens[pair])]
+        lens = lens[pair].reshape(-1, 2).sum(1)
+        starts, code = np.cumsum(lens) - lens, coded.indices.to_numpy()
+        flat = pool[_spans(starts[code], lens[code])]
+        ends = np.concatenate([[0], np.cumsum(lens[code])])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
