@@ -105,3 +105,31 @@ def render_bibliography(summary: dict, missing: list[str], groups: list[dict], i
         return "\n".join([*out, "", "No critical issues found.", ""])
     out += ["", "## Missing", *[f"- `{k}`" for k in sorted(missing)], "", "## Duplicates", *[f"- {', '.join(g['keys'])}: {g['reason']} ({g['score']:.1%})" for g in groups]]
     return "\n".join([*out, "", "## Issues", *[f"- `{i['key']}`: {'; '.join(i['issues'])}" for i in issues], ""])
+
+
+def render_preprints(r: dict) -> str:
+    share = "N/A" if r["ratio"] is None else f"{r['ratio']:.1%}"
+    return f"\n## Preprints\n\n{r['n_preprints']} of {r['n_used']} used entries ({share}){'; above the threshold' if r['warn'] else ''}\n"
+
+
+def render_verified(rows, minimal: bool = False) -> str:
+    """Entries that a source confirms; ``minimal`` leaves out titles and confidence."""
+    out = ["", "## Verified"]
+    for r in rows:
+        mark = " ".join(f"{s}/5" for s in r["scores"])
+        out.append(f"- `{r['key']}`" if minimal else f"- `{r['key']}`: {r['title']} ({r['source']}, {r['confidence']:.1%}{', relevance ' + mark if mark else ''})")
+    return "\n".join([*out, ""])
+
+
+def render_lines(findings: DataFrame, blocks_: DataFrame, made: str) -> str:
+    """Findings by file and line or block, in order; each finding is shown once."""
+    rows = findings.filter(~F.col("passed") & F.col("line_number").isNotNull())
+    counts = {(r["file_path"], r["severity"]): r["n"] for r in rows.groupBy("file_path", "severity").agg(F.count("*").alias("n")).collect()}
+    out, at = ["# Line-by-Line Report", "", f"Generated: {made}"], None
+    for r in grouped_findings(findings, blocks_).orderBy("file_path", "group_line").toLocalIterator():
+        if r["file_path"] != at:
+            at = r["file_path"]
+            out += ["", f"## {at.rsplit('/', 1)[-1]}", "", "| Errors | Warnings | Suggestions |", "|---|---|---|", "| " + " | ".join(str(counts.get((at, s), 0)) for s in ("error", "warning", "info")) + " |"]
+        place = f"Lines {r['group_line']}-{r['end_line']} ({r['block_type']})" if r["block_type"] else f"Line {r['group_line']}"
+        out += ["", f"### {place}", "", *([f"    {r['line_content']}", ""] if r["line_content"] else []), *[f"- **{i['severity']}** (line {i['line_number']}) {i['message']}" for i in r["issues"]]]
+    return "\n".join(out if at else [*out, "", "No issues found."]) + "\n"

@@ -110,17 +110,21 @@ def _roots(edges: DataFrame) -> DataFrame:
         labels = new
 
 
+def ensure_checkpoint_dir(spark) -> None:
+    """The cluster's shared folder; a temporary one where none is set."""
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+
+
 def duplicate_groups(entries: DataFrame) -> DataFrame:
     """Greedy star groups in input order: (anchor, members, score, reason), best score first.
 
     An anchor takes all later free entries similar to it; taken keys also block equal keys. A decision
     depends only on pairs and keys of one component, so components are scanned apart from each other.
     """
-    spark = entries.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+    ensure_checkpoint_dir(entries.sparkSession)
     pairs = similar_pairs(entries).checkpoint()
     shared = entries.groupBy("key").agg(F.min("ord").alias("i"), F.count("*").alias("n")).filter("n > 1")
     same_key = entries.join(shared.select("key", "i"), "key").filter(F.col("ord") > F.col("i")).select("i", F.col("ord").alias("j"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from .. import sources as S
 from ..functions import text as T
 from ..operators import citations as C
+from ..operators import lookup, rules, verify
 from ..operators import reports as R
-from ..operators import rules, verify
+from ..sources.settings import venues
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -324,6 +325,26 @@ def _reported(spark, d):
     )
 
 
+@query("""WITH known AS (SELECT p_partkey, p_name FROM part)
+SELECT p_partkey AS entry_id, CASE WHEN p_size % 2 = 0 AND p_partkey % 3 = 0 THEN 'crossref' WHEN p_name IN (SELECT p_name FROM known WHERE p_partkey % 5 = 0) THEN 'dblp'
+WHEN p_name IN (SELECT p_name FROM known WHERE p_partkey % 3 = 0) THEN 'crossref' ELSE 'unable' END AS source FROM part""")
+def catalogue_lookup(spark, d):
+    """Parts are entries, some with a DOI; one catalogue knows every third part, another every fifth by another spelling."""
+    p, key = table(spark, d, "part"), F.col("p_partkey")
+    doi = F.concat(F.lit("10.1/"), key)
+    entries = p.select(key.alias("entry_id"), F.col("p_name").alias("title"), F.lit("Lee, Ann and Chen, Bo").alias("author"), F.lit("2020").alias("year"), F.when(F.col("p_size") % 2 == 0, doi).otherwise("").alias("doi"), F.lit("").alias("arxiv_id"))
+    hit = [key.cast("int").alias("rank"), F.array(F.lit("Ann Lee"), F.lit("Bo Chen")).alias("authors"), F.lit("2020").alias("year"), F.lit("").alias("arxiv_id"), F.lit("").alias("abstract")]
+    crossref = p.filter("p_partkey % 3 = 0").select(F.lit("crossref").alias("source"), F.col("p_name").alias("title"), F.concat(F.lit("https://doi.org/"), doi).alias("doi"), *hit)
+    dblp = p.filter("p_partkey % 5 = 0").select(F.lit("dblp").alias("source"), F.concat(F.lit("{"), F.upper("p_name"), F.lit("}.")).alias("title"), F.lit("").alias("doi"), *hit)
+    return verify.cascade(entries, lookup.lookups(entries, crossref.unionByName(dblp))).select("entry_id", "source")
+
+
+@query("""SELECT field, count(*) AS n, sum(camera - review)::BIGINT AS extra_pages FROM (VALUES ('acl','Natural Language Processing',8,9),('emnlp','Natural Language Processing',8,9),('naacl','Natural Language Processing',8,9),('cvpr','Computer Vision',8,8),
+('iccv','Computer Vision',8,8),('eccv','Computer Vision',14,14),('neurips','Machine Learning',9,10),('icml','Machine Learning',8,9),('iclr','Machine Learning',10,10)) AS v(venue, field, review, camera) GROUP BY field""")
+def venue_presets(spark, d):
+    return venues(spark).groupBy("field").agg(F.count("*").alias("n"), F.sum(F.col("page_limit_camera") - F.col("page_limit_review")).alias("extra_pages"))
+
+
 def flagship(spark, sf_dir: str) -> DataFrame:
     """Which entries are used, how often, and where first."""
     return usage_per_entry(spark, sf_dir)
