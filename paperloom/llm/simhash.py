@@ -193,10 +193,13 @@ def first_of_each(docs: DataFrame, *, width: int = WORDS, radius: int = RADIUS)
 
     Documents whose doc_id is null are compared by a hash of their row instead.
     """
-    spark = docs.sparkSession
     light = docs.select("doc_id", F.xxhash64(*docs.columns).alias("_row"), "text")
     marked = stored(fingerprints(light, width=width, keep=["doc_id", "_row"]), "marked")
-    roots = components(links(marked, radius=radius))
+    return kept(docs, marked, components(links(marked, radius=radius)))
+
+
+def kept(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """The first document of each root, from ``marked`` (doc_id, _row, fp) and the ``roots`` (node, root) of linked fp."""
     named = marked.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("b"))
     keep = best.select("b.doc_id", F.col("b._row").alias("_kept")).withColumnRenamed("doc_id", "_kept_id")
