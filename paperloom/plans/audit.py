@@ -243,6 +243,40 @@ def undefined_references(spark, d):
     return found.select("file_path", F.regexp_extract("message", "'(.*)'", 1).alias("key"))
 
 
+def _doubled_cites(spark, d) -> DataFrame:
+    """Every line item cites twice its part's number, so parts of odd number are never cited."""
+    return table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("key"))
+
+
+@query("SELECT p_partkey AS key, p_name FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey * 2 FROM lineitem)")
+def all_unused_entries(spark, d):
+    return C.unused(bib(spark, d), _doubled_cites(spark, d)).select("key", "p_name")
+
+
+@query("SELECT p_partkey AS key, p_name FROM part WHERE p_size > 10 AND p_partkey IN (SELECT l_partkey * 2 FROM lineitem)")
+def all_used_entries(spark, d):
+    return C.used(bib(spark, d), _doubled_cites(spark, d)).select("key", "p_name")
+
+
+def _all_label_findings(spark, d):
+    """As _label_findings, with every order as a label and every line item as a reference."""
+    file, line = (lambda k: (F.col(k) % 100).cast("string").alias("file_path")), (lambda k: F.col(k).cast("int").alias("line_number"))
+    labels = table(spark, d, "orders").select(file("o_orderkey"), line("o_orderkey"), F.concat(F.lit("\\label{fig:"), "o_custkey", F.lit("}")).alias("line"))
+    refs = table(spark, d, "lineitem").select(file("l_orderkey"), line("l_orderkey"), F.concat(F.lit("see \\ref{fig:"), "l_suppkey", F.lit("}")).alias("line"))
+    lines = labels.unionByName(refs)
+    return rules.reference(lines.select("file_path").distinct().withColumn("content", F.lit("")), lines)
+
+
+@query("""SELECT (o_orderkey % 100)::VARCHAR AS file_path, 'fig:' || o_custkey AS key FROM orders EXCEPT SELECT (l_orderkey % 100)::VARCHAR, 'fig:' || l_suppkey FROM lineitem""")
+def all_unreferenced_labels(spark, d):
+    return _all_label_findings(spark, d).filter("rule_id = 'R5'").select("file_path", F.regexp_extract("message", "'(.*)'", 1).alias("key"))
+
+
+@query("""SELECT (l_orderkey % 100)::VARCHAR AS file_path, 'fig:' || l_suppkey AS key FROM lineitem EXCEPT SELECT (o_orderkey % 100)::VARCHAR, 'fig:' || o_custkey FROM orders""")
+def all_undefined_references(spark, d):
+    return _all_label_findings(spark, d).filter("rule_id = 'R6'").select("file_path", F.regexp_extract("message", "'(.*)'", 1).alias("key"))
+
+
 @query("""SELECT l_orderkey::VARCHAR AS file_path, CASE WHEN l_linenumber BETWEEN 2 AND 4 THEN 2 ELSE l_linenumber END::INT AS group_line, count(*) AS n FROM lineitem GROUP BY ALL""")
 def findings_by_block(spark, d):
     found = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("file_path"), F.col("l_linenumber").cast("int").alias("line_number"), F.lit(False).alias("passed"), F.lit("info").alias("severity"), F.lit("m").alias("message"), F.lit("c").alias("line_content"))
