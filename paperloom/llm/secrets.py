@@ -3,19 +3,27 @@
 Three plain patterns report candidates; on top of them, base64 and hex candidates are decoded and
 reported only if what they hold is built like a key or a token:
 
-* ``pem``: an armoured private key whose body decodes to one of the two encodings below;
+* ``pem``: an armoured private key whose body decodes to one of the two encodings below. Header lines
+  and escaped line ends (as in JSON or source code) are taken out of the body first; a key whose
+  headers name a cipher must be whole blocks of it;
 * ``der``: nested lengths that fill the value exactly, starting with a version integer;
 * ``openssh``: the magic string of that key file followed by length-prefixed fields;
 * ``jwt``: a signed token whose header is JSON with an algorithm, whose payload is JSON.
 
-Texts are scanned whole. Defined results: null and empty texts have no spans; repeated rows are each
-reported; offsets are in code points, end exclusive.
+Base64 wrapped at one width over several lines is one candidate. Every step is linear in the text, so
+very long texts and long runs of one pattern are scanned whole. Nesting too deep to be read as JSON
+or as nested lengths is no secret.
+
+Defined results: null and empty texts have no spans; repeated rows are each reported; spans of
+different kinds that start at one place are listed in the order of KINDS; offsets are in code points,
+end exclusive; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -30,15 +38,21 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
+LINE_END = re.compile(r"\\r\\n|\\[nr]|\r\n|[\r\n]")
+ARMOUR_HEADER = re.compile(r"([A-Za-z0-9-]+):[ \t]*(.*)")
+CIPHER = re.compile(r"(AES-[0-9]+|DES|DES-EDE3|CAMELLIA-[0-9]+)-(?:CBC|ECB|CFB|OFB),([0-9A-Fa-f]+)")
+TOKEN_PART = re.compile(r"[A-Za-z0-9_-]+")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+NEXT_LINE = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*([A-Za-z0-9+/_-]+={0,2})")
 ANY_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+#: Base64 characters of the least header that names an algorithm.
+LEAST_HEADER = 14
 OPENSSH = b"openssh-key-v1\x00"
 
 
 def _base64(text: str) -> bytes:
-    raw = re.sub(r"[\s=]", "", text).replace("-", "+").replace("_", "/")
+    raw = re.sub(r"\\[nr]|[\s=]", "", text).replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -62,8 +76,8 @@ def _der(b: bytes, at: int, end: int, depth: int) -> bool:
     return True
 
 
-def key_encoding(b: bytes) -> str | None:
-    """``der`` or ``openssh`` if the bytes are a private key in that encoding."""
+def key_encoding(b: bytes, *, sealed: bool = False) -> str | None:
+    """``der`` or ``openssh`` if the bytes are a private key in that encoding; ``sealed``: an encrypted one."""
     if b.startswith(OPENSSH):
         at = len(OPENSSH)
         for _ in range(3):  # cipher, kdf, kdf options
@@ -75,16 +89,81 @@ def key_encoding(b: bytes) -> str | None:
     if len(b) < 24 or b[0] != 0x30 or not _der(b, 0, len(b), 0):
         return None
     at = 2 + (b[1] & 0x7F if b[1] & 0x80 else 0)
+    if sealed:  # an algorithm's sequence comes first
+        return "der" if b[at] == 0x30 else None
     return "der" if b[at : at + 2] == b"\x02\x01" and b[at + 2] in (0, 1) and len(b) > at + 3 else None
 
 
-def signed_token(text: str) -> bool:
-    head, body, _ = text.split(".")
+def _armoured_key(label: str, body: str) -> bool:
+    """Whether the body of an armour holds a key: headers are read, the rest must be base64."""
+    cipher, code = None, []
+    for line in LINE_END.split(body):
+        header = ARMOUR_HEADER.match(line.strip())
+        if header:
+            cipher = CIPHER.fullmatch(header[2].strip()) or cipher
+        else:
+            code.append(line.strip())
+    raw = _base64("".join(code))
+    if cipher:
+        block = 8 if cipher[1].startswith("DES") else 16
+        return len(raw) >= 32 and len(raw) % block == 0 and len(cipher[2]) == 2 * block
+    return key_encoding(raw, sealed=label == "ENCRYPTED ") is not None
+
+
+def _armours(text: str) -> list[tuple[int, int]]:
+    begins, out = list(BEGIN.finditer(text)), []
+    for m, after in zip(begins, [*(n.start() for n in begins[1:]), len(text)], strict=True):
+        end = f"-----END {m[1]}PRIVATE KEY-----"
+        at = text.find(end, m.end(), after)
+        if at >= 0 and _armoured_key(m[1], text[m.end() : at]):
+            out.append((m.start(), at + len(end)))
+    return out
+
+
+def _encoded_keys(text: str) -> list[tuple[int, str, int]]:
+    """(start, encoding, end) of base64 keys: lines of one width, the last perhaps shorter, or one run."""
+    out, tried = [], 0
+    for m in ENCODED.finditer(text):
+        if out and m.start() < out[-1][2]:
+            continue
+        code, width, end = [m[0]], len(m[0]), m.end()
+        if m.start() >= tried:
+            while len(code[-1]) == width and not code[-1].endswith("=") and (n := NEXT_LINE.match(text, end)) and len(n[1]) <= width:
+                code.append(n[1])
+                end = n.end()
+            tried = end
+        kind = key_encoding(_base64("".join(code))) if len(code) > 1 else None
+        if kind:
+            out.append((m.start(), kind, end))
+        elif kind := key_encoding(_base64(m[0])):
+            out.append((m.start(), kind, m.end()))
+    return out
+
+
+def _is_json(part: str, test) -> bool:
     try:
-        head, body = (json.loads(_base64(x)) for x in (head, body))
-    except ValueError:
+        return test(json.loads(_base64(part)))
+    except (ValueError, RecursionError):
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+
+
+def signed_token(head: str, body: str) -> bool:
+    return _is_json(head, lambda x: isinstance(x, dict) and isinstance(x.get("alg"), str)) and _is_json(body, lambda x: isinstance(x, dict))
+
+
+def _tokens(text: str) -> list[tuple[int, int]]:
+    """Signed tokens: three parts joined by dots, the last perhaps empty. A header starts at the first
+    or the last ``eyJ`` of its part, so each part is decoded a bounded number of times."""
+    out, parts = [], [m.span() for m in TOKEN_PART.finditer(text)]
+    for i, ((a, b), (c, d)) in enumerate(zip(parts, parts[1:], strict=False)):
+        if b - a < LEAST_HEADER or c != b + 1 or text[b] != "." or text[d : d + 1] != "." or (out and a < out[-1][1]):
+            continue
+        for at in sorted({text.find("eyJ", a, b), text.rfind("eyJ", a, b)} - {-1}):
+            if signed_token(text[at:b], text[c:d]):
+                last = parts[i + 2] if i + 2 < len(parts) else (0, 0)
+                out.append((at, last[1] if last[0] == d + 1 else d + 1))
+                break
+    return out
 
 
 def scan(raw: bytes) -> list[tuple[int, int, int]]:
@@ -92,7 +171,8 @@ def scan(raw: bytes) -> list[tuple[int, int, int]]:
     low = raw.lower()
     long_word = max(map(len, raw.split()), default=0)
     assigned = (b":" in raw or b"=" in raw) and any(k in low for k in KEYWORDS)
-    if not assigned and long_word < 20 and b"PRIVATE KEY-----" not in raw:
+    armoured, token = b"PRIVATE KEY-----" in raw, b"eyJ" in raw
+    if not assigned and long_word < 20 and not armoured and not token:
         return []
     text, out = raw.decode("utf-8", "replace"), []
     if assigned:
@@ -101,21 +181,19 @@ def scan(raw: bytes) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     if long_word >= 24:
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 24]
-    armoured = []
-    if b"PRIVATE KEY-----" in raw:
-        armoured = [m.span() for m in ARMOUR.finditer(text) if key_encoding(_base64(m[2]))]
-        out += [(a, 3, b) for a, b in armoured]
+    armours = _armours(text) if armoured else []
+    out += [(a, KINDS.index("pem"), b) for a, b in armours]
     if long_word >= 32:
-        seen = set()
-        for pattern, decode in ((ANY_HEX, lambda s: bytes.fromhex(s)), (ENCODED, _base64)):
-            for m in pattern.finditer(text):
-                kind = key_encoding(decode(m[0]))
-                if kind and m.span() not in seen and not any(a <= m.start() < b for a, b in armoured):
-                    seen.add(m.span())
-                    out.append((m.start(), KINDS.index(kind), m.end()))
-        if b"eyJ" in raw:
-            out += [(m.start(), 6, m.end()) for m in TOKEN.finditer(text) if signed_token(m[0])]
-    return sorted(out)
+        found = [(m.start(), kind, m.end()) for m in ANY_HEX.finditer(text) if (kind := key_encoding(bytes.fromhex(m[0])))]
+        found += _encoded_keys(text)
+        starts = [a for a, _ in armours]
+        for a, kind, b in found:
+            k = bisect.bisect_right(starts, a) - 1
+            if k < 0 or a >= armours[k][1]:
+                out.append((a, KINDS.index(kind), b))
+    if token:
+        out += [(a, KINDS.index("jwt"), b) for a, b in _tokens(text)]
+    return sorted(set(out))
 
 
 def _listed(found) -> str:

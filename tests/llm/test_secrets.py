@@ -1,0 +1,87 @@
+import base64
+import hashlib
+import json
+import re
+
+import pytest
+
+from paperloom.llm import secrets
+
+KEY = bytes([0x30, 0x82, 0x01, 0x04, 2, 1, 0, 4, 0x82, 0, 0xFD]) + bytes(253)
+CODE = base64.b64encode(KEY).decode()
+
+
+def b64(value) -> str:
+    raw = value if isinstance(value, bytes) else json.dumps(value).encode()
+    return base64.urlsafe_b64encode(raw).decode().rstrip("=")
+
+
+def wrapped(width, end="\n"):
+    return end.join(CODE[i : i + width] for i in range(0, len(CODE), width))
+
+
+def spans(text):
+    return [(secrets.KINDS[k], a, b) for a, k, b in secrets.scan(text.encode())]
+
+
+def plain_base(text):
+    """The three base patterns as the contract states them."""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A) if len(m[1]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+def test_base_findings_equal_a_plain_scan(spark, odd):
+    more = ["token: abcdef " * 5, "x" * 50 + "0123456789abcdef" * 3, "é AKIA" + "Z9" * 9 + " api_key='k.e-y_1=' Secret:short1", "PASSWORD=" + "a" * 100_000, "deadbeef" * 4 + "AKIA" + "B" * 16]
+    docs = odd.select("doc_id", "text", "fp").unionByName(spark.createDataFrame([(100 + i, t, "x") for i, t in enumerate(more * 2)], "doc_id long, text string, fp string"))
+    rows = docs.collect()
+    got = secrets.find(docs).collect()
+    want = []
+    for r in rows:
+        base = plain_base(r["text"] or "")
+        digest = hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        want.append((str(r["doc_id"]), *(sum(f[1] == k for f in base) for k in range(3)), digest))
+    assert sorted((str(r["doc_id"]), r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got) == sorted(want)
+    assert secrets.find(odd.limit(0)).count() == 0
+
+
+def test_nested_tokens_and_long_runs_are_read_whole(spark):
+    head = b64({"alg": "HS256"})
+    deep = b64(b"[" * 200_000)
+    texts = [f"{head}.{deep}.sig", "eyJ" * 1_400_000, "eyJhbGciOjF9." * 100_000, (CODE[:64].replace("M", "N", 1) + "\n") * 40_000, "-----BEGIN PRIVATE KEY-----\n" * 100_000, f"{'eyJ' * 10_000} {head}.{b64({})}."]
+    out = secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r["doc_id"]: r["spans"] for r in out}
+    assert [found[i] for i in range(5)] == [""] * 5
+    assert found[5] == f"jwt:30001:{len(texts[5])}"
+
+
+@pytest.mark.parametrize("text", ["eyJ" + "x" * 40 + ".e30.", f"{b64({'alg': 1})}.e30.", f"{b64({'alg': 'x'})}.{b64([1])}.s", f"{b64({'alg': 'x'})} .e30.", f"{b64({'alg': 'x'})}.e30"])
+def test_tokens_that_are_none(text):
+    assert spans(text) == []
+
+
+def test_short_tokens():
+    short = f"{b64({'alg': 'x'})}.e30."
+    assert spans(f"é {short}") == [("jwt", 2, 2 + len(short))]
+    assert spans(f"{short}s {short}") == [("jwt", 0, len(short) + 1), ("jwt", len(short) + 2, 2 * len(short) + 2)]
+
+
+@pytest.mark.parametrize("width", [64, 76])
+def test_wrapped_keys(width):
+    text = wrapped(width)
+    assert spans(f"x\n{text}\nend") == [("der", 2, 2 + len(text))]
+    text = wrapped(width, "\\n")
+    assert spans(f"'{text}'") == [("der", 1, 1 + len(text))]
+
+
+def test_armoured_keys():
+    for label, headers, body in [
+        ("", "", wrapped(64)), ("RSA ", "", wrapped(64, "\\n")), ("EC ", "", wrapped(64, "\r\n")),
+        ("RSA ", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "AB" * 16 + "\n\n", base64.b64encode(bytes(64)).decode()),
+        ("ENCRYPTED ", "", base64.b64encode(bytes([0x30, 0x28, 0x30, 0x04, 6, 2, 1, 2, 4, 0x20]) + bytes(32)).decode()),
+    ]:
+        text = f"-----BEGIN {label}PRIVATE KEY-----\n{headers}{body}\n-----END {label}PRIVATE KEY-----"
+        assert spans(f"a {text} b") == [("pem", 2, 2 + len(text))], text
+    for body in ["", "not a key", base64.b64encode(bytes(64)).decode(), "DEK-Info: AES-128-CBC," + "AB" * 16 + "\n\n" + base64.b64encode(bytes(63)).decode()]:
+        assert spans(f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----") == []
+    assert spans(f"-----BEGIN RSA PRIVATE KEY-----\n{CODE[:20]}\n-----END EC PRIVATE KEY-----") == []
