@@ -1,23 +1,30 @@
 """Language-model scoring by a log-bilinear neural model (operator 5).
 
 Counts. All training words are counted by the tasks and summed; the counts are a table in the shared
-folder. The COMMON most frequent words (a fixed number) go to every task; the counts of all other
-words reach the documents by a join on the word.
-
-Model. The CLASSES - 1 most frequent words, the text end included, and one class for all others have
-vectors. The predicted vector of a token is the sum of the vectors of the two tokens before it, each
-times its position's weights; a class's score is its product with the class's vector plus a bias.
-Each partition trains on all its training tokens by noise-contrastive estimation, with the unigram
-distribution as noise and the same noise classes for a whole mini-batch, so that scores and gradients
-are matrix products. Models are averaged by tokens in a tree of TREE models a step.
-
-Scores. Normalisers are sums over all classes, computed in batches for each distinct context. A word
-of the class of others is scored by that class times its smoothed share (c + 0.1) / (n + 0.1 (v + 1))
-of that class's training tokens; the extra 0.1 is that of any unseen word, so probabilities add to 1.
+folder, which grows with the corpus. The COMMON most frequent words (a fixed number) go to every task;
+the counts of all other words reach the documents by a join on the word.
+
+Leaves. The OWN most frequent words with LEAST training tokens or more, and the text end, have vectors
+of their own. Every other word shares those of its ending (the last ENDING bytes): the ENDINGS - 1
+endings with most tokens are leaves, and one leaf is for all others. So each word has a vector, as a
+target and as a context, also one never seen. Leaves are numbered by their spelling from the back,
+which makes groups of alike endings for the two-step network in ``neural``.
+
+Training. The codes of all training documents are dealt into shards of SHARD_TOKENS tokens by a hash of
+the document, so neither the model nor its seeds depend on how files are split. One shard is trained
+first; each further round trains GROWTH times as many shards, all from the average of the last round
+(by tokens, in a tree of TREE models a step), until every training token has been used PASSES times.
+
+Scores. A leaf's log probability comes from the network, normalised over all leaves. A word that shares
+its leaf has the part (c - d) / n of it, n being the leaf's training tokens and d the discount
+n1 / (n1 + 2 n2) of the numbers of words seen once and twice; what is left, d v / n for v words, is
+that of any unseen word there. So probabilities add to 1 over all words seen and one unseen word for
+each ending's leaf.
 
 Training documents are those whose crc32(doc_id as text) mod 10 is not 0. Defined results: null text
 is empty and has one token, the end; a null doc_id reads as empty text and so is held out; repeated
-rows are each scored (and counted); without training documents every token has c = 0.
+rows are each scored (and counted); a very long text is read in pieces of 65,536 tokens, each of which
+starts without context; without training documents every token has c = 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import neural
 from .common import LOWER, partitions, stored, text_chunks, tune
 
 COMMON = 200_000
-CLASSES = 512
-DIM = 16
-NOISE = 24
-BATCH = 4096
-RATE = 0.15
+OWN, LEAST = 3_071, 25
+ENDING, ENDINGS = 3, 1_024
+SHARD_TOKENS = 2_000_000
+GROWTH, PASSES = 3, 1
 TREE = 32
 FLUSH = 300_000
 END = b""  # no word is empty
@@ -89,201 +96,236 @@ def _least_common(counts: DataFrame) -> int:
     return least if least is not None else 2**62
 
 
-class Model:
-    """Vectors, biases and position weights; ``flat`` is all of them in a row."""
-
-    def __init__(self, flat: np.ndarray, classes: int):
-        n = classes * DIM
-        self.flat, self.vectors, self.bias, self.weights = flat, flat[:n].reshape(classes, DIM), flat[n : n + classes], flat[n + classes :].reshape(2, DIM)
-
-    @classmethod
-    def fresh(cls, share: np.ndarray) -> Model:
-        rng = np.random.default_rng(5)
-        vectors = rng.normal(0, 0.1, (len(share), DIM))
-        return cls(np.concatenate([vectors.ravel(), np.log(share), np.ones(2 * DIM)]).astype(np.float32), len(share))
-
-    def predict(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
-        return self.vectors[before2] * self.weights[0] + self.vectors[before1] * self.weights[1]
-
-    def log_probs(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
-        """Normalised log probabilities of all classes, one row for each context."""
-        scores = self.predict(before2, before1) @ self.vectors.T + self.bias
-        top = scores.max(axis=1, keepdims=True)
-        return scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
-
-    def log_normalisers(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
-        scores = self.predict(before2, before1) @ self.vectors.T + self.bias
-        top = scores.max(axis=1)
-        return top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-
-    def train(self, token: np.ndarray, before2: np.ndarray, before1: np.ndarray, share: np.ndarray, rng, sums: np.ndarray) -> None:
-        """One pass of noise-contrastive estimation with per-parameter step sizes (``sums`` of squares)."""
-        log_noise = np.log(NOISE * share).astype(np.float32)
-        cumulative, classes = np.cumsum(share), len(share)
-        order = rng.permutation(len(token))
-        for at in range(0, len(token), BATCH):
-            pick = order[at : at + BATCH]
-            t, a, b = token[pick], before2[pick], before1[pick]
-            k = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), classes - 1)
-            va, vb, vt, vk = self.vectors[a], self.vectors[b], self.vectors[t], self.vectors[k]
-            q = va * self.weights[0] + vb * self.weights[1]
-            data = (q * vt).sum(axis=1) + self.bias[t] - log_noise[t]
-            noise = q @ vk.T + self.bias[k] - log_noise[k]
-            # Ascent directions: 1 - sigma for the data, -sigma for the noise.
-            gd = 1 / (1 + np.exp(np.clip(data, -30, 30)))
-            gk = -1 / (1 + np.exp(-np.clip(noise, -30, 30)))
-            gq = gd[:, None] * vt + gk @ vk
-            grad = Model(np.zeros_like(self.flat), classes)
-            for ids, g in ((t, gd[:, None] * q), (a, gq * self.weights[0]), (b, gq * self.weights[1])):
-                for d in range(DIM):
-                    grad.vectors[:, d] += np.bincount(ids, weights=g[:, d], minlength=classes)
-            np.add.at(grad.vectors, k, gk.T @ q)
-            grad.bias += np.bincount(t, weights=gd, minlength=classes).astype(np.float32)
-            np.add.at(grad.bias, k, gk.sum(axis=0))
-            grad.weights[0], grad.weights[1] = (gq * va).sum(axis=0), (gq * vb).sum(axis=0)
-            step = grad.flat / len(pick)
-            sums += step * step
-            self.flat += RATE * step / np.sqrt(sums + 1e-8) * min(1.0, len(pick) / BATCH)
-
-
 class Lexicon:
-    """The common words with their counts and classes: 0 for others, then by frequency."""
-
-    def __init__(self, rows: list[tuple[bytes, int]], total: int, distinct: int, classes: int = CLASSES):
-        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        if END not in {w for w, _ in rows[: classes - 1]}:
-            rows = [(END, next((c for w, c in rows if w == END), 0)), *(r for r in rows if r[0] != END)]
-        self.index = {w: i + 1 for i, (w, _) in enumerate(rows)}  # 0: not common
-        self.counts = np.array([0, *(c for _, c in rows)], np.int64)
-        self.classes = min(classes, len(rows) + 1)
-        self.total, self.distinct = total, distinct
-        inside = self.counts[1 : self.classes]
-        self.other_tokens, self.other_words = total - int(inside.sum()), max(0, distinct - int((inside > 0).sum()))
-        share = np.concatenate([[max(self.other_tokens, 1)], np.maximum(inside, 1)]).astype(np.float64)
-        self.share = share / share.sum()
-
-    def codes(self, tokens: list[bytes]) -> np.ndarray:
+    """Common words with counts and leaves, and what words that share a leaf have of it.
+
+    ``endings`` holds (ending, tokens, words) of words without a leaf of their own, its first row (None)
+    those of all other endings; ``once`` and ``twice`` are numbers of words.
+    """
+
+    def __init__(self, common: list[tuple[bytes, int]], own: set[bytes], endings: list[tuple], once: int, twice: int, total: int):
+        # Nothing is spelled like None, which comes first.
+        leaves = sorted([(0, b"", 0, None), *((1, e[::-1], 0, e) for e, _, _ in endings if e is not None), *((1, w[::-1], 1, w) for w in own | {END})])
+        self.ending = {e: i for i, (_, _, is_word, e) in enumerate(leaves) if not is_word}
+        number = {w: i for i, (_, _, is_word, w) in enumerate(leaves) if is_word}
+        self.end = number[END]
+        self.discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+        tokens, words = np.zeros(len(leaves)), np.zeros(len(leaves))
+        for e, n, v in endings:
+            tokens[self.ending[e]], words[self.ending[e]] = n, v
+        #: Log10 of the tokens of a shared leaf, and of an unseen word's part of it.
+        self.log_tokens = np.log10(np.maximum(tokens, 1))
+        self.unseen = np.where(tokens > 0, np.log10(np.maximum(self.discount * words, 1e-300)) - self.log_tokens, 0.0)
+        self.index = {w: i + 1 for i, (w, _) in enumerate(common)}  # 0: not common
+        self.counts = np.array([0, *(c for _, c in common)], np.int64)
+        self.leaf = np.array([0, *(number[w] if w in number else self.shared(w) for w, _ in common)], np.int64)
+        self.is_own = np.array([False, *(w in number for w, _ in common)])
+        for (w, c), leaf in zip(common, self.leaf[1:].tolist(), strict=True):
+            if w in number:
+                tokens[leaf] = c
+        share = np.maximum(tokens, 1)
+        self.share, self.total = share / share.sum(), total
+        if len(share) > 1 << 16:
+            raise ValueError("leaves are stored in two bytes")
+
+    def shared(self, word: bytes) -> int:
+        return self.ending.get(word[-ENDING:], 0)
+
+    def codes(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of common words (0: none) and leaves."""
         get = self.index.get
-        return np.fromiter((get(t, 0) for t in tokens), np.int64, len(tokens))
-
-    def contexts(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes of tokens and of the two before each; before a text stand ends."""
-        cls, end = np.where(codes < self.classes, codes, 0), self.index[END]
-        one = np.concatenate([[end], cls[:-1]])
-        two = np.concatenate([[end, end], cls[:-2]])[: len(cls)]
-        firsts = np.concatenate([[0], ends[:-1]])
-        one[firsts] = end
-        two[firsts] = end
-        two[np.minimum(firsts + 1, len(cls) - 1)] = np.where(firsts + 1 < ends, end, two[np.minimum(firsts + 1, len(cls) - 1)])
-        return cls, two, one
-
-
-def fit(docs: DataFrame, lexicon: Lexicon) -> Model:
-    """Train in each partition on all its training tokens, then average by tokens."""
-    start = Model.fresh(lexicon.share)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # COMMON words
-
-    def train(batches):
+        codes = np.fromiter((get(t, 0) if t else -1 for t in tokens), np.int64, len(tokens))
+        ends = codes < 0
+        codes[ends] = get(END, 0)
+        leaves = self.leaf[codes]
+        for i in np.nonzero((codes == 0) & ~ends)[0].tolist():
+            leaves[i] = self.shared(tokens[i])
+        leaves[ends] = self.end
+        return codes, leaves
+
+
+def lexicon_of(counts: DataFrame) -> tuple[Lexicon, int]:
+    """The lexicon of a table of counts, and its number of words; COMMON + OWN + ENDINGS rows reach the driver."""
+    spark = counts.sparkSession
+    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    end = F.col("word") == F.lit(END)
+    common = sorted(((bytes(r["word"]), r["c"]) for r in counts.filter((F.col("c") >= _least_common(counts)) | end).collect()), key=lambda r: (-r[1], r[0]))
+    own = {w for w, c in common[:OWN] if c >= LEAST} | {END}
+    table = spark.createDataFrame([(w,) for w in sorted(own)], "word binary")
+    shared = counts.join(F.broadcast(table), "word", "left_anti")  # OWN + 1 rows
+    each = shared.groupBy(F.expr(f"substring(word, -{ENDING}, {ENDING})").alias("ending")).agg(
+        F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")
+    )
+    each = stored(each, "endings")
+    rest = each.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "once", "twice"))).first()
+    top = [(bytes(r["ending"]), r["n"], r["v"]) for r in each.orderBy(F.desc("n"), "ending").limit(ENDINGS - 1).collect()]
+    others = (None, rest["n"] - sum(n for _, n, _ in top), rest["v"] - sum(v for _, _, v in top))
+    return Lexicon(common, own, [others, *top], rest["once"], rest["twice"], sums["n"] or 0), sums["v"]
+
+
+def encoded(docs: DataFrame, lexicon: Lexicon, distinct: int) -> DataFrame:
+    """What scoring needs of each text, without its words: two-byte ``leaves``, sums over the common words
+    (``base``, ``inside``: parts of shared leaves), and the other words with their number in ``tail``."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # COMMON words and ENDINGS endings
+    all_words = float(np.log10(lexicon.total + 0.1 * (distinct + 1)))
+    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("leaf", pa.int32()), ("n", pa.int64())]))
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "inside", "tail", "leaves"]
+
+    def encode(batches):
         from pyspark import TaskContext
 
-        words, part = shared.value, TaskContext.get().partitionId()
-        model, sums, n, rng = Model(start.flat.copy(), words.classes), np.full(len(start.flat), 1e-4, np.float32), 0, np.random.default_rng(part)
+        words, row = shared.value, TaskContext.get().partitionId() << 40
+        log_base = np.log10(words.counts + 0.1)
+        # Words with a leaf of their own, and code 0, add nothing here.
+        log_inside = np.where(words.is_own | (words.counts == 0), 0.0, np.log10(np.maximum(words.counts - words.discount, 1e-9)) - words.log_tokens[words.leaf])
+        log_inside[0] = 0
         for b in batches:
-            for _, rows in _rows(b):
-                texts = [t for held, t in rows if not held]
-                if texts:
-                    codes = words.codes([w for t in texts for w in t])
-                    model.train(*words.contexts(codes, np.cumsum([len(t) for t in texts])), words.share, rng, sums)
-                    n += len(codes)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([model.flat.tobytes()], pa.binary())], names=["at", "n", "flat"])
+            ids = b.column("doc_id")
+            for first, rows in _rows(b):
+                n = len(rows)
+                lens = np.array([len(t) for _, t in rows])
+                tokens = [w for _, t in rows for w in t]
+                codes, leaves = words.codes(tokens)
+                doc, rare = np.repeat(np.arange(n), lens), codes == 0
+                by_doc = lambda x: np.bincount(doc, weights=x, minlength=n)  # noqa: E731, B023
+                base = by_doc(np.where(rare, 0.0, log_base[codes]) - all_words)
+                inside = by_doc(log_inside[codes])
+                known = by_doc((words.counts[codes] > 0).astype(float)).astype(np.int64)
+                tail: list[list] = [[] for _ in range(n)]
+                at = np.nonzero(rare)[0].tolist()
+                for (d, w, leaf), k in Counter(zip(doc[at].tolist(), (tokens[i] for i in at), leaves[at].tolist(), strict=True)).items():
+                    tail[d].append({"word": w, "leaf": leaf, "n": k})
+                small, ends = leaves.astype("<u2"), np.cumsum(lens)
+                packed = [small[e - k : e].tobytes() for e, k in zip(ends.tolist(), lens.tolist(), strict=True)]
+                columns = [np.arange(row, row + n), ids[first : first + n], [h for h, _ in rows], lens.astype(np.int64), known, base, inside]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:1]), columns[1], *map(pa.array, columns[2:]), pa.array(tail, tail_type), pa.array(packed, pa.binary())], names=names)
+                row += n
+
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, inside double, tail array<struct<word: binary, leaf: int, n: bigint>>, leaves binary"
+    return docs.mapInArrow(encode, schema)
+
+
+def rounds_of(shards: int) -> list[tuple[int, int]]:
+    """Ranges of shards: one, then GROWTH times as many each time, PASSES times over all."""
+    out, first, n = [], 0, 1
+    while first < shards:
+        out.append((first, min(shards, first + n)))
+        first, n = first + n, n * GROWTH
+    return out + [(0, shards)] * (PASSES - 1)
+
+
+def fit(codes: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """Train on all of ``codes`` (held_out, doc_id, leaves), as the module says; the network's numbers."""
+    spark = codes.sparkSession
+    shards = max(1, -(-lexicon.total // SHARD_TOKENS))
+    light = codes.filter("NOT held_out").select("leaves", F.xxhash64("doc_id", "leaves").alias("deal"))
+    light = light.withColumn("shard", F.pmod("deal", F.lit(shards)).cast("int"))
+    flat = neural.Network(lexicon.share, lexicon.end).flat
+    share, end = lexicon.share, lexicon.end
+
+    for turn, (low, high) in enumerate(rounds_of(shards)):
+        start = spark.sparkContext.broadcast(flat)  # some thousand leaves times DIM
+
+        def train(batches, start=start, turn=turn):
+            shard, net, rng, n, held = None, None, None, 0, []
+
+            def spend():
+                nonlocal n
+                for leaf, pos in neural.batches(held):
+                    net.train(leaf, pos, rng)
+                    n += len(leaf)
+                held.clear()
+
+            def row():
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([net.flat.tobytes()], pa.binary())], names=["at", "n", "flat"])
+
+            size = 0
+            for b in batches:
+                for s, leaves in zip(b.column("shard").to_pylist(), b.column("leaves"), strict=True):
+                    if s != shard:
+                        if net is not None:
+                            spend()
+                            yield row()
+                        shard, net, rng, n, size = s, neural.Network(share, end, start.value.copy()), np.random.default_rng([turn, s]), 0, 0
+                    held.append(np.frombuffer(leaves.as_buffer(), "<u2").astype(np.int64))
+                    size += len(held[-1])
+                    if size >= neural.BATCH:
+                        spend()
+                        size = 0
+            if net is not None:
+                spend()
+                yield row()
+
+        own = light.filter(F.col("shard").between(low, high - 1))
+        dealt = own.repartitionById(high - low, F.col("shard") - low).sortWithinPartitions("shard", "deal")
+        models = stored(dealt.select("shard", "leaves").mapInArrow(train, "at long, n long, flat binary"), "models")
+        flat = _average(models, flat)
+    return flat
+
+
+def _average(models: DataFrame, start: np.ndarray) -> np.ndarray:
+    """The mean by tokens of the models (at, n, flat), at most TREE of which are in one place."""
+    size = len(start)
 
     def average(batches):
         sums: dict[int, list] = {}
         for b in batches:
             for at, n, flat in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = sums.setdefault(at, [0, np.zeros(len(start.flat))])
+                own = sums.setdefault(at, [0, np.zeros(size)])
                 own[0], own[1] = own[0] + n, own[1] + n * np.frombuffer(flat, np.float32)
-        rows = [(at, n, (s / max(n, 1)).astype(np.float32).tobytes()) for at, (n, s) in sorted(sums.items())]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["at", "n", "flat"])
+        for at, (n, total) in sorted(sums.items()):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([n], pa.int64()), pa.array([(total / max(n, 1)).astype(np.float32).tobytes()], pa.binary())], names=["at", "n", "flat"])
 
-    schema = "at long, n long, flat binary"
-    models = stored(docs.mapInArrow(train, schema), "models")
     while models.count() > TREE:
-        models = stored(models.withColumn("at", F.expr(f"at div {TREE}")).repartition(partitions(docs.sparkSession), "at").mapInArrow(average, schema), "models")
+        near = models.withColumn("at", F.expr(f"at div {TREE}")).repartition(partitions(models.sparkSession), "at").sortWithinPartitions("at", "n")
+        models = stored(near.mapInArrow(average, models.schema), "models")
     last = [r for r in models.orderBy("at").collect() if r["n"]]
     if not last:
         return start
     total = sum(r["n"] for r in last)
-    return Model(sum(np.frombuffer(r["flat"], np.float32) * (r["n"] / total) for r in last).astype(np.float32), lexicon.classes)
+    return sum(np.frombuffer(r["flat"], np.float32) * (r["n"] / total) for r in last).astype(np.float32)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     tune(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.col("doc_id").cast("string").alias("name"), "text")
     counts = stored(word_counts(docs), "counts")
-    sums = counts.agg(F.sum("c"), F.count("*")).first()
-    total, distinct = sums[0] or 0, sums[1]
-    common = counts.filter((F.col("c") >= _least_common(counts)) | (F.col("word") == F.lit(END))).collect()  # COMMON + 1 rows at most
-    lexicon = Lexicon([(bytes(r["word"]), r["c"]) for r in common], total, distinct)
-    model = fit(docs, lexicon)
-    shared = spark.sparkContext.broadcast((lexicon, model.flat))
-    log_other = float(np.log10(max(lexicon.other_tokens, 0) + 0.1 * (lexicon.other_words + 1)))
-    all_words = float(np.log10(total + 0.1 * (distinct + 1)))
-
-    def first_part(batches):
-        from pyspark import TaskContext
+    lexicon, distinct = lexicon_of(counts)
+    codes = stored(encoded(docs, lexicon, distinct), "codes")
+    flat = fit(codes, lexicon)
+    shared = spark.sparkContext.broadcast((lexicon.share, lexicon.end, flat))
 
-        words, flat = shared.value
-        net, row = Model(flat, words.classes), TaskContext.get().partitionId() << 40
-        logs = np.log10(words.counts + 0.1)
-        norms = np.full(words.classes**2, np.nan)
+    def from_network(batches):
+        net = neural.Network(*shared.value)
         for b in batches:
-            ids = b.column("doc_id")
-            for first, rows in _rows(b):
-                n = len(rows)
-                lens = np.array([len(t) for _, t in rows])
-                ends = np.cumsum(lens)
-                tokens = [w for _, t in rows for w in t]
-                codes = words.codes(tokens)
-                cls, two, one = words.contexts(codes, ends)
-                context = two * words.classes + one
-                new = np.unique(context)
-                new = new[np.isnan(norms[new])]
-                for i in range(0, len(new), BATCH):
-                    c = new[i : i + BATCH]
-                    norms[c] = net.log_normalisers(c // words.classes, c % words.classes)
-                log_class = ((net.predict(two, one) * net.vectors[cls]).sum(axis=1) + net.bias[cls] - norms[context]) / np.log(10)
-                doc, rare = np.repeat(np.arange(n), lens), codes == 0
-                by_doc = lambda x: np.bincount(doc, weights=x, minlength=n)  # noqa: E731, B023
-                seen = np.where(rare, 0.0, logs[codes])
-                base = by_doc(seen - all_words)
-                full = by_doc(log_class + np.where(cls == 0, seen - log_other, 0.0))
-                known = by_doc((words.counts[codes] > 0).astype(float)).astype(np.int64)
-                tail: list[list] = [[] for _ in range(n)]
-                at = np.nonzero(rare)[0]
-                for (d, w), k in Counter(zip(doc[at].tolist(), (tokens[i] for i in at.tolist()), strict=True)).items():
-                    tail[d].append({"word": w, "n": k})
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + n)), ids[first : first + n], pa.array([h for h, _ in rows]), pa.array(lens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(full), pa.array(tail, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "full", "tail"],
-                )
-                row += n
-
-    part = stored(docs.mapInArrow(first_part, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, full double, tail array<struct<word: binary, n: bigint>>"), "scores")
-    tail = part.select("row", F.inline("tail")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rest = tail.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("more_known"))
-    more = F.coalesce("more", F.lit(0.0))
-    return part.drop("tail").join(rest, "row", "left").select(
+            held = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in b.column("leaves")]
+            sums, doc, at = np.zeros(len(held)), np.repeat(np.arange(len(held)), [len(x) for x in held]), 0
+            for leaf, pos in neural.batches(held):
+                sums += np.bincount(doc[at : at + len(leaf)], weights=net.log_probs(leaf, pos), minlength=len(held))
+                at += len(leaf)
+            columns = [c for c, name in zip(b.columns, b.schema.names, strict=True) if name != "leaves"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sums / np.log(10))], names=[*(n for n in b.schema.names if n != "leaves"), "full"])
+
+    light = codes.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "inside", "leaves")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in light.schema if f.name != "leaves")
+    scored = light.mapInArrow(from_network, f"{kinds}, full double")
+    of_leaf = [(leaf, float(lexicon.log_tokens[leaf]), float(lexicon.unseen[leaf])) for leaf in sorted(lexicon.ending.values())]
+    leaves = spark.createDataFrame(of_leaf, "leaf int, log_tokens double, unseen double")
+    tail = codes.select("row", F.inline("tail")).join(counts, "word", "left").join(F.broadcast(leaves), "leaf", "left")  # ENDINGS rows
+    inside = F.when(F.col("c").isNull(), F.coalesce("unseen", F.lit(0.0))).otherwise(F.log10(F.col("c") - lexicon.discount) - F.col("log_tokens"))
+    rest = tail.groupBy(F.col("row").alias("at")).agg(
+        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("more_base"), F.sum(F.col("n") * inside).alias("more_inside"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("more_known")
+    )
+    zero = F.lit(0.0)
+    return scored.join(rest, F.col("row") == F.col("at"), "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        # Rare words belong to the class of others, whose share the tasks have already divided out.
-        (F.col("full") + more).alias("score"),
+        F.lit(lexicon.total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
+        (F.col("full") + F.col("inside") + F.coalesce("more_inside", zero)).alias("score"),
     )
 
 
