@@ -1,7 +1,7 @@
-"""Shared pieces of the training-data operators: scratch tables, word splitting, global ranks.
+"""Shared pieces of the training-data operators: scratch tables, word splitting, global ranks, hot keys.
 
-Every operator selects the columns it needs first, so extra columns of its input (also ones whose
-names clash with those used here) never reach its plan.
+Queries select the columns they need first. Operators that return whole documents hold them in one
+struct column (``packed``) while they work, so no column name of the caller can clash with theirs.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Arrow batches carry this many rows at most; texts are cut into CHUNK_BYTES pieces of work after that.
 BATCH_ROWS = 1000
 CHUNK_BYTES = 4 << 20
+#: A table of at most so many rows of two or three numbers may be broadcast.
+BROADCAST_ROWS = 200_000
 #: Maps A-Z to a-z and leaves every other byte, also those of UTF-8 sequences.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -30,9 +32,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """A new folder below the cluster's ``spark.checkpoint.dir``. Where that is unset, a temporary one,
+    which only a local master can share; any other raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -50,6 +55,70 @@ def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """``docs`` as one struct column ``doc``, and the columns ``more`` (of ``docs``) beside it."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), *more)
+
+
+def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``small``, to be broadcast if it has at most ``rows`` rows (counted; it should be a stored table of
+    few narrow columns); beyond that its join shuffles, where AQE splits hot keys."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+
+
+def in_blocks(rows: DataFrame, key: str, spread: Column, hot: DataFrame) -> DataFrame:
+    """``rows`` with ``block`` and ``pair`` for keys that are too hot for one task.
+
+    ``hot`` (key, blocks) lists them. A row of such a key belongs to one of its blocks by the hash
+    ``spread``, and is repeated for every pair of blocks that holds its own, so any two rows of a key
+    meet at one pair at least, and the rows at a pair are those of two blocks. Rows of other keys have
+    pair 0.
+    """
+    zero = F.lit(0).cast("long")
+    listed = sized(stored(hot.select(F.col(key).alias("_hot"), F.col("blocks").cast("long").alias("_n")), "hot"))
+    joined = rows.join(listed, F.col(key) == F.col("_hot"), "left").withColumn("block", F.coalesce(F.pmod(spread, F.col("_n")), zero))
+    pairs = F.transform(F.sequence(zero, F.col("_n") - 1), lambda o: F.least(o, F.col("block")) * F.col("_n") + F.greatest(o, F.col("block")) + 1)
+    return joined.withColumn("pair", F.explode(F.when(F.col("_n").isNull(), F.array(zero)).otherwise(pairs))).drop("_hot", "_n")
+
+
+def whole_groups(batches, keys: list[str]):
+    """Columns (as arrays, by name) of the batches of a partition sorted by ``keys`` (longs), cut so that no
+    group of equal keys is split: memory holds a batch and the group that is still open."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        last = [b.column(k).to_numpy() for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in last:
+            new[1:] |= c[1:] != c[:-1]
+        if held:
+            new[0] = any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != c[0] for k, c in zip(keys, last, strict=True))
+        at = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if not new.any():
+            held.append(b)
+            continue
+        yield _columns([*held, b.slice(0, at)])
+        held = [b.slice(at)]
+    if held:
+        yield _columns(held)
+
+
+def _columns(held: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    table = pa.Table.from_batches([b for b in held if b.num_rows], held[0].schema)
+    return {n: table.column(n).to_numpy() for n in table.column_names}
+
+
+def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the runs of rows with equal ``keys``."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    start = np.flatnonzero(new)
+    return start, np.append(start[1:], len(new))
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text"):
     """Cut a batch into (first row, list of UTF-8 texts) of about CHUNK_BYTES; null reads as empty."""
     values = batch.column(column).cast(pa.large_binary())

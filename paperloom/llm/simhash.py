@@ -8,13 +8,14 @@ text, or of a fingerprint, cost nothing.
 
 Within a key, members are grouped by the bit in which they differ from it; a pair of groups is
 compared only at the smaller of the keys that both share, in blocks of bounded size, and a union-find
-keeps one link for each newly joined pair instead of all pairs. Segment values with very many
-fingerprints are found by a count first (at most HOT_VALUES of them, by choice of the limit); the
-keys around them are split into pairs of member blocks, which go to different tasks.
+keeps one link for each newly joined pair instead of all pairs. Keys are read one after another from
+sorted partitions. A key of more than HOT_MEMBERS fingerprints, however many there are, is split into
+pairs of blocks of about that size, which go to different tasks; its load is known from the counts of
+the segment values around it.
 
 Defined results: texts without words have fingerprint zero and link like any other; null doc_id never
-becomes a component's id unless the component has no other; repeated rows return each; an empty table
-gives no rows.
+becomes a component's id unless the component has no other; very long texts are read whole; repeated
+rows return each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, partitions, stored, text_chunks, tune
+from .common import LOWER, in_blocks, packed, partitions, runs, sized, stored, text_chunks, tune, whole_groups
 from .components import components
 
 WORDS = 4
 RADIUS = 4
 SEED = 42
-HOT_VALUES = 10_000
 HOT_MEMBERS = 4096
 
 
@@ -118,6 +118,18 @@ def _key_links(fp: np.ndarray, bit: np.ndarray, side: np.ndarray | None, radius:
     return out
 
 
+def _hot_keys(values: DataFrame) -> DataFrame:
+    """(key, blocks) of the keys around frequent segment values ``v`` that may have over HOT_MEMBERS members.
+
+    A key has the fingerprints of 33 values; those that are not frequent add HOT_MEMBERS at most.
+    """
+    frequent = values.groupBy("v").count().filter(F.col("count") > HOT_MEMBERS // 33)
+    bits = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(32)))
+    around = frequent.select(F.explode(F.transform(bits, lambda x: F.col("v").bitwiseXOR(x))).alias("key"), "count")
+    load = around.groupBy("key").agg(F.sum("count").alias("load")).filter(F.col("load") > HOT_MEMBERS)
+    return load.select("key", F.ceil((F.col("load") + HOT_MEMBERS) / HOT_MEMBERS).alias("blocks"))
+
+
 def links(fps: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column ``fp``) that leave the components of all
     pairs within ``radius`` bits (at most 5) as they are."""
@@ -125,88 +137,69 @@ def links(fps: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     tune(spark)
     fps = stored(fps.select("fp").distinct(), "fingerprints")
     values = fps.select(F.explode(F.array(F.expr("shiftrightunsigned(fp, 32)"), F.expr("(fp & 4294967295) + 4294967296"))).alias("v"))
-    total = fps.count()
-    most = max(HOT_MEMBERS, 2 * total // HOT_VALUES)  # so at most HOT_VALUES values are above it
-    hot = values.groupBy("v").count().filter(F.col("count") > most).collect()
-    around = {}
-    for r in hot:
-        for x in [r["v"], *(r["v"] ^ (1 << i) for i in range(32))]:
-            around[x] = around.get(x, 0) + r["count"]
-    hot_keys = np.array(sorted(around), np.int64)
-    blocks = np.array([-(-around[k] // HOT_MEMBERS) + 1 for k in hot_keys.tolist()], np.int64)
     balls = np.concatenate([[0], 1 << np.arange(32)]).astype(np.int64)
 
     def keys(batches):
         for b in batches:
-            all_fp = b.column("fp").to_numpy()
-            for at in range(0, len(all_fp), 20_000):
-                fp = all_fp[at : at + 20_000]
-                for seg in (0, 1):
-                    own = (fp.view(np.uint64) >> np.uint64(32)).astype(np.int64) if seg == 0 else (fp & 0xFFFFFFFF) + (1 << 32)
-                    key, bit = (own[:, None] ^ balls).ravel(), np.tile(np.arange(-1, 32), len(fp))
-                    who, pair, side = np.repeat(fp, 33), np.zeros(len(fp) * 33, np.int64), np.zeros(len(fp) * 33, np.int8)
-                    at_hot = np.searchsorted(hot_keys, key)
-                    is_hot = (hot_keys[np.minimum(at_hot, len(hot_keys) - 1)] == key) if len(hot_keys) else np.zeros(len(key), bool)
-                    cold = ~is_hot
-                    yield pa.RecordBatch.from_arrays([pa.array(x[cold]) for x in (key, pair, side.astype(np.int64), bit, who)], names=["key", "pair", "side", "bit", "fp"])
-                    for h in np.nonzero(is_hot)[0].tolist():
-                        n = int(blocks[at_hot[h]])
-                        mine = int(((int(who[h]) * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> 33) % n
-                        others = np.arange(n)
-                        lo, hi = np.minimum(others, mine), np.maximum(others, mine)
-                        cols = [np.full(n, key[h]), 1 + lo * n + hi, np.where(others == mine, 2, (mine > others).astype(np.int64)), np.full(n, bit[h]), np.full(n, who[h])]
-                        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["key", "pair", "side", "bit", "fp"])
+            fp = b.column("fp").to_numpy()
+            for own in ((fp.view(np.uint64) >> np.uint64(32)).astype(np.int64), (fp & 0xFFFFFFFF) + (1 << 32)):
+                columns = [(own[:, None] ^ balls).ravel(), np.tile(np.arange(-1, 32), len(fp)), np.repeat(fp, 33)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "bit", "fp"])
 
     def meet(batches):
-        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not parts:
-            return
-        key, pair, side, bit, fp = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((fp, pair, key))
-        key, pair, side, bit, fp = key[order], pair[order], side[order], bit[order], fp[order].view(np.uint64)
-        cut = np.nonzero((np.diff(key) != 0) | (np.diff(pair) != 0))[0] + 1
-        a, b = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-        some = b - a > 1
-        out: list[tuple[int, int]] = []
-        for s, e in zip(a[some].tolist(), b[some].tolist(), strict=True):
-            mixed = pair[s] > 0 and (side[s:e] != 2).all()
-            got = _key_links(fp[s:e], bit[s:e], side[s:e] if mixed else None, radius)
-            out += [(fp[s + p], fp[s + q]) for p, q in got]
-        got = np.array(sorted(set(out)), np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
-
-    dealt = fps.mapInArrow(keys, "key long, pair long, side long, bit long, fp long").repartition(partitions(spark), "key", "pair")
-    return dealt.mapInArrow(meet, "a long, b long")
+        for group in whole_groups(batches, ["key", "pair"]):
+            key, pair, block, bit, fp = (group[c] for c in ("key", "pair", "block", "bit", "fp"))
+            starts, ends = runs(key, pair)
+            some = ends - starts > 1
+            out: set[tuple[int, int]] = set()
+            for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
+                own = block[s:e]
+                side = (own != own[0]).astype(np.int8) if pair[s] and (own != own[0]).any() else None
+                members = fp[s:e].view(np.uint64)
+                out.update((int(fp[s + p]), int(fp[s + q])) for p, q in _key_links(members, bit[s:e], side, radius))
+            got = np.array(sorted(out), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
+
+    rows = fps.mapInArrow(keys, "key long, bit long, fp long")
+    dealt = in_blocks(rows, "key", F.xxhash64("fp"), _hot_keys(values)).repartition(partitions(spark), "key", "pair").sortWithinPartitions("key", "pair", "fp")
+    return dealt.select("key", "pair", "block", "bit", "fp").mapInArrow(meet, "a long, b long")
+
+
+def placed(marked: DataFrame, roots: DataFrame, least) -> DataFrame:
+    """(_fp, root, least) for each fingerprint of ``marked``: its root among ``roots`` (node, root) or itself, and
+    ``least`` (an aggregate over columns of ``marked``) of all that have that root. Rows of a fingerprint are
+    aggregated before anything is joined, so copies of one text make no hot key."""
+    own = marked.groupBy(F.col("fp").alias("_fp")).agg(least.alias("_own"))
+    named = own.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", F.coalesce("root", "_fp").alias("root"), "_own")
+    named = stored(named, "roots")
+    return named.join(named.groupBy("root").agg(F.min("_own").alias("least")), "root")
 
 
 def groups(marked: DataFrame, *, radius: int = RADIUS, doc_id: str = "doc_id") -> DataFrame:
     """``marked`` (with fp) and ``component_id``: the least doc_id reachable over links."""
-    roots = components(links(marked, radius=radius))
-    named = marked.select(doc_id, "fp").join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min(doc_id).alias("component_id"))
-    place = named.select("fp", "root").distinct().join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(place, F.col("fp") == F.col("_fp")).drop("_fp")
+    of_root = placed(marked, components(links(marked, radius=radius)), F.min(doc_id))
+    place = stored(of_root.select("_fp", F.col("least").alias("component_id")), "places")
+    return marked.join(sized(place), F.col("fp") == F.col("_fp")).drop("_fp")
 
 
-def first_of_each(docs: DataFrame, *, width: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One document of each group: that with the least doc_id (of equal ids, one row). Columns of ``docs``.
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as ``doc`` with a number ``_row`` for each row, written once."""
+    return stored(packed(docs, F.monotonically_increasing_id().alias("_row")), "numbered")
 
-    Documents whose doc_id is null are compared by a hash of their row instead.
-    """
-    light = docs.select("doc_id", F.xxhash64(*docs.columns).alias("_row"), "text")
-    marked = stored(fingerprints(light, width=width, keep=["doc_id", "_row"]), "marked")
-    return kept(docs, marked, components(links(marked, radius=radius)))
-
-
-def kept(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
-    """The first document of each root, from ``marked`` (doc_id, _row, fp) and the ``roots`` (node, root) of linked fp."""
-    named = marked.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("b"))
-    keep = best.select("b.doc_id", F.col("b._row").alias("_kept")).withColumnRenamed("doc_id", "_kept_id")
-    # Equal rows are one document; they meet the kept key in one group each.
-    rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    out = rows.join(keep, (F.col("_row") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+
+def first_of_each(base: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """One document of each group, from ``base`` (see ``numbered``), ``marked`` (doc_id, _row, fp) and the
+    ``roots`` of linked fp: that with the least doc_id (null last; of equal ids, the first row)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
+    best = placed(marked, roots, first).select(F.col("least._row").alias("_kept")).distinct()
+    return base.join(best.hint("merge"), F.col("_row") == F.col("_kept")).select("doc.*")
+
+
+def dedup(docs: DataFrame, *, width: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The documents left of groups linked by fingerprints, with the columns of ``docs``."""
+    base = numbered(docs)
+    marked = stored(fingerprints(base.select("doc.doc_id", "_row", "doc.text"), width=width, keep=["doc_id", "_row"]), "marked")
+    return first_of_each(base, marked, components(links(marked, radius=radius)))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
