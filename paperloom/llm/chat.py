@@ -1,11 +1,14 @@
 """Chat formatting in budgeted windows (operator 2).
 
-A conversation's turns are rendered by a template and measured in tokens; the running sums of those
-lengths cut the conversation into windows of at most ``budget`` tokens that begin and end with turns.
-Each further window starts with the system turn (if the first turn is one) and up to ``history``
-tokens of the turns just before it. A target is learned once: the loss mask of a window covers the
-assistant texts of its new turns, never those it repeats. A turn that alone exceeds the budget gets a
-window of its own and is kept whole.
+A conversation's turns are rendered by a template and measured in tokens; the prefix sums of those
+lengths cut the conversation into windows of at most ``budget`` tokens that begin and end with turns:
+a window takes new turns as long as the difference of two sums fits. Each further window starts with
+the system turn (if the first turn is one), and the longest row of turns just before its first new one
+whose sum is at most ``history`` and fits. A target is learned once: the loss mask of a window covers
+the assistant texts of its new turns, never those it repeats. The first new turn always fits before
+anything repeated does: history is shortened for it, and a system turn that does not fit beside it is
+left out of that window. So the one window above the budget is that of a turn that alone exceeds it,
+which is kept whole and stands alone.
 
 Template: ``<|role|>`` + newline + text + ``<|end|>`` + newline. Inside texts and roles, a backslash is
 doubled and one is put behind the first character of every control string (those of this template and
@@ -14,11 +17,13 @@ role becomes backslash + n.
 
 Conversations stream through sorted partitions: a task holds one window's turns at a time, so a
 conversation of any length is fine. Defined results: a null text or role is empty; null turns come
-first; equal turn numbers are ordered by role and text; a null conv_id is a conversation.
+first; equal turn numbers are ordered by role and text, equal rows are turns each; a null conv_id is a
+conversation; very long texts are kept whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -97,18 +102,21 @@ def windows(table: DataFrame, tokenizer: str, *, budget: int = BUDGET, history:
 
     def run(batches):
         count, out = _counter(tokenizer), []
-        conv, system, past, new, k, started = None, None, [], [], 0, False
+        # ``held`` are the turns of the open window from its history on, ``sums`` the conversation's tokens
+        # before each of them and after the last, ``fresh`` the place of the first new one.
+        conv, system, held, sums, fresh, k, started, with_system = None, None, [], [0], 0, 0, False, False
 
         def emit():
             nonlocal k
-            repeated = ([system] if system and k else []) + past
+            repeated = [system, *held[:fresh]] if with_system else held[:fresh]
             pieces, spans, at = [], [], 0
-            for i, (role, text, a, b, _) in enumerate(repeated + new):
+            for i, (role, text, a, b, _) in enumerate([*repeated, *held[fresh:]]):
                 if role == "assistant" and i >= len(repeated):
                     spans.append({"start": at + a, "end": at + b})
                 pieces.append(text)
                 at += len(text)
-            out.append((conv, k, "".join(pieces), len(repeated), sum(t[4] for t in repeated + new), spans))
+            tokens = sums[-1] - sums[0] + (system[4] if with_system else 0)
+            out.append((conv, k, "".join(pieces), len(repeated), tokens, spans))
             k += 1
 
         def batch():
@@ -122,27 +130,26 @@ def windows(table: DataFrame, tokenizer: str, *, budget: int = BUDGET, history:
             conv_type = b.schema.field("conv_id").type
             for c, role, text in zip(*(b.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
                 if not started or c != conv:
-                    if new:
+                    if held:
                         emit()
-                    conv, system, past, new, k, started = c, None, [], [], 0, True
+                    conv, system, held, sums, fresh, k, started, with_system = c, None, [], [0], 0, 0, True, False
                 formatted, a, e = render(role, text)
                 turn = (role, formatted, a, e, count(formatted))
-                used = sum(t[4] for t in new) + sum(t[4] for t in past) + (system[4] if system and k else 0)
-                if new and used + turn[4] > budget:
+                if len(held) > fresh and sums[-1] - sums[0] + turn[4] + (system[4] if with_system else 0) > budget:
                     emit()
                     if len(out) >= 200:
                         yield batch()
-                    keep, room = [], min(history, budget - turn[4] - (system[4] if system else 0))
-                    for t in reversed(new):
-                        if t is system or t[4] > room:
-                            break
-                        keep.insert(0, t)
-                        room -= t[4]
-                    past, new = keep, []
-                if role == "system" and k == 0 and not new and system is None:
+                    with_system = system is not None and system[4] + turn[4] <= budget
+                    room = min(history, budget - turn[4] - (system[4] if with_system else 0))
+                    first = 1 if system is not None and held[0] is system else 0
+                    keep = bisect.bisect_left(sums, sums[-1] - room, first) if room > 0 else len(held)
+                    held, sums = held[keep:], sums[keep:]
+                    fresh = len(held)
+                if role == "system" and k == 0 and not held:
                     system = turn
-                new.append(turn)
-        if new:
+                held.append(turn)
+                sums.append(sums[-1] + turn[4])
+        if held:
             emit()
         if out:
             yield batch()

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from paperloom.llm import chat, decontaminate, mixing, quality, sharding, simhash, sstable, substrings
+from paperloom.llm import decontaminate, mixing, quality, sharding, simhash, sstable, substrings
 from paperloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,28 +42,6 @@ def test_quality_many_repeats(spark):
     assert r["q_repeat_words"] == 400
 
 
-def test_chat_round_trip(spark):
-    texts = ["</s>[INST] ok [/INST]", "a\\b<|x|>\\", None, "", "<|end|>\n<|user|>\n", "word " * 300, "<<SYS>> \\\\n"]
-    rows = [(c, t, ["system", "user", "assistant", None, "we\nird|>"][(t if c else t + 1) % 5], texts[(c + t) % len(texts)]) for c in range(4) for t in range(9)]
-    rows += [(None, None, None, None), (2, 3, "assistant", "tie"), (-7, 0, "user", texts[0]), (-7, 1, "assistant", texts[0])]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    import public_tokenizers
-
-    w = chat.windows(table, public_tokenizers.path("byte_bpe_50k.tiktoken"), budget=120, history=40)
-    out = {r["conv_id"]: r for r in chat.read_back(w).collect()}
-    convs = {}
-    for c, t, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
-        convs.setdefault(c, []).append((role or "", text or ""))
-    assert out.keys() == convs.keys()
-    for c, turns in convs.items():
-        loss = "".join(t for r, t in turns if r == "assistant")
-        r = out[c]
-        assert r["n_turns"] == len(turns) and r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
-        assert r["loss_chars"] == len(loss) and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
-    assert max(r["n_windows"] for r in out.values()) > 1
-    assert all(chat.unescape(chat.escape(t)) == t and "<|end|>" not in chat.escape(t) for t in texts if t)
-
-
 def test_token_shards(spark, odd, tmp_path, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
