@@ -93,8 +93,11 @@ def test_decontamination(spark, odd, monkeypatch, blocks):
         k = min(13, len(w))
         for s in range(len(w) - k + 1) if w else ():
             windows.setdefault(tuple(w[s : s + k]), set()).add("null" if i is None else str(i))
-    out = sorted((str(r["doc_id"]), r["d_words"], r["n_hit"], r["d_items"], r["contaminated"]) for r in decontaminate.verdicts(decontaminate.mark(odd, bench)).collect())
+    marked = [decontaminate.mark(odd.repartition(n), bench).withColumn("bad", decontaminate.verdict()).collect() for n in (1, 5)]
+    out, again = (sorted((str(r["doc"]["doc_id"]), r["d_words"], r["d_hit"], r["d_items"], r["bad"], r["d_longest"], r["d_item"] or "", r["d_at"] or 0) for r in rows) for rows in marked)
+    assert out == again
     want = []
+    parts = [("null" if i is None else str(i), word(t)) for i, t in items]
     for d, t in key(odd):
         w, hit, names = word(t), set(), set()
         for g, ids in windows.items():
@@ -102,10 +105,18 @@ def test_decontamination(spark, odd, monkeypatch, blocks):
                 if tuple(w[s : s + len(g)]) == g:
                     hit.update(range(s, s + len(g)))
                     names |= ids
-        want.append((str(d), len(w), len(hit), sorted(names), bool(hit) and 20 * len(hit) >= len(w)))
+        best = (0, "", 0)
+        for i, b in parts:
+            for s in range(len(w)):
+                for j in range(len(b)):
+                    n = next((n for n in range(len(b) - j) if s + n >= len(w) or w[s + n] != b[j + n]), len(b) - j)
+                    if n >= min(13, len(b)):
+                        best = min(best, (n, i, s), key=lambda m: (-m[0], m[1], m[2]))
+        want.append((str(d), len(w), len(hit), sorted(names), bool(hit) and 20 * len(hit) >= len(w), *best))
     assert out == sorted(want)
     assert decontaminate.remove(odd, bench).columns == odd.columns
     assert decontaminate.mark(odd, bench.limit(0)).filter("size(d_items) > 0").count() == 0
+    assert decontaminate.mark(odd.limit(0), bench).count() == 0
 
 
 def test_longest_match():
@@ -113,6 +124,8 @@ def test_longest_match():
     ids = np.array([b.vocabulary.get(w, 0) for w in b"x b c d e y a b c".split()])
     _, items, best = b.search([ids])
     assert items == [{"7"}] and best == [(4, "7", 1)]
+    _, items, best = b.search([ids, ids[5:], ids[:0], ids])  # every copy has its match
+    assert best == [(4, "7", 1), (3, "7", 1), (0, None, None), (4, "7", 1)]
 
 
 def brute_simhash(texts):
