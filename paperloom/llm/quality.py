@@ -4,18 +4,20 @@ Every line with a word is judged alone by three rules; failing lines go, and a d
 more than ``max_loss`` of its word characters is rejected. Before that, the base rule rejects
 documents of few words and those mostly made of repeated three-word windows.
 
-Defined results: a null text has no words and is rejected; an empty text likewise; repeated rows are
-judged alike, each for itself; other columns are passed through untouched by ``clean``.
+Defined results: a null text has no words and is rejected; an empty text likewise; very long texts and
+lines are judged whole; repeated rows are judged alike, each for itself; other columns, whatever their
+names, are passed through untouched by ``clean``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP
+from .common import WORD_GAP, packed
 
 #: A line with a word.
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -24,11 +26,15 @@ SYMBOLS = r"[#*$%&|<>]"
 CLOSED = r"""[.!?:;…。！？]["'”’)\]]*[\x20\x09-\x0D]*$"""
 SHOUT = r"[!?]{2,}"
 SEPARATOR = r"\x20[|»>·•]"
-#: Phrases of site furniture, in lower case; looked for in lines up to that length, as longer ones are prose.
-FURNITURE_CHARS = 160
+#: Phrases of site furniture, in lower case. A line fails if its phrases make up FURNITURE_SHARE percent of
+#: its characters or more: a line that mentions one in passing is prose, whatever its length.
+FURNITURE_SHARE = 8
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "use of cookies",
     "enable javascript", "click here", "subscribe to our newsletter", "sign up for", "log in to", "powered by", "lorem ipsum",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "cliquez ici",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "klicken sie hier",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "haga clic aquí",
 )
 
 
@@ -37,8 +43,15 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _any_phrase(text: Column) -> Column:
-    return _let(F.lower(text), lambda t: reduce(lambda a, b: a | b, [t.contains(p) for p in BOILERPLATE]))
+def _furnished(text: Column) -> Column:
+    """Whether the phrases make up too much of ``text``. Most lines hold none and are not measured."""
+
+    def share(t: Column) -> Column:
+        some = reduce(lambda a, b: a | b, [t.contains(p) for p in BOILERPLATE])
+        chars = reduce(lambda a, b: a + b, [F.when(t.contains(p), F.size(F.split(t, re.escape(p))) - 1).otherwise(0) * len(p) for p in BOILERPLATE])
+        return some & (100 * chars >= FURNITURE_SHARE * F.length(t))
+
+    return _let(F.lower(text), share)
 
 
 def line_fails(line: Column, seen: Column) -> dict[str, Column]:
@@ -52,7 +65,7 @@ def line_fails(line: Column, seen: Column) -> dict[str, Column]:
     return {
         "punctuation": ~line.rlike(CLOSED) | symbols | shouts,
         "navigation": seen["separators"] & (F.regexp_count(line, F.lit(SEPARATOR)) >= 3),
-        "boilerplate": (F.length(line) <= FURNITURE_CHARS) & _any_phrase(line),
+        "boilerplate": _furnished(line),
     }
 
 
@@ -141,10 +154,9 @@ def judge(docs: DataFrame, text: str = "text", *, min_words: int = 50, max_repea
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The kept documents with their failing lines removed; same columns as ``docs``."""
     # The random column keeps the filter above the projections; pushed below them, it would repeat their expressions.
-    df = judge(docs, **limits).withColumn("q_stay", F.rand(1)).filter("q_kept AND q_stay >= 0").withColumn("text", F.col("q_text"))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast("long"))
-    return df.select(*docs.columns)
+    df = judge(packed(docs, docs["text"].alias("text")), **limits).withColumn("q_stay", F.rand(1)).filter("q_kept AND q_stay >= 0")
+    new = {"text": F.col("q_text"), "n_chars": F.length("q_text").cast("long")}
+    return df.select(*(new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -163,6 +175,7 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     )
 
 
+_PHRASES = " + ".join(f"""{len(p)} * (len(string_split(lower(x), '{p.replace("'", "''")}')) - 1)""" for p in BOILERPLATE)
 _W = r"[\x20\x09-\x0D]"
 OP1_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -177,7 +190,7 @@ j AS (SELECT r, x, len(array_to_string(w, '')) AS c,
   OR 4 * len(regexp_extract_all(x, '[#*$%&|<>]')) > len(w)
   OR len(regexp_extract_all(x, '[!?][!?]+')) >= 3
   OR len(regexp_extract_all(x, '\x20[|\x{{BB}}>\x{{B7}}\x{{2022}}]')) >= 3
-  OR length(x) <= {FURNITURE_CHARS} AND regexp_matches(lower(x), '{'|'.join(BOILERPLATE)}') AS bad FROM lw),
+  OR 100 * ({_PHRASES}) >= {FURNITURE_SHARE} * length(x) AND ({_PHRASES}) > 0 AS bad FROM lw),
 s AS (SELECT r, count(*) - count(DISTINCT x) AS dup, count(*) FILTER (bad) AS removed, coalesce(sum(c) FILTER (NOT bad), 0) AS kept FROM j GROUP BY r),
 a AS (SELECT d.doc_id, len(w.w) AS n_words, len(array_to_string(w.w, '')) AS word_chars, len(regexp_extract_all(d.t, '[#*$%&|<>]')) AS n_symbols,
   coalesce(s.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(s.removed, 0) AS n_removed_lines, coalesce(s.kept, 0) AS kept_chars
