@@ -6,10 +6,13 @@ in proportion, and cutting the order into equal runs gives every shard the mixtu
 table, with row counts at most one apart.
 
 Only light rows (keys, size, checksum) are ranked; both orders use range partitioning with summed
-offsets, so a source that holds a third of all rows is spread over many tasks.
+offsets, so a source that holds a third of all rows is spread over many tasks. The table of sources is
+broadcast only if its counted rows are few.
 
-Defined results: null text has size 8 and checksum 0; null source is a source of its own; equal rows
-take neighbouring ranks in any order; an empty table gives no rows.
+Defined results: null text has size 8 and checksum 0; null source is a source of its own; very long
+texts count as one row; equal rows take neighbouring ranks in any order; an empty table gives no rows.
+``sharded`` keeps all columns of its input; one named shard or slot is kept as input_shard or input_slot
+(with more underscores at its end while that name is taken).
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, stored
+from .common import packed, ranked, sized, stored
 
 
 def interleaved(rows: DataFrame, source: str, shuffle: list[str], seed: int) -> DataFrame:
@@ -26,7 +29,8 @@ def interleaved(rows: DataFrame, source: str, shuffle: list[str], seed: int) ->
     rows = rows.withColumn("_seeded", F.xxhash64(F.lit(seed), *[F.col(c) for c in shuffle]))
     first = ranked(rows, [source, "_seeded", *shuffle])
     bounds = first.groupBy(source).agg(F.min("rank").alias("_from"), F.count("*").alias("_rows")).withColumnRenamed(source, "_source")
-    joined = first.join(bounds, first[source].eqNullSafe(bounds["_source"]))
+    bounds = stored(bounds, "bounds")
+    joined = first.join(sized(bounds), first[source].eqNullSafe(bounds["_source"]))
     at = (2 * (F.col("rank") - F.col("_from")) + 1).cast("decimal(38,0)")
     placed = joined.withColumn("_fraction", (at.cast("double")) / (2 * F.col("_rows")).cast("double")).withColumn("_tie", F.xxhash64(F.lit(seed), source))
     return ranked(placed.drop("rank", "_from", "_source", "_rows"), ["_fraction", "_tie", "_seeded", *shuffle]).select(*keep, "rank")
@@ -46,11 +50,21 @@ def assign(rows: DataFrame, source: str = "source", shuffle: list[str] | None =
 
 def sharded(docs: DataFrame, *, shards: int = 24, seed: int = 17) -> DataFrame:
     """``docs`` with ``shard`` and ``slot``. Rows are numbered once, ranked without their texts, and joined back."""
-    base = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows = base.select("_row", F.col("source").cast("string").alias("source"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    base = stored(packed(docs, F.monotonically_increasing_id().alias("_row")), "numbered")
+    rows = base.select("_row", F.col("doc.source").cast("string").alias("source"), "doc.doc_id", F.xxhash64("doc.text").alias("text_hash"))
     placed = assign(rows, "source", ["doc_id", "text_hash", "_row"], shards=shards, seed=seed).select(F.col("_row").alias("_placed"), "shard", "slot")
-    keep = [c for c in docs.columns if c not in ("shard", "slot")]
-    return base.select("_row", *keep).join(placed, F.col("_row") == F.col("_placed")).select(*keep, "shard", "slot")
+    taken = {c.lower() for c in docs.columns}
+
+    def name(column: str) -> str:
+        if column.lower() not in ("shard", "slot"):
+            return column
+        new = f"input_{column}"
+        while new.lower() in taken:
+            new += "_"
+        return new
+
+    own = [F.col("doc").getField(c).alias(name(c)) for c in docs.columns]
+    return base.join(placed, F.col("_row") == F.col("_placed")).select(*own, "shard", "slot")
 
 
 def light(docs: DataFrame) -> DataFrame:
