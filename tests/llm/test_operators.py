@@ -212,11 +212,33 @@ def test_substrings(spark, odd, options):
 
 def test_sharding(spark, odd):
     out = sharding.assign(sharding.light(odd), "source", ["doc_id", "text_hash", "size"], shards=5).collect()
+    want = Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in key(odd))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
     counts = Counter(r["shard"] for r in out)
-    assert len(out) == odd.count() and max(counts.values()) - min(counts.values()) <= 1
+    assert set(counts) <= set(range(5)) and max(counts.values()) - min(counts.values()) <= 1
     assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(n)) for s, n in counts.items())
-    assert sharding.sharded(odd).columns == [*odd.columns, "shard", "slot"]
+    whole = sharding.sharded(odd, shards=5)
+    assert whole.columns == [*odd.columns, "shard", "slot"]
+    assert Counter(key(whole)) == Counter(key(odd))
     assert sharding.assign(sharding.light(odd.limit(0)), "source", ["doc_id", "text_hash", "size"]).count() == 0
+    assert sharding.sharded(odd.limit(0)).count() == 0
+
+
+def plain_interleaving(rows, seed, order):
+    """Ranks of rows (source, ...) by the fraction of their shuffled place in their source."""
+    out = []
+    for source in {r["source"] for r in rows}:
+        own = sorted((r for r in rows if r["source"] == source), key=order)
+        out += [((2 * k + 1) / (2 * len(own)), source, k, r) for k, r in enumerate(own)]
+    return out
+
+
+def test_interleaving_order_against_a_plain_sort(spark):
+    rows = spark.range(500).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 7) END AS source", "xxhash64(17, id) AS seeded", "xxhash64(17, CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 7) END) AS tie")
+    placed = plain_interleaving(rows.collect(), 17, lambda r: (r["seeded"], r["doc_id"]))
+    want = [r["doc_id"] for _, _, _, r in sorted(placed, key=lambda x: (x[0], x[3]["tie"], x[3]["seeded"]))]
+    got = sharding.assign(rows.select("doc_id", "source"), "source", ["doc_id"], shards=7).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))] == want
 
 
 def test_interleaving_is_proportional(spark):
@@ -236,19 +258,70 @@ def test_mixing_targets():
     assert mixing.targets({}) == {} and mixing.targets({"x": 0}) == {"x": 0}
 
 
-@pytest.mark.parametrize("block", [7, 64])
-def test_mixing(spark, odd, block):
+@pytest.mark.parametrize("block, ranges", [(7, 256), (64, 256), (7, 3)])
+def test_mixing(spark, odd, monkeypatch, block, ranges):
+    monkeypatch.setattr(mixing, "RANGES", ranges)
     rows = odd.selectExpr("doc_id", "source", f"size(array_remove(split(coalesce(text, ''), '[ \\t-\\r]+'), '')) + 0L AS size", "xxhash64(text) AS _hash")
     out = mixing.taken(rows, block=block, per_shard=16, order=["doc_id", "_hash"]).collect()
     assert len(out) == odd.count()
-    for s in {r["source"] for r in out}:
+    sizes = {}
+    for d, t, s in ((r["doc_id"], r["text"], r["source"]) for r in odd.collect()):
+        sizes[s] = sizes.get(s, 0) + len(WORD.findall(t or ""))
+    for s in sizes:
         own = [r for r in out if r["source"] == s]
+        assert {(r["source_size"], r["target"]) for r in own} == {(sizes[s], mixing.targets(sizes)[s])}
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1
         assert all(0 <= r["taken"] <= 3 * r["size"] for r in own)
+    again = mixing.taken(rows.repartition(5), block=block, per_shard=16, order=["doc_id", "_hash"]).collect()
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in again) == Counter((r["doc_id"], r["size"], r["taken"]) for r in out)
     mixed = mixing.mixed(odd, block=block)
     assert mixed.columns == odd.columns
     words = sum(len(WORD.findall(t or "")) for _, t in key(mixed))
     assert words == sum(r["taken"] for r in mixing.taken(rows, block=block, order=["doc_id", "_hash"]).collect())
+    assert mixing.mixed(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [256, 2])
+def test_slots_take_every_block_as_often_as_planned(spark, monkeypatch, ranges):
+    monkeypatch.setattr(mixing, "RANGES", ranges)
+    sizes = {"a": 1000, "b": 95, "c": 0, None: 333}
+    sources = mixing.plan(sizes, block=10, seed=29)
+    rows = mixing.slots(spark, sources, block=10, per_shard=16, seed=29).collect()
+    shards = Counter(r["shard"] for r in rows)
+    assert sorted(shards) == list(range(len(shards))) and all(n == 16 for s, n in shards.items() if s < len(shards) - 1)
+    for s in sources:
+        own = Counter((r["block"], r["epoch"]) for r in rows if r["k"] == s["k"])
+        assert len(own) == s["slots"] and set(own.values()) <= {1}  # each block at most once in an epoch
+        last = [min(10, s["size"] - 10 * r["block"]) if r["words"] == 10 else r["words"] for r in rows if r["k"] == s["k"]]
+        assert sum(last) == round(s["target"])
+        if s["slots"]:
+            full = s["slots"] // s["blocks"]
+            assert all((b, e) in own for b in range(s["blocks"]) for e in range(full))
+    # Shards follow the mixture: each holds every source near its share of all slots.
+    total = Counter(r["k"] for r in rows)
+    mean = {k: [sum(r["k"] == k for r in rows if r["shard"] == s) for s in shards] for k in total}
+    assert all(abs(np.mean(v) / 16 - total[k] / len(rows)) < 0.05 for k, v in mean.items())
+
+
+def test_mixed_texts_against_a_plain_cut(spark):
+    """Whole texts come back word for word, and the words of a document are taken as often as ``taken`` says."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(int(rng.integers(1, 40)))), f"s{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed(docs, block=16, per_shard=8).collect()
+    used = Counter(w for r in out for w in r["text"].split())
+    light = docs.selectExpr("doc_id", "source", "size(split(text, ' ')) + 0L AS size", "xxhash64(text) AS _hash")
+    taken = {r["doc_id"]: r["taken"] for r in mixing.taken(light, block=16, per_shard=8, order=["doc_id", "_hash"]).collect()}
+    for i, text, _ in rows:
+        assert sum(used[w] for w in text.split()) == taken[i] and max((used[w] for w in text.split()), default=0) <= 3
+    by_source = Counter()
+    for r in out:
+        assert r["doc_id"] == int(r["text"].split()[0][1:].split("w")[0])
+        by_source[r["source"]] += len(r["text"].split())
+    sizes = Counter()
+    for _, text, s in rows:
+        sizes[s] += len(text.split())
+    assert all(abs(by_source[s] - t) <= 1 for s, t in mixing.targets(dict(sizes)).items())
 
 
 def test_permutation():
