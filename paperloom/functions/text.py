@@ -61,19 +61,39 @@ def remove_punctuation(c: Column) -> Column:
 
 def for_comparison(c: Column, unicode: bool = True) -> Column:
     c = normalize_latex(some(c))
-    c = normalize_unicode(c) if unicode else c
+    c = _ascii_where_needed(c) if unicode else c
     return remove_punctuation(normalize_whitespace(F.lower(c)))
 
 
-def author_name(c: Column, unicode: bool = False) -> Column:
-    c = normalize_whitespace(normalize_unicode(normalize_latex(c)) if unicode else normalize_latex(c))
+def _ascii_where_needed(c: Column) -> Column:
+    """``normalize_unicode``, whose Python sees a text only if it has a character outside ASCII."""
+    foreign = F.octet_length(c) != F.length(c)
+    return F.when(foreign, normalize_unicode(F.when(foreign, c))).otherwise(c)
+
+
+def author_name(c: Column) -> Column:
+    """One name as "first last", of ASCII letters already."""
+    c = normalize_whitespace(normalize_latex(c))
     c = F.regexp_replace(c, r"(?U)^([^,]*),\s*(.*)$", "$2 $1")
     return strip(remove_punctuation(F.lower(strip(c))))
 
 
 def author_list(c: Column) -> Column:
-    """Names of an `A and B` list; transliterate the whole list first if it may hold other letters."""
-    return F.filter(F.transform(F.split(some(c), r"(?iU)\s+and\s+"), lambda x: author_name(x)), lambda x: x != "")
+    """Names of an `A and B` list. The whole list is transliterated at once, which leaves its marks as they are."""
+    return F.filter(F.transform(F.split(_ascii_where_needed(some(c)), r"(?iU)\s+and\s+"), author_name), lambda x: x != "")
+
+
+def author_names(c: Column) -> Column:
+    """The normalized names of an array of names; empty ones go."""
+    joined = _ascii_where_needed(F.array_join(F.coalesce(c, F.array().cast("array<string>")), "\n"))
+    return F.filter(F.transform(F.split(joined, "\n"), author_name), lambda x: x != "")
+
+
+def duplicate_authors(c: Column) -> Column:
+    """The duplicate finder's own reading of a list: parts between `` and ``, white space unified, no part
+    turned around; then each is normalized like a title. Empty parts go before that."""
+    parts = F.filter(F.transform(F.split(_ascii_where_needed(some(c)), " and "), normalize_whitespace), lambda x: x != "")
+    return F.transform(parts, lambda x: for_comparison(x, unicode=False))
 
 
 def tokens(c: Column) -> Column:

@@ -26,18 +26,36 @@ def clean_context(c: Column) -> Column:
     return normalize_whitespace(F.regexp_replace(c, r"[{}]", ""))
 
 
-def contexts(lines: DataFrame) -> DataFrame:
-    """Two sentences from the nine lines before, the line itself, two from the ten after; comments stay in."""
-    order = Window.partitionBy("file_path").orderBy("line_number")
-    join = lambda w: F.array_join(F.collect_list("line").over(w), " ")
-    both = lines.withColumn("_before", clean_context(join(order.rowsBetween(-BEFORE, -1)))).withColumn("_after", clean_context(join(order.rowsBetween(1, AFTER))))
-    parts = lambda c: F.filter(F.split(c, r"(?<=[.!?])\s+"), lambda s: s != "")
-    before = F.when(F.size(parts(F.col("_before"))) > SENTENCES, F.slice(parts(F.col("_before")), -SENTENCES, SENTENCES)).otherwise(parts(F.col("_before")))
-    out = both.withColumn("context_before", F.array_join(before, " ")).withColumn("context_after", F.array_join(F.slice(parts(F.col("_after")), 1, SENTENCES), " "))
+def _sentences(c: Column) -> Column:
+    return F.filter(F.split(clean_context(c), r"(?<=[.!?])\s+"), lambda s: s != "")
+
+
+def _with_contexts(rows: DataFrame) -> DataFrame:
+    """Cleans the windows ``_before`` and ``_after`` and keeps two sentences of each beside the line."""
+    before, after = _sentences(F.col("_before")), _sentences(F.col("_after"))
+    near = F.when(F.size(before) > SENTENCES, F.slice(before, -SENTENCES, SENTENCES)).otherwise(before)
+    out = rows.withColumn("context_before", F.array_join(near, " ")).withColumn("context_after", F.array_join(F.slice(after, 1, SENTENCES), " "))
     full = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (F.col("context_before"), clean_context(some("line")), F.col("context_after"))])
     return out.withColumn("full_context", full).drop("_before", "_after")
 
 
+def _windows(lines: DataFrame) -> DataFrame:
+    order = Window.partitionBy("file_path").orderBy("line_number")
+    join = lambda w: F.array_join(F.collect_list("line").over(w), " ")
+    return lines.withColumn("_before", join(order.rowsBetween(-BEFORE, -1))).withColumn("_after", join(order.rowsBetween(1, AFTER)))
+
+
+def contexts(lines: DataFrame) -> DataFrame:
+    """Two sentences from the nine lines before, the line itself, two from the ten after; comments stay in."""
+    return _with_contexts(_windows(lines))
+
+
+def cited_contexts(lines: DataFrame) -> DataFrame:
+    """The citations of ``extract`` with their contexts. Only lines that cite keep their windows and are cleaned."""
+    cited = extract(_windows(lines))
+    return _with_contexts(cited.withColumnRenamed("raw_line", "line")).withColumnRenamed("line", "raw_line")
+
+
 def usage(entries: DataFrame, citations: DataFrame) -> DataFrame:
     """Entries with is_used, usage_count, line numbers and first line; citations are summed before the join."""
     per_key = citations.groupBy("key").agg(F.count("*").alias("usage_count"), F.sort_array(F.collect_list("line_number")).alias("line_numbers"))
@@ -45,6 +63,13 @@ def usage(entries: DataFrame, citations: DataFrame) -> DataFrame:
     return out.withColumn("usage_count", F.coalesce("usage_count", F.lit(0).cast("long"))).withColumn("is_used", F.col("usage_count") > 0).withColumn("first_usage_line", F.get("line_numbers", F.lit(0)))
 
 
+def by_key(entries: DataFrame, key) -> DataFrame:
+    """The entry of a key; of several the first read."""
+    order = [c for c in ("file_path", "entry_ord") if c in entries.columns]
+    found = entries.filter(F.col("key") == F.lit(key))
+    return (found.orderBy(*order) if order else found).limit(1)
+
+
 def missing(entries: DataFrame, citations: DataFrame) -> DataFrame:
     return citations.select("key").distinct().join(entries.select("key"), "key", "left_anti")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import patterns as P
-from ..functions.text import author_list, author_name, for_comparison, some, strip_doi
+from ..functions.text import author_list, author_names, for_comparison, some, strip_doi
 from ..sources import llm_verdict
 from .verify import compare
 
@@ -51,7 +51,7 @@ def lookups(entries: DataFrame, catalogue: DataFrame, steps: list[str] | None =
     mine = _normal(entries, author_list(some("author")))
     asked = F.array(*[F.struct(F.lit(i).alias("step_ord"), F.lit(STEPS[s][0]).alias("source"), F.lit(p).alias("prefer"), F.lit(k).alias("kind"), _keys()[k].alias("key")) for i, s in wanted for p, k in enumerate(STEPS[s][1])])
     questions = mine.select("entry_id", F.col("_title").alias("b_title"), F.col("_authors").alias("b_authors"), F.col("year").alias("b_year"), F.explode(asked).alias("q")).select("*", "q.*").drop("q").filter("key != ''")
-    theirs = _normal(catalogue, F.transform("authors", lambda a: author_name(a)))
+    theirs = _normal(catalogue, author_names(F.col("authors")))
     answer = F.struct(F.col("_title").alias("f_title"), F.col("_authors").alias("f_authors"), F.col("year").alias("f_year"), "abstract")
     offered = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in _keys().items()])
     known = theirs.select("source", "rank", answer.alias("r"), F.explode(offered).alias("o")).select("source", "rank", "r", "o.*").filter("key != ''")

@@ -3,7 +3,7 @@ derived from their columns (line items cite parts, orders hold labels, documents
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources as S
@@ -12,6 +12,7 @@ from ..operators import citations as C
 from ..operators import lookup, rules, verify
 from ..operators import reports as R
 from ..sources.settings import venues
+from . import manuscripts as M
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -32,59 +33,60 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def bib(spark, d) -> DataFrame:
-    return table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("key"), "p_name", "p_type", "p_brand", "p_size")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_name", "p_type", "p_brand", "p_size")
 
 
 def cites(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("file_path"), F.col("l_linenumber").alias("line_number"))
-
-
-def documents(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(F.format_string("doc%d.tex", "doc_id").alias("file_path"), F.coalesce("text", F.lit("")).alias("content"))
-
-
-def marked_lines(spark, d) -> DataFrame:
-    """One line for each document: a phrase chosen by doc_id in front of the document's first 40 characters, letters kept."""
-    phrases = F.array(*[F.lit(p) for p in PHRASES])
-    rest = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), "[^a-z ]", "")
-    return table(spark, d, "documents").select(F.format_string("doc%d.tex", "doc_id").alias("file_path"), F.lit(1).alias("line_number"), F.concat(F.element_at(phrases, (F.col("doc_id") % len(PHRASES) + 1).cast("int")), F.lit(" qq "), rest).alias("line"))
-
-
-PHRASES = [
-    "There are zz", "% There are zz", "As an AI language model zz", "TODO: zz", "in order to zz", "see github.com/zz now", "% see github.com/zz now",
-    "as et al zz", "as et al. zz", "shown [1] zz", "of (Smith et al., 2010) zz", "our previous work zz", "plain zz", "clearly \\% in order to zz",
-]
-#: Rules that each phrase must raise, by its place above: the SQL knows them without any pattern.
-RAISED = "VALUES (0,'R18'),(2,'R15'),(3,'R16'),(4,'R20'),(5,'R34'),(6,'R33'),(7,'R29'),(9,'R30'),(10,'R31'),(11,'R36'),(13,'R19'),(13,'R20')"
+    """Every line item cites twice its part's number: parts of odd number are never cited, and half of the cited keys are missing."""
+    return table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("key"), F.col("l_orderkey").alias("file_path"), F.col("l_linenumber").alias("line_number"))
 
 
 @query("""SELECT p_partkey AS key, count(l_partkey) AS usage_count, count(l_partkey) > 0 AS is_used, min(l_linenumber)::INT AS first_usage_line
-FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_size > 10 GROUP BY p_partkey""")
+FROM part LEFT JOIN lineitem ON l_partkey * 2 = p_partkey GROUP BY p_partkey""")
 def usage_per_entry(spark, d):
     return C.usage(bib(spark, d), cites(spark, d)).select("key", "usage_count", "is_used", F.col("first_usage_line").cast("int").alias("first_usage_line"))
 
 
-@query("SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+@query("SELECT DISTINCT l_partkey * 2 AS key FROM lineitem WHERE l_partkey * 2 NOT IN (SELECT p_partkey FROM part)")
 def missing_keys(spark, d):
     return C.missing(bib(spark, d), cites(spark, d))
 
 
-@query("SELECT p_partkey AS key, p_name FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey < 5)")
+@query("SELECT p_partkey AS key, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey * 2 FROM lineitem)")
 def unused_entries(spark, d):
-    few = table(spark, d, "lineitem").filter("l_suppkey < 5").select(F.col("l_partkey").alias("key"))
-    return C.unused(bib(spark, d), few).select("key", "p_name")
+    return C.unused(bib(spark, d), cites(spark, d)).select("key", "p_name")
 
 
-@query("SELECT p_partkey AS key, p_name FROM part WHERE p_size > 10 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey < 5)")
+@query("SELECT p_partkey AS key, p_name FROM part WHERE p_partkey IN (SELECT l_partkey * 2 FROM lineitem)")
 def used_entries(spark, d):
-    few = table(spark, d, "lineitem").filter("l_suppkey < 5").select(F.col("l_partkey").alias("key"))
-    return C.used(bib(spark, d), few).select("key", "p_name")
+    return C.used(bib(spark, d), cites(spark, d)).select("key", "p_name")
+
+
+@query("SELECT p_partkey AS key, p_name FROM part WHERE p_partkey = 42")
+def entry_by_key(spark, d):
+    return C.by_key(bib(spark, d), 42).select("key", "p_name")
+
+
+def _published(spark, d) -> DataFrame:
+    """Parts as entries: their kind, journal and arXiv id follow from their size."""
+    n = F.col("p_size")
+    venue = F.when(n % 5 == 0, "CoRR, arXiv Preprint").when(n % 5 == 1, "Journal of Parts").when(n % 5 == 2, "Tech. Report 7").otherwise("")
+    kind = F.when(n % 7 == 0, "techreport").when(n % 7 == 1, "misc").otherwise("article")
+    return bib(spark, d).withColumns({"journal": venue, "booktitle": F.lit(""), "publisher": F.lit(""), "entry_type": kind, "arxiv_id": F.when(n % 11 == 0, "2301.00001").otherwise("")})
+
+
+_PREPRINT = "p_size % 5 IN (0, 2) OR p_size % 7 = 0 OR p_size % 11 = 0"
+
 
+@query(f"SELECT p_partkey AS key, {_PREPRINT} AS is_preprint FROM part")
+def preprint_entries(spark, d):
+    return _published(spark, d).select("key", C.is_preprint().alias("is_preprint"))
 
-@query("""SELECT count(*) AS n_used, count(*) FILTER (p_type LIKE '%A%') AS n_preprints, (count(*) FILTER (p_type LIKE '%A%')) / nullif(count(*), 0)::DOUBLE AS ratio,
-coalesce((count(*) FILTER (p_type LIKE '%A%')) / nullif(count(*), 0)::DOUBLE > 0.5, false) AS warn FROM part WHERE p_size > 10 AND p_partkey IN (SELECT l_partkey FROM lineitem)""")
+
+@query(f"""WITH u AS (SELECT {_PREPRINT} AS x FROM part WHERE p_partkey IN (SELECT l_partkey * 2 FROM lineitem))
+SELECT count(*) AS n_used, count(*) FILTER (x) AS n_preprints, (count(*) FILTER (x)) / nullif(count(*), 0)::DOUBLE AS ratio, coalesce((count(*) FILTER (x)) / nullif(count(*), 0)::DOUBLE > 0.5, false) AS warn FROM u""")
 def preprint_share(spark, d):
-    return C.preprint_ratio(C.used(bib(spark, d), cites(spark, d)).withColumn("is_preprint", F.contains("p_type", F.lit("A"))))
+    return C.preprint_ratio(C.used(_published(spark, d), cites(spark, d)).withColumn("is_preprint", C.is_preprint()))
 
 
 @query("""SELECT l_orderkey AS file_path, l_linenumber::INT AS line_number, 'k' || k AS key, o::INT AS key_ord FROM lineitem, LATERAL (VALUES (l_partkey, 0), (l_suppkey, 1)) AS v(k, o)""")
@@ -94,50 +96,67 @@ def citation_extraction(spark, d):
     return C.extract(lines).select("file_path", "line_number", "key", "key_ord")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS n FROM documents)
-SELECT doc_id, n::INT AS line_number, coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chars_before,
-coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), 0)::BIGINT AS chars_after FROM l""")
-def context_frames(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_path"), F.coalesce("text", F.lit("")).alias("content"))
-    w = Window.partitionBy("file_path").orderBy("line_number")
-    n = F.length("line").cast("long")
-    zero = F.lit(0).cast("long")
-    frames = {"chars_before": F.coalesce(F.sum(n).over(w.rowsBetween(-C.BEFORE, -1)), zero), "chars_after": F.coalesce(F.sum(n).over(w.rowsBetween(1, C.AFTER)), zero)}
-    return S.lines_of(docs).withColumns(frames).select(F.col("file_path").alias("doc_id"), "line_number", "chars_before", "chars_after")
+def _cited_lines(spark, d) -> DataFrame:
+    """All lines of all documents, with a command in front of each and a citation in every fifth."""
+    lines = S.lines_of(table(spark, d, "documents").select(F.format_string("doc%d.tex", "doc_id").alias("file_path"), F.coalesce("text", F.lit("")).alias("content")))
+    cite = F.when(F.col("line_number") % 5 == 2, F.format_string("\\citep[see]{k%d, both} ", F.col("line_number"))).otherwise("")
+    return lines.withColumn("line", F.concat(F.lit("\\emph{A}  b. "), cite, "line"))
+
 
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '\\[a-zA-Z]+\*?(\[[^\]]*\])?', '', 'g'), '[{{}}]', '', 'g'), '\s+', ' ', 'g'))"
 
-@query()
+
+@query(rf"""WITH d AS (SELECT 'doc' || doc_id || '.tex' AS f, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT f, n, '\emph{{A}}  b. ' || CASE WHEN n % 5 = 2 THEN '\citep[see]{{k' || n || ', both}} ' ELSE '' END || x[n] AS line FROM (SELECT f, x, unnest(range(1, len(x) + 1)) AS n FROM d)),
+w AS (SELECT f, n, line, coalesce(string_agg(line, ' ') OVER (PARTITION BY f ORDER BY n ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING), '') AS b, coalesce(string_agg(line, ' ') OVER (PARTITION BY f ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), '') AS a FROM l),
+s AS (SELECT f, n, {_CLEAN.format('line')} AS t, list_filter(string_split(regexp_replace({_CLEAN.format('b')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS b, list_filter(string_split(regexp_replace({_CLEAN.format('a')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS a FROM w WHERE n % 5 = 2),
+c AS (SELECT f, n, t, array_to_string(b[greatest(1, len(b) - 1):], ' ') AS b, array_to_string(a[:2], ' ') AS a FROM s)
+SELECT f AS file_path, n::INT AS line_number, k AS key, b AS context_before, a AS context_after, concat_ws(' ', nullif(b, ''), nullif(t, ''), nullif(a, '')) AS full_context FROM c, LATERAL (VALUES ('k' || n), ('both')) AS v(k)""")
 def citation_contexts(spark, d):
-    return C.contexts(S.lines_of(documents(spark, d))).select("file_path", "line_number", "context_before", "context_after", "full_context")
+    return C.cited_contexts(_cited_lines(spark, d)).select("file_path", "line_number", "key", "context_before", "context_after", "full_context")
+
+
+def all_findings(spark, d) -> DataFrame:
+    return rules.findings(M.manuscripts(spark, d), as_of=2026)
+
+
+@query(M.FINDINGS_SQL)
+def manuscript_findings(spark, d):
+    return all_findings(spark, d)
 
 
-@query(f"""SELECT r AS rule_id, count(*) AS n FROM documents JOIN ({RAISED}) AS v(k, r) ON doc_id % {len(PHRASES)} = k GROUP BY r""")
-def line_rules(spark, d):
-    lines = marked_lines(spark, d)
-    docs = lines.select("file_path", F.col("line").alias("content"))
-    found = rules.findings(docs, lines, ["sentence", "citation_quality", "ai_artifacts", "anonymization", "number"])
-    return found.groupBy("rule_id").agg(F.count("*").alias("n"))
+@query(f"""SELECT 'doc' || doc_id || '.tex' AS file_path, r AS rule_id, l::INT AS line_number, m AS message
+FROM documents JOIN (VALUES {", ".join("(" + ", ".join(map(M.sql_value, r)) + ")" for r in M.WITH_SIGNS)}) AS v(k, r, l, m) ON doc_id % {len(M.PASSAGES)} = k""")
+def percent_notation(spark, d):
+    return rules.findings(M.manuscripts(spark, d), ["number"], intent=True).select("file_path", "rule_id", "line_number", "message")
 
 
-@query(f"""SELECT s AS severity, count(*) AS n FROM documents JOIN ({RAISED}) AS v(k, r) ON doc_id % {len(PHRASES)} = k
-JOIN (VALUES ('R15','error'),('R34','error'),('R16','warning'),('R29','warning'),('R31','warning'),('R33','warning'),('R36','warning'),('R18','info'),('R19','info'),('R20','info'),('R30','info')) AS t(q, s) ON q = r GROUP BY s""")
+@query(f"SELECT severity, count(*) AS n FROM ({M.FINDINGS_SQL}) GROUP BY severity")
 def severity_totals(spark, d):
-    lines = marked_lines(spark, d)
-    return R.severity_counts(rules.findings(lines.select("file_path", F.col("line").alias("content")), lines, ["sentence", "citation_quality", "ai_artifacts", "anonymization"]))
+    return R.severity_counts(all_findings(spark, d))
 
 
-@query(f"""SELECT n AS rule_name, count(*) AS n FROM documents JOIN (VALUES (0,'Weak Sentence Starter'),(4,'Redundant Phrasing'),(7,'should be et al.'),(9,'Numeric citation style detected'),(10,'Appears to be hardcoded citation instead of \\cite'),(13,'Hedging/Vague Language'),(13,'Redundant Phrasing')) AS v(k, n) ON doc_id % {len(PHRASES)} = k AND k <> 7 GROUP BY n""")
-def rule_display_names(spark, d):
-    lines = marked_lines(spark, d)
-    found = rules.findings(lines.select("file_path", F.col("line").alias("content")), lines, ["sentence", "citation_quality"])
-    return R.rule_counts(found.filter("rule_id != 'R29'"))
+@query(f"SELECT checker_name, count(*) AS n FROM ({M.FINDINGS_SQL}) WHERE NOT passed GROUP BY checker_name")
+def checker_totals(spark, d):
+    return R.checker_counts(all_findings(spark, d))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
-SELECT count(*) FILTER (regexp_matches(line, '\\*\\*[^*]+\\*\\*')) AS bold, count(*) FILTER (contains(line, '&')) AS ampersand, count(*) FILTER (contains(line, '%')) AS percent FROM l""")
-def markdown_lines(spark, d):
-    line = F.col("line")
-    return S.lines_of(documents(spark, d)).agg(F.count_if(line.rlike(r"\*\*[^*]+\*\*")).alias("bold"), F.count_if(F.contains(line, F.lit("&"))).alias("ampersand"), F.count_if(F.contains(line, F.lit("%"))).alias("percent"))
+#: Display names of the messages raised; those of messages without a name of their own, less their variable parts.
+_NAMES = r"""('R1', 'Table environment missing caption'), ('R2', 'Table caption should be placed ABOVE the table content'), ('R3', 'Figure environment missing caption'), ('R4', 'Figure caption should be placed BELOW the figure content'),
+('R6', 'Reference to undefined label'), ('R7', 'Unreferenced Appendix'), ('R8', 'Missing Non-breaking Space (~)'), ('R9', 'Mixed Citation Styles'), ('R10', 'Multiple Blank Lines'), ('R11', 'Unescaped Special Character'),
+('R12', 'Equation may need punctuation'), ('R13', 'Mixed equation numbering'), ('R14', 'Mixed Math Notation'), ('R15', 'AI self-reference detected'),
+('R19', 'Hedging/Vague Language'), ('R20', 'Redundant Phrasing'), ('R21', 'Spelling Inconsistency'), ('R22', 'Hyphenation Inconsistency'), ('R23', 'Inconsistent capitalization'),
+('R24', 'Acronym  used without definition'), ('R25', 'Acronym  used before definition'), ('R28', 'Old Citation (10+ years)'), ('R29', 'should be'), ('R30', 'Numeric citation style detected'),
+('R31', 'Appears to be hardcoded citation instead of \cite'), ('R33', 'GitHub profile URL in comment'), ('R34', 'GitHub profile URL may reveal author identity'), ('R35', 'Acknowledgments section found - should be commented out for review'),
+('R36', 'Potentially self-revealing citation pattern'), ('R37', 'Author field may contain real names')"""
+
+
+@query(f"""SELECT coalesce(v.name, CASE WHEN message LIKE 'Unreferenced figure%' THEN 'Unreferenced Figure' WHEN message LIKE 'Unreferenced label%' THEN 'Unreferenced Label' WHEN message LIKE 'Unreferenced appendix%' THEN 'Unreferenced appendix'
+WHEN message LIKE '%bullet point%' THEN 'Markdown Bullet Point' WHEN message LIKE '%Markdown bold%' THEN 'Markdown Bold' WHEN message LIKE '%Markdown header%' THEN 'Possible Markdown header in LaTeX'
+WHEN message LIKE 'Weak start%' THEN 'Weak Sentence Starter' WHEN message LIKE 'TODO comment%' THEN 'TODO comment' WHEN message LIKE 'Placeholder text%' THEN 'Placeholder text' END) AS rule_name, count(*) AS n
+FROM ({M.FINDINGS_SQL}) f LEFT JOIN (VALUES {_NAMES}) AS v(rule, name) ON v.rule = f.rule_id WHERE NOT passed GROUP BY 1""")
+def rule_display_names(spark, d):
+    return R.rule_counts(all_findings(spark, d))
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a ' WHEN 1 THEN 'a \\% b' WHEN 2 THEN 'a \\\\% b' ELSE 'ab' END AS c1, CASE doc_id % 4 WHEN 0 THEN 'a ' WHEN 1 THEN 'a \\% b' WHEN 2 THEN 'a \\\\' ELSE 'ab' END AS c2 FROM documents""")
@@ -147,13 +166,6 @@ def comment_classes(spark, d):
     return table(spark, d, "documents").select("doc_id", T.comment_lookbehind(line).alias("c1"), T.comment_parity(line).alias("c2"))
 
 
-@query("""SELECT event_id, coalesce(last_value(CASE event_type WHEN 'signup' THEN true WHEN 'error' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS inside FROM events""")
-def block_state(spark, d):
-    mark = F.when(F.col("event_type") == "signup", True).when(F.col("event_type") == "error", False)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(False)).alias("inside"))
-
-
 _PAIR = "SELECT p_partkey, lower(p_name) AS a, replace(lower(p_name), 'a', 'e') || CASE WHEN p_size % 3 = 0 THEN ' x' ELSE '' END AS b FROM part"
 
 
@@ -203,78 +215,55 @@ def lookup_cascade(spark, d):
     return best.select("entry_id", "source", "is_match", F.round("confidence", 9).alias("confidence"))
 
 
-def _titles(spark, d):
-    words = F.array_distinct(F.slice(F.filter(F.split(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", " ")), " +"), lambda w: w != ""), 1, 12))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.array_join(words, " ").alias("title"), F.array(F.coalesce("source", F.lit(""))).alias("authors"), F.format_string("k%d", "doc_id").alias("key"))
+def _entries(spark, d):
+    """Parts in families of three: the second repeats the title of the first in capitals, the third adds one
+    word, or three words with the same authors, or three words with others."""
+    n, family, member = F.col("p_partkey"), F.expr("p_partkey div 3"), F.col("p_partkey") % 3
+    words = F.array_join(F.transform(F.array(*(F.lit(x) for x in "abcdefgh")), lambda x: F.concat(x, family.cast("string"))), " ")
+    more = F.when(member < 2, "").when(family % 3 == 0, F.format_string(" z%d", n)).otherwise(F.format_string(" x%d y%d z%d", n, n, n))
+    other = (member == 2) & (family % 3 == 2)
+    author = F.when(other, F.format_string("Cy%d Dow", n)).otherwise("Lee, Ann  and M{\\\"u}ller, J{\\'e}r{\\^o}me")
+    title = T.for_comparison(F.when(member == 1, F.upper(words)).otherwise(F.concat(words, more)))
+    return table(spark, d, "part").select(n.alias("ord"), n.cast("string").alias("key"), title.alias("title"), T.duplicate_authors(author).alias("authors"))
 
 
-@query("""WITH w AS (SELECT doc_id, source, list_distinct(list_slice(list_filter(string_split(lower(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: x <> ''), 1, 12)) AS x FROM documents),
-s AS (SELECT a.doc_id AS i, b.doc_id AS j, len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x)))::DOUBLE AS t, CASE WHEN a.source = b.source OR contains(a.source, b.source) OR contains(b.source, a.source) THEN 1.0 / CASE WHEN a.source = b.source THEN 1 ELSE 2 END ELSE 0.0 END AS au
-FROM w a JOIN w b ON a.doc_id < b.doc_id WHERE len(a.x) > 0 AND len(b.x) > 0)
-SELECT i, j, round(CASE WHEN t >= 0.85 THEN t ELSE 0.7 * t + 0.3 * au END, 9) AS score FROM s WHERE CASE WHEN t >= 0.85 THEN t ELSE 0.7 * t + 0.3 * au END >= 0.8""")
-def duplicate_pairs(spark, d):
-    return verify.similar_pairs(_titles(spark, d)).select("i", "j", F.round("score", 9).alias("score"))
-
-
-@query()
-def duplicate_groups(spark, d):
-    return verify.duplicate_groups(_titles(spark, d))
-
-
-@query("""SELECT (o_orderkey % 100)::VARCHAR AS file_path, 'fig:' || o_custkey AS key FROM orders WHERE o_orderkey % 7 = 0 GROUP BY ALL
-EXCEPT SELECT (l_orderkey % 100)::VARCHAR, 'fig:' || l_suppkey FROM lineitem WHERE l_linenumber = 1""")
-def unreferenced_labels(spark, d):
-    found = _label_findings(spark, d).filter("rule_id = 'R5'")
-    return found.select("file_path", F.regexp_extract("message", "'(.*)'", 1).alias("key"))
-
-
-def _label_findings(spark, d):
-    labels = table(spark, d, "orders").filter("o_orderkey % 7 = 0").select((F.col("o_orderkey") % 100).cast("string").alias("file_path"), F.col("o_orderkey").cast("int").alias("line_number"), F.concat(F.lit("\\label{fig:"), "o_custkey", F.lit("}")).alias("line"))
-    refs = table(spark, d, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") % 100).cast("string").alias("file_path"), F.col("l_orderkey").cast("int").alias("line_number"), F.concat(F.lit("see \\ref{fig:"), "l_suppkey", F.lit("}")).alias("line"))
-    lines = labels.unionByName(refs)
-    docs = lines.select("file_path").distinct().withColumn("content", F.lit(""))
-    return rules.reference(docs, lines)
-
-
-@query("""SELECT (l_orderkey % 100)::VARCHAR AS file_path, 'fig:' || l_suppkey AS key FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL
-EXCEPT SELECT (o_orderkey % 100)::VARCHAR, 'fig:' || o_custkey FROM orders WHERE o_orderkey % 7 = 0""")
-def undefined_references(spark, d):
-    found = _label_findings(spark, d).filter("rule_id = 'R6'")
-    return found.select("file_path", F.regexp_extract("message", "'(.*)'", 1).alias("key"))
-
-
-def _doubled_cites(spark, d) -> DataFrame:
-    """Every line item cites twice its part's number, so parts of odd number are never cited."""
-    return table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("key"))
+_FAMILY = """p AS (SELECT p_partkey AS n, p_partkey // 3 AS f, p_partkey % 3 AS m FROM part),
+g AS (SELECT a.f, a.n AS i, b.n AS j, CASE WHEN b.m < 2 THEN 1.0 WHEN a.f % 3 = 0 THEN 8 / 9.0::DOUBLE ELSE 8 / 11.0::DOUBLE END AS t, CASE WHEN b.m = 2 AND a.f % 3 = 2 THEN 0.0 ELSE 1.0 END AS au FROM p a JOIN p b ON a.f = b.f AND a.n < b.n),
+s AS (SELECT f, i, j, t, CASE WHEN t >= 0.85 THEN t ELSE 0.7 * t + 0.3 * au END AS score FROM g),
+k AS (SELECT * FROM s WHERE score >= 0.8)"""
 
 
-@query("SELECT p_partkey AS key, p_name FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey * 2 FROM lineitem)")
-def all_unused_entries(spark, d):
-    return C.unused(bib(spark, d), _doubled_cites(spark, d)).select("key", "p_name")
+@query(f"WITH {_FAMILY} SELECT i, j, round(score::DOUBLE, 9) AS score FROM k")
+def duplicate_pairs(spark, d):
+    return verify.similar_pairs(_entries(spark, d)).select("i", "j", F.round("score", 9).alias("score"))
 
 
-@query("SELECT p_partkey AS key, p_name FROM part WHERE p_size > 10 AND p_partkey IN (SELECT l_partkey * 2 FROM lineitem)")
-def all_used_entries(spark, d):
-    return C.used(bib(spark, d), _doubled_cites(spark, d)).select("key", "p_name")
+@query(f"""WITH {_FAMILY} SELECT min(i) AS anchor, list_sort(list_distinct(list_concat(list(i), list(j)))) AS members, round(avg(score)::DOUBLE, 9) AS score,
+CASE WHEN avg(t) >= 0.95 THEN 'Nearly identical titles' WHEN avg(t) >= 0.85 THEN 'Very similar titles' ELSE 'Similar titles and authors' END AS reason FROM k GROUP BY f""")
+def duplicate_groups(spark, d):
+    return verify.duplicate_groups(_entries(spark, d)).select("anchor", "members", F.round("score", 9).alias("score"), "reason")
 
 
-def _all_label_findings(spark, d):
-    """As _label_findings, with every order as a label and every line item as a reference."""
+def _label_lines(spark, d):
+    """Every order as a label and every line item as a reference."""
     file, line = (lambda k: (F.col(k) % 100).cast("string").alias("file_path")), (lambda k: F.col(k).cast("int").alias("line_number"))
     labels = table(spark, d, "orders").select(file("o_orderkey"), line("o_orderkey"), F.concat(F.lit("\\label{fig:"), "o_custkey", F.lit("}")).alias("line"))
     refs = table(spark, d, "lineitem").select(file("l_orderkey"), line("l_orderkey"), F.concat(F.lit("see \\ref{fig:"), "l_suppkey", F.lit("}")).alias("line"))
-    lines = labels.unionByName(refs)
-    return rules.reference(lines.select("file_path").distinct().withColumn("content", F.lit("")), lines)
+    return labels.unionByName(refs)
 
 
-@query("""SELECT (o_orderkey % 100)::VARCHAR AS file_path, 'fig:' || o_custkey AS key FROM orders EXCEPT SELECT (l_orderkey % 100)::VARCHAR, 'fig:' || l_suppkey FROM lineitem""")
-def all_unreferenced_labels(spark, d):
-    return _all_label_findings(spark, d).filter("rule_id = 'R5'").select("file_path", F.regexp_extract("message", "'(.*)'", 1).alias("key"))
+_LABELS = "SELECT (o_orderkey % 100)::VARCHAR AS file_path, 'fig:' || o_custkey AS key, max(o_orderkey)::INT AS line_number FROM orders GROUP BY 1, 2"
+_REFS = "SELECT (l_orderkey % 100)::VARCHAR AS file_path, 'fig:' || l_suppkey AS key, min(l_orderkey)::INT AS line_number FROM lineitem GROUP BY 1, 2"
 
 
-@query("""SELECT (l_orderkey % 100)::VARCHAR AS file_path, 'fig:' || l_suppkey AS key FROM lineitem EXCEPT SELECT (o_orderkey % 100)::VARCHAR, 'fig:' || o_custkey FROM orders""")
-def all_undefined_references(spark, d):
-    return _all_label_findings(spark, d).filter("rule_id = 'R6'").select("file_path", F.regexp_extract("message", "'(.*)'", 1).alias("key"))
+@query(f"SELECT a.* FROM ({_LABELS}) a ANTI JOIN ({_REFS}) b USING (file_path, key)")
+def unreferenced_labels(spark, d):
+    return rules.file_findings(_label_lines(spark, d), ["reference"]).filter("rule_id = 'R5'").select("file_path", F.regexp_extract("message", "'(.*)'", 1).alias("key"), "line_number")
+
+
+@query(f"SELECT a.* FROM ({_REFS}) a ANTI JOIN ({_LABELS}) b USING (file_path, key)")
+def undefined_references(spark, d):
+    return rules.file_findings(_label_lines(spark, d), ["reference"]).filter("rule_id = 'R6'").select("file_path", F.regexp_extract("message", "'(.*)'", 1).alias("key"), "line_number")
 
 
 @query("""SELECT l_orderkey::VARCHAR AS file_path, CASE WHEN l_linenumber BETWEEN 2 AND 4 THEN 2 ELSE l_linenumber END::INT AS group_line, count(*) AS n FROM lineitem GROUP BY ALL""")
@@ -284,27 +273,14 @@ def findings_by_block(spark, d):
     return R.grouped_findings(found, blocks).select("file_path", "group_line", F.size("issues").cast("long").alias("n"))
 
 
-@query("""WITH w AS (SELECT doc_id, term, list_distinct(regexp_extract_all(coalesce(text, ''), '(?i)\\b' || term || '\\b')) AS f FROM documents, (VALUES ('attention'), ('bert'), ('encoder'), ('transformer')) AS v(term)) SELECT count(*) AS n FROM w WHERE len(f) > 1""")
+@query("""WITH w AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(regexp_replace(coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN ' Softmax' ELSE '' END || ' softmax', '%[^\\n]*', '', 'g'), '(?i)\\b' || term || '\\b'))) AS f
+FROM documents, (VALUES ('transformer'), ('attention'), ('bert'), ('gpt'), ('lstm'), ('cnn'), ('rnn'), ('encoder'), ('decoder'), ('embedding'), ('softmax'), ('sigmoid'), ('relu')) AS v(term))
+SELECT 'doc' || doc_id || '.tex' AS file_path, 'Inconsistent capitalization: ' || array_to_string(list_transform(f, lambda x: chr(39) || x || chr(39)), ', ') AS message FROM w WHERE len(f) > 1""")
 def capitalization_forms(spark, d):
-    docs = documents(spark, d)
-    found = rules.consistency(docs, S.lines_of(docs)).filter("rule_id = 'R23' AND lower(message) RLIKE \"'(attention|bert|encoder|transformer)'\"")
-    return found.agg(F.count("*").alias("n"))
-
-
-@query()
-def manuscript_findings(spark, d):
-    docs = documents(spark, d)
-    return rules.findings(docs, S.lines_of(docs))
-
-
-@query("SELECT event_id, props IS NOT NULL AS has_props, json_extract_string(props, '$.k') AS k FROM events")
-def json_properties(spark, d):
-    return table(spark, d, "events").select("event_id", F.col("props").isNotNull().alias("has_props"), F.get_json_object("props", "$.k").alias("k"))
-
-
-@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages")
-def page_titles(spark, d):
-    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).alias("title"))
+    """All terms in whole texts, a third of which write one of them in two ways."""
+    tail = F.concat(F.when(F.col("doc_id") % 3 == 0, " Softmax").otherwise(""), F.lit(" softmax"))
+    docs = table(spark, d, "documents").select(F.format_string("doc%d.tex", "doc_id").alias("file_path"), F.concat(F.coalesce("text", F.lit("")), tail).alias("content"))
+    return rules.document_findings(docs, ["consistency"]).filter("rule_id = 'R23'").select("file_path", "message")
 
 
 @query("SELECT p_partkey, p_name AS title, ['Ann ' || p_brand, 'Lee'] AS authors, CASE WHEN p_size % 2 = 0 THEN (1990 + p_size % 30)::VARCHAR ELSE '2001' END AS year, '10.1/' || p_partkey AS doi FROM part")

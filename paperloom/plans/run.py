@@ -10,7 +10,7 @@ from urllib.parse import unquote, urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import author_list, for_comparison, some
+from ..functions.text import duplicate_authors, for_comparison, some
 from ..operators import citations as C
 from ..operators import lookup, reports, rules, verify
 from ..sources import bib_entries, lines_of, read_texts
@@ -49,7 +49,7 @@ def audit(spark: SparkSession, settings: Settings, catalogue: DataFrame | None =
     # Entries are numbered by place, without a global order: the hash of (file, place) names them.
     entries = bib_entries(bib).withColumn("entry_id", F.xxhash64("file_path", "entry_ord"))
     cited = C.extract(lines)
-    out = Audit(tex, bib, entries, cited, rules.findings(tex, lines, settings.checkers))
+    out = Audit(tex, bib, entries, cited, rules.findings(tex, settings.checkers))
     if settings.check_usage:
         out.usage, out.missing = C.usage(entries, cited), C.missing(entries, cited)
     if settings.check_preprint_ratio:
@@ -61,8 +61,7 @@ def audit(spark: SparkSession, settings: Settings, catalogue: DataFrame | None =
         if settings.check_metadata:
             out.verified = verify.cascade(entries, found)
         if settings.check_relevance and scorer is not None:
-            context = C.contexts(lines).select("file_path", "line_number", "full_context")
-            places = cited.select("file_path", "line_number", "key").join(context, ["file_path", "line_number"])
+            places = C.cited_contexts(lines).select("file_path", "line_number", "key", "full_context")
             asked = places.join(entries.select("key", "entry_id"), "key")
             out.relevance = lookup.relevance(asked, lookup.abstracts(entries, found), scorer)
     return out
@@ -73,7 +72,7 @@ def duplicates(entries: DataFrame) -> DataFrame:
     # Row numbers of range-dealt, sorted rows rise in input order; they are stored before use, as another run may deal anew.
     verify.ensure_checkpoint_dir(entries.sparkSession)
     dealt = entries.repartitionByRange("file_path", "entry_ord").sortWithinPartitions("file_path", "entry_ord")
-    rows = dealt.select(F.monotonically_increasing_id().alias("ord"), "key", for_comparison(F.col("title")).alias("title"), author_list(some("author")).alias("authors")).checkpoint()
+    rows = dealt.select(F.monotonically_increasing_id().alias("ord"), "key", for_comparison(F.col("title")).alias("title"), duplicate_authors(some("author")).alias("authors")).checkpoint()
     groups = verify.duplicate_groups(rows)
     members = groups.select("anchor", "score", "reason", F.explode("members").alias("ord")).join(rows.select("ord", "key"), "ord")
     keyed = members.groupBy("anchor", "score", "reason").agg(F.sort_array(F.collect_list(F.struct("ord", "key"))).alias("m"))

@@ -26,6 +26,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("file_path", F.posexplode(F.split("content", "\n", -1)).alias("at", "line")).select("file_path", (F.col("at") + 1).alias("line_number"), "line")
 
 
+def closing_brace(text: str, at: int) -> int:
+    """Where the brace that is open at ``at`` closes; without one, the last character."""
+    depth = 1
+    for m in re.compile("[{}]").finditer(text, at):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            return m.start()
+    return max(at, len(text) - 1)
+
+
 def entry_ranges(text: str) -> list[tuple[int, int, str, str | None]]:
     """(start, end, type, key) of each @ block: braces nest, a backslash skips a character, quotes toggle."""
     out, at = [], 0

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import citations, rules
 from ..sources import lines_of
 
-#: Checkers that judge one line at a time; the others need aggregates or windows over a file.
-BY_LINE = ["sentence"]
-
 
 def watch(spark: SparkSession, folder: str, glob: str = "*.tex", files_per_trigger: int = 1000) -> DataFrame:
     """A stream of (file_path, content), each file once."""
@@ -18,9 +15,9 @@ def watch(spark: SparkSession, folder: str, glob: str = "*.tex", files_per_trigg
     return raw.select(F.col("_metadata.file_path").alias("file_path"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))
 
 
-def line_findings(docs: DataFrame) -> DataFrame:
+def line_findings(docs: DataFrame, enabled: list[str] | None = None) -> DataFrame:
     """Findings of the line rules, stateless: works on streams and tables."""
-    return rules.findings(docs, lines_of(docs), BY_LINE)
+    return rules.line_findings(docs, enabled)
 
 
 def citation_stream(docs: DataFrame) -> DataFrame:
@@ -36,6 +33,6 @@ def into_table(docs: DataFrame, path: str, checkpoint: str, enabled: list[str] |
     """All rules on each micro-batch of files, appended to a Parquet table; one folder a batch, so a repeated batch leaves no copies."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        rules.findings(rows, lines_of(rows), enabled).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rules.findings(rows, enabled).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -21,7 +21,7 @@ def docs(spark, *texts):
 
 def found(spark, names, *texts, **options):
     d = docs(spark, *texts)
-    return sorted((r.file_path, r.rule_id, r.line_number) for r in rules.findings(d, S.lines_of(d), names, **options).collect())
+    return sorted((r.file_path, r.rule_id, r.line_number) for r in rules.findings(d, names, as_of=2026, **options).collect())
 
 
 def test_similarity(spark):
@@ -125,6 +125,8 @@ RULES = [
     (["consistency"], "re-use and reuse, BERT and Bert, color and colour", {"R21", "R22", "R23"}),
     (["acronym"], "We use Foo Bar Baz here.\nThen FBB works", {"R24"}),
     (["acronym"], "FBB wins.\nFoo Bar Baz (FBB)", {"R25"}),
+    (["acronym"], "We use Foo Bar Baz here.\nThen $a FBB$, \\ref{FBB}, [FBB], a/FBB, \\FBB, (FBB).", set()),
+    (["acronym"], "Graph Pool Unit work.\nThe GPU works", set()),
     (["number"], "50 % x and 50\\% and 50 percent", set()),
     (["citation_quality"], "Smith (1990)\net al (\nas shown [1]\n(Smith et al., 2010)", {"R28", "R29", "R30", "R31"}),
     (["anonymization"], "camera-ready", {"R32"}),
@@ -134,7 +136,41 @@ RULES = [
 
 @pytest.mark.parametrize("names,text,want", RULES)
 def test_rules(spark, names, text, want):
-    assert {r for _, r, _ in found(spark, names, text, consistency={"variants": {"color": ["colour"]}})} == want
+    assert {r for _, r, _ in found(spark, names, text)} == want
+
+
+def test_every_finding_of_every_passage(spark):
+    from paperloom.plans import manuscripts as M
+
+    got = rules.findings(docs(spark, *(p for p, _ in M.PASSAGES)), as_of=2026).collect()
+    want = [(f"d{k}", *f) for k, (_, found) in enumerate(M.PASSAGES) for f in found]
+    key = lambda rows: sorted(map(repr, rows))
+    assert key((r.file_path, r.checker_name, r.rule_id, r.severity, r.line_number, r.message, r.line_content, r.suggestion) for r in got) == key(want)
+    assert {r.rule_id for r in got if r.passed} == {"R32"}
+    assert {f"R{i}" for i in range(1, 38)} - {r.rule_id for r in got} == {"R26", "R27"}
+    with pytest.raises(ValueError):
+        rules.findings(docs(spark, "x"), ["nothing"])
+
+
+@pytest.mark.parametrize("text", ["a\n\\begin{verbatim}\nb\n\\end{verbatim}\nc", "\\begin{minted}\nx\n\\begin{raw} \\end{raw}\ny\n\\end{minted}\n\\end{raw}\nz", "\\begin{comment}\na\nb", "", "a\n\nb\n"])
+def test_verbatim_blocks_against_a_plain_scan(spark, text):
+    names, inside, want = "verbatim|lstlisting|minted|comment|raw|filecontents|tcolorbox", False, []
+    for n, line in enumerate(text.split("\n"), 1):
+        if re.search(rf"\\begin\{{({names})\*?\}}", line):
+            inside = True
+        elif re.search(rf"\\end\{{({names})\*?\}}", line):
+            inside = False
+        elif not inside:
+            want.append(n)
+    rows = rules.marked_lines(docs(spark, text)).collect()
+    assert [r.line_number for r in rows if not r.quoted] == want and [r.line for r in rows] == text.split("\n")
+
+
+def test_accents_and_duplicate_authors(spark):
+    assert scalar(spark, T.author_list, "M{\\\"u}ller, J{\\'e}r{\\^o}me and Øster, Å.") == ["jerome muller", "a oster"]
+    assert scalar(spark, lambda c: T.author_names(F.array(c, F.lit(""))), "Jérôme Müller") == ["jerome muller"]
+    assert scalar(spark, T.duplicate_authors, "Lee,  Ann and  and Größe, Bo") == ["lee ann", "grosse bo"]
+    assert scalar(spark, T.duplicate_authors, "") == []
 
 
 def test_comment_classes(spark):

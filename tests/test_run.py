@@ -53,6 +53,9 @@ def test_lookup_and_relevance(spark):
     assert set(got) == {(1, 0), (1, 5), (2, 1), (2, 3)} and got[2, 3]["is_match"] and got[2, 3]["f_year"] == "2021" and not got[2, 1]["is_match"]
     best = {r["entry_id"]: (r["source"], r["is_match"]) for r in verify.cascade(entries, found).collect()}
     assert best == {1: ("arxiv", True), 2: ("dblp", True), 3: ("unable", False), 4: ("unable", False)}
+    accents = spark.createDataFrame([(9, "Un modèle", "M{\\\"u}ller, J{\\'e}r{\\^o}me", "2020", "", "", "")], entries.schema)
+    same = spark.createDataFrame([("dblp", 1, "Un modele", ["Jérôme Müller"], "2020", None, None, None)], SCHEMA)
+    assert [(r["is_match"], r["author_similarity"]) for r in lookup.lookups(accents, same).collect()] == [(True, 1.0)]
     known = lookup.abstracts(entries, found)
     assert {r["entry_id"]: r["abstract"] for r in known.collect()} == {1: "We study models.", 2: "Attention.", 3: "own"}
     contexts = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "entry_id long, full_context string")
@@ -89,4 +92,5 @@ def test_streams(spark, project):
     q.awaitTermination(120)
     assert spark.read.parquet(str(project / "found")).filter(F.col("rule_id") == "R3").count() == 1
     table = spark.createDataFrame([("a.tex", TEX)], "file_path string, content string")
-    assert {r["rule_id"] for r in streaming.line_findings(table).collect()} == {"R18", "R20"}
+    assert {r["rule_id"] for r in streaming.line_findings(table, ["sentence"]).collect()} == {"R18", "R20"}
+    assert {r["rule_id"] for r in streaming.line_findings(table).collect()} == {"R8", "R18", "R20"}
