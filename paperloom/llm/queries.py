@@ -1,7 +1,5 @@
 """The training-data queries and their SQL, added to the entry module where this package exists."""
 
-import corpus_pipeline
-
 from . import chat, decontaminate, mixing, quality, scoring, secrets, sharding, simhash, sstable, substrings
 
 QUERIES = {
@@ -15,7 +13,6 @@ QUERIES = {
     "op8_interleaved_shards": sharding.op8_interleaved_shards,
     "op9_mix": mixing.op9_mix,
     "op10_secrets": secrets.op10_secrets,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
