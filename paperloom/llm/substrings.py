@@ -2,23 +2,31 @@
 
 A window of ``window`` words goes if its word sequence also starts in a document with a smaller id.
 
-1. Anchors. The least hash among the ``GRAM``-word grams of a window is its anchor; equal windows have
-   equal anchors. A count over (anchor, document) finds the anchors of two documents or more; all
-   other windows are unique and their suffixes are left out. The shared anchors go into a filter of
-   bounded size (FILTER_BITS; with more anchors the next two steps run once for each part of them),
-   whose false alarms cost work and change nothing.
-2. Suffixes. The rest is written as one row for each suffix: the hash of its first PREFIX words, that
-   of the following words of its window, document and place.
-3. Groups. Suffixes are counted by hashed prefix; a group that holds more than GROUP_ROWS takes
-   the whole window as its longer prefix. Each task sorts its groups' suffixes into the subtree below
-   those prefixes; its internal nodes of ``window`` words depth, whose leaves lie in several
-   documents, are the repeats. Their leaves in all but the document with the least id are reported.
-   A node that alone exceeds a group is never gathered: its least document is aggregated and joined.
-4. The places meet their documents again, whose covered words are removed.
-
-Windows are compared by two 64-bit hashes. Defined results: null text has no words; rows without a
-doc_id are neither source nor target; repeated rows (and rows of equal id) do not affect one another;
-texts below the window keep all words; an empty table gives no rows.
+1. Copies. Equal texts are one text, whose id is their least; all windows of the others go at once.
+2. Anchors. The least hash among the ``GRAM``-word grams of a window is its anchor; equal windows have
+   equal anchors. A count over (anchor, text) finds the anchors of two texts or more; all other windows
+   are unique and their suffixes are left out. The shared anchors go into a filter of bounded size
+   (FILTER_BITS; with more anchors the next steps run once for each part of them), whose false alarms
+   cost work and change nothing.
+3. Suffixes. The rest is written as one row for each suffix: its path labels, hashes of its first words
+   at DEPTHS and at the window, the word before it, text and place. Shipping the words themselves would
+   take ``window`` words a suffix, many times the input.
+4. Groups. Suffixes are dealt by a prefix of variable length: the shortest of DEPTHS at which no more
+   than GROUP_ROWS suffixes share it, else the window. Each task reads its groups one after another,
+   sorted by path labels, so neighbours in a group are neighbours in its subtree. Internal nodes of the
+   window's depth whose leaves lie in several texts are the repeats; their leaves in all but the text
+   with the least id are reported. A node that alone exceeds a group is never gathered: its least id
+   and its number of leaves are aggregated and joined.
+5. The places meet their documents again, whose covered words are removed.
+
+Repeats. ``repeats`` follows the nodes of a text from one start to the next: as long as the next node has
+the same occurrences, one word to the right, the repeat is a word longer. Each such row of nodes is one
+repeat with its length and places; no word can be added to it without changing where its windows occur.
+A passage of which a part occurs in more places is given as several of them.
+
+Path labels are 64-bit hashes, two for a window. Defined results: null text has no words; rows without
+a doc_id are neither source nor target; repeated rows (and rows of equal id) do not affect one another;
+texts below the window keep all words; very long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,15 +35,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, text_chunks, tune
+from .common import partitions, runs, sized, stored, text_chunks, tune, whole_groups
 
 WINDOW = 50
 GRAM = 16
-PREFIX = 8
-GROUP_ROWS = 1_000_000
+#: Prefix lengths by which suffixes may be dealt; those below the window are used.
+DEPTHS = (8, 16, 32)
+GROUP_ROWS = 250_000
 FILTER_BITS = 1 << 28
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -103,26 +112,40 @@ class Chunk:
 
 
 def _chunks(batch: pa.RecordBatch):
-    ids, tags = batch.column("doc_id"), batch.column("tag").to_numpy()
+    ids, tags, texts_of = batch.column("doc_id"), batch.column("tag").to_numpy(), batch.column("copy").to_numpy()
     for first, texts in text_chunks(batch):
         part = slice(first, first + len(texts))
         null = np.array(ids[part].is_null())
-        yield Chunk(texts), ids[part].fill_null(0).to_numpy(), null, tags[part]
+        yield Chunk(texts), ids[part].fill_null(0).to_numpy(), null, tags[part], texts_of[part]
+
+
+def _light(docs: DataFrame) -> DataFrame:
+    """doc_id and text, ``copy`` (equal for equal texts) and ``tag`` (31 bits of it, which tell rows of one id apart)."""
+    copy = F.xxhash64("text")
+    return docs.select("doc_id", "text", copy.alias("copy"), F.shiftrightunsigned(copy, 33).alias("tag"))
+
+
+def _copies(light: DataFrame) -> DataFrame:
+    """(doc_id, tag) of texts that a smaller id has as well."""
+    rows = light.select("doc_id", "tag", "copy").filter("doc_id IS NOT NULL AND copy IS NOT NULL")
+    least = rows.groupBy(F.col("copy").alias("_copy")).agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).filter("_least < _most")
+    least = stored(least.drop("_most"), "copies")
+    return rows.join(sized(least), F.col("copy") == F.col("_copy")).filter("doc_id > _least").select("doc_id", "tag")
 
 
 def _shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def anchors(batches):
         for b in batches:
-            for chunk, ids, null, _ in _chunks(b):
+            for chunk, _, null, _, copies in _chunks(b):
                 _, doc, least = chunk.windows(window, gram)
                 new = np.ones(len(least), bool)
                 new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
                 new &= ~null[doc]
                 doc, least = doc[new], least[new]
-                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(ids[doc])], names=["anchor", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(copies[doc])], names=["anchor", "copy"])
 
-    rows = docs.mapInArrow(anchors, "anchor long, doc_id long")
-    return rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
+    rows = docs.mapInArrow(anchors, "anchor long, copy long")
+    return rows.groupBy("anchor").agg(F.min("copy").alias("a"), F.max("copy").alias("b")).filter("a < b").select("anchor")
 
 
 def _filter(anchors: DataFrame, bits: int) -> bytes:
@@ -144,7 +167,16 @@ def _filter(anchors: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
+def _parts(window: int) -> list[tuple[int, int]]:
+    """The word ranges whose hashes are a suffix's path labels, from depth to depth."""
+    depths = [0, *(d for d in DEPTHS if d < window), window]
+    return list(zip(depths, depths[1:], strict=False))
+
+
 def _suffixes(docs: DataFrame, anchors: bytes, bits: int, parts: int, part: int, window: int, gram: int) -> DataFrame:
+    ranges = _parts(window)
+    names = [*(f"p{i}" for i in range(len(ranges))), "doc_id", "place"]
+
     def rows(batches):
         table = np.frombuffer(anchors, np.uint8)
 
@@ -152,7 +184,7 @@ def _suffixes(docs: DataFrame, anchors: bytes, bits: int, parts: int, part: int,
             return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
 
         for b in batches:
-            for chunk, ids, null, tags in _chunks(b):
+            for chunk, ids, null, tags, _ in _chunks(b):
                 start, doc, least = chunk.windows(window, gram)
                 a = least.view(np.int64)
                 keep = (has(a & (bits - 1)) & has((least >> np.uint64(32)).astype(np.int64) & (bits - 1))).astype(bool) & ~null[doc]
@@ -160,72 +192,120 @@ def _suffixes(docs: DataFrame, anchors: bytes, bits: int, parts: int, part: int,
                     keep &= (least % np.uint64(parts)).astype(np.int64) == part
                 start, doc = start[keep], doc[keep]
                 place = start - (chunk.ends - chunk.lens)[doc] + (tags[doc].astype(np.int64) << 32)
-                prefix, rest = chunk.grams(PREFIX)[start].view(np.int64), chunk.grams(window - PREFIX, PREFIX)[start].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (prefix, rest, ids[doc], place)], names=["prefix", "rest", "doc_id", "place"])
-
-    return docs.mapInArrow(rows, "prefix long, rest long, doc_id long, place long")
-
-
-def _repeats(suffixes: DataFrame, group_rows: int) -> DataFrame:
-    """(doc_id, place) of every suffix whose window starts in a document with a smaller id."""
-    spark = suffixes.sparkSession
-    total = suffixes.count()
-    buckets = max(16, 16 * total // group_rows)
-    bucket = F.pmod(F.xxhash64("prefix"), F.lit(buckets))
-    rows = suffixes.withColumn("bucket", bucket)
-    large = rows.groupBy("bucket").count().filter(F.col("count") > group_rows).select("bucket")
-    if large.limit(1).count() == 0:
-        grouped, big = suffixes.repartition(partitions(spark), bucket), None
-    else:
-        large = stored(large, "large").withColumn("_large", F.lit(True))
-        rows = rows.join(large, "bucket", "left")
-        nodes = rows.filter("_large").groupBy("prefix", "rest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter(F.col("n") > group_rows)
-        nodes = stored(nodes.drop("n"), "large")
-        big = rows.join(nodes, ["prefix", "rest"]).filter("doc_id > least").select("doc_id", "place")
-        rows = rows.join(nodes, ["prefix", "rest"], "left_anti")
-        grouped = rows.withColumn("bucket", F.when(F.col("_large"), F.xxhash64("prefix", "rest")).otherwise(F.col("bucket"))).drop("_large")
-        grouped = grouped.repartition(partitions(spark), "bucket")
+                labels = [chunk.grams(hi - lo, lo)[start].view(np.int64) for lo, hi in ranges]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*labels, ids[doc], place)], names=names)
+
+    return docs.mapInArrow(rows, ", ".join(f"{n} long" for n in names))
+
+
+def _grouped(suffixes: DataFrame, labels: list[str], group_rows: int) -> DataFrame:
+    """``suffixes`` with ``g``: the group of the shortest prefix that fits, up to the whole window.
+
+    Prefixes are counted in buckets of their hashes, so the counts are few; those of a bucket that is
+    too large are told apart by the next label. Groups of whole windows may still be too large.
+    """
+    buckets = max(16, 16 * suffixes.count() // group_rows)
+    rows = suffixes.withColumn("g", F.pmod(F.xxhash64(labels[0]), F.lit(buckets)))
+    for i in range(1, len(labels)):
+        large = stored(rows.groupBy("g").count().filter(F.col("count") > group_rows).select(F.col("g").alias("_g")), "large")
+        if large.limit(1).count() == 0:
+            break
+        longer = F.pmod(F.xxhash64(*labels[: i + 1]), F.lit(buckets)) + i * buckets
+        rows = rows.join(sized(large), F.col("g") == F.col("_g"), "left").withColumn("g", F.when(F.col("_g").isNull(), F.col("g")).otherwise(longer)).drop("_g")
+    return rows
+
+
+def _nodes(suffixes: DataFrame, window: int, group_rows: int, least_only: bool) -> DataFrame:
+    """(doc_id, place, least, n, node) of the leaves of the window's nodes, ``least`` being the smallest id of a node
+    and ``n`` its leaves. With ``least_only`` those of greater ids, else those of nodes with several texts."""
+    labels = [f"p{i}" for i in range(len(_parts(window)))]
+    rows = _grouped(suffixes, labels, group_rows)
+    # Nodes of more leaves than a group may have are aggregated, not gathered.
+    tag = F.shiftright("place", 32)
+    sums = [F.min("doc_id").alias("least"), F.count("*").alias("n"), (F.min(tag) != F.max(tag)).alias("several")]
+    large = rows.groupBy("g").count().filter(F.col("count") > group_rows).select(F.col("g").alias("_g"))
+    large = stored(large, "large")
+    schema = "doc_id long, place long, least long, n long, node long"
+    out = None
+    if large.limit(1).count():
+        whole = rows.join(sized(large), F.col("g") == F.col("_g"), "left_semi").groupBy(*labels).agg(*sums).filter(F.col("n") > group_rows)
+        whole = stored(whole, "nodes")
+        side = sized(whole.select(*(F.col(c).alias(f"_{c}") for c in labels), "least", "n", "several"))
+        same = [F.col(c) == F.col(f"_{c}") for c in labels]
+        out = rows.join(side, same).filter("doc_id > least" if least_only else "several")
+        out = out.select("doc_id", "place", "least", "n", F.xxhash64(*labels).alias("node"))
+        rows = rows.join(side, same, "left_anti")
 
     def subtrees(batches):
-        parts = [[b.column(c).to_numpy() for c in ("prefix", "rest", "doc_id", "place")] for b in batches if b.num_rows]
-        if not parts:
-            return
-        prefix, rest, doc, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-        del parts
-        order = np.lexsort((doc, rest, prefix))
-        prefix, rest, doc, place = prefix[order], rest[order], doc[order], place[order]
-        # Leaves of one deep node lie side by side; the first has the least document.
-        new = np.ones(len(prefix), bool)
-        new[1:] = (prefix[1:] != prefix[:-1]) | (rest[1:] != rest[:-1])
-        least = doc[np.nonzero(new)[0]][np.cumsum(new) - 1]
-        out = doc > least
-        yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(place[out])], names=["doc_id", "place"])
-
-    found = grouped.mapInArrow(subtrees, "doc_id long, place long")
-    return found if big is None else found.unionByName(big)
-
-
-def repeated(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group_rows: int = GROUP_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, tag, starts): the repeated windows of each document that has some."""
-    tune(docs.sparkSession)
-    docs = docs.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("text"), 33).alias("tag"))
-    anchors = stored(_shared_anchors(docs, window, gram), "anchors")
+        for group in whole_groups(batches, ["g"]):
+            doc, place = group["doc_id"], group["place"]
+            start, end = runs(group["g"], *(group[c] for c in labels))
+            size = end - start
+            least, n = np.repeat(doc[start], size), np.repeat(size, size)
+            if least_only:
+                keep = doc > least
+            else:
+                tag = place >> 32
+                keep = np.repeat(np.minimum.reduceat(tag, start) != np.maximum.reduceat(tag, start), size)
+            node = np.repeat(group["node"][start], size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[keep])) for x in (doc, place, least, n, node)], names=["doc_id", "place", "least", "n", "node"])
+
+    dealt = rows.withColumn("node", F.xxhash64(*labels)).repartition(partitions(suffixes.sparkSession), "g").sortWithinPartitions("g", *labels, "doc_id", "place")
+    found = dealt.select("g", *labels, "doc_id", "place", "node").mapInArrow(subtrees, schema)
+    return found if out is None else found.unionByName(out)
+
+
+def _leaves(light: DataFrame, *, window: int, gram: int, group_rows: int, filter_bits: int, least_only: bool) -> DataFrame:
+    anchors = stored(_shared_anchors(light, window, gram), "anchors")
     count = anchors.count()
     bits = min(filter_bits, max(1 << 15, 1 << (32 * count).bit_length()))
     parts = max(1, -(-32 * count // (2 * filter_bits)))
     found = None
     for part in range(parts):
         own = anchors if parts == 1 else anchors.filter(F.expr(f"pmod(pmod(anchor, {parts}) + if(anchor < 0, {2**64 % parts}, 0), {parts}) = {part}"))
-        suffixes = stored(_suffixes(docs, _filter(own, bits), bits, parts, part, window, gram), "suffixes")
-        some = _repeats(suffixes, group_rows)
+        suffixes = stored(_suffixes(light, _filter(own, bits), bits, parts, part, window, gram), "suffixes")
+        some = _nodes(suffixes, window, group_rows, least_only)
         found = some if found is None else found.unionByName(some)
-    starts = F.collect_list((F.col("place") % (1 << 32)).cast("int"))
-    return found.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(starts.alias("starts"))
+    return found
+
+
+def _of_place(found: DataFrame) -> list:
+    return [F.col("doc_id"), F.shiftright("place", 32).alias("tag"), (F.col("place") % (1 << 32)).cast("int").alias("start")]
+
+
+def repeated(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group_rows: int = GROUP_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(doc_id, tag, starts): the repeated windows of each document that has some; -1 stands for all of them."""
+    tune(docs.sparkSession)
+    light = _light(docs)
+    found = _leaves(light, window=window, gram=gram, group_rows=group_rows, filter_bits=filter_bits, least_only=True)
+    copies = _copies(light).withColumn("start", F.lit(-1))
+    return found.select(*_of_place(found)).unionByName(copies).groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"))
+
+
+def repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group_rows: int = GROUP_ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(repeat, length, n_places, doc_id, tag, start): each repeat between distinct texts once for each of its places.
+
+    ``repeat`` names it, ``length`` is its words. Equal texts have equal places.
+    """
+    tune(docs.sparkSession)
+    leaves = _leaves(_light(docs), window=window, gram=gram, group_rows=group_rows, filter_bits=filter_bits, least_only=False)
+    leaves = stored(leaves.select(*_of_place(leaves), "node", "n"), "leaves")
+    order = Window.partitionBy("doc_id", "tag").orderBy("start")
+    before = lambda c: F.when(F.lag("start").over(order) == F.col("start") - 1, F.lag(c).over(order))
+    steps = leaves.withColumns({"from": before("node"), "from_n": before("n")})
+    # A step keeps all occurrences if it is taken as often as both of its nodes occur.
+    kept = steps.filter(F.col("from_n") == F.col("n")).groupBy("from", "node").agg(F.count("*").alias("taken"), F.max("n").alias("n")).filter("taken = n")
+    kept = kept.select(F.col("from").alias("_from"), F.col("node").alias("_node"))
+    rows = steps.join(kept, (F.col("from") == F.col("_from")) & (F.col("node") == F.col("_node")), "left").withColumn("new", F.col("_node").isNull().cast("long"))
+    rows = rows.withColumn("run", F.sum("new").over(order))
+    first = F.struct("start", "node", "n")
+    whole = rows.groupBy("doc_id", "tag", "run").agg(F.min(first).alias("f"), (F.count("*") + window - 1).alias("length"))
+    return whole.select(F.col("f.node").alias("repeat"), "length", F.col("f.n").alias("n_places"), "doc_id", "tag", F.col("f.start").alias("start"))
 
 
 def removed(docs: DataFrame, *, window: int = WINDOW, **options) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words of each document."""
-    rows = docs.select("doc_id", "text").withColumn("tag", F.shiftrightunsigned(F.xxhash64("text"), 33))
+    rows = _light(docs).drop("copy")
     spans = repeated(docs, window=window, **options).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "starts")
     joined = rows.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "text", "starts")
 
@@ -240,9 +320,12 @@ def removed(docs: DataFrame, *, window: int = WINDOW, **options) -> DataFrame:
                     if at is None:
                         gone.append(0)
                     else:
+                        at = at.to_numpy()
+                        if (at < 0).any():
+                            at = np.arange(max(0, len(w) - window + 1))
                         cover = np.zeros(len(w) + 1, np.int64)
-                        np.add.at(cover, at.to_numpy(), 1)
-                        np.add.at(cover, at.to_numpy() + window, -1)
+                        np.add.at(cover, at, 1)
+                        np.add.at(cover, at + window, -1)
                         stay = np.cumsum(cover[:-1]) == 0
                         gone.append(int(len(w) - stay.sum()))
                         w = [x for x, s in zip(w, stay.tolist(), strict=True) if s]

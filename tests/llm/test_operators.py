@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from paperloom.llm import decontaminate, mixing, quality, sharding, simhash, sstable, substrings
+from paperloom.llm import decontaminate, mixing, quality, sharding, simhash, sstable
 from paperloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -192,24 +192,6 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100)}
 
 
-@pytest.mark.parametrize("options", [{}, {"group_rows": 8}, {"filter_bits": 1 << 9}])
-def test_substrings(spark, odd, options):
-    window = 20
-    first = {}
-    for d, t in key(odd):
-        w = WORD.findall(t or "")
-        for i in range(len(w) - window + 1) if d is not None else ():
-            g = tuple(w[i : i + window])
-            first[g] = min(first.get(g, d), d)
-    want = []
-    for d, t in key(odd):
-        w = WORD.findall(t or "")
-        gone = {i + k for i in range(len(w) - window + 1) if d is not None and first[tuple(w[i : i + window])] < d for k in range(window)}
-        want.append((str(d), len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    got = substrings.removed(odd, window=window, gram=8, **options).collect()
-    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got) == sorted(want)
-
-
 def test_sharding(spark, odd):
     out = sharding.assign(sharding.light(odd), "source", ["doc_id", "text_hash", "size"], shards=5).collect()
     want = Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in key(odd))
