@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import patterns as P
-from ..functions.text import author_list, author_names, for_comparison, some, strip_doi
+from ..functions.text import author_list, author_names, for_comparison, some, strip_doi, tokens
 from ..sources import llm_verdict
-from .verify import compare
+from .verify import arxiv_title_choice, compare
 
 # The source that each step asks and by what, the preferred key first.
 STEPS = {
@@ -37,13 +37,40 @@ def _normal(df: DataFrame, authors: Column) -> DataFrame:
     return df.withColumns({"_title": for_comparison(F.col("title")), "_authors": authors})
 
 
+#: A title search looks catalogue titles up by so many of the rarest words of the title asked for; arXiv's returns
+#: HITS results, of which the most similar above LEAST_SIMILAR counts, the others' first result counts.
+RARE_WORDS, HITS, LEAST_SIMILAR = 3, 3, 0.5
+
+
+def title_hits(asked: DataFrame, theirs: DataFrame, hits: int = HITS) -> DataFrame:
+    """The best ``hits`` catalogue titles for each question (entry_id, step_ord, source, b_title), by shared words.
+
+    ``theirs``: source, id, rank, _title. Titles are candidates if they hold one of the RARE_WORDS words
+    of the question that are rarest in its source; they are ordered by Jaccard similarity, then rank.
+    """
+    asked = asked.select("entry_id", "step_ord", "source", tokens(F.col("b_title")).alias("own"))
+    theirs = theirs.select("source", "id", "rank", tokens(F.col("_title")).alias("words"))
+    posted = theirs.select("source", "id", F.explode("words").alias("word"))
+    often = posted.groupBy("source", "word").agg(F.count("*").alias("often"))
+    words = asked.select("entry_id", "step_ord", "source", F.explode("own").alias("word")).join(often, ["source", "word"])
+    rarest = Window.partitionBy("entry_id", "step_ord").orderBy("often", "word")
+    rare = words.withColumn("k", F.row_number().over(rarest)).filter(F.col("k") <= RARE_WORDS).select("entry_id", "step_ord", "source", "word")
+    pairs = rare.join(posted, ["source", "word"]).select("entry_id", "step_ord", "id").distinct()
+    full = pairs.join(asked.select("entry_id", "step_ord", "own"), ["entry_id", "step_ord"]).join(theirs.select("id", "rank", "words"), "id")
+    common = F.size(F.array_intersect("own", "words"))
+    full = full.select("entry_id", "step_ord", "id", "rank", (common / (F.size("own") + F.size("words") - common)).alias("similarity"))
+    best = Window.partitionBy("entry_id", "step_ord").orderBy(F.desc("similarity"), "rank", "id")
+    return full.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= hits).select("entry_id", "step_ord", "id", "place", "rank", "similarity")
+
+
 def lookups(entries: DataFrame, catalogue: DataFrame, steps: list[str] | None = None) -> DataFrame:
     """The compared result of each step that finds something, for ``verify.cascade``.
 
     ``entries``: entry_id, title, author (joined by "and"), year, doi, arxiv_id. ``catalogue``: source,
-    rank (order of its hits), title, authors (array), year, doi, arxiv_id, abstract. All steps share one
-    equi-join on (source, key); a key of the catalogue is reduced to its first hit before, so frequent
-    keys do not multiply. Titles meet when equal after normalization. Unknown steps are ignored.
+    rank (order of its hits), title, authors (array), year, doi, arxiv_id, abstract. Identifiers meet in
+    one equi-join on (source, kind, key), where a key of the catalogue is reduced to its first record
+    before; titles are searched by ``title_hits``. A step that may ask by both takes what the identifier
+    finds. Unknown steps are ignored.
     """
     wanted = [(i, s) for i, s in enumerate(steps or P.WORKFLOW) if s in STEPS]
     if not wanted:
@@ -53,10 +80,22 @@ def lookups(entries: DataFrame, catalogue: DataFrame, steps: list[str] | None =
     questions = mine.select("entry_id", F.col("_title").alias("b_title"), F.col("_authors").alias("b_authors"), F.col("year").alias("b_year"), F.explode(asked).alias("q")).select("*", "q.*").drop("q").filter("key != ''")
     theirs = _normal(catalogue, author_names(F.col("authors")))
     answer = F.struct(F.col("_title").alias("f_title"), F.col("_authors").alias("f_authors"), F.col("year").alias("f_year"), "abstract")
-    offered = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in _keys().items()])
-    known = theirs.select("source", "rank", answer.alias("r"), F.explode(offered).alias("o")).select("source", "rank", "r", "o.*").filter("key != ''")
+    theirs = theirs.select("source", "rank", "_title", answer.alias("r"), F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in _keys().items() if k != "title"]).alias("o"))
+    # The authors of a scholar record without any are one empty name, which is not an empty list.
+    nobody = (F.col("source") == "scholar") & (F.size("r.f_authors") == 0)
+    theirs = theirs.withColumn("r", F.when(nobody, F.col("r").withField("f_authors", F.array(F.lit("")))).otherwise(F.col("r")))
+    theirs = theirs.withColumn("id", F.xxhash64("source", "rank", F.to_json("r"), F.to_json("o")))
+    known = theirs.select("source", "rank", "r", F.explode("o").alias("o")).select("source", "rank", "r", "o.*").filter("key != ''")
     first = known.groupBy("source", "kind", "key").agg(F.min_by("r", F.struct("rank", F.to_json("r"))).alias("r"))
-    hits = questions.join(first, ["source", "kind", "key"])
+    by_key = questions.join(first, ["source", "kind", "key"])
+    by_title = questions.filter("kind = 'title'").drop("kind", "key")
+    found = title_hits(by_title, theirs.filter("_title != ''").dropDuplicates(["id"]))
+    arxiv = arxiv_title_choice(found.join(by_title.filter("source = 'arxiv'").select("entry_id", "step_ord"), ["entry_id", "step_ord"]), ["entry_id", "step_ord"], LEAST_SIMILAR)
+    others = found.filter("place = 1").join(by_title.filter("source != 'arxiv'").select("entry_id", "step_ord"), ["entry_id", "step_ord"])
+    chosen = arxiv.select("entry_id", "step_ord", "id").unionByName(others.select("entry_id", "step_ord", "id"))
+    searched = by_title.join(chosen, ["entry_id", "step_ord"]).join(theirs.select("id", "r").dropDuplicates(["id"]), "id")
+    columns = ["entry_id", "step_ord", "source", "prefer", "b_title", "b_authors", "b_year", "r"]
+    hits = by_key.select(*columns).unionByName(searched.select(*columns))
     best = hits.groupBy("entry_id", "step_ord", "source").agg(F.min_by(F.struct("b_title", "b_authors", "b_year", "r"), F.col("prefer")).alias("h"))
     return compare(best.select("entry_id", "step_ord", "source", "h.b_title", "h.b_authors", "h.b_year", "h.r.*"))
 
@@ -68,6 +107,11 @@ def abstracts(entries: DataFrame, compared: DataFrame) -> DataFrame:
     return entries.select("entry_id", own.alias("own")).join(has, "entry_id", "left").select("entry_id", F.coalesce("own", "found").alias("abstract")).filter("abstract IS NOT NULL")
 
 
+def prompt(context: str, abstract: str) -> str:
+    """What a language model is asked about a citing context; its answer is read by ``sources.llm_verdict``."""
+    return P.RELEVANCE_PROMPT.format(context=context, abstract=abstract)
+
+
 def relevance(contexts: DataFrame, known: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[str]]) -> DataFrame:
     """Score each citing context (entry_id, full_context, others) against its entry's abstract.
 

@@ -87,6 +87,21 @@ def clean_bib(text: str, used: set[str]) -> str:
     return "".join(out) + text[at:]
 
 
+def only_used(files: DataFrame, entries: DataFrame, citations: DataFrame) -> DataFrame:
+    """(file_path, content) of bibliographies without the entries that nothing cites."""
+    import pyarrow as pa
+
+    kept = entries.join(citations.select("key").distinct(), "key", "left_semi").groupBy("file_path").agg(F.collect_set("key").alias("keys"))
+    rows = files.select("file_path", "content").join(kept, "file_path", "left")
+
+    def run(batches):
+        for b in batches:
+            texts = [clean_bib(t or "", set(k or ())) for t, k in zip(b.column("content").to_pylist(), b.column("keys").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("file_path"), pa.array(texts, pa.string())], names=["file_path", "content"])
+
+    return rows.mapInArrow(run, "file_path string, content string")
+
+
 def render_findings(findings: DataFrame, title: str, made: str) -> str:
     """A Markdown report of one run's findings; rows are read one partition at a time, in file and line order."""
     counts = {r["severity"]: r["n"] for r in severity_counts(findings).collect()}

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import author_similarity, jaccard, percent, some, title_similarity
+from ..functions.text import author_similarity, jaccard, percent, some, title_similarity, tokens
 
 
 def compare(pairs: DataFrame, *, bib: str = "b_", found: str = "f_") -> DataFrame:
@@ -50,10 +48,11 @@ def cascade(entries: DataFrame, compared: DataFrame, entry: str = "entry_id") ->
     )
 
 
-def arxiv_title_choice(hits: DataFrame, entry: str = "entry_id", least: float = 0.5) -> DataFrame:
-    """Of each entry's title search hits that with the highest title similarity, the first on ties, above ``least``."""
-    best = hits.groupBy(entry).agg(F.max_by(F.struct(*[c for c in hits.columns if c != entry]), F.struct("similarity", -F.col("rank"))).alias("r"))
-    return best.select(entry, "r.*").filter(F.col("similarity") > least)
+def arxiv_title_choice(hits: DataFrame, of: list[str], least: float = 0.5) -> DataFrame:
+    """Of each title search's hits (one for each value of ``of``) that with the highest similarity, the first on ties, above ``least``."""
+    rest = F.struct(*[c for c in hits.columns if c not in of])
+    best = hits.groupBy(*of).agg(F.max_by(rest, F.struct("similarity", -F.col("place"))).alias("r"))
+    return best.select(*of, "r.*").filter(F.col("similarity") > least)
 
 
 # Duplicates -----------------------------------------------------------------------------------------
@@ -75,7 +74,8 @@ def similar_pairs(entries: DataFrame) -> DataFrame:
     ``entries``: ord, title (normalized), authors (normalized list). Unless the first list repeats an
     author, a pair needs title similarity 5/7 at least; then the two titles share a word among the
     rarest |x| - ceil(|x| * 5/7) + 1 of each. Words are ranked by frequency and only those prefixes
-    meet. Entries that repeat an author, whose score has no such bound, are compared with all rows.
+    meet, where what is left of both titles after the word can still reach the bound. Entries that repeat
+    an author, whose score has no such bound, also meet all entries with an author like one of theirs.
     """
     share = (P.DUPLICATE_PAIR - 0.3) / 0.7 - 1e-9
     words = F.array_distinct(F.filter(F.split("title", r"(?U)\s+"), lambda w: w != ""))
@@ -83,12 +83,13 @@ def similar_pairs(entries: DataFrame) -> DataFrame:
     frequency = e.select(F.explode("words").alias("w")).groupBy("w").count()
     placed = e.select("ord", F.size("words").alias("n"), F.explode("words").alias("w")).join(frequency, "w")
     order = Window.partitionBy("ord").orderBy("count", "w")
-    prefix = placed.withColumn("p", F.row_number().over(order)).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(share)) + 1).select("ord", "w", "n")
-    a, b = prefix.select(F.col("ord").alias("i"), "w", F.col("n").alias("ni")), prefix.select(F.col("ord").alias("j"), "w", F.col("n").alias("nj"))
+    prefix = placed.withColumn("p", F.row_number().over(order)).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(share)) + 1).select("ord", "w", "n", "p")
+    a, b = (prefix.select(F.col("ord").alias(k), "w", F.col("n").alias("n" + k), F.col("p").alias("p" + k)) for k in "ij")
     close = (F.col("i") < F.col("j")) & (F.col("ni") >= F.col("nj") * share) & (F.col("nj") >= F.col("ni") * share)
+    # Words shared from here on, at most, against those that the similarity needs.
+    close &= 1 + F.least(F.col("ni") - F.col("pi"), F.col("nj") - F.col("pj")) >= share / (1 + share) * (F.col("ni") + F.col("nj")) - F.least("pi", "pj") + 1
     candidates = a.join(b, "w").filter(close).select("i", "j").distinct()
-    odd = e.filter("repeats").select(F.col("ord").alias("i")).join(e.select(F.col("ord").alias("j")), F.col("i") < F.col("j"))
-    candidates = candidates.unionByName(odd).distinct()
+    candidates = candidates.unionByName(_by_author(e)).distinct()
     x, y = (e.select(*[F.col(c).alias(p + c) for c in ("ord", "title", "authors")]) for p in ("x_", "y_"))
     pairs = candidates.join(x, F.col("i") == F.col("x_ord")).join(y, F.col("j") == F.col("y_ord"))
     t, au = jaccard(F.col("x_title"), F.col("y_title")), duplicate_author_similarity(F.col("x_authors"), F.col("y_authors"))
@@ -96,6 +97,29 @@ def similar_pairs(entries: DataFrame) -> DataFrame:
     return pairs.filter(F.col("score") >= P.DUPLICATE_PAIR).select("i", "j", "score", "title_score")
 
 
+def _by_author(entries: DataFrame) -> DataFrame:
+    """(i, j), i < j, where the authors of i repeat and one of them is like one of j's.
+
+    Like names are equal, or one holds the other, or they share words. If one holds another, its parts of
+    three letters (or the other's length, if less) hold the other's first; so names meet on parts and words.
+    """
+    names = entries.select("ord", "repeats", F.explode(F.array_distinct("authors")).alias("name"))
+    size = F.length("name")
+    cut = lambda k: F.when(size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.concat(F.lit(f"{k}:"), F.substring("name", i, F.lit(k)))))
+    words = F.transform(tokens(F.col("name")), lambda w: F.concat(F.lit("w:"), w))
+    parts = F.flatten(F.array_compact(F.array(F.array(F.lit("0:")), cut(1), cut(2), cut(3), words)))
+    first = F.concat(F.least(F.lit(3), size).cast("string"), F.lit(":"), F.substring("name", 1, 3))
+    distinct = names.groupBy("name").agg(F.bool_or("repeats").alias("odd"))
+    whole = distinct.select("name", "odd", F.explode(F.array_distinct(parts)).alias("part"))
+    begin = distinct.select("name", "odd", F.explode(F.array_distinct(F.concat(F.array(first), words))).alias("part"))
+    x, y = (lambda t: t.select(F.col("name").alias("x"), F.col("odd").alias("xo"), "part")), (lambda t: t.select(F.col("name").alias("y"), F.col("odd").alias("yo"), "part"))
+    met = x(whole).filter("xo").join(y(begin), "part").select("x", "y").unionByName(x(begin).filter("xo").join(y(whole), "part").select("x", "y")).distinct()
+    like = met.filter(_authors_match(F.col("x"), F.col("y")))
+    mine = names.filter("repeats").select(F.col("ord").alias("i"), F.col("name").alias("x"))
+    theirs = names.select(F.col("ord").alias("j"), F.col("name").alias("y"))
+    return mine.join(like, "x").join(theirs, "y").filter("i < j").select("i", "j").distinct()
+
+
 def _roots(edges: DataFrame) -> DataFrame:
     """(node, root) by spreading least labels, each round cut by a reliable checkpoint."""
     both = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().checkpoint()
@@ -111,11 +135,17 @@ def _roots(edges: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """The cluster's shared folder; a temporary one where none is set."""
-    if not spark.sparkContext.getCheckpointDir():
+    """The cluster's shared folder; a temporary one where none is set and the master is local."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+        shared = "file://" + tempfile.mkdtemp()
+    spark.sparkContext.setCheckpointDir(shared)
 
 
 def duplicate_groups(entries: DataFrame) -> DataFrame:
@@ -163,8 +193,3 @@ def duplicate_groups(entries: DataFrame) -> DataFrame:
     means = full.groupBy("anchor").agg(F.avg("s").alias("score"), F.avg("t").alias("t"))
     reason = F.when(F.col("t") >= 0.95, "Nearly identical titles").when(F.col("t") >= 0.85, "Very similar titles").otherwise("Similar titles and authors")
     return groups.join(means, "anchor").select("anchor", "members", "score", reason.alias("reason")).orderBy(F.desc("score"), "anchor")
-
-
-def prefix_bound(n: int) -> int:
-    """Words of an n-word title that must be looked up."""
-    return n - math.ceil(n * ((P.DUPLICATE_PAIR - 0.3) / 0.7 - 1e-9)) + 1

@@ -335,18 +335,107 @@ def _reported(spark, d):
     )
 
 
-@query("""WITH known AS (SELECT p_partkey, p_name FROM part)
-SELECT p_partkey AS entry_id, CASE WHEN p_size % 2 = 0 AND p_partkey % 3 = 0 THEN 'crossref' WHEN p_name IN (SELECT p_name FROM known WHERE p_partkey % 5 = 0) THEN 'dblp'
-WHEN p_name IN (SELECT p_name FROM known WHERE p_partkey % 3 = 0) THEN 'crossref' ELSE 'unable' END AS source FROM part""")
+@query("""SELECT p_partkey AS entry_id, CASE WHEN p_partkey % 7 = 0 THEN 'arxiv' WHEN p_size % 2 = 0 AND p_partkey % 3 = 0 THEN 'crossref' WHEN p_partkey % 5 = 0 THEN 'dblp' WHEN p_partkey % 3 = 0 THEN 'crossref' ELSE 'no match' END AS source FROM part""")
 def catalogue_lookup(spark, d):
-    """Parts are entries, some with a DOI; one catalogue knows every third part, another every fifth by another spelling."""
+    """Parts are entries, some with an arXiv id or a DOI; one catalogue knows every third part, others every
+    fifth by another spelling, and every seventh by its id."""
     p, key = table(spark, d, "part"), F.col("p_partkey")
-    doi = F.concat(F.lit("10.1/"), key)
-    entries = p.select(key.alias("entry_id"), F.col("p_name").alias("title"), F.lit("Lee, Ann and Chen, Bo").alias("author"), F.lit("2020").alias("year"), F.when(F.col("p_size") % 2 == 0, doi).otherwise("").alias("doi"), F.lit("").alias("arxiv_id"))
-    hit = [key.cast("int").alias("rank"), F.array(F.lit("Ann Lee"), F.lit("Bo Chen")).alias("authors"), F.lit("2020").alias("year"), F.lit("").alias("arxiv_id"), F.lit("").alias("abstract")]
-    crossref = p.filter("p_partkey % 3 = 0").select(F.lit("crossref").alias("source"), F.col("p_name").alias("title"), F.concat(F.lit("https://doi.org/"), doi).alias("doi"), *hit)
-    dblp = p.filter("p_partkey % 5 = 0").select(F.lit("dblp").alias("source"), F.concat(F.lit("{"), F.upper("p_name"), F.lit("}.")).alias("title"), F.lit("").alias("doi"), *hit)
-    return verify.cascade(entries, lookup.lookups(entries, crossref.unionByName(dblp))).select("entry_id", "source")
+    doi, arxiv = F.concat(F.lit("10.1/"), key), F.concat(F.lit("2301."), F.lpad(key.cast("string"), 5, "0"))
+    title = F.concat("p_name", F.lit(" "), F.md5(key.cast("string")))
+    entries = p.select(key.alias("entry_id"), title.alias("title"), F.lit("Lee, Ann and M{\\\"u}ller, Bo").alias("author"), F.lit("2020").alias("year"), F.when(F.col("p_size") % 2 == 0, doi).otherwise("").alias("doi"), F.when(key % 7 == 0, arxiv).otherwise("").alias("arxiv_id"))
+    hit = [key.cast("int").alias("rank"), F.array(F.lit("Ann Lee"), F.lit("Bo Müller")).alias("authors"), F.lit("2020").alias("year"), F.lit("").alias("abstract")]
+    none = F.lit("")
+    crossref = p.filter("p_partkey % 3 = 0").select(F.lit("crossref").alias("source"), title.alias("title"), F.concat(F.lit("https://doi.org/"), doi).alias("doi"), none.alias("arxiv_id"), *hit)
+    dblp = p.filter("p_partkey % 5 = 0").select(F.lit("dblp").alias("source"), F.concat(F.lit("{"), F.upper(title), F.lit("}.")).alias("title"), none.alias("doi"), none.alias("arxiv_id"), *hit)
+    by_id = p.filter("p_partkey % 7 = 0").select(F.lit("arxiv").alias("source"), title.alias("title"), none.alias("doi"), F.concat(arxiv, F.lit("v2")).alias("arxiv_id"), *hit)
+    best = verify.cascade(entries, lookup.lookups(entries, crossref.unionByName(dblp).unionByName(by_id)))
+    return best.select("entry_id", F.when(F.col("is_match"), F.col("source")).otherwise("no match").alias("source"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS n, 'a' || p_partkey || ' b' || p_partkey || ' c' || p_partkey || ' d' || p_partkey || ' e' || p_partkey AS t FROM part)
+SELECT n AS entry_id, step, source, CASE step WHEN 6 THEN replace(t, 'c', 'x') ELSE replace(replace(t, 'c', 'x'), 'd', 'y') END AS f_title,
+round(greatest(CASE step WHEN 6 THEN 4 / 6.0 ELSE 3 / 7.0 END, 1 - (CASE step WHEN 6 THEN 1 ELSE 2 END) / length(t)::DOUBLE)::DOUBLE, 9) AS title_similarity
+FROM p, (VALUES (6, 'crossref', 2), (3, 'dblp', 3)) AS v(step, source, k) WHERE n % k = 0
+UNION ALL SELECT n, 5, 'arxiv', replace(t, 'c', 'x'), round(greatest(4 / 6.0, 1 - 1 / length(t)::DOUBLE)::DOUBLE, 9) FROM p WHERE n % 5 = 0""")
+def title_search(spark, d):
+    """Titles of five words; catalogues know some of them with other words, and titles that share fewer words."""
+    n = F.col("p_partkey")
+    said = lambda *words: F.concat_ws(" ", *(F.concat(F.lit(w), n) for w in words))
+    p = table(spark, d, "part")
+    empty = {c: F.lit("") for c in ("doi", "arxiv_id")}
+    entries = p.select(n.alias("entry_id"), said(*"abcde").alias("title"), F.lit("A B").alias("author"), F.lit("2020").alias("year")).withColumns(empty)
+    record = lambda source, k, rank, words: p.filter(n % k == 0).select(F.lit(source).alias("source"), F.lit(rank).alias("rank"), said(*words).alias("title"), F.array(F.lit("A B")).alias("authors"), F.lit("2020").alias("year"), F.lit("").alias("abstract")).withColumns(empty)
+    catalogue = record("crossref", 2, 2, "abxde")
+    # Near titles, decoys of a lower rank, and arXiv records that share too little.
+    for source, k, rank, words in [("crossref", 2, 1, "abuvw"), ("dblp", 3, 1, "abxye"), ("arxiv", 5, 3, "abxde"), ("arxiv", 5, 1, "abuvw"), ("arxiv", 7, 1, "auvwz")]:
+        far = record(source, k, rank, words)
+        catalogue = catalogue.unionByName(far.filter("NOT (source = 'arxiv' AND rank = 1 AND title LIKE 'a%z%' AND cast(substr(split(title, ' ')[0], 2) AS int) % 5 = 0)"))
+    found = lookup.lookups(entries, catalogue)
+    return found.select("entry_id", F.col("step_ord").alias("step"), "source", "f_title", F.round("title_similarity", 9).alias("title_similarity"))
+
+
+@query("""SELECT p_partkey, s AS source, CASE s WHEN 'dblp' THEN p_name ELSE p_name || '.' END AS title, CASE s WHEN 'dblp' THEN ['Ann Lee'] ELSE ['Ann Lee', 'Bo ' || p_brand] END AS authors, (1990 + p_size % 30)::VARCHAR AS year,
+CASE s WHEN 'arxiv' THEN 'about ' || p_name WHEN 'openalex' THEN 'we see we ' || p_size WHEN 'semantic_scholar' THEN 'short' ELSE '' END AS abstract FROM part, (VALUES ('arxiv'), ('semantic_scholar'), ('dblp'), ('openalex')) AS v(s)""")
+def provider_parsing(spark, d):
+    p, year = table(spark, d, "part"), 1990 + F.col("p_size") % 30
+    atom = F.format_string('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2301.00001v1</id><title>%s.</title><published>%d-01-02</published><summary> about\n %s</summary><author><name>Ann Lee</name></author><author><name> Bo %s </name></author></entry></feed>', "p_name", year, "p_name", "p_brand")
+    s2 = F.format_string('{"data": [{"title": "%s.", "authors": [{"name": "Ann Lee"}, {"name": ""}, {"name": "Bo %s"}], "year": %d, "abstract": "short", "citationCount": 3}]}', "p_name", "p_brand", year)
+    dblp = F.format_string('{"result": {"hits": {"hit": [{"info": {"title": "%s.", "year": "%d", "authors": {"author": {"text": "Ann Lee"}}}}]}}}', "p_name", year)
+    alex = F.format_string('{"results": [{"title": "%s.", "publication_year": %d, "doi": "https://doi.org/10.1/x", "authorships": [{"author": {"display_name": "Ann Lee"}}, {"author": {"display_name": "Bo %s"}}], "abstract_inverted_index": {"we": [0, 2], "see": [1], "%d": [3]}}]}', "p_name", year, "p_brand", "p_size")
+    out = None
+    for source, records in (("arxiv", S.atom_entries(atom)), ("semantic_scholar", S.semantic_scholar_papers(s2)), ("dblp", S.dblp_hits(dblp)), ("openalex", S.openalex_works(alex))):
+        r = p.select("p_partkey", F.lit(source).alias("source"), F.get(records, F.lit(0)).alias("r"))
+        abstract = F.lit("") if source == "dblp" else F.col("r.abstract")
+        rows = r.select("p_partkey", "source", "r.title", "r.authors", "r.year", abstract.alias("abstract"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN 0 ELSE p_size % 5 END AS relevance_score, p_size % 3 = 0 AS is_relevant, CASE WHEN p_size % 3 = 2 THEN '' ELSE p_name END AS explanation, p_size % 3 = 2 AS failed FROM part""")
+def scorer_answers(spark, d):
+    n = F.col("p_size") % 3
+    body = F.when(n == 0, F.format_string('Sure: {"relevance_score": "%d", "is_relevant": "Yes", "explanation": "%s"} done', F.col("p_size") % 5, "p_name"))
+    body = body.when(n == 1, F.format_string('{"relevance_score": %d, "is_relevant": false, "explanation": "%s"}', F.col("p_size") % 5, "p_name")).otherwise("I cannot say")
+    v = table(spark, d, "part").select("p_partkey", S.llm_verdict(body).alias("v"))
+    return v.select("p_partkey", "v.relevance_score", "v.is_relevant", "v.explanation", F.col("v.error").isNotNull().alias("failed"))
+
+
+@query(r"""SELECT * FROM (VALUES ('search_title', 'A: title--of (some) things', 'A title of some things'), ('clean_context', 'see \citep[p. 3]{a}  and \emph{b}', 'see a and b'), ('strip_doi', 'https://doi.org/10.1/x', '10.1/x'),
+('comment_parity', 'a \% b % c', 'a \% b '), ('author_name', 'M{\"u}ller, J.', 'j muller'), ('normalize_unicode', 'Größe Øre – ﬁn', 'Grosse Ore - fin'), ('for_comparison', 'The \textbf{Größe}  of {X}: a \emph{b}!', 'the grosse of x a b'),
+('percent', '0.12345', '12.35%'), ('rule_name', 'Hedging language: very', 'Hedging/Vague Language'), ('label_type', 'fig:x', 'figure'), ('arxiv_id', 'see hep-th/9901001v2', 'hep-th/9901001v2')) AS v(f, argument, result)""")
+def scalar_functions(spark, d):
+    cases = {
+        "search_title": ("A: title--of (some) things", T.search_title), "clean_context": ("see \\citep[p. 3]{a}  and \\emph{b}", C.clean_context), "strip_doi": ("https://doi.org/10.1/x", T.strip_doi),
+        "comment_parity": ("a \\% b % c", T.comment_parity), "author_name": ("M{\\\"u}ller, J.", T.author_name), "normalize_unicode": ("Größe Øre – ﬁn", T.normalize_unicode),
+        "for_comparison": ("The \\textbf{Größe}  of {X}: a \\emph{b}!", T.for_comparison), "percent": ("0.12345", lambda c: T.percent(c.cast("double"))), "rule_name": ("Hedging language: very", T.rule_name),
+        "label_type": ("fig:x", T.label_type), "arxiv_id": ("see hep-th/9901001v2", T.arxiv_id),
+    }
+    out = None
+    for name, (argument, f) in cases.items():
+        row = spark.range(1).select(F.lit(name).alias("f"), F.lit(argument).alias("argument")).select("f", "argument", f(F.col("argument")).alias("result"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("""SELECT p_partkey, ['ann ' || p_partkey, 'grosse bo'] AS duplicate_authors, ['ann ' || p_partkey, 'bo grosse'] AS authors FROM part""")
+def author_fields(spark, d):
+    """The same list read for comparison and for duplicates, where no name is turned around."""
+    people = F.format_string("Ann  %d and Größe, Bo", "p_partkey")
+    return table(spark, d, "part").select("p_partkey", T.duplicate_authors(people).alias("duplicate_authors"), T.author_list(people).alias("authors"))
+
+
+@query("""SELECT * FROM (VALUES ('dblp', 0), ('crossref_doi', 1), ('arxiv_id', 2)) AS v(name, place)""")
+def workflow_steps(spark, d):
+    text = '{"name": "own", "steps": [{"name": "arxiv_id", "priority": 5}, {"name": "openalex", "enabled": false, "priority": 0}, {"name": "dblp", "priority": 1}, {"name": "crossref_doi", "priority": 2}]}'
+    return spark.createDataFrame([(s["name"], i) for i, s in enumerate(S.load_workflow(text))], "name string, place int")
+
+
+@query("""SELECT p_partkey::VARCHAR AS file_path, '@string{v = "V"}' || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '@article{k' || p_partkey || ', title = {' || p_name || '}}' || chr(10) ELSE '' END || '@comment{x}' || chr(10) AS content FROM part""")
+def only_used_bibliographies(spark, d):
+    body = F.format_string('@string{v = "V"}\n@article{k%d, title = {%s}}\n@comment{x}\n', "p_partkey", "p_name")
+    files = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file_path"), body.alias("content"))
+    cited = table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("k"), "p_partkey").alias("key"))
+    return R.only_used(files, S.bib_entries(files), cited)
 
 
 @query("""SELECT field, count(*) AS n, sum(camera - review)::BIGINT AS extra_pages FROM (VALUES ('acl','Natural Language Processing',8,9),('emnlp','Natural Language Processing',8,9),('naacl','Natural Language Processing',8,9),('cvpr','Computer Vision',8,8),

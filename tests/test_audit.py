@@ -200,10 +200,6 @@ def test_blocks(spark):
     assert sorted((r.group_line, r.block_type) for r in out) == [(2, "figure"), (5, None)]
 
 
-def test_prefix_bound():
-    assert [verify.prefix_bound(n) for n in (1, 2, 5, 7, 12)] == [1, 1, 2, 3, 4]
-
-
 def test_entry_module(spark):
     import __spark_entry__ as e
 
