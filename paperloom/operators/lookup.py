@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import patterns as P
 from ..functions.text import author_list, author_names, for_comparison, some, strip_doi, tokens
 from ..sources import llm_verdict
-from .verify import arxiv_title_choice, compare
+from .verify import arxiv_title_choice, compare, ensure_checkpoint_dir
 
 # The source that each step asks and by what, the preferred key first.
 STEPS = {
@@ -75,7 +75,9 @@ def lookups(entries: DataFrame, catalogue: DataFrame, steps: list[str] | None =
     wanted = [(i, s) for i, s in enumerate(steps or P.WORKFLOW) if s in STEPS]
     if not wanted:
         raise ValueError("no known step")
-    mine = _normal(entries, author_list(some("author")))
+    ensure_checkpoint_dir(entries.sparkSession)
+    # Both sides are normalized once: the joins below read them several times.
+    mine = _normal(entries, author_list(some("author"))).checkpoint()
     asked = F.array(*[F.struct(F.lit(i).alias("step_ord"), F.lit(STEPS[s][0]).alias("source"), F.lit(p).alias("prefer"), F.lit(k).alias("kind"), _keys()[k].alias("key")) for i, s in wanted for p, k in enumerate(STEPS[s][1])])
     questions = mine.select("entry_id", F.col("_title").alias("b_title"), F.col("_authors").alias("b_authors"), F.col("year").alias("b_year"), F.explode(asked).alias("q")).select("*", "q.*").drop("q").filter("key != ''")
     theirs = _normal(catalogue, author_names(F.col("authors")))
@@ -84,7 +86,7 @@ def lookups(entries: DataFrame, catalogue: DataFrame, steps: list[str] | None =
     # The authors of a scholar record without any are one empty name, which is not an empty list.
     nobody = (F.col("source") == "scholar") & (F.size("r.f_authors") == 0)
     theirs = theirs.withColumn("r", F.when(nobody, F.col("r").withField("f_authors", F.array(F.lit("")))).otherwise(F.col("r")))
-    theirs = theirs.withColumn("id", F.xxhash64("source", "rank", F.to_json("r"), F.to_json("o")))
+    theirs = theirs.withColumn("id", F.xxhash64("source", "rank", F.to_json("r"), F.to_json("o"))).checkpoint()
     known = theirs.select("source", "rank", "r", F.explode("o").alias("o")).select("source", "rank", "r", "o.*").filter("key != ''")
     first = known.groupBy("source", "kind", "key").agg(F.min_by("r", F.struct("rank", F.to_json("r"))).alias("r"))
     by_key = questions.join(first, ["source", "kind", "key"])

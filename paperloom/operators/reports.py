@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def severity_counts(findings: DataFrame, with_passed: bool = True) -> DataFrame:
 
 
 def rule_counts(findings: DataFrame) -> DataFrame:
-    return findings.filter(~F.col("passed")).groupBy(rule_name(F.col("message")).alias("rule_name")).agg(F.count("*").alias("n"))
+    return findings.filter(~F.col("passed")).groupBy(rule_name(F.col("message")).alias("rule_name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule_name")
 
 
 def checker_counts(findings: DataFrame) -> DataFrame:
@@ -45,6 +46,16 @@ def issue_counts(entries: DataFrame) -> DataFrame:
     return entries.select(F.explode(F.array_compact(F.array(*hits))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
+#: A block of more lines is shown by its first and last lines.
+SHOWN_LINES, FIRST_LINES, LAST_LINES = 10, 5, 3
+
+
+def shortened(lines: list[str]) -> str:
+    if len(lines) <= SHOWN_LINES:
+        return "\n".join(lines)
+    return "\n".join([*lines[:FIRST_LINES], "  [...]", *lines[-LAST_LINES:]])
+
+
 def block_ranges(text: str) -> list[tuple[int, int, str]]:
     """(start line, end line, environment) of all blocks by start; ties in the order of the list."""
     at = lambda i: text.count("\n", 0, i) + 1
@@ -57,23 +68,27 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [(p, i, *r) for p, t in zip(b.column("file_path").to_pylist(), b.column("content").to_pylist(), strict=True) for i, r in enumerate(block_ranges(t or ""))]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["file_path", "block_ord", "start_line", "end_line", "block_type"])
+            rows = []
+            for path, text in zip(b.column("file_path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                lines = (text or "").split("\n")
+                rows += [(path, i, *r, shortened(lines[r[0] - 1 : r[1]])) for i, r in enumerate(block_ranges(text or ""))]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["file_path", "block_ord", "start_line", "end_line", "block_type", "block_text"])
 
-    return docs.select("file_path", "content").mapInArrow(run, "file_path string, block_ord int, start_line int, end_line int, block_type string")
+    return docs.select("file_path", "content").mapInArrow(run, "file_path string, block_ord int, start_line int, end_line int, block_type string, block_text string")
 
 
 def grouped_findings(findings: DataFrame, blocks_: DataFrame) -> DataFrame:
     """Findings with a line, under the earliest block that holds it or else their line. A finding meets
     the blocks of its own file only, gathered as one sorted array."""
-    held = blocks_.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("start_line", "block_ord", "end_line", "block_type"))).alias("blocks"))
+    text = F.col("block_text") if "block_text" in blocks_.columns else F.lit(None).cast("string").alias("block_text")
+    held = blocks_.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("start_line", "block_ord", "end_line", "block_type", text))).alias("blocks"))
     rows = findings.filter(~F.col("passed") & F.col("line_number").isNotNull()).join(held, "file_path", "left")
     own = F.get(F.filter("blocks", lambda b: (b["start_line"] <= F.col("line_number")) & (F.col("line_number") <= b["end_line"])), F.lit(0))
     rows = rows.withColumn("b", own).withColumn("group_line", F.coalesce("b.start_line", "line_number"))
     item = F.struct("line_number", "severity", "message")
-    return rows.groupBy("file_path", "group_line", F.col("b.block_type").alias("block_type"), F.col("b.end_line").alias("end_line")).agg(F.sort_array(F.collect_list(item)).alias("issues"), F.first("line_content", ignorenulls=True).alias("line_content"))
+    return rows.groupBy("file_path", "group_line", F.col("b.block_type").alias("block_type"), F.col("b.end_line").alias("end_line")).agg(F.sort_array(F.collect_list(item)).alias("issues"), F.coalesce(F.first("b.block_text"), F.min("line_content")).alias("line_content"))
 
 
 def clean_bib(text: str, used: set[str]) -> str:
@@ -102,24 +117,63 @@ def only_used(files: DataFrame, entries: DataFrame, citations: DataFrame) -> Dat
     return rows.mapInArrow(run, "file_path string, content string")
 
 
-def render_findings(findings: DataFrame, title: str, made: str) -> str:
-    """A Markdown report of one run's findings; rows are read one partition at a time, in file and line order."""
-    counts = {r["severity"]: r["n"] for r in severity_counts(findings).collect()}
-    out = [f"# {title}", "", f"Generated: {made}", "", "| Severity | Count |", "|---|---|", *[f"| {s} | {counts.get(s, 0)} |" for s in ("error", "warning", "info")]]
-    for r in findings.filter(~F.col("passed")).orderBy("file_path", "line_number", "rule_id", "message").toLocalIterator():
-        out.append(f"- **{r['severity']}** {r['file_path']}:{r['line_number'] or '-'} {r['message']}")
-    return "\n".join(out) + "\n"
-
-
-def render_bibliography(summary: dict, missing: list[str], groups: list[dict], issues: list[dict], made: str) -> str:
-    """Header, summary table, issues; a check that did not run shows N/A."""
+DISCLAIMER = "> **Note:** This report was made by a program. It may report what is right and miss what is wrong; check each point before you change anything."
+HEADINGS = {"error": "Critical Errors", "warning": "Warnings", "info": "Suggestions"}
+
+
+def quality_lines(findings: DataFrame, made: str, venue: dict | None = None) -> Iterator[str]:
+    """Lines of the quality report: the venue's limits, counts, then findings by severity with their
+    places, contents and suggestions. Findings are read one partition at a time, in file and line order."""
+    counts = {r["severity"]: r["n"] for r in severity_counts(findings, with_passed=False).collect()}  # three rows
+    yield from ["# Quality Report", "", f"Generated: {made}", "", DISCLAIMER, ""]
+    if venue:
+        yield from [f"**Venue:** {venue['name']}", f"**Page limit:** {venue['review']} (review) / {venue['final']} (final)"]
+        if venue.get("sections"):
+            yield f"**Required sections:** {', '.join(venue['sections'])}"
+        yield ""
+    if not counts:
+        yield "No issues found."
+        return
+    yield from ["| Severity | Count |", "|---|---|", *(f"| {HEADINGS[s]} | {counts[s]} |" for s in HEADINGS if s in counts), ""]
+    for severity, heading in HEADINGS.items():
+        if severity not in counts:
+            continue
+        yield from [f"## {heading}", ""]
+        if severity == "info":
+            yield from ["<details>", ""]
+        some = findings.filter((F.col("severity") == severity) & ~F.col("passed"))
+        for r in some.orderBy("file_path", "line_number", "rule_id", "message").toLocalIterator():
+            yield f"- {r['message']}"
+            yield f"  - `{str(r['file_path']).rsplit('/', 1)[-1]}`" + (f", line {r['line_number']}" if r["line_number"] else "")
+            if severity == "error" and r["line_content"]:
+                yield f"  - `{r['line_content'][:80]}`"
+            if r["suggestion"]:
+                yield f"  - *{r['suggestion']}*"
+        yield from ["", "</details>", ""] if severity == "info" else [""]
+
+
+def bibliography_lines(summary: dict, missing, groups, unused, issues, made: str) -> Iterator[str]:
+    """Header, note, summary table, and the sections that have rows; each is an iterable, read once. A check
+    that did not run shows N/A."""
     show = lambda k: "N/A" if summary.get(k) is None else str(summary[k])
-    out = ["# Bibliography Validation Report", "", f"Generated: {made}", "", "| Metric | Value |", "|---|---|"]
-    out += [f"| {k.replace('_', ' ')} | {show(k)} |" for k in ("total", "verified", "with_issues", "used", "unused", "missing", "duplicate_groups")]
-    if not (missing or groups or issues):
-        return "\n".join([*out, "", "No critical issues found.", ""])
-    out += ["", "## Missing", *[f"- `{k}`" for k in sorted(missing)], "", "## Duplicates", *[f"- {', '.join(g['keys'])}: {g['reason']} ({g['score']:.1%})" for g in groups]]
-    return "\n".join([*out, "", "## Issues", *[f"- `{i['key']}`: {'; '.join(i['issues'])}" for i in issues], ""])
+    yield from ["# Bibliography Validation Report", "", f"Generated: {made}", "", DISCLAIMER, "", "| Metric | Value |", "|---|---|"]
+    yield from (f"| {k.replace('_', ' ')} | {show(k)} |" for k in ("total", "verified", "with_issues", "used", "unused", "missing", "duplicate_groups"))
+    sections = [
+        ("Missing Bibliography Entries", missing, lambda r: [f"- `{r['key']}`"]),
+        ("Duplicate Entries", groups, lambda r: [f"- {', '.join(r['keys'])}: {r['reason']} ({r['score']:.1%})"]),
+        ("Unused Entries", unused, lambda r: [f"- `{r['key']}`: *{r['title']}*"]),
+        ("Metadata and Relevance Issues", issues, lambda r: [f"- `{r['key']}`: {'; '.join(r['issues'])}"]),
+    ]
+    none = True
+    for heading, rows, lines in sections:
+        for i, r in enumerate(rows):
+            if not i:
+                yield from ["", f"## {heading}", ""]
+            none = False
+            yield from lines(r)
+    if none:
+        yield from ["", "No critical issues found."]
+    yield ""
 
 
 def render_preprints(r: dict) -> str:
@@ -136,15 +190,21 @@ def render_verified(rows, minimal: bool = False) -> str:
     return "\n".join([*out, ""])
 
 
-def render_lines(findings: DataFrame, blocks_: DataFrame, made: str) -> str:
-    """Findings by file and line or block, in order; each finding is shown once."""
+def line_report_lines(findings: DataFrame, blocks_: DataFrame, made: str) -> Iterator[str]:
+    """Findings by file and line or block, in order, with the counts of their file; each finding is shown once."""
     rows = findings.filter(~F.col("passed") & F.col("line_number").isNotNull())
-    counts = {(r["file_path"], r["severity"]): r["n"] for r in rows.groupBy("file_path", "severity").agg(F.count("*").alias("n")).collect()}
-    out, at = ["# Line-by-Line Report", "", f"Generated: {made}"], None
-    for r in grouped_findings(findings, blocks_).orderBy("file_path", "group_line").toLocalIterator():
+    per_file = rows.groupBy("file_path").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in HEADINGS))
+    grouped = grouped_findings(findings, blocks_).join(per_file, "file_path")
+    at = None
+    yield from ["# Line-by-Line Report", "", f"Generated: {made}"]
+    for r in grouped.orderBy("file_path", "group_line", "end_line").toLocalIterator():
         if r["file_path"] != at:
             at = r["file_path"]
-            out += ["", f"## {at.rsplit('/', 1)[-1]}", "", "| Errors | Warnings | Suggestions |", "|---|---|---|", "| " + " | ".join(str(counts.get((at, s), 0)) for s in ("error", "warning", "info")) + " |"]
+            yield from ["", f"## {at.rsplit('/', 1)[-1]}", "", "| Errors | Warnings | Suggestions |", "|---|---|---|", "| " + " | ".join(str(r[s]) for s in HEADINGS) + " |"]
         place = f"Lines {r['group_line']}-{r['end_line']} ({r['block_type']})" if r["block_type"] else f"Line {r['group_line']}"
-        out += ["", f"### {place}", "", *([f"    {r['line_content']}", ""] if r["line_content"] else []), *[f"- **{i['severity']}** (line {i['line_number']}) {i['message']}" for i in r["issues"]]]
-    return "\n".join(out if at else [*out, "", "No issues found."]) + "\n"
+        yield from ["", f"### {place}", ""]
+        if r["line_content"]:
+            yield from [*(f"    {x}" for x in r["line_content"].split("\n")), ""]
+        yield from (f"- **{i['severity']}** (line {i['line_number']}) {i['message']}" for i in r["issues"])
+    if at is None:
+        yield from ["", "No issues found."]

@@ -391,6 +391,26 @@ def provider_parsing(spark, d):
     return out
 
 
+@query("""SELECT p_partkey, p_name AS title, 'A Lee, B Chen' AS authors, CASE WHEN p_size % 2 = 0 THEN (1990 + p_size % 30)::VARCHAR ELSE '' END AS year, CASE WHEN p_size % 3 = 0 THEN p_size ELSE 0 END::INT AS citation_count FROM part""")
+def scholar_parsing(spark, d):
+    n = F.col("p_size")
+    byline = F.when(n % 2 == 0, F.format_string("A Lee, B Chen… - Journal, %d - site.org", 1990 + n % 30)).otherwise("A Lee, B Chen... - site.org")
+    footer = F.when(n % 3 == 0, F.format_string("Save Cite Cited by %d Related", n)).otherwise("Save Cite")
+    r = S.scholar_result(F.concat(F.lit("[PDF][B] "), "p_name"), byline, footer)
+    return table(spark, d, "part").select("p_partkey", r.alias("r")).select("p_partkey", "r.*")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 10 THEN 'l1' || chr(10) || 'l2' || chr(10) || 'l3' || chr(10) || 'l4' || chr(10) || 'l5' || chr(10) || '  [...]' || chr(10) || 'l' || (p_size - 2) || chr(10) || 'l' || (p_size - 1) || chr(10) || 'l' || p_size
+ELSE array_to_string(list_transform(range(1, p_size + 1), lambda x: 'l' || x), chr(10)) END AS shown FROM part""")
+def long_blocks(spark, d):
+    """Blocks of as many lines as a part's size, as the line report shows them."""
+    lines = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda x: F.concat(F.lit("l"), x))
+    body = F.concat(F.lit("\\begin{figure}"), F.array_join(lines, "\n"), F.lit("\\end{figure}"))
+    docs = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file_path"), body.alias("content"))
+    shown = F.regexp_replace("block_text", r"\\(begin|end)\{figure\}", "")
+    return R.blocks(docs).select(F.col("file_path").cast("long").alias("p_partkey"), shown.alias("shown"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN 0 ELSE p_size % 5 END AS relevance_score, p_size % 3 = 0 AS is_relevant, CASE WHEN p_size % 3 = 2 THEN '' ELSE p_name END AS explanation, p_size % 3 = 2 AS failed FROM part""")
 def scorer_answers(spark, d):
     n = F.col("p_size") % 3

@@ -45,6 +45,9 @@ def _source(spark: SparkSession, settings: Settings, one: str, glob: str) -> Dat
 def audit(spark: SparkSession, settings: Settings, catalogue: DataFrame | None = None, scorer=None) -> Audit:
     """Plans of all enabled checks. Metadata needs a ``catalogue``, relevance also a ``scorer`` (see ``operators.lookup``)."""
     tex, bib = _source(spark, settings, settings.tex, "*.tex"), _source(spark, settings, settings.bib, "*.bib")
+    for files, kind in ((tex, ".tex"), (bib, ".bib")):
+        if files.select("file_path").limit(1).count() == 0:
+            raise FileNotFoundError(f"no {kind} files found in {settings.path(settings.input_dir) or settings.path(settings.tex if kind == '.tex' else settings.bib)}")
     lines = lines_of(tex)
     # Entries are numbered by place, without a global order: the hash of (file, place) names them.
     entries = bib_entries(bib).withColumn("entry_id", F.xxhash64("file_path", "entry_ord"))
@@ -79,57 +82,85 @@ def duplicates(entries: DataFrame) -> DataFrame:
     return keyed.select(F.col("m.key").alias("keys"), "score", "reason").orderBy(F.desc("score"), "keys")
 
 
-def _name(path: str) -> str:
-    return Path(unquote(urlparse(path).path)).name
+def _place(path: str, root: str) -> Path:
+    """Where a file goes below the output folder: its path below the input folder, else its name."""
+    own = Path(unquote(urlparse(path).path))
+    try:
+        return own.relative_to(Path(root).resolve()) if root else Path(own.name)
+    except ValueError:
+        return Path(own.name)
 
 
-def _text(place: Path, text: str) -> None:
-    place.write_text(text, encoding="utf-8")
+def _write_lines(place: Path, lines) -> None:
+    with place.open("w", encoding="utf-8") as f:
+        for line in lines:
+            f.write(line + "\n")
+
+
+def _originals(files: DataFrame):
+    """(path, bytes) of the files of a table, one at a time, as they are."""
+    spark = files.sparkSession
+    for r in files.select("file_path").orderBy("file_path").toLocalIterator():
+        yield r["file_path"], bytes(spark.read.format("binaryFile").load(r["file_path"]).first()["content"])
 
 
 def write(result: Audit, settings: Settings, made: str | None = None) -> dict[str, str]:
     """Reports, clean bibliographies and copies of the inputs in the output folder; names to paths.
 
-    Files are read one at a time, rows of reports one partition at a time.
+    Files are read one at a time, rows of reports one partition at a time, and lines are written as they
+    come. Copies are the bytes of the inputs; files of subfolders keep their folders.
     """
     out = Path(settings.path(settings.output_dir))
     out.mkdir(parents=True, exist_ok=True)
     made = made or datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
     written = {n: str(out / n) for n in ("bibliography_report.md", "latex_quality_report.md", "line_by_line_report.md")}
-    missing = [r["key"] for r in result.missing.orderBy("key").toLocalIterator()] if result.missing is not None else []
-    groups = [r.asDict() for r in result.duplicates.toLocalIterator()] if result.duplicates is not None else []
     rows = entry_rows(result)
     summary = reports.bibliography_summary(rows).first().asDict()
     if result.usage is None:
         summary["used"] = summary["unused"] = None
     if result.verified is None:
         summary["verified"] = None
-    summary["missing"] = len(missing) if result.missing is not None else None
-    summary["duplicate_groups"] = len(groups) if result.duplicates is not None else None
-    troubled = [r.asDict() for r in rows.filter("size(issues) > 0").orderBy("key").select("key", "issues").toLocalIterator()]
-    text = reports.render_bibliography(summary, missing, groups, troubled, made)
-    if result.preprints is not None:
-        text += reports.render_preprints(result.preprints.first().asDict())
-    if result.verified is not None:
-        text += reports.render_verified(rows.filter("is_match").orderBy("key").toLocalIterator(), settings.minimal_verified)
-    _text(out / "bibliography_report.md", text)
-    venue = next((v for v in VENUES if v[0] == settings.template), None)
-    title = "Quality Report" + (f": {venue[1]} (pages: {venue[3]} for review, {venue[4]} final)" if venue else "")
-    _text(out / "latex_quality_report.md", reports.render_findings(result.findings, title, made))
-    _text(out / "line_by_line_report.md", reports.render_lines(result.findings, reports.blocks(result.tex), made))
+    summary["missing"] = result.missing.count() if result.missing is not None else None
+    summary["duplicate_groups"] = result.duplicates.count() if result.duplicates is not None else None
+    each = lambda df: df.toLocalIterator() if df is not None else ()
+    unused = rows.filter(~F.col("is_used")).orderBy("key").select("key", "title") if result.usage is not None else None
+    troubled = rows.filter("size(issues) > 0").orderBy("key").select("key", "issues")
+    missing = result.missing.orderBy("key") if result.missing is not None else None
+
+    def bibliography():
+        yield from reports.bibliography_lines(summary, each(missing), each(result.duplicates), each(unused), each(troubled), made)
+        if result.preprints is not None:
+            yield reports.render_preprints(result.preprints.first().asDict())
+        if result.verified is not None:
+            yield reports.render_verified(rows.filter("is_match").orderBy("key").toLocalIterator(), settings.minimal_verified)
+        yield from ["---", f"Made on {made}"]
+
+    _write_lines(out / "bibliography_report.md", bibliography())
+    venue = next(({"name": v[1], "review": v[3], "final": v[4], "sections": v[5]} for v in VENUES if v[0] == settings.template), None)
+    _write_lines(out / "latex_quality_report.md", reports.quality_lines(result.findings, made, venue))
+    _write_lines(out / "line_by_line_report.md", reports.line_report_lines(result.findings, reports.blocks(result.tex), made))
+    root = settings.path(settings.input_dir) if settings.input_dir else ""
     used = C.used(result.entries, result.citations).groupBy("file_path").agg(F.collect_set("key").alias("keys"))
     merged = []
-    for r in result.bib.join(used, "file_path", "left").orderBy("file_path").toLocalIterator():
-        name, clean = _name(r["file_path"]), reports.clean_bib(r["content"], set(r["keys"] or ()))
-        merged.append(clean)
-        written[f"{Path(name).stem}_only_used.bib"] = str(out / f"{Path(name).stem}_only_used.bib")
-        _text(out / f"{Path(name).stem}_only_used.bib", clean)
-        _text(out / name, r["content"])
+    for path, raw in _originals(result.bib):
+        place = _place(path, root)
+        (out / place).parent.mkdir(parents=True, exist_ok=True)
+        keys = used.filter(F.col("file_path") == path).first()
+        clean = reports.clean_bib(raw.decode("utf-8", "replace"), set(keys["keys"] if keys else ()))
+        name = str(place.with_name(f"{place.stem}_only_used.bib"))
+        merged.append(out / name)
+        written[name] = str(out / name)
+        (out / name).write_bytes(clean.encode("utf-8"))
+        (out / place).write_bytes(raw)
     if len(merged) > 1:
         written["merged_only_used.bib"] = str(out / "merged_only_used.bib")
-        _text(out / "merged_only_used.bib", "\n".join(merged))
-    for r in result.tex.orderBy("file_path").toLocalIterator():
-        _text(out / _name(r["file_path"]), r["content"])
+        with (out / "merged_only_used.bib").open("wb") as f:
+            for place in merged:
+                f.write(place.read_bytes() + b"\n")
+    for path, raw in _originals(result.tex):
+        place = out / _place(path, root)
+        place.parent.mkdir(parents=True, exist_ok=True)
+        place.write_bytes(raw)
     return written
 
 

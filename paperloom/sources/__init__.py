@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -205,10 +206,15 @@ def atom_entries(body: Column) -> Column:
     )
 
 
-def scholar_line(byline: Column) -> Column:
-    """Authors (one comma-separated string) and year of a result's byline."""
+def scholar_result(title: Column, byline: Column, footer: Column) -> Column:
+    """Title without its kind in brackets, authors (one comma-separated string), year and citations of a result."""
     people = F.regexp_replace(F.split_part(byline, F.lit(" - "), F.lit(1)), "…|\\.\\.\\.", "")
-    return F.struct(strip(people).alias("authors"), F.regexp_extract(byline, r"\b((?:19|20)\d{2})\b", 1).alias("year"))
+    return F.struct(
+        strip(F.regexp_replace(title, r"^\s*(?:\[[^\]]*\]\s*)+", "")).alias("title"),
+        strip(people).alias("authors"),
+        F.regexp_extract(byline, r"\b((?:19|20)\d{2})\b", 1).alias("year"),
+        F.coalesce(F.nullif(F.regexp_extract(footer, r"Cited by (\d+)", 1), F.lit("")).cast("int"), F.lit(0)).alias("citation_count"),
+    )
 
 
 def llm_verdict(body: Column) -> Column:
@@ -226,5 +232,9 @@ def load_workflow(text: str) -> list[dict]:
     return sorted((s for s in steps if s["enabled"]), key=lambda s: s["priority"])
 
 
-def default_workflow(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, i, True) for i, n in enumerate(P.WORKFLOW)], "name string, priority int, enabled boolean")
+def save_workflow(steps: list[dict], path: str, name: str = "custom", description: str = "") -> None:
+    """Write a workflow document, the steps in their order."""
+    place = Path(path)
+    place.parent.mkdir(parents=True, exist_ok=True)
+    rows = [{"enabled": True} | s | {"priority": i} for i, s in enumerate(steps)]
+    place.write_text(json.dumps({"name": name, "description": description, "steps": rows}, indent=2), encoding="utf-8")

@@ -82,6 +82,42 @@ def test_full_run(spark, project):
     lines = (out / "line_by_line_report.md").read_text()
     assert "### Line 2" in lines and "### Lines 4-6 (figure)" in lines and "ACL 2025" in (out / "latex_quality_report.md").read_text()
     assert result.tex.count() == 1 and (out / "a.tex").read_text() == TEX
+    quality = (out / "latex_quality_report.md").read_text()
+    assert "## Critical Errors" not in quality and "## Warnings" in quality and "<details>" in quality and "Add \\caption{} after" in quality
+    assert "## Unused Entries" in report and "`other`" in report and "N/A" not in report
+    assert "\\begin{figure}" in lines
+
+
+def test_copies_are_bytes_and_folders_stay(spark, tmp_path):
+    raw = b"@article{a, title = {T}}\r\n@article{b, title = {\xff}}\r\n"
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "refs.bib").write_bytes(raw)
+        (tmp_path / folder / "main.tex").write_bytes(b"text \\cite{a}\r\n")
+    s = S.settings_of({"files": {"input_dir": str(tmp_path), "output_dir": str(tmp_path / "out")}})
+    names = run.write(run.audit(spark, s), s, "now")
+    for folder in ("x", "y"):
+        assert (tmp_path / "out" / folder / "refs.bib").read_bytes() == raw
+        assert (tmp_path / "out" / folder / "main.tex").read_bytes() == b"text \\cite{a}\r\n"
+        clean = (tmp_path / "out" / folder / "refs_only_used.bib").read_bytes()
+        assert clean.startswith(b"@article{a, title = {T}}\r\n") and b"@article{b" not in clean
+    assert "merged_only_used.bib" in names
+    empty = S.settings_of({"files": {"input_dir": str(tmp_path / "out" / "nothing"), "output_dir": str(tmp_path / "o")}})
+    (tmp_path / "out" / "nothing").mkdir()
+    with pytest.raises(FileNotFoundError):
+        run.audit(spark, empty)
+
+
+def test_workflow_round_trip(tmp_path):
+    from paperloom import sources
+
+    sources.save_workflow([{"name": "dblp"}, {"name": "openalex", "enabled": False}, {"name": "arxiv_id"}], str(tmp_path / "w" / "w.json"))
+    assert [(s["name"], s["priority"]) for s in sources.load_workflow((tmp_path / "w" / "w.json").read_text())] == [("dblp", 0), ("arxiv_id", 2)]
+
+
+def test_prompt():
+    text = lookup.prompt("some {context}", "an abstract")
+    assert "some {context}" in text and "an abstract" in text and '"relevance_score": <1-5 integer>' in text and "{{" not in text
 
 
 def test_streams(spark, project):
