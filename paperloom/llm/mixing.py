@@ -173,8 +173,9 @@ def taken(rows: DataFrame, *, block: int = BLOCK, per_shard: int = SLOTS_PER_SHA
     full = F.col("words") == block
     uses = slots_.groupBy("k", "block").agg(F.count_if(full).alias("n"), F.max(F.when(~full, F.col("words"))).alias("cut"))
     part = F.greatest(F.least("hi", F.coalesce("cut", F.lit(0).cast("long"))) - F.col("lo"), F.lit(0).cast("long"))
-    got = pieces.join(uses, ["k", "block"]).groupBy("rank").agg(F.sum(F.col("n") * (F.col("hi") - F.col("lo")) + part).alias("taken"))
-    return placed.join(got, "rank", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+    # Blocks and rows grow with the corpus: neither side is broadcast, also where a small one would fit.
+    got = pieces.join(uses.hint("merge"), ["k", "block"]).groupBy("rank").agg(F.sum(F.col("n") * (F.col("hi") - F.col("lo")) + part).alias("taken"))
+    return placed.join(got.hint("merge"), "rank", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
 def mixed(docs: DataFrame, *, block: int = BLOCK, per_shard: int = SLOTS_PER_SHARD, seed: int = 29) -> DataFrame:
@@ -186,7 +187,7 @@ def mixed(docs: DataFrame, *, block: int = BLOCK, per_shard: int = SLOTS_PER_SHA
     base = stored(as_struct(docs, F.monotonically_increasing_id().alias("_row")), "numbered")
     rows = base.select("_row", F.col("doc.source").cast("string").alias("source"), "doc.doc_id", n_words(F.col("doc.text")).alias("size"), F.xxhash64("doc.text").alias("_hash"))
     placed, pieces, slots_ = packed(rows, block=block, per_shard=per_shard, seed=seed, order=["doc_id", "_hash"])
-    spans = pieces.join(slots_, ["k", "block"]).filter("least(hi, words) > lo")
+    spans = pieces.join(slots_.hint("merge"), ["k", "block"]).filter("least(hi, words) > lo")
     spans = spans.select("rank", "epoch", F.struct("at", (F.least("hi", "words") - F.col("lo")).alias("n")).alias("s"))
     spans = spans.groupBy("rank", "epoch").agg(F.sort_array(F.collect_list("s")).alias("_spans"), F.sum("s.n").alias("_taken"))
     use = placed.join(spans, "rank").select(F.col("_row").alias("_used"), F.col("size").alias("_size"), "_taken", "_spans")
