@@ -239,7 +239,7 @@ def _nodes(suffixes: DataFrame, window: int, group_rows: int, least_only: bool)
     def subtrees(batches):
         for group in whole_groups(batches, ["g"]):
             doc, place = group["doc_id"], group["place"]
-            start, end = runs(group["g"], *(group[c] for c in labels))
+            start, end = runs(group["g"], group["p0"], group["node"])
             size = end - start
             least, n = np.repeat(doc[start], size), np.repeat(size, size)
             if least_only:
@@ -250,8 +250,10 @@ def _nodes(suffixes: DataFrame, window: int, group_rows: int, least_only: bool)
             node = np.repeat(group["node"][start], size)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[keep])) for x in (doc, place, least, n, node)], names=["doc_id", "place", "least", "n", "node"])
 
-    dealt = rows.withColumn("node", F.xxhash64(*labels)).repartition(partitions(suffixes.sparkSession), "g").sortWithinPartitions("g", *labels, "doc_id", "place")
-    found = dealt.select("g", *labels, "doc_id", "place", "node").mapInArrow(subtrees, schema)
+    # Behind the prefix of its group a suffix needs its first label and one hash of all: two for a window.
+    light = rows.select("g", "p0", F.xxhash64(*labels).alias("node"), "doc_id", "place")
+    dealt = light.repartition(partitions(suffixes.sparkSession), "g").sortWithinPartitions("g", "p0", "node", "doc_id", "place")
+    found = dealt.mapInArrow(subtrees, schema)
     return found if out is None else found.unionByName(out)
 
 
