@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,10 +60,16 @@ def cited_contexts(lines: DataFrame) -> DataFrame:
 
 
 def usage(entries: DataFrame, citations: DataFrame) -> DataFrame:
-    """Entries with is_used, usage_count, line numbers and first line; citations are summed before the join."""
-    per_key = citations.groupBy("key").agg(F.count("*").alias("usage_count"), F.sort_array(F.collect_list("line_number")).alias("line_numbers"))
+    """Entries with is_used, usage_count and first line; citations are summed, map side first, before the join."""
+    per_key = citations.groupBy("key").agg(F.count("*").alias("usage_count"), F.min("line_number").alias("first_usage_line"))
     out = entries.join(per_key, "key", "left")
-    return out.withColumn("usage_count", F.coalesce("usage_count", F.lit(0).cast("long"))).withColumn("is_used", F.col("usage_count") > 0).withColumn("first_usage_line", F.get("line_numbers", F.lit(0)))
+    return out.withColumn("usage_count", F.coalesce("usage_count", F.lit(0).cast("long"))).withColumn("is_used", F.col("usage_count") > 0)
+
+
+def usage_lines(entries: DataFrame, citations: DataFrame) -> DataFrame:
+    """(key, file_path, line_number, n) of every line that cites an entry, a row each: a key that many lines cite is many rows."""
+    per_line = citations.groupBy("key", "file_path", "line_number").agg(F.count("*").alias("n"))
+    return per_line.join(entries.select("key").distinct(), "key", "left_semi")
 
 
 def by_key(entries: DataFrame, key) -> DataFrame:
@@ -82,14 +91,48 @@ def used(entries: DataFrame, citations: DataFrame) -> DataFrame:
     return entries.join(citations.select("key"), "key", "left_semi")
 
 
+def _within_budget(rows: DataFrame, budget: int, order: tuple[str, ...]) -> DataFrame:
+    """Of each key's rows in a partition those before which at most ``budget`` characters stand there: no other can count.
+
+    What stands before a row in its partition stands before it in the whole, so a row beyond the budget here is
+    beyond it there; and the row that overruns it is kept, which ends the list. Rows stream in order, without a shuffle.
+    """
+    n = rows.columns.index("full_context")
+
+    def run(batches):
+        last, spent = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(b.schema.get_field_index("key"))
+            size = pc.fill_null(pc.utf8_length(b.column(n)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            new = np.ones(b.num_rows, bool)
+            new[1:] = pc.fill_null(pc.not_equal(keys.slice(1), keys.slice(0, b.num_rows - 1)), True).to_numpy(zero_copy_only=False)
+            if last is not None and keys[0].as_py() == last:
+                new[0] = False
+            before = np.cumsum(size) - size
+            start = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), -1))
+            before = np.where(start < 0, before + spent, before - before[np.maximum(start, 0)])
+            yield b.filter(pa.array(before <= budget))
+            last, spent = keys[b.num_rows - 1].as_py(), int(before[-1] + size[-1])
+
+    return rows.sortWithinPartitions("key", *order).mapInArrow(run, rows.schema)
+
+
 def combined_context(citations: DataFrame, budget: int = BUDGET, least: int = 100, order: tuple[str, ...] = ("file_path", "line_number")) -> DataFrame:
-    """Contexts of a key in order while they fit the budget; the first that does not is cut if enough room is left."""
+    """Contexts of a key in order while they fit the budget; the first that does not is cut if enough room is left.
+
+    Each partition first drops what cannot fit, so a key moves about ``budget`` characters from each partition,
+    however many contexts it has. A null context is empty.
+    """
+    columns = [F.col("key"), *[F.col(c) for c in order], some("full_context").alias("full_context")]
+    kept = _within_budget(citations.select(*columns), budget, order)
     w = Window.partitionBy("key").orderBy(*order)
     n = F.length("full_context")
     before = F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     room = budget - before
     # A context that did not fit ends the list, so only rows whose predecessors all fit are kept.
-    rows = citations.withColumn("_room", room).withColumn("_fits", n <= room)
+    rows = kept.withColumn("_room", room).withColumn("_fits", n <= room)
     rows = rows.withColumn("_open", F.coalesce(F.min("_fits").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))).filter("_open AND (_fits OR _room > %d)" % least)
     piece = F.when(F.col("_fits"), F.col("full_context")).otherwise(F.concat(F.expr("left(full_context, _room)"), F.lit("...")))
     pieces = rows.withColumn("_at", F.row_number().over(w)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_at", piece.alias("t")))).alias("p"))

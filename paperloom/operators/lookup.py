@@ -1,18 +1,22 @@
-"""Catalogue lookups of the verification steps, abstracts, and relevance scores by a scorer of the caller's choice."""
+"""Lookups of the verification steps in catalogues or at services, abstracts, and relevance scores by a scorer of the caller's choice."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import patterns as P
-from ..functions.text import author_list, author_names, for_comparison, some, strip_doi, tokens
-from ..sources import llm_verdict
-from .verify import arxiv_title_choice, compare, ensure_checkpoint_dir
+from ..functions.text import author_list, author_names, for_comparison, jaccard, search_title, some, strip_doi
+from ..sources import atom_entries, crossref_items, dblp_hits, llm_verdict, openalex_works, scholar_page, semantic_scholar_papers
+from .answers import POLICIES, Answers, Policy, ask
+from .shared import ensure_checkpoint_dir
+from .titles import TitleIndex, search, title_index
+from .verify import compare
 
 # The source that each step asks and by what, the preferred key first.
 STEPS = {
@@ -37,76 +41,175 @@ def _normal(df: DataFrame, authors: Column) -> DataFrame:
     return df.withColumns({"_title": for_comparison(F.col("title")), "_authors": authors})
 
 
-#: A title search looks catalogue titles up by so many of the rarest words of the title asked for; arXiv's returns
-#: HITS results, of which the most similar above LEAST_SIMILAR counts, the others' first result counts.
-RARE_WORDS, HITS, LEAST_SIMILAR = 3, 3, 0.5
+#: arXiv's title search counts only above this similarity; the other sources' first result counts.
+LEAST_SIMILAR = 0.5
 
 
-def title_hits(asked: DataFrame, theirs: DataFrame, hits: int = HITS) -> DataFrame:
-    """The best ``hits`` catalogue titles for each question (entry_id, step_ord, source, b_title), by shared words.
+@dataclass
+class Catalogue:
+    """A catalogue made ready: its records (id, source, r), the first record of each identifier, and its titles."""
 
-    ``theirs``: source, id, rank, _title. Titles are candidates if they hold one of the RARE_WORDS words
-    of the question that are rarest in its source; they are ordered by Jaccard similarity, then rank.
+    records: DataFrame
+    known: DataFrame
+    titles: TitleIndex
+    sources: set[str]
+
+    def find(self, asked: DataFrame, step: str, source: str, kind: str) -> DataFrame:
+        """``asked`` with the record ``r`` that the source has for the key of this kind; entries without one are left out."""
+        if kind != "title":
+            held = self.known.filter((F.col("source") == source) & (F.col("kind") == kind)).select("key", "r")
+            return asked.join(held, F.col(f"keys.{kind}") == F.col("key")).drop("key")
+        questions = asked.select(F.col("entry_id").alias("question"), F.lit(source).alias("source"), F.col("b_title").alias("title"))
+        best = search(questions, self.titles)
+        best = best.filter(F.col("similarity") > LEAST_SIMILAR) if step == "arxiv_title" else best
+        return asked.join(best.select(F.col("question").alias("entry_id"), "id").join(self.records.select("id", "r"), "id").drop("id"), "entry_id")
+
+
+#: Results of arXiv's title search that are compared.
+FEED_HITS = 3
+
+
+@dataclass
+class Services:
+    """The services themselves, asked by a transport through a table of answers (``operators.answers``).
+
+    The transport gets (source, kind, payload): an identifier, or a title without its marks, and returns the
+    service's own response. A step that a service does not answer finds nothing.
     """
-    asked = asked.select("entry_id", "step_ord", "source", tokens(F.col("b_title")).alias("own"))
-    theirs = theirs.select("source", "id", "rank", tokens(F.col("_title")).alias("words"))
-    posted = theirs.select("source", "id", F.explode("words").alias("word"))
-    often = posted.groupBy("source", "word").agg(F.count("*").alias("often"))
-    words = asked.select("entry_id", "step_ord", "source", F.explode("own").alias("word")).join(often, ["source", "word"])
-    rarest = Window.partitionBy("entry_id", "step_ord").orderBy("often", "word")
-    rare = words.withColumn("k", F.row_number().over(rarest)).filter(F.col("k") <= RARE_WORDS).select("entry_id", "step_ord", "source", "word")
-    pairs = rare.join(posted, ["source", "word"]).select("entry_id", "step_ord", "id").distinct()
-    full = pairs.join(asked.select("entry_id", "step_ord", "own"), ["entry_id", "step_ord"]).join(theirs.select("id", "rank", "words"), "id")
-    common = F.size(F.array_intersect("own", "words"))
-    full = full.select("entry_id", "step_ord", "id", "rank", (common / (F.size("own") + F.size("words") - common)).alias("similarity"))
-    best = Window.partitionBy("entry_id", "step_ord").orderBy(F.desc("similarity"), "rank", "id")
-    return full.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= hits).select("entry_id", "step_ord", "id", "place", "rank", "similarity")
-
-
-def lookups(entries: DataFrame, catalogue: DataFrame, steps: list[str] | None = None) -> DataFrame:
-    """The compared result of each step that finds something, for ``verify.cascade``.
-
-    ``entries``: entry_id, title, author (joined by "and"), year, doi, arxiv_id. ``catalogue``: source,
-    rank (order of its hits), title, authors (array), year, doi, arxiv_id, abstract. Identifiers meet in
-    one equi-join on (source, kind, key), where a key of the catalogue is reduced to its first record
-    before; titles are searched by ``title_hits``. A step that may ask by both takes what the identifier
-    finds. Unknown steps are ignored.
+
+    answers: Answers
+    send: Callable[[str, str, str], tuple[int, str]]
+    policies: dict[str, Policy] = field(default_factory=lambda: POLICIES)
+
+    @property
+    def sources(self) -> set[str]:
+        return set(self.policies)
+
+    def find(self, asked: DataFrame, step: str, source: str, kind: str) -> DataFrame:
+        key = F.col(f"keys.{kind}")
+        payload = F.col("searched") if kind == "title" else key
+        requests = asked.select(F.lit(source).alias("source"), F.lit(kind).alias("kind"), key.alias("key"), payload.alias("payload"))
+        got = ask(requests, self.answers, self.send, self.policies)
+        records = got.select("key", F.posexplode(responses(source, kind, F.col("body"))).alias("place", "x"))
+        hits = FEED_HITS if step == "arxiv_title" else 1
+        authors = F.transform(F.split("x.authors", ","), F.trim) if source == "scholar" else F.col("x.authors")
+        rows = records.filter(F.col("place") < hits).select("key", "place", F.col("x.title").alias("title"), authors.alias("authors"), F.col("x.year").alias("year"), F.col("x.abstract").alias("abstract"))
+        r = F.struct(for_comparison(F.col("title")).alias("f_title"), author_names(F.col("authors")).alias("f_authors"), F.col("year").alias("f_year"), "abstract")
+        met = asked.join(rows.select("key", "place", r.alias("r")), key == F.col("key")).withColumn("alike", jaccard(F.col("b_title"), F.col("r.f_title")) if hits > 1 else F.lit(1.0))
+        best = met.filter(F.col("alike") > LEAST_SIMILAR).groupBy("entry_id").agg(F.max_by("r", F.struct("alike", -F.col("place"))).alias("r"))
+        return asked.join(best, "entry_id")
+
+
+def responses(source: str, kind: str, body: Column) -> Column:
+    """The records of a service's response as an array of (title, authors, year, abstract). A response to an
+    identifier is one record where one to a title is a list."""
+    one = kind != "title"
+    wrapped = lambda before, x, after: F.concat(F.lit(before), x, F.lit(after))
+    parsed = {
+        "arxiv": lambda: atom_entries(body),
+        "crossref": lambda: crossref_items(wrapped('{"message": {"items": [', F.get_json_object(body, "$.message"), "]}}") if one else body),
+        "semantic_scholar": lambda: semantic_scholar_papers(wrapped('{"data": [', body, "]}") if one else body),
+        "dblp": lambda: dblp_hits(body),
+        "openalex": lambda: openalex_works(wrapped('{"results": [', body, "]}") if one else body),
+        "scholar": lambda: scholar_page(body),
+    }[source]()
+    abstract = (lambda x: F.lit("")) if source in ("dblp", "scholar") else (lambda x: some(x["abstract"]))
+    return F.transform(parsed, lambda x: F.struct(x["title"].alias("title"), x["authors"].alias("authors"), x["year"].alias("year"), abstract(x).alias("abstract")))
+
+
+def prepared(catalogue: DataFrame, sources: set[str] | None = None) -> Catalogue:
+    """``catalogue``: source, rank (order of its hits), title, authors (array), year, doi, arxiv_id, abstract.
+
+    Records are normalized once. ``sources`` are those that steps may ask (default: of all steps); a source
+    without a record is left out, so that its steps ask nothing.
     """
-    wanted = [(i, s) for i, s in enumerate(steps or P.WORKFLOW) if s in STEPS]
-    if not wanted:
-        raise ValueError("no known step")
-    ensure_checkpoint_dir(entries.sparkSession)
-    # Both sides are normalized once: the joins below read them several times.
-    mine = _normal(entries, author_list(some("author"))).checkpoint()
-    asked = F.array(*[F.struct(F.lit(i).alias("step_ord"), F.lit(STEPS[s][0]).alias("source"), F.lit(p).alias("prefer"), F.lit(k).alias("kind"), _keys()[k].alias("key")) for i, s in wanted for p, k in enumerate(STEPS[s][1])])
-    questions = mine.select("entry_id", F.col("_title").alias("b_title"), F.col("_authors").alias("b_authors"), F.col("year").alias("b_year"), F.explode(asked).alias("q")).select("*", "q.*").drop("q").filter("key != ''")
-    theirs = _normal(catalogue, author_names(F.col("authors")))
+    ensure_checkpoint_dir(catalogue.sparkSession)
+    wanted = sources if sources is not None else {source for source, _ in STEPS.values()}
+    theirs = _normal(catalogue.filter(F.col("source").isin(*wanted)), author_names(F.col("authors")))
     answer = F.struct(F.col("_title").alias("f_title"), F.col("_authors").alias("f_authors"), F.col("year").alias("f_year"), "abstract")
     theirs = theirs.select("source", "rank", "_title", answer.alias("r"), F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in _keys().items() if k != "title"]).alias("o"))
     # The authors of a scholar record without any are one empty name, which is not an empty list.
     nobody = (F.col("source") == "scholar") & (F.size("r.f_authors") == 0)
     theirs = theirs.withColumn("r", F.when(nobody, F.col("r").withField("f_authors", F.array(F.lit("")))).otherwise(F.col("r")))
     theirs = theirs.withColumn("id", F.xxhash64("source", "rank", F.to_json("r"), F.to_json("o"))).checkpoint()
-    known = theirs.select("source", "rank", "r", F.explode("o").alias("o")).select("source", "rank", "r", "o.*").filter("key != ''")
-    first = known.groupBy("source", "kind", "key").agg(F.min_by("r", F.struct("rank", F.to_json("r"))).alias("r"))
-    by_key = questions.join(first, ["source", "kind", "key"])
-    by_title = questions.filter("kind = 'title'").drop("kind", "key")
-    found = title_hits(by_title, theirs.filter("_title != ''").dropDuplicates(["id"]))
-    arxiv = arxiv_title_choice(found.join(by_title.filter("source = 'arxiv'").select("entry_id", "step_ord"), ["entry_id", "step_ord"]), ["entry_id", "step_ord"], LEAST_SIMILAR)
-    others = found.filter("place = 1").join(by_title.filter("source != 'arxiv'").select("entry_id", "step_ord"), ["entry_id", "step_ord"])
-    chosen = arxiv.select("entry_id", "step_ord", "id").unionByName(others.select("entry_id", "step_ord", "id"))
-    searched = by_title.join(chosen, ["entry_id", "step_ord"]).join(theirs.select("id", "r").dropDuplicates(["id"]), "id")
-    columns = ["entry_id", "step_ord", "source", "prefer", "b_title", "b_authors", "b_year", "r"]
-    hits = by_key.select(*columns).unionByName(searched.select(*columns))
-    best = hits.groupBy("entry_id", "step_ord", "source").agg(F.min_by(F.struct("b_title", "b_authors", "b_year", "r"), F.col("prefer")).alias("h"))
-    return compare(best.select("entry_id", "step_ord", "source", "h.b_title", "h.b_authors", "h.b_year", "h.r.*"))
-
-
-def abstracts(entries: DataFrame, compared: DataFrame) -> DataFrame:
-    """(entry_id, abstract): the bibliography's own, else the first step's that has one; entries without are left out."""
+    identified = theirs.select("source", "rank", "r", F.explode("o").alias("o")).select("source", "rank", "r", "o.*").filter("key != ''")
+    known = identified.groupBy("source", "kind", "key").agg(F.min_by("r", F.struct("rank", F.to_json("r"))).alias("r")).checkpoint()
+    records = theirs.filter("_title != ''").dropDuplicates(["id"])
+    index = title_index(records.select("source", "id", "rank", "_title"))
+    there = {row["source"] for row in theirs.select("source").distinct().collect()}  # of the steps' few sources
+    return Catalogue(records.select("id", "source", "r").checkpoint(), known, index, there)
+
+
+def _asked(entries: DataFrame) -> DataFrame:
+    """Entries made ready: entry_id, b_title and b_authors (normalized), b_year, keys by kind, the title to search for."""
+    mine = _normal(entries, author_list(some("author")))
+    keys = F.struct(*[c.alias(k) for k, c in _keys().items()]).alias("keys")
+    return mine.select("entry_id", F.col("_title").alias("b_title"), F.col("_authors").alias("b_authors"), F.col("year").alias("b_year"), keys, search_title(some("title")).alias("searched"))
+
+
+def answers(asked: DataFrame, catalogue: Catalogue | Services, step: str) -> DataFrame:
+    """What a step finds for entries made ready: their columns, source and the record ``r``. By the first identifier
+    that finds something, else by the best title."""
+    source, kinds = STEPS[step]
+    rest, found = asked, []
+    for kind in kinds:
+        got = catalogue.find(rest.filter(F.col(f"keys.{kind}") != ""), step, source, kind)
+        if len(kinds) > 1:
+            got = got.checkpoint()
+            rest = rest.join(got.select("entry_id"), "entry_id", "left_anti")
+        found.append(got)
+    return reduce(DataFrame.unionByName, found).withColumn("source", F.lit(source))
+
+
+def staged(entries: DataFrame, catalogue: DataFrame | Catalogue | Services, steps: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The compared result of each step that finds something, for ``verify.cascade``, and what each step was asked
+    (step_ord, step, entry_id).
+
+    ``entries``: entry_id, title, author (joined by "and"), year, doi, arxiv_id. Steps are run one after
+    another, each for those entries only that no step before has matched. Unknown steps are ignored.
+    """
+    wanted = [(i, s) for i, s in enumerate(steps or P.WORKFLOW) if s in STEPS]
+    if not wanted:
+        raise ValueError("no known step")
+    ensure_checkpoint_dir(entries.sparkSession)
+    ready = prepared(catalogue, {STEPS[s][0] for _, s in wanted}) if isinstance(catalogue, DataFrame) else catalogue
+    left = _asked(entries).checkpoint()
+    compared, asked = [], []
+    for i, step in wanted:
+        source, kinds = STEPS[step]
+        if source not in ready.sources:
+            continue
+        now = left.filter(F.col(f"keys.{kinds[-1]}") != "")  # steps that ask by title need one
+        asked.append(now.select(F.lit(i).alias("step_ord"), F.lit(step).alias("step"), "entry_id"))
+        found = answers(now, ready, step).select("entry_id", F.lit(i).alias("step_ord"), "source", "b_title", "b_authors", "b_year", "r.*")
+        compared.append(compare(found).checkpoint())
+        left = left.join(compared[-1].filter("is_match").select("entry_id"), "entry_id", "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+    if not compared:
+        none = answers(left.limit(0), ready, wanted[0][1]).select("entry_id", F.lit(0).alias("step_ord"), "source", "b_title", "b_authors", "b_year", "r.*")
+        compared, asked = [compare(none)], [left.limit(0).select(F.lit(0).alias("step_ord"), F.lit("").alias("step"), "entry_id")]
+    return reduce(DataFrame.unionByName, compared), reduce(DataFrame.unionByName, asked)
+
+
+def lookups(entries: DataFrame, catalogue: DataFrame | Catalogue | Services, steps: list[str] | None = None) -> DataFrame:
+    """The compared results of ``staged``."""
+    return staged(entries, catalogue, steps)[0]
+
+
+def abstracts(entries: DataFrame, compared: DataFrame, catalogue: Catalogue | Services | None = None) -> DataFrame:
+    """(entry_id, abstract): the bibliography's own, else that of the first step that found one, else what arXiv has
+    by id or title, if a catalogue is given; entries without are left out."""
     has = compared.filter(some("abstract") != "").groupBy("entry_id").agg(F.min_by("abstract", "step_ord").alias("found"))
     own = F.nullif(some("abstract"), F.lit(""))
-    return entries.select("entry_id", own.alias("own")).join(has, "entry_id", "left").select("entry_id", F.coalesce("own", "found").alias("abstract")).filter("abstract IS NOT NULL")
+    known = entries.select("entry_id", own.alias("own")).join(has, "entry_id", "left").select("entry_id", F.coalesce("own", "found").alias("abstract"))
+    if catalogue is not None and "arxiv" in catalogue.sources:
+        known = known.checkpoint()
+        lacking = _asked(entries).join(known.filter("abstract IS NULL"), "entry_id", "left_semi").checkpoint()
+        by = [answers(lacking, catalogue, s).filter(some("r.abstract") != "").select("entry_id", F.struct(F.lit(i).alias("o"), "r.abstract").alias("a")) for i, s in enumerate(("arxiv_id", "arxiv_title"))]
+        more = by[0].unionByName(by[1]).groupBy("entry_id").agg(F.min("a.o").alias("o"), F.min_by("a.abstract", "a.o").alias("more"))
+        known = known.join(more, "entry_id", "left").select("entry_id", F.coalesce("abstract", "more").alias("abstract"))
+    return known.filter("abstract IS NOT NULL")
 
 
 def prompt(context: str, abstract: str) -> str:
@@ -114,24 +217,55 @@ def prompt(context: str, abstract: str) -> str:
     return P.RELEVANCE_PROMPT.format(context=context, abstract=abstract)
 
 
-def relevance(contexts: DataFrame, known: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[str]]) -> DataFrame:
+def relevance(contexts: DataFrame, known: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[str]], kept: Answers | None = None, name: str = "scorer") -> DataFrame:
     """Score each citing context (entry_id, full_context, others) against its entry's abstract.
 
     ``scorer`` takes a batch of (context, abstract) and returns answers as text, one each; it runs on the
-    executors. An answer that cannot be read, or a scorer that fails, gives score 0 and an error.
+    executors. A batch that fails is asked again one by one. An answer that cannot be read, or a scorer that fails,
+    gives score 0 and an error; so does an empty context or abstract, which is not asked. Equal questions
+    are asked once; with ``kept``, answers of the scorer of this ``name`` are kept, and only failures asked again.
     """
-    rows = contexts.join(known, "entry_id")
-    schema = StructType([*rows.schema.fields, StructField("answer", StringType())])
+    ensure_checkpoint_dir(contexts.sparkSession)
+    missing = (some("full_context") == "") | (some("abstract") == "")
+    key = F.sha2(F.to_json(F.struct("full_context", "abstract")), 256)
+    rows = contexts.join(known, "entry_id").withColumn("_key", F.when(~missing, key)).checkpoint()
+    new = rows.filter("_key IS NOT NULL").select(F.col("_key").alias("key"), "full_context", "abstract").dropDuplicates(["key"])
+    if kept is not None:
+        mine = (F.col("source") == "scorer") & (F.col("kind") == name)
+        new = new.join(kept.good().filter(mine).select("key"), "key", "left_anti")
+    got = new.mapInArrow(_scored(scorer), "key string, body string, error string")
+    kind = [F.lit("scorer").alias("source"), F.lit(name).alias("kind")]
+    got = got.select(*kind, "key", F.lit(None).cast("int").alias("status"), "body", "error", F.lit(1).alias("tries"), F.lit(False).alias("closed")).checkpoint()
+    answered = got
+    if kept is not None:
+        kept.add(got)
+        answered = kept.good().filter(mine).withColumn("error", F.lit(None).cast("string")).unionByName(got.filter("error IS NOT NULL"), allowMissingColumns=True)
+    out = rows.join(answered.select(F.col("key").alias("_key"), "body", F.col("error").alias("_failed")), "_key", "left")
+    labels = F.create_map(*[F.lit(x) for pair in enumerate(P.SCORE_LABELS, 1) for x in pair])
+    v = llm_verdict(F.col("body"))
+    why = F.when(F.col("_key").isNull(), "Missing context or abstract for evaluation").otherwise(F.coalesce("_failed", v["error"]))
+    verdict = F.struct(v["relevance_score"].alias("relevance_score"), v["is_relevant"].alias("is_relevant"), F.when(F.col("_key").isNull(), "Missing context or abstract").otherwise(v["explanation"]).alias("explanation"), why.alias("error"))
+    label = F.coalesce(F.element_at(labels, F.col("v.relevance_score")), F.lit("Unknown")).alias("score_label")
+    return out.withColumn("v", verdict).select(*contexts.columns, "v.*", label)
 
-    def ask(batches):
+
+def _scored(scorer):
+    def ask_all(batches):
         for b in batches:
             pairs = list(zip(b.column("full_context").to_pylist(), b.column("abstract").to_pylist(), strict=True))
             try:
-                answers = scorer(pairs)
-            except Exception as e:  # a failing service marks its rows, it does not end the run
-                answers = [str(e)] * len(pairs)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, pa.string())], names=[*b.schema.names, "answer"])
+                bodies, errors = scorer(pairs), [None] * len(pairs)
+                if len(bodies) != len(pairs):
+                    raise ValueError("not one answer for each question")
+            except Exception:  # a failing service marks its rows, it does not end the run
+                bodies, errors = [], []
+                for pair in pairs:
+                    try:
+                        (body,), error = scorer([pair]), None
+                    except Exception as e:
+                        body, error = None, str(e) or type(e).__name__
+                    bodies.append(body)
+                    errors.append(error)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(bodies, pa.string()), pa.array(errors, pa.string())], names=["key", "body", "error"])
 
-    got = rows.mapInArrow(ask, schema)
-    labels = F.create_map(*[F.lit(x) for pair in enumerate(P.SCORE_LABELS, 1) for x in pair])
-    return got.withColumn("v", llm_verdict(F.col("answer"))).select(*contexts.columns, "v.*", F.coalesce(F.element_at(labels, F.col("v.relevance_score")), F.lit("Unknown")).alias("score_label"))
+    return ask_all

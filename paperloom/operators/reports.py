@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -58,8 +59,9 @@ def shortened(lines: list[str]) -> str:
 
 def block_ranges(text: str) -> list[tuple[int, int, str]]:
     """(start line, end line, environment) of all blocks by start; ties in the order of the list."""
-    at = lambda i: text.count("\n", 0, i) + 1
-    found = [(at(m.start()), at(m.end()), e) for e in P.BLOCK_ENVS for m in re.finditer(rf"\\begin\{{{re.escape(e)}\}}.*?\\end\{{{re.escape(e)}\}}", text, re.S)]
+    ends = [m.start() for m in re.finditer("\n", text)]
+    at = lambda i: bisect.bisect_left(ends, i) + 1
+    found = [(at(m.start()), at(m.end()), e) for e in P.BLOCK_ENVS if f"\\begin{{{e}}}" in text for m in re.finditer(rf"\\begin\{{{re.escape(e)}\}}.*?\\end\{{{re.escape(e)}\}}", text, re.S)]
     return sorted(found, key=lambda b: b[0])
 
 
@@ -79,14 +81,30 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select("file_path", "content").mapInArrow(run, "file_path string, block_ord int, start_line int, end_line int, block_type string, block_text string")
 
 
-def grouped_findings(findings: DataFrame, blocks_: DataFrame) -> DataFrame:
-    """Findings with a line, under the earliest block that holds it or else their line. A finding meets
-    the blocks of its own file only, gathered as one sorted array."""
+def held_by_blocks(findings: DataFrame, blocks_: DataFrame) -> DataFrame:
+    """``findings`` with ``b``, the earliest block of their file that holds their line (null if none does).
+
+    A block that ends no later than one that begins before it is never the earliest, so only those count that
+    reach further than all before. Their ends rise with their starts: a line's block is the first that ends there
+    or later, if it has begun. Lines and ends of a file are one run from its last line up, with the
+    block seen last as state, so work is linear in both.
+    """
     text = F.col("block_text") if "block_text" in blocks_.columns else F.lit(None).cast("string").alias("block_text")
-    held = blocks_.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("start_line", "block_ord", "end_line", "block_type", text))).alias("blocks"))
-    rows = findings.filter(~F.col("passed") & F.col("line_number").isNotNull()).join(held, "file_path", "left")
-    own = F.get(F.filter("blocks", lambda b: (b["start_line"] <= F.col("line_number")) & (F.col("line_number") <= b["end_line"])), F.lit(0))
-    rows = rows.withColumn("b", own).withColumn("group_line", F.coalesce("b.start_line", "line_number"))
+    block = F.struct("start_line", "end_line", "block_type", text)
+    earlier = Window.partitionBy("file_path").orderBy("start_line", "block_ord").rowsBetween(Window.unboundedPreceding, -1)
+    reach = blocks_.withColumn("_reach", F.coalesce(F.max("end_line").over(earlier), F.lit(0))).filter("end_line > _reach")
+    ends = reach.select("file_path", F.col("end_line").alias("_at"), F.lit(1).alias("_kind"), block.alias("_block"))
+    found = findings.select("file_path", F.col("line_number").alias("_at"), F.lit(0).alias("_kind"), F.struct(*findings.columns).alias("_f"))
+    rows = found.unionByName(ends, allowMissingColumns=True)
+    upward = Window.partitionBy("file_path").orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("b", F.last("_block", ignorenulls=True).over(upward)).filter("_kind = 0")
+    return near.select("_f.*", F.when(F.col("b.start_line") <= F.col("_at"), F.col("b")).alias("b"))
+
+
+def grouped_findings(findings: DataFrame, blocks_: DataFrame) -> DataFrame:
+    """Findings with a line, under the earliest block that holds it or else their line."""
+    rows = held_by_blocks(findings.filter(~F.col("passed") & F.col("line_number").isNotNull()), blocks_)
+    rows = rows.withColumn("group_line", F.coalesce("b.start_line", "line_number"))
     item = F.struct("line_number", "severity", "message")
     return rows.groupBy("file_path", "group_line", F.col("b.block_type").alias("block_type"), F.col("b.end_line").alias("end_line")).agg(F.sort_array(F.collect_list(item)).alias("issues"), F.coalesce(F.first("b.block_text"), F.min("line_content")).alias("line_content"))
 

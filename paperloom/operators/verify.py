@@ -1,13 +1,12 @@
-"""Metadata comparison, the prioritized lookup over catalogues, and fuzzy duplicates."""
+"""Metadata comparison and the prioritized lookup over catalogues."""
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import author_similarity, jaccard, percent, some, title_similarity, tokens
+from ..functions.text import author_similarity, percent, some, title_similarity
 
 
 def compare(pairs: DataFrame, *, bib: str = "b_", found: str = "f_") -> DataFrame:
@@ -46,150 +45,3 @@ def cascade(entries: DataFrame, compared: DataFrame, entry: str = "entry_id") ->
             "source": F.coalesce("source", F.lit("unable")),
         }
     )
-
-
-def arxiv_title_choice(hits: DataFrame, of: list[str], least: float = 0.5) -> DataFrame:
-    """Of each title search's hits (one for each value of ``of``) that with the highest similarity, the first on ties, above ``least``."""
-    rest = F.struct(*[c for c in hits.columns if c not in of])
-    best = hits.groupBy(*of).agg(F.max_by(rest, F.struct("similarity", -F.col("place"))).alias("r"))
-    return best.select(*of, "r.*").filter(F.col("similarity") > least)
-
-
-# Duplicates -----------------------------------------------------------------------------------------
-
-
-def _authors_match(x: Column, y: Column) -> Column:
-    return (x == y) | F.contains(x, y) | F.contains(y, x) | (jaccard(x, y) >= 0.8)
-
-
-def duplicate_author_similarity(a: Column, b: Column) -> Column:
-    """Share of the first list's authors that match any of the second, of all distinct authors; may exceed 1."""
-    hits = F.size(F.filter(a, lambda x: F.exists(b, lambda y: _authors_match(x, y))))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(hits / F.size(F.array_union(a, b)))
-
-
-def similar_pairs(entries: DataFrame) -> DataFrame:
-    """(i, j, score, title_score), i < j, of all pairs with score at least the threshold.
-
-    ``entries``: ord, title (normalized), authors (normalized list). Unless the first list repeats an
-    author, a pair needs title similarity 5/7 at least; then the two titles share a word among the
-    rarest |x| - ceil(|x| * 5/7) + 1 of each. Words are ranked by frequency and only those prefixes
-    meet, where what is left of both titles after the word can still reach the bound. Entries that repeat
-    an author, whose score has no such bound, also meet all entries with an author like one of theirs.
-    """
-    share = (P.DUPLICATE_PAIR - 0.3) / 0.7 - 1e-9
-    words = F.array_distinct(F.filter(F.split("title", r"(?U)\s+"), lambda w: w != ""))
-    e = entries.select("ord", "title", "authors").withColumn("words", words).withColumn("repeats", F.size("authors") > F.size(F.array_distinct("authors")))
-    frequency = e.select(F.explode("words").alias("w")).groupBy("w").count()
-    placed = e.select("ord", F.size("words").alias("n"), F.explode("words").alias("w")).join(frequency, "w")
-    order = Window.partitionBy("ord").orderBy("count", "w")
-    prefix = placed.withColumn("p", F.row_number().over(order)).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(share)) + 1).select("ord", "w", "n", "p")
-    a, b = (prefix.select(F.col("ord").alias(k), "w", F.col("n").alias("n" + k), F.col("p").alias("p" + k)) for k in "ij")
-    close = (F.col("i") < F.col("j")) & (F.col("ni") >= F.col("nj") * share) & (F.col("nj") >= F.col("ni") * share)
-    # Words shared from here on, at most, against those that the similarity needs.
-    close &= 1 + F.least(F.col("ni") - F.col("pi"), F.col("nj") - F.col("pj")) >= share / (1 + share) * (F.col("ni") + F.col("nj")) - F.least("pi", "pj") + 1
-    candidates = a.join(b, "w").filter(close).select("i", "j").distinct()
-    candidates = candidates.unionByName(_by_author(e)).distinct()
-    x, y = (e.select(*[F.col(c).alias(p + c) for c in ("ord", "title", "authors")]) for p in ("x_", "y_"))
-    pairs = candidates.join(x, F.col("i") == F.col("x_ord")).join(y, F.col("j") == F.col("y_ord"))
-    t, au = jaccard(F.col("x_title"), F.col("y_title")), duplicate_author_similarity(F.col("x_authors"), F.col("y_authors"))
-    pairs = pairs.withColumn("title_score", t).withColumn("score", F.when(F.col("title_score") >= P.DUPLICATE_TITLE, F.col("title_score")).otherwise(0.7 * F.col("title_score") + 0.3 * au))
-    return pairs.filter(F.col("score") >= P.DUPLICATE_PAIR).select("i", "j", "score", "title_score")
-
-
-def _by_author(entries: DataFrame) -> DataFrame:
-    """(i, j), i < j, where the authors of i repeat and one of them is like one of j's.
-
-    Like names are equal, or one holds the other, or they share words. If one holds another, its parts of
-    three letters (or the other's length, if less) hold the other's first; so names meet on parts and words.
-    """
-    names = entries.select("ord", "repeats", F.explode(F.array_distinct("authors")).alias("name"))
-    size = F.length("name")
-    cut = lambda k: F.when(size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.concat(F.lit(f"{k}:"), F.substring("name", i, F.lit(k)))))
-    words = F.transform(tokens(F.col("name")), lambda w: F.concat(F.lit("w:"), w))
-    parts = F.flatten(F.array_compact(F.array(F.array(F.lit("0:")), cut(1), cut(2), cut(3), words)))
-    first = F.concat(F.least(F.lit(3), size).cast("string"), F.lit(":"), F.substring("name", 1, 3))
-    distinct = names.groupBy("name").agg(F.bool_or("repeats").alias("odd"))
-    whole = distinct.select("name", "odd", F.explode(F.array_distinct(parts)).alias("part"))
-    begin = distinct.select("name", "odd", F.explode(F.array_distinct(F.concat(F.array(first), words))).alias("part"))
-    x, y = (lambda t: t.select(F.col("name").alias("x"), F.col("odd").alias("xo"), "part")), (lambda t: t.select(F.col("name").alias("y"), F.col("odd").alias("yo"), "part"))
-    met = x(whole).filter("xo").join(y(begin), "part").select("x", "y").unionByName(x(begin).filter("xo").join(y(whole), "part").select("x", "y")).distinct()
-    like = met.filter(_authors_match(F.col("x"), F.col("y")))
-    mine = names.filter("repeats").select(F.col("ord").alias("i"), F.col("name").alias("x"))
-    theirs = names.select(F.col("ord").alias("j"), F.col("name").alias("y"))
-    return mine.join(like, "x").join(theirs, "y").filter("i < j").select("i", "j").distinct()
-
-
-def _roots(edges: DataFrame) -> DataFrame:
-    """(node, root) by spreading least labels, each round cut by a reliable checkpoint."""
-    both = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().checkpoint()
-    labels = both.select(F.col("i").alias("node")).distinct().withColumn("root", F.col("node"))
-    while True:
-        near = both.join(labels, F.col("j") == F.col("node")).groupBy(F.col("i").alias("node")).agg(F.min("root").alias("near"))
-        new = labels.join(near, "node").select("node", F.least("root", "near").alias("root"))
-        jump = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = new.join(jump, "root").select("node", F.least("root", "up").alias("root")).checkpoint()
-        if new.join(labels.withColumnRenamed("root", "old"), "node").filter("root != old").limit(1).count() == 0:
-            return new
-        labels = new
-
-
-def ensure_checkpoint_dir(spark) -> None:
-    """The cluster's shared folder; a temporary one where none is set and the master is local."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        shared = "file://" + tempfile.mkdtemp()
-    spark.sparkContext.setCheckpointDir(shared)
-
-
-def duplicate_groups(entries: DataFrame) -> DataFrame:
-    """Greedy star groups in input order: (anchor, members, score, reason), best score first.
-
-    An anchor takes all later free entries similar to it; taken keys also block equal keys. A decision
-    depends only on pairs and keys of one component, so components are scanned apart from each other.
-    """
-    ensure_checkpoint_dir(entries.sparkSession)
-    pairs = similar_pairs(entries).checkpoint()
-    shared = entries.groupBy("key").agg(F.min("ord").alias("i"), F.count("*").alias("n")).filter("n > 1")
-    same_key = entries.join(shared.select("key", "i"), "key").filter(F.col("ord") > F.col("i")).select("i", F.col("ord").alias("j"))
-    roots = _roots(pairs.select("i", "j").unionByName(same_key))
-    members = entries.select("ord", "key").join(roots, F.col("ord") == F.col("node")).groupBy("root").agg(F.collect_list(F.struct("ord", "key")).alias("rows"))
-    links = pairs.join(roots, F.col("i") == F.col("node")).groupBy("root").agg(F.collect_list(F.struct("i", "j", "score", "title_score")).alias("links"))
-    table = members.join(links, "root").repartition("root")
-
-    def scan(batches):
-        for b in batches:
-            out = []
-            for rows, found in zip(b.column("rows").to_pylist(), b.column("links").to_pylist(), strict=True):
-                score = {(x["i"], x["j"]): (x["score"], x["title_score"]) for x in found}
-                near: dict[int, list[int]] = {}
-                for i, j in sorted(score):
-                    near.setdefault(i, []).append(j)
-                key, taken = {r["ord"]: r["key"] for r in rows}, set()
-                for i in sorted(key):
-                    group = [i] if key[i] not in taken else []
-                    for j in near.get(i, []) if group else []:
-                        if key[j] not in taken:
-                            group.append(j)
-                            taken.add(key[j])
-                    if len(group) > 1:
-                        taken.add(key[i])
-                        out.append((i, group))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in out], pa.int64()), pa.array([g[1] for g in out], pa.list_(pa.int64()))], names=["anchor", "members"])
-
-    groups = table.mapInArrow(scan, "anchor long, members array<long>")
-    # Mean over all pairs of members, similar or not.
-    m = groups.select("anchor", F.explode("members").alias("i"))
-    inner = m.join(m.withColumnRenamed("i", "j"), "anchor").filter("i < j")
-    e = lambda p: entries.select(F.col("ord").alias(p), F.col("title").alias(f"{p}_title"), F.col("authors").alias(f"{p}_authors"))
-    full = inner.join(e("i"), "i").join(e("j"), "j").withColumn("t", jaccard(F.col("i_title"), F.col("j_title")))
-    full = full.withColumn("s", F.when(F.col("t") >= P.DUPLICATE_TITLE, F.col("t")).otherwise(0.7 * F.col("t") + 0.3 * duplicate_author_similarity(F.col("i_authors"), F.col("j_authors"))))
-    means = full.groupBy("anchor").agg(F.avg("s").alias("score"), F.avg("t").alias("t"))
-    reason = F.when(F.col("t") >= 0.95, "Nearly identical titles").when(F.col("t") >= 0.85, "Very similar titles").otherwise("Similar titles and authors")
-    return groups.join(means, "anchor").select("anchor", "members", "score", reason.alias("reason")).orderBy(F.desc("score"), "anchor")

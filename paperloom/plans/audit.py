@@ -3,13 +3,15 @@ derived from their columns (line items cite parts, orders hold labels, documents
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources as S
 from ..functions import text as T
 from ..operators import citations as C
-from ..operators import lookup, rules, verify
+from ..operators import duplicates, lookup, rules, titles, verify
 from ..operators import reports as R
 from ..sources.settings import venues
 from . import manuscripts as M
@@ -216,32 +218,55 @@ def lookup_cascade(spark, d):
 
 
 def _entries(spark, d):
-    """Parts in families of three: the second repeats the title of the first in capitals, the third adds one
-    word, or three words with the same authors, or three words with others."""
-    n, family, member = F.col("p_partkey"), F.expr("p_partkey div 3"), F.col("p_partkey") % 3
-    words = F.array_join(F.transform(F.array(*(F.lit(x) for x in "abcdefgh")), lambda x: F.concat(x, family.cast("string"))), " ")
-    more = F.when(member < 2, "").when(family % 3 == 0, F.format_string(" z%d", n)).otherwise(F.format_string(" x%d y%d z%d", n, n, n))
-    other = (member == 2) & (family % 3 == 2)
-    author = F.when(other, F.format_string("Cy%d Dow", n)).otherwise("Lee, Ann  and M{\\\"u}ller, J{\\'e}r{\\^o}me")
-    title = T.for_comparison(F.when(member == 1, F.upper(words)).otherwise(F.concat(words, more)))
-    return table(spark, d, "part").select(n.alias("ord"), n.cast("string").alias("key"), title.alias("title"), T.duplicate_authors(author).alias("authors"))
+    """Parts as entries: titles of their name and type among words that all have, authors of their brand."""
+    title = F.concat(F.lit("{A} Study of "), "p_name", F.lit("s: \\textbf{Parts} in "), "p_type", F.lit(" Supply"))
+    author = F.concat(F.lit("Lee, "), "p_brand", F.lit("  and M{\\\"u}ller, J{\\'e}r{\\^o}me "), "p_brand")
+    columns = [F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("key")]
+    return table(spark, d, "part").select(*columns, T.for_comparison(title).alias("title"), T.duplicate_authors(author).alias("authors"))
 
 
-_FAMILY = """p AS (SELECT p_partkey AS n, p_partkey // 3 AS f, p_partkey % 3 AS m FROM part),
-g AS (SELECT a.f, a.n AS i, b.n AS j, CASE WHEN b.m < 2 THEN 1.0 WHEN a.f % 3 = 0 THEN 8 / 9.0::DOUBLE ELSE 8 / 11.0::DOUBLE END AS t, CASE WHEN b.m = 2 AND a.f % 3 = 2 THEN 0.0 ELSE 1.0 END AS au FROM p a JOIN p b ON a.f = b.f AND a.n < b.n),
-s AS (SELECT f, i, j, t, CASE WHEN t >= 0.85 THEN t ELSE 0.7 * t + 0.3 * au END AS score FROM g),
-k AS (SELECT * FROM s WHERE score >= 0.8)"""
+#: Classes of equal titles and brands, and all pairs of them: the authors of two brands are never alike.
+_CLASSES = """p AS (SELECT p_partkey AS n, 'a study of ' || lower(p_name) || 's parts in ' || lower(p_type) || ' supply' AS title, p_brand AS brand FROM part),
+k AS (SELECT min(n) AS c, max(n) AS last, count(*) AS n, title, brand, list_distinct(string_split(title, ' ')) AS w FROM p GROUP BY title, brand),
+x AS (SELECT a.c AS i, b.c AS j, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE AS t, CASE WHEN a.brand = b.brand THEN 1.0 ELSE 0.0 END::DOUBLE AS au, b.c < a.last AS turn
+FROM k a JOIN k b ON a.c < b.c OR a.c = b.c AND a.n > 1),
+l AS (SELECT i, j, t, turn AND i < j AS turn, CASE WHEN t >= 0.85 THEN t ELSE 0.7 * t + 0.3 * au END AS score FROM x),
+e AS (SELECT * FROM l WHERE score >= 0.8)"""
 
 
-@query(f"WITH {_FAMILY} SELECT i, j, round(score::DOUBLE, 9) AS score FROM k")
+@query(f"WITH {_CLASSES} SELECT i, j, round(score, 9) AS score, CASE WHEN turn THEN round(score, 9) END AS back, round(t, 9) AS title_score FROM e")
 def duplicate_pairs(spark, d):
-    return verify.similar_pairs(_entries(spark, d)).select("i", "j", F.round("score", 9).alias("score"))
+    """All similar classes, each by its least entry."""
+    links, _ = duplicates.similar_classes(_entries(spark, d))
+    return links.select("i", "j", *[F.round(c, 9).alias(c) for c in ("score", "back", "title_score")])
+
+
+@query(f"WITH {_CLASSES} SELECT p.n AS ord, c AS cls FROM p JOIN k USING (title, brand)")
+def duplicate_classes(spark, d):
+    """The class of every entry."""
+    return duplicates.classes(_entries(spark, d))[0].select("ord", "cls")
+
 
+#: Groups by a scan in order: the first class left takes those left that are similar to it.
+_GROUPS = f"""WITH RECURSIVE {_CLASSES}, near AS (SELECT c, list(o) AS o FROM (SELECT i AS c, j AS o FROM e UNION SELECT j, i FROM e) GROUP BY c),
+scan AS (SELECT NULL::BIGINT AS c, NULL::BIGINT[] AS took, (SELECT list(c ORDER BY c) FROM near) AS left_
+UNION ALL SELECT s.left_[1], list_intersect(s.left_, near.o), list_filter(s.left_[2:], lambda v: NOT list_contains(near.o, v)) FROM scan s JOIN near ON near.c = s.left_[1]),
+m AS (SELECT DISTINCT scan.c AS anchor, k.c AS cls, k.n FROM scan JOIN k ON list_contains(took, k.c) OR k.c = scan.c),
+g AS (SELECT anchor FROM m GROUP BY anchor HAVING sum(n) > 1)"""
 
-@query(f"""WITH {_FAMILY} SELECT min(i) AS anchor, list_sort(list_distinct(list_concat(list(i), list(j)))) AS members, round(avg(score)::DOUBLE, 9) AS score,
-CASE WHEN avg(t) >= 0.95 THEN 'Nearly identical titles' WHEN avg(t) >= 0.85 THEN 'Very similar titles' ELSE 'Similar titles and authors' END AS reason FROM k GROUP BY f""")
+
+@query(f"""{_GROUPS} SELECT a.anchor, (SELECT sum(n) FROM m WHERE m.anchor = a.anchor)::BIGINT AS size, round(sum(score * z) / sum(z), 9) AS score,
+CASE WHEN sum(t * z) / sum(z) >= 0.95 THEN 'Nearly identical titles' WHEN sum(t * z) / sum(z) >= 0.85 THEN 'Very similar titles' ELSE 'Similar titles and authors' END AS reason
+FROM (SELECT a.anchor, l.score, l.t, CASE WHEN a.cls = b.cls THEN a.n * (a.n - 1) / 2 ELSE a.n * b.n END AS z FROM m a JOIN m b ON a.anchor = b.anchor AND a.cls <= b.cls JOIN l ON l.i = a.cls AND l.j = b.cls) a JOIN g USING (anchor) GROUP BY a.anchor""")
 def duplicate_groups(spark, d):
-    return verify.duplicate_groups(_entries(spark, d)).select("anchor", "members", F.round("score", 9).alias("score"), "reason")
+    found, _ = duplicates.groups(_entries(spark, d))
+    return found.withColumn("score", F.round("score", 9))
+
+
+@query(f"{_GROUPS} SELECT anchor, p.n AS ord FROM m JOIN g USING (anchor) JOIN k ON k.c = cls JOIN p USING (title, brand)")
+def duplicate_members(spark, d):
+    """The members of every group, a row each."""
+    return duplicates.group_members(_entries(spark, d)).select("anchor", "ord")
 
 
 def _label_lines(spark, d):
@@ -352,26 +377,41 @@ def catalogue_lookup(spark, d):
     return best.select("entry_id", F.when(F.col("is_match"), F.col("source")).otherwise("no match").alias("source"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS n, 'a' || p_partkey || ' b' || p_partkey || ' c' || p_partkey || ' d' || p_partkey || ' e' || p_partkey AS t FROM part)
-SELECT n AS entry_id, step, source, CASE step WHEN 6 THEN replace(t, 'c', 'x') ELSE replace(replace(t, 'c', 'x'), 'd', 'y') END AS f_title,
-round(greatest(CASE step WHEN 6 THEN 4 / 6.0 ELSE 3 / 7.0 END, 1 - (CASE step WHEN 6 THEN 1 ELSE 2 END) / length(t)::DOUBLE)::DOUBLE, 9) AS title_similarity
-FROM p, (VALUES (6, 'crossref', 2), (3, 'dblp', 3)) AS v(step, source, k) WHERE n % k = 0
-UNION ALL SELECT n, 5, 'arxiv', replace(t, 'c', 'x'), round(greatest(4 / 6.0, 1 - 1 / length(t)::DOUBLE)::DOUBLE, 9) FROM p WHERE n % 5 = 0""")
+#: Titles by source as (divisor of the parts it knows, pieces in front of and between their columns).
+_KNOWN = {"crossref": (2, "The {p_name} by {p_brand}"), "dblp": (3, "{p_type} {p_name} of size {p_size} made by {p_brand}"), "arxiv": (5, "On {p_name}s: {p_type} supply")}
+_ASKED = "{p_type} {p_name} made by {p_brand}, size {p_size}"
+
+
+def _pieces(pattern: str) -> list[tuple[bool, str]]:
+    """(is a column, text) of a title pattern."""
+    return [(i % 2 == 1, x) for i, x in enumerate(re.split(r"\{(\w+)\}", pattern)) if x]
+
+
+def _said(pattern: str):
+    return T.for_comparison(F.concat(*[F.col(x).cast("string") if column else F.lit(x) for column, x in _pieces(pattern)]))
+
+
+def _words_sql(pattern: str) -> str:
+    whole = " || ".join(f"{x}::VARCHAR" if column else f"'{x}'" for column, x in _pieces(pattern))
+    return f"list_distinct(list_filter(string_split(regexp_replace(lower({whole}), '[^a-z0-9 ]', '', 'g'), ' '), lambda x: x <> ''))"
+
+
+@query(f"""WITH t AS ({" UNION ALL ".join(f"SELECT '{s}' AS source, p_partkey AS rank, {_words_sql(x)} AS y FROM part WHERE p_partkey % {k} = 0" for s, (k, x) in _KNOWN.items())}),
+q AS (SELECT min(p_partkey) AS q, {_words_sql(_ASKED)} AS x FROM part GROUP BY x), u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source, list_sort(y) ORDER BY rank) <= 3),
+s AS (SELECT q, source, rank, len(list_intersect(x, y)) AS o, len(x) AS n, len(y) AS m FROM q, u), b AS (SELECT q, source, rank, o / (n + m - o)::DOUBLE AS similarity FROM s WHERE o > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q, source ORDER BY similarity DESC, rank) AS place FROM b WHERE similarity >= 0.25)
+SELECT p.p_partkey AS question, r.source, r.rank, r.place::INT AS place, round(similarity, 9) AS similarity FROM r JOIN q USING (q) JOIN part p ON {_words_sql(_ASKED)} = q.x WHERE place <= 3""")
 def title_search(spark, d):
-    """Titles of five words; catalogues know some of them with other words, and titles that share fewer words."""
-    n = F.col("p_partkey")
-    said = lambda *words: F.concat_ws(" ", *(F.concat(F.lit(w), n) for w in words))
+    """The best three titles that each of three catalogues has for every part's."""
     p = table(spark, d, "part")
-    empty = {c: F.lit("") for c in ("doi", "arxiv_id")}
-    entries = p.select(n.alias("entry_id"), said(*"abcde").alias("title"), F.lit("A B").alias("author"), F.lit("2020").alias("year")).withColumns(empty)
-    record = lambda source, k, rank, words: p.filter(n % k == 0).select(F.lit(source).alias("source"), F.lit(rank).alias("rank"), said(*words).alias("title"), F.array(F.lit("A B")).alias("authors"), F.lit("2020").alias("year"), F.lit("").alias("abstract")).withColumns(empty)
-    catalogue = record("crossref", 2, 2, "abxde")
-    # Near titles, decoys of a lower rank, and arXiv records that share too little.
-    for source, k, rank, words in [("crossref", 2, 1, "abuvw"), ("dblp", 3, 1, "abxye"), ("arxiv", 5, 3, "abxde"), ("arxiv", 5, 1, "abuvw"), ("arxiv", 7, 1, "auvwz")]:
-        far = record(source, k, rank, words)
-        catalogue = catalogue.unionByName(far.filter("NOT (source = 'arxiv' AND rank = 1 AND title LIKE 'a%z%' AND cast(substr(split(title, ' ')[0], 2) AS int) % 5 = 0)"))
-    found = lookup.lookups(entries, catalogue)
-    return found.select("entry_id", F.col("step_ord").alias("step"), "source", "f_title", F.round("title_similarity", 9).alias("title_similarity"))
+    theirs = None
+    for source, (k, pattern) in _KNOWN.items():
+        known = p.filter(F.col("p_partkey") % k == 0).select(F.lit(source).alias("source"), F.col("p_partkey").alias("rank"), _said(pattern).alias("_title"))
+        theirs = known if theirs is None else theirs.unionByName(known)
+    index = titles.title_index(theirs.withColumn("id", F.xxhash64("source", "rank")))
+    asked = p.select("p_partkey", _said(_ASKED).alias("title"), F.explode(F.array(*map(F.lit, _KNOWN))).alias("source"))
+    found = titles.search(asked.withColumn("question", F.struct("p_partkey", "source")), index, hits=3).filter(F.col("similarity") >= titles.BOUNDS[-1])
+    return found.select(F.col("question.p_partkey").alias("question"), "question.source", "rank", "place", F.round("similarity", 9).alias("similarity"))
 
 
 @query("""SELECT p_partkey, s AS source, CASE s WHEN 'dblp' THEN p_name ELSE p_name || '.' END AS title, CASE s WHEN 'dblp' THEN ['Ann Lee'] ELSE ['Ann Lee', 'Bo ' || p_brand] END AS authors, (1990 + p_size % 30)::VARCHAR AS year,

@@ -1,11 +1,13 @@
 """Manuscripts made of the documents table: each starts with one of a few passages that are known to raise
-certain findings, and goes on with the document's whole text, of which letters and line ends are kept (a letter before each line, as some rules look at starts)."""
+certain findings, and goes on with the document's whole text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+
 #: Passages and what the rules must say about each: (checker, rule, severity, line, message, line content, suggestion).
 _ADD_T, _MOVE_T = "Add \\caption{} before \\begin{tabular}", "Move \\caption{} before \\begin{tabular}"
 _ADD_F, _MOVE_F = "Add \\caption{} after \\includegraphics", "Move \\caption{} after \\includegraphics"
@@ -134,14 +136,50 @@ def _values() -> str:
     return ", ".join("(" + ", ".join(map(sql_value, r)) + ")" for r in rows)
 
 
-#: Every finding on every manuscript, as SQL over the documents table.
-FINDINGS_SQL = f"""SELECT 'doc' || doc_id || '.tex' AS file_path, c AS checker_name, r AS rule_id, r = 'R32' AS passed, s AS severity, l::INT AS line_number, m AS message, t AS line_content, a AS suggestion
-FROM documents JOIN (VALUES {_values()}) AS v(k, c, r, s, l, m, t, a) ON doc_id % {len(PASSAGES)} = k"""
+def _line_rules() -> str:
+    """SELECTs of the findings that single lines (f, at, line, live) of texts raise, by the same fixed patterns."""
+    beside = {r"(?!\*)": "(?:[^*]|$)", r"(?<!\*)": "(?:^|[^*])", "(?!`)": "(?:[^`]|$)", "(?<!`)": "(?:^|[^`])", r"\w": r"[\p{L}\p{M}\p{N}_]"}
+
+    def text(pattern: str) -> str:
+        for ours, theirs in beside.items():
+            pattern = pattern.replace(ours, theirs)
+        return sql_value(pattern)
+
+    def row(checker, rule, severity, message, content, advice, when) -> str:
+        return f"SELECT f, '{checker}' AS c, '{rule}' AS r, '{severity}' AS s, at AS l, {message} AS m, {content} AS t, {advice} AS a FROM live WHERE {when}"
+
+    weak = " ".join(f"WHEN regexp_matches(live, {text(x)}, 'i') THEN {sql_value(name)}" for x, name in P.WEAK)
+    out = [row("sentence", "R18", "info", f"CASE {weak} END", "left(trim(line), 80)", "NULL", f"CASE {weak} END IS NOT NULL")]
+    for rule, title, patterns, chars in (("R19", "Hedging language", P.HEDGING, 30), ("R20", "Redundant phrase", P.REDUNDANT, 999)):
+        for x, advice in patterns:
+            message = f"'{title}: ' || chr(39) || left(regexp_extract(live, {text(x)}, 0, 'i'), {chars}) || chr(39)"
+            out.append(row("sentence", rule, "info", message, "NULL", sql_value(advice), f"regexp_matches(live, {text(x)}, 'i')"))
+    for x, name in P.MARKDOWN:
+        when = f"regexp_matches(live, {text(x)})"
+        when += " AND NOT contains(live, '$')" if name in ("Markdown bullet point", "Markdown italic") else ""
+        when += r" AND NOT regexp_matches(live, '[-+]\d')" if name == "Markdown bullet point" else ""
+        out.append(row("ai_artifacts", "R17", "info", sql_value(f"Possible {name} in LaTeX"), "left(trim(line), 100)", sql_value(_LATEX), when))
+    return "\nUNION ALL ".join(out)
+
+
+#: Every finding on every manuscript, as SQL over the documents table: those of its passage, and those that the
+#: document's lines raise. An ampersand counts outside comments, and outside the stretch from the first dollar
+#: sign to the last (texts have them three at a time, which opens and closes formulas throughout).
+FINDINGS_SQL = rf"""WITH texts AS (SELECT 'doc' || doc_id || '.tex' AS f, doc_id % {len(PASSAGES)} AS k, coalesce(text, '') AS x FROM documents),
+starts(k, n) AS (VALUES {", ".join(f"({k}, {p.count(chr(10)) + 1})" for k, (p, _) in enumerate(PASSAGES))}),
+cut AS (SELECT f, n, string_split(x, chr(10)) AS y, instr(x, '$') AS first, length(x) - instr(reverse(x), '$') + 1 AS last FROM texts JOIN starts USING (k)),
+numbered AS (SELECT f, n, y, first, CASE WHEN first = 0 THEN 0 ELSE last END AS last, unnest(range(1, len(y) + 1)) AS i FROM cut),
+lines AS (SELECT f, n + i AS at, y[i] AS line, first, last, sum(length(y[i]) + 1) OVER (PARTITION BY f ORDER BY i) - length(y[i]) - 1 AS before FROM numbered),
+live AS (SELECT *, regexp_replace(line, '%.*', '') AS live FROM lines WHERE NOT regexp_matches(line, '^\s*%')),
+amp AS (SELECT f, at, line, unnest(list_filter(range(1, length(live) + 1), lambda j: live[j] = '&' AND NOT regexp_matches(line[j:], '^&[a-zA-Z]+;') AND (first = 0 OR before + j < first OR before + j > last))) AS j FROM live WHERE contains(live, '&')),
+found AS ({_line_rules()}
+UNION ALL SELECT f, 'formatting', 'R11', 'warning', at, 'Unescaped & outside tabular/math environment', left(trim(line), 100), 'Use \& to escape' FROM amp
+UNION ALL SELECT f, c, r, s, l, m, t, a FROM texts JOIN (VALUES {_values()}) AS v(k, c, r, s, l, m, t, a) USING (k))
+SELECT f AS file_path, c AS checker_name, r AS rule_id, r = 'R32' AS passed, s AS severity, l::INT AS line_number, m AS message, t AS line_content, a AS suggestion FROM found"""
 
 
 def manuscripts(spark, sf_dir: str) -> DataFrame:
-    """(file_path, content) of all documents."""
+    """(file_path, content) of all documents: a passage, then the whole text."""
     passages = F.array(*(F.lit(p) for p, _ in PASSAGES))
-    own = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z\n ]", ""), "\n", "\nz ")
     head = F.element_at(passages, (F.col("doc_id") % len(PASSAGES) + 1).cast("int"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.format_string("doc%d.tex", "doc_id").alias("file_path"), F.concat(head, F.lit("\nz "), own).alias("content"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.format_string("doc%d.tex", "doc_id").alias("file_path"), F.concat_ws("\n", head, F.coalesce("text", F.lit(""))).alias("content"))

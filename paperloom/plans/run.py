@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import duplicate_authors, for_comparison, some
 from ..operators import citations as C
+from ..operators import duplicates as find
 from ..operators import lookup, reports, rules, verify
+from ..operators.shared import ensure_checkpoint_dir
 from ..sources import bib_entries, lines_of, read_texts
 from ..sources.settings import VENUES, Settings
 
@@ -60,26 +62,26 @@ def audit(spark: SparkSession, settings: Settings, catalogue: DataFrame | None =
     if settings.check_duplicates:
         out.duplicates = duplicates(entries)
     if catalogue is not None and (settings.check_metadata or settings.check_relevance):
-        found = lookup.lookups(entries, catalogue, settings.workflow or None)
+        ready = lookup.prepared(catalogue)
+        found = lookup.lookups(entries, ready, settings.workflow or None)
         if settings.check_metadata:
             out.verified = verify.cascade(entries, found)
         if settings.check_relevance and scorer is not None:
             places = C.cited_contexts(lines).select("file_path", "line_number", "key", "full_context")
             asked = places.join(entries.select("key", "entry_id"), "key")
-            out.relevance = lookup.relevance(asked, lookup.abstracts(entries, found), scorer)
+            out.relevance = lookup.relevance(asked, lookup.abstracts(entries, found, ready), scorer)
     return out
 
 
 def duplicates(entries: DataFrame) -> DataFrame:
     """Duplicate groups by key: (keys, score, reason). Input order is that of files by path, then place."""
     # Row numbers of range-dealt, sorted rows rise in input order; they are stored before use, as another run may deal anew.
-    verify.ensure_checkpoint_dir(entries.sparkSession)
+    ensure_checkpoint_dir(entries.sparkSession)
     dealt = entries.repartitionByRange("file_path", "entry_ord").sortWithinPartitions("file_path", "entry_ord")
     rows = dealt.select(F.monotonically_increasing_id().alias("ord"), "key", for_comparison(F.col("title")).alias("title"), duplicate_authors(some("author")).alias("authors")).checkpoint()
-    groups = verify.duplicate_groups(rows)
-    members = groups.select("anchor", "score", "reason", F.explode("members").alias("ord")).join(rows.select("ord", "key"), "ord")
-    keyed = members.groupBy("anchor", "score", "reason").agg(F.sort_array(F.collect_list(F.struct("ord", "key"))).alias("m"))
-    return keyed.select(F.col("m.key").alias("keys"), "score", "reason").orderBy(F.desc("score"), "keys")
+    groups, members = find.groups(rows)
+    keyed = members.join(rows.select("ord", "key"), "ord").groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("ord", "key"))).alias("m"))
+    return groups.join(keyed, "anchor").select(F.col("m.key").alias("keys"), "score", "reason").orderBy(F.desc("score"), "keys")
 
 
 def _place(path: str, root: str) -> Path:

@@ -217,6 +217,14 @@ def scholar_result(title: Column, byline: Column, footer: Column) -> Column:
     )
 
 
+def scholar_page(body: Column) -> Column:
+    """The results of a result page as an array; a page without any gives none."""
+    blocks = F.regexp_extract_all(some(body), F.lit(r'(?s)<div class="gs_ri">(.*?)(?=<div class="gs_ri">|\z)'), 1)
+    words = lambda x: normalize_whitespace(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), "&nbsp;|\u00a0", " "))
+    part = lambda x, tag, name: words(F.regexp_extract(x, rf'(?s)<{tag}[^>]*class="{name}[^"]*"[^>]*>(.*?)</{tag}>', 1))
+    return F.filter(F.transform(blocks, lambda x: scholar_result(part(x, "h3", "gs_rt"), part(x, "div", "gs_a"), part(x, "div", "gs_fl"))), lambda r: r["title"] != "")
+
+
 def llm_verdict(body: Column) -> Column:
     """Score, relevance and error of a scorer's answer: its first flat object, else the whole text."""
     flat = F.regexp_extract(some(body), r"(?s)\{[^{}]*\}", 0)

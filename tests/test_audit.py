@@ -7,7 +7,7 @@ from paperloom import sources as S
 from paperloom.functions import text as T
 from paperloom.operators import citations as C
 from paperloom.operators import reports as R
-from paperloom.operators import rules, verify
+from paperloom.operators import duplicates, rules, verify
 
 
 def scalar(spark, make, *values):
@@ -109,7 +109,7 @@ def test_duplicate_groups_against_plain_scan(spark):
             taken.add(x[3])
             want.append(group)
     e = spark.createDataFrame(rows, "ord long, title string, authors array<string>, key string")
-    assert sorted(r.members for r in verify.duplicate_groups(e).collect()) == sorted(want)
+    assert sorted(r.members for r in duplicates.duplicate_groups(e).collect()) == sorted(want)
 
 
 RULES = [

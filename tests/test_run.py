@@ -50,8 +50,13 @@ def test_lookup_and_relevance(spark):
     catalogue = spark.createDataFrame(CATALOGUE, SCHEMA)
     found = lookup.lookups(entries, catalogue)
     got = {(r["entry_id"], r["step_ord"]): r for r in found.collect()}
-    # Step 3 finds a title for the first entry that shares a word, which does not match.
-    assert set(got) == {(1, 0), (1, 3), (1, 5), (2, 1), (2, 3)} and got[2, 3]["is_match"] and got[2, 3]["f_year"] == "2021" and not got[2, 1]["is_match"] and not got[1, 3]["is_match"]
+    # The first entry is asked by its id alone; by title step 3 finds one for it that shares a word, which does not match.
+    assert set(got) == {(1, 0), (2, 1), (2, 3)} and got[2, 3]["is_match"] and got[2, 3]["f_year"] == "2021" and not got[2, 1]["is_match"]
+    titles = lookup.lookups(entries, catalogue, ["dblp"]).collect()
+    assert {r["entry_id"]: r["is_match"] for r in titles} == {1: False, 2: True}
+    _, asked = lookup.staged(entries, catalogue)
+    # All steps whose source has records and whose key an entry has, until one matches.
+    assert sorted((r["step"], r["entry_id"]) for r in asked.collect()) == [("arxiv_id", 1), ("arxiv_title", 4), ("crossref_doi", 2), ("crossref_title", 4), ("dblp", 2), ("dblp", 4)]
     best = {r["entry_id"]: (r["source"], r["is_match"]) for r in verify.cascade(entries, found).collect()}
     assert best == {1: ("arxiv", True), 2: ("dblp", True), 3: ("unable", False), 4: ("unable", False)}
     accents = spark.createDataFrame([(9, "Un modèle", "M{\\\"u}ller, J{\\'e}r{\\^o}me", "2020", "", "", "")], entries.schema)
