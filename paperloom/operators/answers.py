@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import ensure_checkpoint_dir
+from .shared import stored
 
 #: Requests of a lane in one wave.
 WAVE = 500
@@ -121,13 +121,12 @@ class Answers:
 def ask(requests: DataFrame, answers: Answers, send: Callable, policies: dict[str, Policy] = POLICIES, *, wave: int = WAVE) -> DataFrame:
     """Ask what ``answers`` lacks of ``requests`` (source, kind, key, payload) and keep it; the good answers of all
     requests (source, kind, key, body). Requests with the same name are one. Sources without a policy are not asked."""
-    ensure_checkpoint_dir(requests.sparkSession)
     named = requests.groupBy("source", "kind", "key").agg(F.min("payload").alias("payload")).filter(F.col("source").isin(*policies))
     lanes = F.create_map(*[x for s, p in policies.items() for x in (F.lit(s), F.lit(p.lanes))])
     lane = F.pmod(F.xxhash64("kind", "key"), lanes[F.col("source")])
     todo = named.join(answers.good().select("source", "kind", "key"), ["source", "kind", "key"], "left_anti").withColumn("lane", lane)
     turn = F.row_number().over(Window.partitionBy("source", "lane").orderBy("kind", "key"))
-    todo = todo.withColumn("wave", F.floor((turn - 1) / wave)).checkpoint()
+    todo = stored(todo.withColumn("wave", F.floor((turn - 1) / wave)))
     waves = todo.agg(F.max("wave")).first()[0]
     open_ = dict(policies)
     for n in range(0 if waves is None else waves + 1):
@@ -136,7 +135,7 @@ def ask(requests: DataFrame, answers: Answers, send: Callable, policies: dict[st
         dealt = now.repartition(max(1, count), "source", "lane").sortWithinPartitions("source", "lane", "kind", "key")
         got = dealt.select("source", "kind", "key", "payload", "lane").mapInArrow(_sender(send, open_), ANSWER)
         # The answers are written once; what is read of them below is the written rows.
-        got = got.checkpoint()
+        got = stored(got)
         answers.add(got)
         for r in got.filter("closed").select("source").distinct().collect():  # of the few sources
             open_.pop(r["source"], None)

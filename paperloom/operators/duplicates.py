@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import jaccard, tokens
-from .shared import ensure_checkpoint_dir, join_spread, pairs_by_key
+from .shared import join_spread, pairs_by_key, stored
 
 #: Titles must share this at least, unless an author is repeated.
 TITLE_SHARE = (P.DUPLICATE_PAIR - 0.3) / 0.7 - 1e-9
@@ -41,14 +41,22 @@ def _score(t: Column, authors: Column) -> Column:
 
 
 def classes(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ord, key, cls) of every entry, and of every class: cls, last (its greatest ord), n, title, authors."""
-    ensure_checkpoint_dir(entries.sparkSession)
+    """(ord, key, cls) of every entry, and of every class: cls, last (its greatest ord), n, words (of its title), authors,
+    share (what another title must share with it at least if it comes first)."""
     title, authors = F.coalesce("title", F.lit("")).alias("title"), F.coalesce("authors", F.array().cast("array<string>")).alias("authors")
     key = F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key")
-    held = entries.select("ord", key, title, authors).checkpoint()
-    kinds = held.groupBy("title", "authors").agg(F.min("ord").alias("cls"), F.max("ord").alias("last"), F.count("*").alias("n")).checkpoint()
-    members = held.join(kinds.select("title", "authors", "cls"), ["title", "authors"]).select("ord", "key", "cls").checkpoint()
-    return members, kinds
+    held = stored(entries.select("ord", key, title, authors))
+    kinds = stored(held.groupBy("title", "authors").agg(F.min("ord").alias("cls"), F.max("ord").alias("last"), F.count("*").alias("n")))
+    members = stored(held.join(kinds.select("title", "authors", "cls"), ["title", "authors"]).select("ord", "key", "cls"))
+    repeats = F.size("authors") / F.greatest(F.lit(1), F.size(F.array_distinct("authors")))
+    share = (P.DUPLICATE_PAIR - 0.3 * F.greatest(F.lit(1.0), repeats)) / 0.7 - 1e-9
+    return members, stored(kinds.select("cls", "last", "n", tokens(F.col("title")).alias("words"), "authors", share.alias("share")))
+
+
+def _title_score(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two sets of words; empty ones are like none."""
+    common = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(common / (F.size(x) + F.size(y) - common))
 
 
 def _candidates(kinds: DataFrame) -> DataFrame:
@@ -60,19 +68,21 @@ def _candidates(kinds: DataFrame) -> DataFrame:
     the bound on its title is less: the longer prefix of such a class meets all words of others. Where
     even titles without a common word may do, classes meet on like names.
     """
-    words = F.array_distinct(F.filter(F.split("title", r"(?U)\s+"), lambda w: w != ""))
-    repeats = F.size("authors") / F.greatest(F.lit(1), F.size(F.array_distinct("authors")))
-    k = kinds.select("cls", "authors", words.alias("words"), ((P.DUPLICATE_PAIR - 0.3 * F.greatest(F.lit(1.0), repeats)) / 0.7 - 1e-9).alias("share"))
+    k = kinds.select("cls", "authors", "words", "share")
     posted = k.select("cls", "share", F.size("words").alias("n"), F.explode("words").alias("w"))
     frequency = posted.groupBy("w").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("cls").orderBy("often", "w"))
-    placed = posted.join(frequency, "w").withColumn("p", place).select("cls", "w", "n", "p", "share").checkpoint()
+    placed = stored(posted.join(frequency, "w").withColumn("p", place).select("cls", "w", "n", "p", "share"))
     prefix = lambda share: F.col("p") <= F.col("n") - F.ceil(F.col("n") * share) + 1
     met = pairs_by_key(placed.filter(prefix(F.lit(TITLE_SHARE))).drop("share"), "w", "cls")
     close = (F.col("n_i") >= F.col("n_j") * TITLE_SHARE) & (F.col("n_j") >= F.col("n_i") * TITLE_SHARE)
     # Words shared from here on, at most, against those that the similarity needs.
     close &= 1 + F.least(F.col("n_i") - F.col("p_i"), F.col("n_j") - F.col("p_j")) >= TITLE_SHARE / (1 + TITLE_SHARE) * (F.col("n_i") + F.col("n_j")) - F.least("p_i", "p_j") + 1
     found = met.filter(close).select(F.col("cls_i").alias("x"), F.col("cls_j").alias("y"))
+    # Lists that repeat a name are rare; their joins are planned where there are any.
+    least = k.agg(F.min("share")).first()[0]
+    if least is None or least >= TITLE_SHARE - 1e-6:
+        return found.select(F.col("x").alias("i"), F.col("y").alias("j")).distinct()
     odd = placed.filter((F.col("share") < TITLE_SHARE - 1e-6) & (F.col("share") > 0)).filter(prefix(F.col("share")))
     wide = join_spread(odd.select("w", F.col("cls").alias("x"), F.col("n").alias("nx"), "share"), placed.select("w", F.col("cls").alias("y"), F.col("n").alias("ny")), "w")
     wide = wide.filter("x != y AND nx >= ny * share AND ny >= nx * share").select("x", "y")
@@ -107,11 +117,13 @@ def _by_author(k: DataFrame) -> DataFrame:
 def class_links(kinds: DataFrame) -> DataFrame:
     """(i, j, score, back, title_score), i <= j, of similar classes: ``score`` of an entry of i before one of j,
     ``back`` of one of j before one of i (null where too low or there is none). A class that is similar to itself has i = j."""
-    x, y = (kinds.select(*[F.col(c).alias(p + c) for c in ("cls", "last", "title", "authors")]) for p in ("x_", "y_"))
+    columns = ("cls", "last", "words", "authors", "share")
+    x, y = (kinds.select(*[F.col(c).alias(p + c) for c in columns]) for p in ("x_", "y_"))
     pairs = _candidates(kinds).join(x, F.col("i") == F.col("x_cls")).join(y, F.col("j") == F.col("y_cls"))
-    itself = kinds.filter("n > 1").select("cls", "last", "title", "authors")
-    itself = itself.select(F.col("cls").alias("i"), F.col("cls").alias("j"), *[F.col(c).alias(p + c) for p in ("x_", "y_") for c in ("cls", "last", "title", "authors")])
-    pairs = pairs.select(itself.columns).unionByName(itself).withColumn("title_score", jaccard(F.col("x_title"), F.col("y_title")))
+    itself = kinds.filter("n > 1").select(F.col("cls").alias("i"), F.col("cls").alias("j"), *[F.col(c).alias(p + c) for p in ("x_", "y_") for c in columns])
+    pairs = pairs.select(itself.columns).unionByName(itself).withColumn("title_score", _title_score(F.col("x_words"), F.col("y_words")))
+    # Titles first: most pairs end there, before authors are compared.
+    pairs = pairs.filter(F.col("title_score") >= F.least("x_share", "y_share"))
     enough = lambda s: F.when(s >= P.DUPLICATE_PAIR, s)
     there = _score(F.col("title_score"), author_similarity(F.col("x_authors"), F.col("y_authors")))
     back = _score(F.col("title_score"), author_similarity(F.col("y_authors"), F.col("x_authors")))
@@ -139,47 +151,84 @@ def similar_pairs(entries: DataFrame) -> DataFrame:
 def group_members(entries: DataFrame) -> DataFrame:
     """(anchor, ord, cls) of the greedy groups in input order, the anchors among them."""
     links, members = similar_classes(entries)
-    return _grouped(links.checkpoint(), members)
+    return _grouped(stored(links), members)
 
 
 def _grouped(links: DataFrame, members: DataFrame) -> DataFrame:
     """In the order of ord, an entry whose key is free is an anchor and takes, of each free key, the first later
     entry similar to it; these keys are taken then, and its own if there was any.
 
-    Rounds over tables: of a class only its first free entry can take anything, as the later ones reach no
-    more. It may decide as soon as no undecided class with an earlier one touches what it touches: the
-    classes it reaches, and the keys there and its own that several classes have. So a round settles all
-    classes that are first among their neighbours, and gives what a scan in order gives.
+    Rounds over tables. Of a class only its first free entry can take anything, as later ones reach no more. It is
+    an anchor once no undecided class with an earlier one reaches its class, or a key that it shares with
+    other entries. Anchors block all later entries of what they reach; an entry's anchor is the first of all that
+    reach it. If an anchor's own key is shared, it also waits for all earlier ones that reach what it reaches,
+    as it takes its own key only if something is left for it. Classes that are first among their neighbours decide
+    in one round, which gives what a scan in order gives.
     """
-    spark = members.sparkSession
     edges = links.filter("score IS NOT NULL").select(F.col("i").alias("c"), F.col("j").alias("d"))
-    edges = edges.unionByName(links.filter("back IS NOT NULL").select(F.col("j").alias("c"), F.col("i").alias("d"))).checkpoint()
+    edges = stored(edges.unionByName(links.filter("back IS NOT NULL").select(F.col("j").alias("c"), F.col("i").alias("d"))))
     reached = edges.select(F.col("c").alias("cls")).unionByName(edges.select(F.col("d").alias("cls"))).distinct()
-    free = members.join(reached, "cls", "left_semi").checkpoint()
-    units = free.groupBy("cls", "key").agg(F.count("*").alias("n"))
-    common = units.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    in_common = units.join(common, "key").select(F.col("cls").alias("d"), F.concat(F.lit("key "), "key").alias("r"))
-    a_class = lambda c: F.concat(F.lit("class "), F.col(c).cast("string")).alias("r")
-    touch = edges.select("c", a_class("d")).unionByName(edges.select("c", a_class("c"))).unionByName(edges.join(in_common, "d").select("c", "r"))
-    touch = touch.unionByName(in_common.withColumnRenamed("d", "c").join(edges, "c", "left_semi").select("c", "r")).distinct().checkpoint()
-    starts = lambda entries, of: entries.join(of, F.col("cls") == F.col("c"), "left_semi").groupBy(F.col("cls").alias("c")).agg(F.min_by(F.struct("ord", "key"), "ord").alias("s")).select("c", F.col("s.ord").alias("anchor"), F.col("s.key").alias("key"))
-    open_ = starts(free, edges.select("c").distinct()).checkpoint()
-    out = [spark.createDataFrame([], "anchor long, ord long, cls long")]
-    while not open_.isEmpty():
-        now = touch.join(open_.select("c", "anchor"), "c")
-        first = now.groupBy("r").agg(F.min("anchor").alias("first"))
-        waits = now.join(first, "r").filter("anchor > first").select("c").distinct()
-        settled = open_.join(waits, "c", "left_anti").checkpoint()
-        reach = settled.select("c", "anchor").join(edges, "c").select("anchor", F.col("d").alias("cls"))
-        took = free.join(reach, "cls").filter("ord > anchor").groupBy("anchor", "key").agg(F.min_by(F.struct("ord", "cls"), "ord").alias("m")).select("anchor", "key", "m.ord", "m.cls").checkpoint()
-        grown = settled.join(took, "anchor", "left_semi")
-        out += [took.select("anchor", "ord", "cls"), grown.select("anchor", F.col("anchor").alias("ord"), F.col("c").alias("cls"))]
-        taken = took.select("key").unionByName(grown.select("key")).distinct()
-        free = free.join(taken, "key", "left_anti").checkpoint()
-        open_ = starts(free, open_.join(settled, "c", "left_anti").select("c")).checkpoint()
-        gone = taken.select(F.concat(F.lit("key "), "key").alias("r"))
-        touch = touch.join(open_, "c", "left_semi").join(gone, "r", "left_anti").checkpoint()
-    return reduce(DataFrame.unionByName, out)
+    units = members.join(reached, "cls", "left_semi").groupBy("cls", "key").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("n"))
+    several = units.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key", F.lit(True).alias("common"))
+    units = stored(units.join(several, "key", "left").select("cls", "key", "lo", "hi", F.coalesce("common", F.lit(False)).alias("common")))
+    some_common = not units.filter("common").isEmpty()
+    a_class, a_key = (lambda c: F.concat(F.lit("class "), F.col(c).cast("string")).alias("r")), F.concat(F.lit("key "), F.col("key")).alias("r")
+    starts = edges.select(F.col("c").alias("cls")).distinct()
+    free = units.join(starts, "cls", "left_semi").select("cls", "key", "lo", "common")
+    need, reach = starts.select(F.col("cls").alias("c"), a_class("cls")), edges.select("c", a_class("d"))
+    if some_common:
+        own = free.filter("common").select(F.col("cls").alias("c"), a_key)
+        need, reach = need.unionByName(own), reach.unionByName(own)
+        reach = reach.unionByName(edges.join(units.filter("common").select(F.col("cls").alias("d"), "key"), "d").select("c", a_key)).distinct()
+    need, reach, free = stored(need), stored(reach), stored(free)
+    anchors, owned = [], []
+    while not free.isEmpty():
+        best = F.min_by(F.struct(F.col("lo").alias("anchor"), "key", "common"), "lo").alias("s")
+        open_ = free.groupBy(F.col("cls").alias("c")).agg(best).select("c", "s.*")
+        first = reach.join(open_, "c").groupBy("r").agg(F.min("anchor").alias("first"))
+        before = lambda table, open_=open_, first=first: table.join(open_, "c").join(first, "r").filter("first < anchor").select("c")
+        waits = before(need)
+        if some_common:
+            waits = waits.unionByName(before(reach, open_.filter("common")))
+        anchors.append(stored(open_.join(waits, "c", "left_anti")))
+        hit = anchors[-1].join(edges, "c").groupBy(F.col("d").alias("cls")).agg(F.min("anchor").alias("a"))
+        left = free.join(anchors[-1].select(F.col("c").alias("cls")), "cls", "left_anti").join(hit, "cls", "left").filter("a IS NULL OR common OR lo < a").drop("a")
+        if some_common:
+            owned.append(stored(_with_members(anchors[-1], reduce(DataFrame.unionByName, anchors), reduce(DataFrame.unionByName, owned) if owned else None, edges, units)))
+            taken = units.filter("common").join(hit, "cls").filter("hi > a").select("key", "a").unionByName(owned[-1].select("key", "a"))
+            left = left.join(taken.groupBy("key").agg(F.min("a").alias("a")), "key", "left").filter("a IS NULL OR NOT common OR lo < a").drop("a")
+        free = stored(left.select("cls", "key", "lo", "common"))
+    if not anchors:
+        return members.limit(0).select(F.col("ord").alias("anchor"), "ord", "cls")
+    anchors = reduce(DataFrame.unionByName, anchors)
+    took = _taken(anchors, reduce(DataFrame.unionByName, owned) if owned else None, edges, units)
+    rows = members.join(took.filter("NOT common").select("cls", "key", "a"), ["cls", "key"])
+    if some_common:
+        # A key that several entries have: the first of them in any class that the anchor reaches.
+        shared_keys = took.filter("common").select("key", "a").distinct().join(anchors.select(F.col("anchor").alias("a"), "c"), "a").join(edges, "c").select("key", "a", F.col("d").alias("cls"))
+        rows = rows.unionByName(members.join(shared_keys, ["cls", "key"]))
+    found = rows.filter("ord > a").groupBy("a", "key").agg(F.min_by(F.struct("ord", "cls"), "ord").alias("m")).select(F.col("a").alias("anchor"), "m.ord", "m.cls")
+    heads = anchors.select("anchor", F.col("anchor").alias("ord"), F.col("c").alias("cls")).join(found.select("anchor"), "anchor", "left_semi")
+    return found.unionByName(heads)
+
+
+def _taken(anchors: DataFrame, owned: DataFrame | None, edges: DataFrame, units: DataFrame) -> DataFrame:
+    """(cls, key, common, a) of the units whose key an anchor ``a`` takes: the first that reaches one of the key's units before its last
+    entry. A key that an anchor took as its own before that is left out."""
+    first = anchors.join(edges, "c").groupBy(F.col("d").alias("cls")).agg(F.min("anchor").alias("a"))
+    cover = units.join(first, "cls").filter("a < hi").select("cls", "key", "common", "a")
+    if owned is None:
+        return cover
+    own = owned.groupBy("key").agg(F.min("a").alias("mine"))
+    shared_keys = cover.filter("common").groupBy("key").agg(F.min("a").alias("a")).join(own, "key", "left").filter("mine IS NULL OR a <= mine").select("key", "a")
+    return cover.filter("NOT common").unionByName(units.filter("common").select("cls", "key", "common").join(shared_keys, "key").select("cls", "key", "common", "a"))
+
+
+def _with_members(new: DataFrame, anchors: DataFrame, owned: DataFrame | None, edges: DataFrame, units: DataFrame) -> DataFrame:
+    """(key, a) of the anchors among ``new`` whose own key is shared and that take something."""
+    mine = new.filter("common").select(F.col("key").alias("own"), F.col("anchor").alias("a"))
+    none = owned if owned is not None else mine.limit(0).select(F.col("own").alias("key"), "a")
+    return _taken(anchors, none, edges, units).select("a").distinct().join(mine, "a").select(F.col("own").alias("key"), "a")
 
 
 def groups(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -190,17 +239,17 @@ def groups(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     their entries counted in order.
     """
     members, kinds = classes(entries)
-    found = _grouped(class_links(kinds).checkpoint(), members).checkpoint()
+    found = stored(_grouped(stored(class_links(kinds)), members))
     held = found.groupBy("anchor", "cls").agg(F.count("*").alias("n"))
-    text = kinds.select("cls", "title", "authors")
+    text = kinds.select("cls", "words", "authors")
     met = pairs_by_key(held, "anchor", "cls")
     same = held.filter("n > 1").select("anchor", F.col("cls").alias("cls_i"), F.col("n").alias("n_i"), F.col("cls").alias("cls_j"), F.lit(0).cast("long").alias("n_j"))
-    x, y = (text.select(F.col("cls").alias(f"cls_{s}"), F.col("title").alias(f"title_{s}"), F.col("authors").alias(f"authors_{s}")) for s in "ij")
-    both = met.select(same.columns).unionByName(same).join(x, "cls_i").join(y, "cls_j").withColumn("t", jaccard(F.col("title_i"), F.col("title_j")))
+    x, y = (text.select(F.col("cls").alias(f"cls_{s}"), F.col("words").alias(f"words_{s}"), F.col("authors").alias(f"authors_{s}")) for s in "ij")
+    both = met.select(same.columns).unionByName(same).join(x, "cls_i").join(y, "cls_j").withColumn("t", _title_score(F.col("words_i"), F.col("words_j")))
     there = _score(F.col("t"), author_similarity(F.col("authors_i"), F.col("authors_j")))
     back = _score(F.col("t"), author_similarity(F.col("authors_j"), F.col("authors_i")))
     pairs = F.when(F.col("cls_i") == F.col("cls_j"), F.col("n_i") * (F.col("n_i") - 1) / 2).otherwise(F.col("n_i") * F.col("n_j"))
-    both = both.select("anchor", "cls_i", "cls_j", "t", there.alias("there"), back.alias("back"), pairs.alias("pairs")).checkpoint()
+    both = stored(both.select("anchor", "cls_i", "cls_j", "t", there.alias("there"), back.alias("back"), pairs.alias("pairs")))
     uneven = both.filter("there != back").select("anchor", "cls_i", "cls_j")
     either = lambda s: uneven.join(found.withColumnRenamed("cls", f"cls_{s}"), ["anchor", f"cls_{s}"]).select("anchor", "cls_i", "cls_j", "ord", F.lit(s == "i").alias("i"))
     before = Window.partitionBy("anchor", "cls_i", "cls_j").orderBy("ord")

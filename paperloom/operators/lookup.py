@@ -14,7 +14,7 @@ from ..functions import patterns as P
 from ..functions.text import author_list, author_names, for_comparison, jaccard, search_title, some, strip_doi
 from ..sources import atom_entries, crossref_items, dblp_hits, llm_verdict, openalex_works, scholar_page, semantic_scholar_papers
 from .answers import POLICIES, Answers, Policy, ask
-from .shared import ensure_checkpoint_dir
+from .shared import stored
 from .titles import TitleIndex, search, title_index
 from .verify import compare
 
@@ -123,7 +123,6 @@ def prepared(catalogue: DataFrame, sources: set[str] | None = None) -> Catalogue
     Records are normalized once. ``sources`` are those that steps may ask (default: of all steps); a source
     without a record is left out, so that its steps ask nothing.
     """
-    ensure_checkpoint_dir(catalogue.sparkSession)
     wanted = sources if sources is not None else {source for source, _ in STEPS.values()}
     theirs = _normal(catalogue.filter(F.col("source").isin(*wanted)), author_names(F.col("authors")))
     answer = F.struct(F.col("_title").alias("f_title"), F.col("_authors").alias("f_authors"), F.col("year").alias("f_year"), "abstract")
@@ -131,13 +130,13 @@ def prepared(catalogue: DataFrame, sources: set[str] | None = None) -> Catalogue
     # The authors of a scholar record without any are one empty name, which is not an empty list.
     nobody = (F.col("source") == "scholar") & (F.size("r.f_authors") == 0)
     theirs = theirs.withColumn("r", F.when(nobody, F.col("r").withField("f_authors", F.array(F.lit("")))).otherwise(F.col("r")))
-    theirs = theirs.withColumn("id", F.xxhash64("source", "rank", F.to_json("r"), F.to_json("o"))).checkpoint()
+    theirs = stored(theirs.withColumn("id", F.xxhash64("source", "rank", F.to_json("r"), F.to_json("o"))))
     identified = theirs.select("source", "rank", "r", F.explode("o").alias("o")).select("source", "rank", "r", "o.*").filter("key != ''")
-    known = identified.groupBy("source", "kind", "key").agg(F.min_by("r", F.struct("rank", F.to_json("r"))).alias("r")).checkpoint()
+    known = stored(identified.groupBy("source", "kind", "key").agg(F.min_by("r", F.struct("rank", F.to_json("r"))).alias("r")))
     records = theirs.filter("_title != ''").dropDuplicates(["id"])
     index = title_index(records.select("source", "id", "rank", "_title"))
     there = {row["source"] for row in theirs.select("source").distinct().collect()}  # of the steps' few sources
-    return Catalogue(records.select("id", "source", "r").checkpoint(), known, index, there)
+    return Catalogue(stored(records.select("id", "source", "r")), known, index, there)
 
 
 def _asked(entries: DataFrame) -> DataFrame:
@@ -155,7 +154,7 @@ def answers(asked: DataFrame, catalogue: Catalogue | Services, step: str) -> Dat
     for kind in kinds:
         got = catalogue.find(rest.filter(F.col(f"keys.{kind}") != ""), step, source, kind)
         if len(kinds) > 1:
-            got = got.checkpoint()
+            got = stored(got)
             rest = rest.join(got.select("entry_id"), "entry_id", "left_anti")
         found.append(got)
     return reduce(DataFrame.unionByName, found).withColumn("source", F.lit(source))
@@ -171,9 +170,8 @@ def staged(entries: DataFrame, catalogue: DataFrame | Catalogue | Services, step
     wanted = [(i, s) for i, s in enumerate(steps or P.WORKFLOW) if s in STEPS]
     if not wanted:
         raise ValueError("no known step")
-    ensure_checkpoint_dir(entries.sparkSession)
     ready = prepared(catalogue, {STEPS[s][0] for _, s in wanted}) if isinstance(catalogue, DataFrame) else catalogue
-    left = _asked(entries).checkpoint()
+    left = stored(_asked(entries))
     compared, asked = [], []
     for i, step in wanted:
         source, kinds = STEPS[step]
@@ -182,8 +180,8 @@ def staged(entries: DataFrame, catalogue: DataFrame | Catalogue | Services, step
         now = left.filter(F.col(f"keys.{kinds[-1]}") != "")  # steps that ask by title need one
         asked.append(now.select(F.lit(i).alias("step_ord"), F.lit(step).alias("step"), "entry_id"))
         found = answers(now, ready, step).select("entry_id", F.lit(i).alias("step_ord"), "source", "b_title", "b_authors", "b_year", "r.*")
-        compared.append(compare(found).checkpoint())
-        left = left.join(compared[-1].filter("is_match").select("entry_id"), "entry_id", "left_anti").checkpoint()
+        compared.append(stored(compare(found)))
+        left = stored(left.join(compared[-1].filter("is_match").select("entry_id"), "entry_id", "left_anti"))
         if left.isEmpty():
             break
     if not compared:
@@ -204,8 +202,8 @@ def abstracts(entries: DataFrame, compared: DataFrame, catalogue: Catalogue | Se
     own = F.nullif(some("abstract"), F.lit(""))
     known = entries.select("entry_id", own.alias("own")).join(has, "entry_id", "left").select("entry_id", F.coalesce("own", "found").alias("abstract"))
     if catalogue is not None and "arxiv" in catalogue.sources:
-        known = known.checkpoint()
-        lacking = _asked(entries).join(known.filter("abstract IS NULL"), "entry_id", "left_semi").checkpoint()
+        known = stored(known)
+        lacking = stored(_asked(entries).join(known.filter("abstract IS NULL"), "entry_id", "left_semi"))
         by = [answers(lacking, catalogue, s).filter(some("r.abstract") != "").select("entry_id", F.struct(F.lit(i).alias("o"), "r.abstract").alias("a")) for i, s in enumerate(("arxiv_id", "arxiv_title"))]
         more = by[0].unionByName(by[1]).groupBy("entry_id").agg(F.min("a.o").alias("o"), F.min_by("a.abstract", "a.o").alias("more"))
         known = known.join(more, "entry_id", "left").select("entry_id", F.coalesce("abstract", "more").alias("abstract"))
@@ -225,17 +223,16 @@ def relevance(contexts: DataFrame, known: DataFrame, scorer: Callable[[list[tupl
     gives score 0 and an error; so does an empty context or abstract, which is not asked. Equal questions
     are asked once; with ``kept``, answers of the scorer of this ``name`` are kept, and only failures asked again.
     """
-    ensure_checkpoint_dir(contexts.sparkSession)
     missing = (some("full_context") == "") | (some("abstract") == "")
     key = F.sha2(F.to_json(F.struct("full_context", "abstract")), 256)
-    rows = contexts.join(known, "entry_id").withColumn("_key", F.when(~missing, key)).checkpoint()
+    rows = stored(contexts.join(known, "entry_id").withColumn("_key", F.when(~missing, key)))
     new = rows.filter("_key IS NOT NULL").select(F.col("_key").alias("key"), "full_context", "abstract").dropDuplicates(["key"])
     if kept is not None:
         mine = (F.col("source") == "scorer") & (F.col("kind") == name)
         new = new.join(kept.good().filter(mine).select("key"), "key", "left_anti")
     got = new.mapInArrow(_scored(scorer), "key string, body string, error string")
     kind = [F.lit("scorer").alias("source"), F.lit(name).alias("kind")]
-    got = got.select(*kind, "key", F.lit(None).cast("int").alias("status"), "body", "error", F.lit(1).alias("tries"), F.lit(False).alias("closed")).checkpoint()
+    got = stored(got.select(*kind, "key", F.lit(None).cast("int").alias("status"), "body", "error", F.lit(1).alias("tries"), F.lit(False).alias("closed")))
     answered = got
     if kept is not None:
         kept.add(got)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,14 @@ def ensure_checkpoint_dir(spark) -> None:
     spark.sparkContext.setCheckpointDir(shared)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once below the checkpoint folder and read again: cuts the plan and survives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def blocks_of(rows: DataFrame, *key: str) -> DataFrame:
     """(key, blocks) of the keys with more than BLOCK_ROWS rows."""
     load = rows.groupBy(*key).agg(F.count("*").alias("load")).filter(F.col("load") > BLOCK_ROWS)
@@ -35,12 +45,16 @@ def pairs_by_key(rows: DataFrame, key: str, id: str) -> DataFrame:
     A row of a key with many rows belongs to one of its blocks, and goes to every pair of blocks that holds
     its own: two rows meet at one pair of blocks (of one block: at that block with itself).
     """
-    zero = F.lit(0).cast("long")
-    dealt = rows.join(blocks_of(rows, key), key, "left").withColumn("own", F.pmod(F.xxhash64(id), F.col("blocks")))
+    zero, hot = F.lit(0).cast("long"), stored(blocks_of(rows, key))
+    if hot.isEmpty():
+        other = [c for c in rows.columns if c != key]
+        a, b = (rows.select(key, *[F.col(c).alias(f"{c}_{s}") for c in other]) for s in "ij")
+        return a.join(b, key).filter(F.col(f"{id}_i") < F.col(f"{id}_j"))
+    dealt = rows.join(hot, key, "left").withColumn("own", F.pmod(F.xxhash64(id), F.col("blocks")))
     met = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda o: F.least(o, F.col("own")) * F.col("blocks") + F.greatest(o, F.col("own")) + 1)
     dealt = dealt.withColumn("cell", F.explode(F.when(F.col("blocks").isNull(), F.array(zero)).otherwise(met)))
-    kept = [c for c in rows.columns if c != key]
-    a, b = (dealt.select(key, "cell", *[F.col(c).alias(f"{c}_{s}") for c in kept], F.col("own").alias(f"own_{s}"), "blocks") for s in "ij")
+    other = [c for c in rows.columns if c != key]
+    a, b = (dealt.select(key, "cell", *[F.col(c).alias(f"{c}_{s}") for c in other], F.col("own").alias(f"own_{s}"), "blocks") for s in "ij")
     # Rows of one block meet at every pair that holds it; they count at the pair of that block with itself.
     itself = F.col("cell") == F.col("own_i") * (F.col("blocks") + 1) + 1
     once = F.col("blocks").isNull() | (F.col("own_i") != F.col("own_j")) | itself
@@ -62,5 +76,7 @@ def every_cell(rows: DataFrame) -> DataFrame:
 
 def join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """``left`` joined with ``right`` on a key of which the right side may have many rows: those are dealt to blocks."""
-    hot = blocks_of(right, key)
+    hot = stored(blocks_of(right, key))
+    if hot.isEmpty():
+        return left.join(right, key)
     return every_cell(left.join(hot, key, "left")).join(dealt_to_blocks(right, hot, key), [key, "cell"]).drop("cell")

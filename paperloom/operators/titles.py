@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .shared import blocks_of, dealt_to_blocks, ensure_checkpoint_dir, every_cell
+from .shared import blocks_of, dealt_to_blocks, every_cell, stored
 
 #: Similarities down to which all titles are found, one after another.
 BOUNDS = (0.8, 0.5, 0.25)
@@ -57,23 +57,22 @@ class TitleIndex:
 
 def title_index(theirs: DataFrame) -> TitleIndex:
     """Index of titles: source, id (unique), rank, _title (normalized). Empty titles are left out."""
-    ensure_checkpoint_dir(theirs.sparkSession)
     titles = theirs.select("source", "id", "rank", F.sort_array(tokens(F.col("_title"))).alias("words")).filter(F.size("words") > 0)
     first = Window.partitionBy("source", "words").orderBy("rank", "id")
     titles = titles.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= MOST_HITS).drop("k")
-    titles = titles.withColumn("m", F.size("words")).checkpoint()
+    titles = stored(titles.withColumn("m", F.size("words")))
     posted = titles.select("source", F.explode("words").alias("word"), "id", "m", "rank")
     words = posted.groupBy("source", "word").agg(F.count("*").alias("often"))
-    words = words.join(blocks_of(posted, "source", "word"), ["source", "word"], "left").checkpoint()
+    words = stored(words.join(blocks_of(posted, "source", "word"), ["source", "word"], "left"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("often", "word"))
     placed = posted.join(words.select("source", "word", "often"), ["source", "word"]).withColumn("p", place).select("source", "word", "p", "m", "id", "rank")
     hot = words.filter("blocks IS NOT NULL").select("source", "word", "blocks")
-    postings = dealt_to_blocks(placed, hot, "source", "word").checkpoint()
+    postings = stored(dealt_to_blocks(placed, hot, "source", "word"))
     # The shortest titles of each cell, then of each word.
     short = postings
     for key in (["source", "word", "cell"], ["source", "word"]):
         short = short.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("m", "rank", "id"))).filter(F.col("k") <= MOST_HITS)
-    return TitleIndex(titles, postings.drop("rank"), short.select("source", "word", "id").checkpoint(), words)
+    return TitleIndex(titles, postings.drop("rank"), stored(short.select("source", "word", "id")), words)
 
 
 def search(asked: DataFrame, index: TitleIndex, hits: int = 1) -> DataFrame:
@@ -81,26 +80,25 @@ def search(asked: DataFrame, index: TitleIndex, hits: int = 1) -> DataFrame:
     similarity, then rank, then id. ``asked``: question (unique), source, title (normalized)."""
     if not 1 <= hits <= MOST_HITS:
         raise ValueError(f"an index gives 1 to {MOST_HITS} hits")
-    ensure_checkpoint_dir(asked.sparkSession)
     # Questions with the same words are asked once, by the least of them.
-    own = asked.select("question", "source", F.sort_array(tokens(F.col("title"))).alias("own")).filter(F.size("own") > 0).checkpoint()
-    open_ = own.groupBy("source", "own").agg(F.min("question").alias("q")).select("q", "source", "own", F.size("own").alias("n")).checkpoint()
+    own = stored(asked.select("question", "source", F.sort_array(tokens(F.col("title"))).alias("own")).filter(F.size("own") > 0))
+    open_ = stored(own.groupBy("source", "own").agg(F.min("question").alias("q")).select("q", "source", "own", F.size("own").alias("n")))
     words = open_.select("q", "source", "n", F.explode("own").alias("word")).join(index.words, ["source", "word"], "left")
     # Words that no title has are the rarest.
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.coalesce("often", F.lit(0)), "word"))
-    words = words.withColumn("p", place).filter("often IS NOT NULL").select("q", "source", "word", "n", "p", "blocks").checkpoint()
+    words = stored(words.withColumn("p", place).filter("often IS NOT NULL").select("q", "source", "word", "n", "p", "blocks"))
     best = None
     for s in BOUNDS:
         found = _reaching(words, index, open_, s)
         found = _best(found, hits)
         done = found.groupBy("q").agg(F.count("*").alias("hits")).filter(F.col("hits") >= hits).select("q")
-        found = found.checkpoint()
+        found = stored(found)
         kept = found.join(done, "q", "left_semi")
         best = kept if best is None else best.unionByName(kept)
-        open_ = open_.join(done, "q", "left_anti").checkpoint()
+        open_ = stored(open_.join(done, "q", "left_anti"))
         if open_.isEmpty():
             break
-        words = words.join(open_.select("q"), "q", "left_semi").checkpoint()
+        words = stored(words.join(open_.select("q"), "q", "left_semi"))
     else:
         near = words.join(index.shortest, ["source", "word"]).select("q", "id").distinct()
         rest = _compared(near, index, open_).unionByName(found.join(open_.select("q"), "q", "left_semi").drop("place")).distinct()

@@ -225,10 +225,10 @@ def _entries(spark, d):
     return table(spark, d, "part").select(*columns, T.for_comparison(title).alias("title"), T.duplicate_authors(author).alias("authors"))
 
 
-#: Classes of equal titles and brands, and all pairs of them: the authors of two brands are never alike.
+#: Classes of equal titles and brands, and all pairs of them: names of a brand hold those of a brand that it begins with.
 _CLASSES = """p AS (SELECT p_partkey AS n, 'a study of ' || lower(p_name) || 's parts in ' || lower(p_type) || ' supply' AS title, p_brand AS brand FROM part),
 k AS (SELECT min(n) AS c, max(n) AS last, count(*) AS n, title, brand, list_distinct(string_split(title, ' ')) AS w FROM p GROUP BY title, brand),
-x AS (SELECT a.c AS i, b.c AS j, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE AS t, CASE WHEN a.brand = b.brand THEN 1.0 ELSE 0.0 END::DOUBLE AS au, b.c < a.last AS turn
+x AS (SELECT a.c AS i, b.c AS j, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE AS t, CASE WHEN a.brand = b.brand THEN 1.0 WHEN starts_with(a.brand, b.brand) OR starts_with(b.brand, a.brand) THEN 0.5 ELSE 0.0 END::DOUBLE AS au, b.c < a.last AS turn
 FROM k a JOIN k b ON a.c < b.c OR a.c = b.c AND a.n > 1),
 l AS (SELECT i, j, t, turn AND i < j AS turn, CASE WHEN t >= 0.85 THEN t ELSE 0.7 * t + 0.3 * au END AS score FROM x),
 e AS (SELECT * FROM l WHERE score >= 0.8)"""

@@ -137,7 +137,7 @@ def _values() -> str:
 
 
 def _line_rules() -> str:
-    """SELECTs of the findings that single lines (f, at, line, live) of texts raise, by the same fixed patterns."""
+    """SELECTs of the findings that single lines (f, ln, line, live) of texts raise, by the same fixed patterns."""
     beside = {r"(?!\*)": "(?:[^*]|$)", r"(?<!\*)": "(?:^|[^*])", "(?!`)": "(?:[^`]|$)", "(?<!`)": "(?:^|[^`])", r"\w": r"[\p{L}\p{M}\p{N}_]"}
 
     def text(pattern: str) -> str:
@@ -146,7 +146,7 @@ def _line_rules() -> str:
         return sql_value(pattern)
 
     def row(checker, rule, severity, message, content, advice, when) -> str:
-        return f"SELECT f, '{checker}' AS c, '{rule}' AS r, '{severity}' AS s, at AS l, {message} AS m, {content} AS t, {advice} AS a FROM live WHERE {when}"
+        return f"SELECT f, '{checker}' AS c, '{rule}' AS r, '{severity}' AS s, ln AS l, {message} AS m, {content} AS t, {advice} AS a FROM live WHERE {when}"
 
     weak = " ".join(f"WHEN regexp_matches(live, {text(x)}, 'i') THEN {sql_value(name)}" for x, name in P.WEAK)
     out = [row("sentence", "R18", "info", f"CASE {weak} END", "left(trim(line), 80)", "NULL", f"CASE {weak} END IS NOT NULL")]
@@ -169,11 +169,11 @@ FINDINGS_SQL = rf"""WITH texts AS (SELECT 'doc' || doc_id || '.tex' AS f, doc_id
 starts(k, n) AS (VALUES {", ".join(f"({k}, {p.count(chr(10)) + 1})" for k, (p, _) in enumerate(PASSAGES))}),
 cut AS (SELECT f, n, string_split(x, chr(10)) AS y, instr(x, '$') AS first, length(x) - instr(reverse(x), '$') + 1 AS last FROM texts JOIN starts USING (k)),
 numbered AS (SELECT f, n, y, first, CASE WHEN first = 0 THEN 0 ELSE last END AS last, unnest(range(1, len(y) + 1)) AS i FROM cut),
-lines AS (SELECT f, n + i AS at, y[i] AS line, first, last, sum(length(y[i]) + 1) OVER (PARTITION BY f ORDER BY i) - length(y[i]) - 1 AS before FROM numbered),
+lines AS (SELECT f, n + i AS ln, y[i] AS line, first, last, sum(length(y[i]) + 1) OVER (PARTITION BY f ORDER BY i) - length(y[i]) - 1 AS before FROM numbered),
 live AS (SELECT *, regexp_replace(line, '%.*', '') AS live FROM lines WHERE NOT regexp_matches(line, '^\s*%')),
-amp AS (SELECT f, at, line, unnest(list_filter(range(1, length(live) + 1), lambda j: live[j] = '&' AND NOT regexp_matches(line[j:], '^&[a-zA-Z]+;') AND (first = 0 OR before + j < first OR before + j > last))) AS j FROM live WHERE contains(live, '&')),
+amp AS (SELECT f, ln, line, unnest(list_filter(range(1, length(live) + 1), lambda j: live[j] = '&' AND NOT regexp_matches(line[j:], '^&[a-zA-Z]+;') AND (first = 0 OR before + j < first OR before + j > last))) AS j FROM live WHERE contains(live, '&')),
 found AS ({_line_rules()}
-UNION ALL SELECT f, 'formatting', 'R11', 'warning', at, 'Unescaped & outside tabular/math environment', left(trim(line), 100), 'Use \& to escape' FROM amp
+UNION ALL SELECT f, 'formatting', 'R11', 'warning', ln, 'Unescaped & outside tabular/math environment', left(trim(line), 100), 'Use \& to escape' FROM amp
 UNION ALL SELECT f, c, r, s, l, m, t, a FROM texts JOIN (VALUES {_values()}) AS v(k, c, r, s, l, m, t, a) USING (k))
 SELECT f AS file_path, c AS checker_name, r AS rule_id, r = 'R32' AS passed, s AS severity, l::INT AS line_number, m AS message, t AS line_content, a AS suggestion FROM found"""
 
