@@ -38,7 +38,7 @@ from .common import CHUNK_BYTES, ranked, stored, text_chunks, tune
 
 CAPACITY, END_ID = 2048, 0
 #: Chunks of text kept with their ids for a worker's life.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_200_000
 
 
 # Encoding -------------------------------------------------------------------------------------------
@@ -55,7 +55,7 @@ class ByteEncoder:
 
     WORDS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
     #: What Python and the tokenizer may not both take for white space.
-    ODD = "[\x1c-\x1f\x85\u180e\u200b\ufeff]"
+    ODD = r"[\x1c-\x1f\x{85}\x{180e}\x{200b}\x{feff}]"
     MARKS = ".,;:!?"
 
     def __init__(self, path: str):
@@ -64,7 +64,7 @@ class ByteEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([self.ODD, *special]))
+        self.odd = "|".join([self.ODD, *special])
         self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for word, i in self.tokenizer.get_vocab().items():
             self.size[i] = len(word)  # a character stands for a byte
@@ -80,9 +80,9 @@ class ByteEncoder:
         for i in range(0, len(joined), 64):
             some = joined[i : i + 64]
             ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum(self.size[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in some])) + 1
-            out.update(zip(some, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) for w in some])) + 1
+            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
         out.update((w, self._whole(w)) for w in words if w not in out)
         return out
 
@@ -99,20 +99,15 @@ class ByteEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes] = [b""] * len(texts)
-        plain = []
-        for i, t in enumerate(texts):
-            if self.odd.search(t):
-                out[i] = self._whole(t)
-            elif t:
-                plain.append(i)
-        if not plain:
-            return out
-        table = pa.array([texts[i] for i in plain], pa.large_string())
+        table = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(table, self.odd).to_numpy(zero_copy_only=False)
         rough = pc.match_substring_regex(table, r"[\p{Z}\s\x0b][\p{Z}\s\x0b]|^[\p{Z}\s\x0b]|[\p{Z}\s\x0b]$").to_numpy(zero_copy_only=False)
-        for i in np.asarray(plain)[rough]:
+        for i in np.flatnonzero(odd):
+            out[i] = self._whole(texts[i])
+        for i in np.flatnonzero(rough & ~odd):
             out[i] = b"".join(self.of_words(self.WORDS.findall(texts[i])))
-        smooth = np.asarray(plain)[~rough]
-        for i, raw in zip(smooth, self._smooth(table.filter(pa.array(~rough))), strict=True):
+        smooth = ~rough & ~odd & (pc.binary_length(table).to_numpy(zero_copy_only=False) > 0)
+        for i, raw in zip(np.flatnonzero(smooth), self._smooth(table.filter(pa.array(smooth))), strict=True):
             out[i] = raw
         return out
 
@@ -128,31 +123,30 @@ class ByteEncoder:
         bare = np.zeros(len(code), bool)
         bare[starts[:-1]] = True
         bare[1:] |= code[:-1] == line
-        # Words of letters only, less the marks after them.
+        # Each word is encoded once for a chunk: its letters, and the marks after them, if that is all it has.
         core = pc.utf8_rtrim(words, characters=self.MARKS)
         letters = pc.match_substring_regex(core, r"^\p{L}+$")
-        head = pc.if_else(letters, core, words).dictionary_encode()
-        tail = pc.if_else(letters, _rest(words, core), "").dictionary_encode()
-        kind = head.indices.to_numpy().astype(np.int64)[code] * 2 + bare
-        used, slot = np.unique(kind, return_inverse=True)
-        texts_of = head.dictionary.to_pylist()
-        raw = self.of_words([texts_of[k >> 1] if k & 1 else " " + texts_of[k >> 1] for k in used.tolist()])
-        if line >= 0:
-            here = head.indices.to_numpy()[line]
-            raw = [self.line if k >> 1 == here else r for k, r in zip(used.tolist(), raw, strict=True)]
+        tail = pc.replace_substring_regex(pc.if_else(letters, words, ""), r"^\p{L}+", "").dictionary_encode()
+        kind = code * 2 + bare
+        used = np.flatnonzero(np.bincount(kind))
+        after, alone = used[used % 2 == 0], used[used % 2 == 1]
+        used = np.concatenate([after, alone])
+        slot = np.full(2 * len(words), -1)
+        slot[used] = np.arange(len(used))
+        heads = pc.if_else(letters, core, words)
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), heads.take(pa.array(after >> 1)), pa.scalar(" ", pa.large_string()))
+        raw = self.of_words(spaced.to_pylist() + heads.take(pa.array(alone >> 1)).to_pylist())
         marks = [b"" if t == "" else x for t, x in zip(tail.dictionary.to_pylist(), self.of_words([t or "." for t in tail.dictionary.to_pylist()]), strict=True)]
-        after = tail.indices.to_numpy()[code]
-        pieces = list(itertools.chain.from_iterable(zip(map(raw.__getitem__, slot.tolist()), map(marks.__getitem__, after.tolist()), strict=True)))
-        for a, b in itertools.pairwise((2 * starts).tolist()):
+        ends = tail.indices.to_numpy()[used >> 1]
+        raw = [x + marks[t] if marks[t] else x for x, t in zip(raw, ends.tolist(), strict=True)]
+        for k in (2 * line, 2 * line + 1):
+            if line >= 0 and slot[k] >= 0:
+                raw[slot[k]] = self.line
+        pieces = list(map(raw.__getitem__, slot[kind].tolist()))
+        for a, b in itertools.pairwise(starts.tolist()):
             yield b"".join(pieces[a:b])
 
 
-def _rest(words: pa.Array, core: pa.Array) -> pa.Array:
-    """What follows each core in its word."""
-    w, c = words.to_pylist(), core.to_pylist()
-    return pa.array([x[len(y) :] for x, y in zip(w, c, strict=True)], pa.large_string())
-
-
 _encoders: dict[str, ByteEncoder] = {}
 
 
