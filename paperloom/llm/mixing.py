@@ -11,7 +11,8 @@ cut so that its words equal its target rounded to a word.
 
 Targets: sources in code point order, null last, weigh 1, 2, 3, 1, ...; they share all words, and a
 source stops at 3 times its own words, the excess going to the others by weight. So no block, and no
-document, is used more than three times. One row per source is gathered on the driver.
+document, is used more than three times. One row per source is gathered on the driver, so sources must be
+names of collections, at most some million; above BROADCAST_ROWS of them their plan is joined, not broadcast.
 
 Defined results: a document without words (null, empty, blank) takes 0; very long texts are cut into
 as many blocks as they need; repeated rows each take their own part; an empty table gives no rows;
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, n_words, packed as as_struct, partitions, ranked, stored, tune
+from .common import BROADCAST_ROWS, WORD_GAP, n_words, packed as as_struct, partitions, ranked, stored, tune
 
 BLOCK = 512
 SLOTS_PER_SHARD = 4096
@@ -154,7 +155,7 @@ def packed(rows: DataFrame, *, block: int, per_shard: int, seed: int, order: lis
     sources = plan({r["source"]: r["size"] for r in found}, block=block, seed=seed)
     starts = {r["source"]: r["before"] for r in found}
     known = spark.createDataFrame([(s["source"], s["k"], s["size"], s["target"], starts[s["source"]]) for s in sources], "_source string, k long, source_size long, target double, _start long")
-    known = F.broadcast(known)  # one row per source, which the driver holds anyway
+    known = F.broadcast(known) if len(sources) <= BROADCAST_ROWS else known.hint("merge")
     placed = placed.join(known, placed["source"].eqNullSafe(known["_source"])).withColumn("_from", F.col("before") - F.col("_start")).drop("_source", "_start", "_seeded", "before")
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(_from div {block}, (_from + size - 1) div {block})")))
     base = F.col("block") * block

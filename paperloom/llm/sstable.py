@@ -3,7 +3,8 @@
 Documents are dealt by range of their id, encoded and written in order. A shard file holds
 
 * blocks of about 64 KB: entries (shared key bytes, key suffix length, value length as varints, key
-  suffix, value), the key in full at every 16th entry, compressed with zstd;
+  suffix, value), the key in full at every 16th entry, then the places of those entries (64 bits each) and
+  their number, so a key is found by binary search in its block; compressed with zstd;
 * the sparse index: last key, offset and length of each block;
 * a Bloom filter over the document keys;
 * a footer: offsets of both, counts and a magic string.
@@ -16,7 +17,8 @@ A task names each file anew and reports it; only reported files count, so retrie
 leave no duplicates. The files go through a file system chosen by the folder's URI.
 
 Defined results: null text is empty and holds only the end id; null ids come first; among equal ids
-the order is that of a hash of the text; an empty table gives no shards.
+the order is that of a hash of the text; very long texts are encoded whole, and one above a block's size has a block
+of its own; extra columns are not read; an empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, shared_dir, text_chunks, tune
 
-MAGIC = b"PLSSTAB1"
+MAGIC = b"PLSSTAB2"
 BLOCK_BYTES, RESTART, SHARD_BYTES, BLOOM_BITS = 64 << 10, 16, 256 << 20, 10
 FOOTER = struct.Struct("<QQQQQQ8s")
 END_ID = 2
@@ -85,6 +87,7 @@ class Writer:
 
         self.out, self.zip, self.at = out, zstandard.ZstdCompressor(level=1), 0
         self.block, self.n, self.last, self.tie, self.size = [], 0, b"", 0, 0
+        self.restarts, self.length = [], 0
         self.index, self.keys, self.docs, self.tokens = [], [], 0, 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -94,7 +97,11 @@ class Writer:
         shared = 0 if self.n % RESTART == 0 else len(os.path.commonprefix([self.last, key]))
         wide = len(ids) and int(ids.max()) > 0xFFFF
         value = (b"\x04" if wide else b"\x02") + ids.astype("<u4" if wide else "<u2").tobytes()
-        self.block += [_varint(shared), _varint(len(key) - shared), _varint(len(value)), key[shared:], value]
+        entry = _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:]
+        if self.n % RESTART == 0:
+            self.restarts.append(self.length)
+        self.block += [entry, value]
+        self.length += len(entry) + len(value)
         self.size += len(value) + 12
         self.n, self.last, self.docs, self.tokens = self.n + 1, key, self.docs + 1, self.tokens + len(ids)
         self.keys.append(prefix)
@@ -103,10 +110,12 @@ class Writer:
 
     def flush(self) -> None:
         if self.n:
-            raw = self.zip.compress(b"".join(self.block))
+            ends = struct.pack(f"<{len(self.restarts) + 1}Q", *self.restarts, len(self.restarts))
+            raw = self.zip.compress(b"".join([*self.block, ends]))
             self.out.write(raw)
             self.index.append((self.last, self.at, len(raw)))
             self.at, self.block, self.n, self.size = self.at + len(raw), [], 0, 0
+            self.restarts, self.length = [], 0
 
     def close(self) -> None:
         self.flush()
@@ -142,10 +151,20 @@ class Reader:
             length, p = _read_varint(raw, p)
             self.index.append((key, offset, length))
 
-    def _entries(self, i: int):
+        self.keys = [k for k, _, _ in self.index]
+
+    def _block(self, i: int) -> tuple[bytes, tuple[int, ...]]:
+        """A block's entries, and the places of those with a key in full."""
         _, offset, length = self.index[i]
         self.file.seek(offset)
-        raw, p, key = self.zip.decompress(self.file.read(length)), 0, b""
+        raw = self.zip.decompress(self.file.read(length))
+        (n,) = struct.unpack_from("<Q", raw, len(raw) - 8)
+        at = len(raw) - 8 * (n + 1)
+        return raw[:at], struct.unpack_from(f"<{n}Q", raw, at)
+
+    @staticmethod
+    def _entries(raw: bytes, p: int = 0):
+        key = b""
         while p < len(raw):
             shared, p = _read_varint(raw, p)
             own, p = _read_varint(raw, p)
@@ -156,17 +175,23 @@ class Reader:
 
     def __iter__(self):
         for i in range(len(self.index)):
-            yield from self._entries(i)
+            yield from self._entries(self._block(i)[0])
 
     def get(self, doc_id: int | None) -> np.ndarray | None:
-        """The ids of the first entry of ``doc_id``; the Bloom filter spares most reads of absent ids."""
+        """The ids of the first entry of ``doc_id``, by binary search for its block and its stretch of the block; the
+        Bloom filter spares most reads of absent ids."""
         key = key_of(doc_id)
         if not all(self.bloom[x >> 3] >> (x & 7) & 1 for x in _bloom_bits(key[:9], self.bits)):
             return None
-        i = bisect.bisect_left([k for k, _, _ in self.index], key)
+        i = bisect.bisect_left(self.keys, key)
         if i == len(self.index):
             return None
-        return next((ids for k, ids in self._entries(i) if k == key), None)
+        raw, restarts = self._block(i)
+        at = max(0, bisect.bisect_right(restarts, key, key=lambda p: next(self._entries(raw, p))[0]) - 1)
+        for k, ids in self._entries(raw, restarts[at]):
+            if k >= key:
+                return ids if k == key else None
+        return None
 
 
 def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
