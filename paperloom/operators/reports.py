@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import rule_name
+from ..functions.text import percent, rule_name, some
 from ..sources import entry_ranges
+from ..sources.writers import Report
 
 LOW_SCORE = 2
 
@@ -38,13 +38,20 @@ def bibliography_summary(entries: DataFrame) -> DataFrame:
     )
 
 
-def issue_counts(entries: DataFrame) -> DataFrame:
-    """Entries by kind of issue, each entry once a kind; kinds without entries are left out."""
+def issue_counts(entries: DataFrame, duplicates: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
+    """Entries by kind of issue, each entry once a kind, unused ones (where is_used is known), and the numbers of
+    duplicate groups and missing entries, if given. Kinds without any are left out."""
     kinds = {"Title Mismatch": "Title mismatch", "Author Mismatch": "Author mismatch", "Year Mismatch": "Year mismatch", "Unable to Verify": "Unable"}
     holds = lambda p: F.exists("issues", lambda i: F.startswith(i, F.lit(p)))
     hits = [F.when(holds(p), name) for name, p in kinds.items()]
     hits.append(F.when(F.exists("scores", lambda s: s <= LOW_SCORE), "Low Relevance"))
-    return entries.select(F.explode(F.array_compact(F.array(*hits))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    if "is_used" in entries.columns:
+        hits.append(F.when(~F.col("is_used"), "Unused Entry"))
+    out = entries.select(F.explode(F.array_compact(F.array(*hits))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    for name, table in (("Duplicate Group", duplicates), ("Missing Entry", missing)):
+        if table is not None:
+            out = out.unionByName(table.agg(F.lit(name).alias("issue"), F.count("*").alias("n")).filter("n > 0"))
+    return out
 
 
 #: A block of more lines is shown by its first and last lines.
@@ -139,90 +146,78 @@ DISCLAIMER = "> **Note:** This report was made by a program. It may report what
 HEADINGS = {"error": "Critical Errors", "warning": "Warnings", "info": "Suggestions"}
 
 
-def quality_lines(findings: DataFrame, made: str, venue: dict | None = None) -> Iterator[str]:
-    """Lines of the quality report: the venue's limits, counts, then findings by severity with their
-    places, contents and suggestions. Findings are read one partition at a time, in file and line order."""
+def _name_of(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def quality_report(report: Report, findings: DataFrame, made: str, venue: dict | None = None) -> None:
+    """The venue's limits, counts, then findings by severity with their places, contents and suggestions, in file and line order."""
     counts = {r["severity"]: r["n"] for r in severity_counts(findings, with_passed=False).collect()}  # three rows
-    yield from ["# Quality Report", "", f"Generated: {made}", "", DISCLAIMER, ""]
+    report.lines("# Quality Report", "", f"Generated: {made}", "", DISCLAIMER, "")
     if venue:
-        yield from [f"**Venue:** {venue['name']}", f"**Page limit:** {venue['review']} (review) / {venue['final']} (final)"]
-        if venue.get("sections"):
-            yield f"**Required sections:** {', '.join(venue['sections'])}"
-        yield ""
+        report.lines(f"**Venue:** {venue['name']}", f"**Page limit:** {venue['review']} (review) / {venue['final']} (final)")
+        report.lines(*([f"**Required sections:** {', '.join(venue['sections'])}"] if venue.get("sections") else []), "")
     if not counts:
-        yield "No issues found."
+        report.lines("No issues found.")
         return
-    yield from ["| Severity | Count |", "|---|---|", *(f"| {HEADINGS[s]} | {counts[s]} |" for s in HEADINGS if s in counts), ""]
+    report.lines("| Severity | Count |", "|---|---|", *(f"| {HEADINGS[s]} | {counts[s]} |" for s in HEADINGS if s in counts), "")
     for severity, heading in HEADINGS.items():
-        if severity not in counts:
-            continue
-        yield from [f"## {heading}", ""]
-        if severity == "info":
-            yield from ["<details>", ""]
-        some = findings.filter((F.col("severity") == severity) & ~F.col("passed"))
-        for r in some.orderBy("file_path", "line_number", "rule_id", "message").toLocalIterator():
-            yield f"- {r['message']}"
-            yield f"  - `{str(r['file_path']).rsplit('/', 1)[-1]}`" + (f", line {r['line_number']}" if r["line_number"] else "")
-            if severity == "error" and r["line_content"]:
-                yield f"  - `{r['line_content'][:80]}`"
-            if r["suggestion"]:
-                yield f"  - *{r['suggestion']}*"
-        yield from ["", "</details>", ""] if severity == "info" else [""]
-
-
-def bibliography_lines(summary: dict, missing, groups, unused, issues, made: str) -> Iterator[str]:
-    """Header, note, summary table, and the sections that have rows; each is an iterable, read once. A check
-    that did not run shows N/A."""
+        some_line = F.when(F.coalesce("line_number", F.lit(0)) != 0, F.concat(F.lit(", line "), F.col("line_number").cast("string"))).otherwise("")
+        content = F.when(F.lit(severity == "error") & (some("line_content") != ""), F.concat(F.lit("  - `"), F.substring("line_content", 1, 80), F.lit("`")))
+        advice = F.when(some("suggestion") != "", F.concat(F.lit("  - *"), "suggestion", F.lit("*")))
+        text = F.concat_ws("\n", F.concat(F.lit("- "), "message"), F.concat(F.lit("  - `"), _name_of(F.col("file_path")), F.lit("`"), some_line), content, advice)
+        rows = findings.filter((F.col("severity") == severity) & ~F.col("passed")).select("file_path", "line_number", "rule_id", "message", text.alias("text"))
+        fold = severity == "info"
+        report.rows(rows, [f"## {heading}", "", *(["<details>", ""] if fold else [])], ["", "</details>", ""] if fold else [""])
+
+
+def bibliography_report(report: Report, summary: dict, sections: dict[str, DataFrame | None], made: str) -> None:
+    """Header, note, summary table, and the sections that have rows. A check that did not run shows N/A.
+
+    ``sections``: missing (key), duplicates (keys, score, reason), unused (key, title), issues (key, issues).
+    """
     show = lambda k: "N/A" if summary.get(k) is None else str(summary[k])
-    yield from ["# Bibliography Validation Report", "", f"Generated: {made}", "", DISCLAIMER, "", "| Metric | Value |", "|---|---|"]
-    yield from (f"| {k.replace('_', ' ')} | {show(k)} |" for k in ("total", "verified", "with_issues", "used", "unused", "missing", "duplicate_groups"))
-    sections = [
-        ("Missing Bibliography Entries", missing, lambda r: [f"- `{r['key']}`"]),
-        ("Duplicate Entries", groups, lambda r: [f"- {', '.join(r['keys'])}: {r['reason']} ({r['score']:.1%})"]),
-        ("Unused Entries", unused, lambda r: [f"- `{r['key']}`: *{r['title']}*"]),
-        ("Metadata and Relevance Issues", issues, lambda r: [f"- `{r['key']}`: {'; '.join(r['issues'])}"]),
-    ]
-    none = True
-    for heading, rows, lines in sections:
-        for i, r in enumerate(rows):
-            if not i:
-                yield from ["", f"## {heading}", ""]
-            none = False
-            yield from lines(r)
-    if none:
-        yield from ["", "No critical issues found."]
-    yield ""
-
-
-def render_preprints(r: dict) -> str:
+    report.lines("# Bibliography Validation Report", "", f"Generated: {made}", "", DISCLAIMER, "", "| Metric | Value |", "|---|---|")
+    report.lines(*(f"| {k.replace('_', ' ')} | {show(k)} |" for k in ("total", "verified", "with_issues", "used", "unused", "missing", "duplicate_groups")))
+    key = F.concat(F.lit("- `"), "key", F.lit("`"))
+    texts = {
+        "missing": ("Missing Bibliography Entries", lambda t: t.select("key", key.alias("text"))),
+        "duplicates": ("Duplicate Entries", lambda t: t.select((-F.col("score")).alias("o"), "keys", F.concat(F.lit("- "), F.array_join("keys", ", "), F.lit(": "), "reason", F.lit(" ("), percent(F.col("score"), 1), F.lit(")")).alias("text"))),
+        "unused": ("Unused Entries", lambda t: t.select("key", F.concat(key, F.lit(": *"), some("title"), F.lit("*")).alias("text"))),
+        "issues": ("Metadata and Relevance Issues", lambda t: t.select("key", F.concat(key, F.lit(": "), F.array_join("issues", "; ")).alias("text"))),
+    }
+    found = [report.rows(text(sections[name]), ["", f"## {heading}", ""]) for name, (heading, text) in texts.items() if sections.get(name) is not None]
+    if not any(found):
+        report.lines("", "No critical issues found.")
+    report.lines("")
+
+
+def preprint_section(report: Report, r: dict) -> None:
     share = "N/A" if r["ratio"] is None else f"{r['ratio']:.1%}"
-    return f"\n## Preprints\n\n{r['n_preprints']} of {r['n_used']} used entries ({share}){'; above the threshold' if r['warn'] else ''}\n"
+    report.lines("", "## Preprints", "", f"{r['n_preprints']} of {r['n_used']} used entries ({share}){'; above the threshold' if r['warn'] else ''}", "")
 
 
-def render_verified(rows, minimal: bool = False) -> str:
-    """Entries that a source confirms; ``minimal`` leaves out titles and confidence."""
-    out = ["", "## Verified"]
-    for r in rows:
-        mark = " ".join(f"{s}/5" for s in r["scores"])
-        out.append(f"- `{r['key']}`" if minimal else f"- `{r['key']}`: {r['title']} ({r['source']}, {r['confidence']:.1%}{', relevance ' + mark if mark else ''})")
-    return "\n".join([*out, ""])
+def verified_section(report: Report, rows: DataFrame, minimal: bool = False) -> None:
+    """Entries that a source confirms (key, title, source, confidence, scores); ``minimal`` leaves out titles and confidence."""
+    marks = F.when(F.size("scores") > 0, F.concat(F.lit(", relevance "), F.array_join(F.transform("scores", lambda s: F.concat(s.cast("string"), F.lit("/5"))), " "))).otherwise("")
+    more = F.lit("") if minimal else F.concat(F.lit(": "), some("title"), F.lit(" ("), "source", F.lit(", "), percent(F.col("confidence"), 1), marks, F.lit(")"))
+    report.lines("", "## Verified")
+    report.rows(rows.select("key", F.concat(F.lit("- `"), "key", F.lit("`"), more).alias("text")))
+    report.lines("")
 
 
-def line_report_lines(findings: DataFrame, blocks_: DataFrame, made: str) -> Iterator[str]:
+def line_report(report: Report, findings: DataFrame, blocks_: DataFrame, made: str) -> None:
     """Findings by file and line or block, in order, with the counts of their file; each finding is shown once."""
     rows = findings.filter(~F.col("passed") & F.col("line_number").isNotNull())
-    per_file = rows.groupBy("file_path").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in HEADINGS))
-    grouped = grouped_findings(findings, blocks_).join(per_file, "file_path")
-    at = None
-    yield from ["# Line-by-Line Report", "", f"Generated: {made}"]
-    for r in grouped.orderBy("file_path", "group_line", "end_line").toLocalIterator():
-        if r["file_path"] != at:
-            at = r["file_path"]
-            yield from ["", f"## {at.rsplit('/', 1)[-1]}", "", "| Errors | Warnings | Suggestions |", "|---|---|---|", "| " + " | ".join(str(r[s]) for s in HEADINGS) + " |"]
-        place = f"Lines {r['group_line']}-{r['end_line']} ({r['block_type']})" if r["block_type"] else f"Line {r['group_line']}"
-        yield from ["", f"### {place}", ""]
-        if r["line_content"]:
-            yield from [*(f"    {x}" for x in r["line_content"].split("\n")), ""]
-        yield from (f"- **{i['severity']}** (line {i['line_number']}) {i['message']}" for i in r["issues"])
-    if at is None:
-        yield from ["", "No issues found."]
+    counts = F.concat_ws(" | ", *(F.count_if(F.col("severity") == s).cast("string") for s in HEADINGS))
+    heads = rows.groupBy("file_path").agg(counts.alias("counts"))
+    head = F.concat(F.lit("\n## "), _name_of(F.col("file_path")), F.lit("\n\n| Errors | Warnings | Suggestions |\n|---|---|---|\n| "), "counts", F.lit(" |"))
+    heads = heads.select("file_path", F.lit(0).alias("group_line"), F.lit(0).alias("end_line"), head.alias("text"))
+    place = F.when(F.col("block_type").isNotNull(), F.format_string("Lines %d-%d (%s)", "group_line", "end_line", "block_type")).otherwise(F.format_string("Line %d", "group_line"))
+    shown = F.when(some("line_content") != "", F.concat(F.array_join(F.transform(F.split("line_content", "\n"), lambda x: F.concat(F.lit("    "), x)), "\n"), F.lit("\n")))
+    issues = F.array_join(F.transform("issues", lambda i: F.concat(F.lit("- **"), i["severity"], F.lit("** (line "), i["line_number"].cast("string"), F.lit(") "), i["message"])), "\n")
+    text = F.concat_ws("\n", F.concat(F.lit("\n### "), place, F.lit("\n")), shown, issues)
+    body = grouped_findings(findings, blocks_).select("file_path", "group_line", F.coalesce("end_line", F.lit(0)).alias("end_line"), text.alias("text"))
+    report.lines("# Line-by-Line Report", "", f"Generated: {made}")
+    if not report.rows(heads.unionByName(body)):
+        report.lines("", "No issues found.")

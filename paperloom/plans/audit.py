@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import sources as S
@@ -345,9 +345,12 @@ def bibliography_totals(spark, d):
     return R.bibliography_summary(_reported(spark, d))
 
 
-@query("SELECT 'Title Mismatch' AS issue, count(*) AS n FROM part WHERE p_size % 5 = 0 UNION ALL SELECT 'Low Relevance', count(*) FROM part WHERE p_size % 7 = 0")
+@query("""SELECT 'Title Mismatch' AS issue, count(*) AS n FROM part WHERE p_size % 5 = 0 UNION ALL SELECT 'Low Relevance', count(*) FROM part WHERE p_size % 7 = 0
+UNION ALL SELECT 'Unused Entry', count(*) FROM part WHERE p_size % 2 <> 0 UNION ALL SELECT 'Duplicate Group', count(*) FROM (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1)
+UNION ALL SELECT 'Missing Entry', count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey * 2 NOT IN (SELECT p_partkey FROM part)""")
 def issue_totals(spark, d):
-    return R.issue_counts(_reported(spark, d))
+    same_name = table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n")).filter("n > 1")
+    return R.issue_counts(_reported(spark, d), same_name, C.missing(bib(spark, d), cites(spark, d)))
 
 
 def _reported(spark, d):
@@ -460,21 +463,29 @@ def scorer_answers(spark, d):
     return v.select("p_partkey", "v.relevance_score", "v.is_relevant", "v.explanation", F.col("v.error").isNotNull().alias("failed"))
 
 
-@query(r"""SELECT * FROM (VALUES ('search_title', 'A: title--of (some) things', 'A title of some things'), ('clean_context', 'see \citep[p. 3]{a}  and \emph{b}', 'see a and b'), ('strip_doi', 'https://doi.org/10.1/x', '10.1/x'),
-('comment_parity', 'a \% b % c', 'a \% b '), ('author_name', 'M{\"u}ller, J.', 'j muller'), ('normalize_unicode', 'Größe Øre – ﬁn', 'Grosse Ore - fin'), ('for_comparison', 'The \textbf{Größe}  of {X}: a \emph{b}!', 'the grosse of x a b'),
-('percent', '0.12345', '12.35%'), ('rule_name', 'Hedging language: very', 'Hedging/Vague Language'), ('label_type', 'fig:x', 'figure'), ('arxiv_id', 'see hep-th/9901001v2', 'hep-th/9901001v2')) AS v(f, argument, result)""")
+@query(r"""WITH p AS (SELECT *, p_partkey % 4 AS k FROM part) SELECT p_partkey, 'On ' || p_name || ' of some ' || p_type || 's' AS search_title, 'see ' || p_name || ' and ' || p_type AS clean_context, '10.1/' || p_partkey AS strip_doi,
+'a \% ' || p_name || ' ' AS comment_parity, lower(p_type) || ' muller' AS author_name, 'Grosse Ore - ' || p_name AS normalize_unicode, 'the grosse of ' || lower(p_name) AS for_comparison,
+CASE k WHEN 0 THEN 'Hedging/Vague Language' WHEN 1 THEN 'Redundant Phrasing' ELSE p_name || ' found' END AS rule_name, CASE k WHEN 0 THEN 'figure' WHEN 1 THEN 'table' ELSE 'label' END AS label_type,
+CASE k WHEN 0 THEN 'hep-th/99' || lpad((p_partkey % 100000)::VARCHAR, 5, '0') WHEN 1 THEN '2301.' || lpad((p_partkey % 100000)::VARCHAR, 5, '0') ELSE '' END AS arxiv_id, (p_size // 10)::VARCHAR || '.' || (p_size % 10) || '%' AS percent FROM p""")
 def scalar_functions(spark, d):
-    cases = {
-        "search_title": ("A: title--of (some) things", T.search_title), "clean_context": ("see \\citep[p. 3]{a}  and \\emph{b}", C.clean_context), "strip_doi": ("https://doi.org/10.1/x", T.strip_doi),
-        "comment_parity": ("a \\% b % c", T.comment_parity), "author_name": ("M{\\\"u}ller, J.", T.author_name), "normalize_unicode": ("Größe Øre – ﬁn", T.normalize_unicode),
-        "for_comparison": ("The \\textbf{Größe}  of {X}: a \\emph{b}!", T.for_comparison), "percent": ("0.12345", lambda c: T.percent(c.cast("double"))), "rule_name": ("Hedging language: very", T.rule_name),
-        "label_type": ("fig:x", T.label_type), "arxiv_id": ("see hep-th/9901001v2", T.arxiv_id),
-    }
-    out = None
-    for name, (argument, f) in cases.items():
-        row = spark.range(1).select(F.lit(name).alias("f"), F.lit(argument).alias("argument")).select("f", "argument", f(F.col("argument")).alias("result"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Text functions over all parts, a column each."""
+    k, five = F.col("p_partkey") % 4, F.lpad((F.col("p_partkey") % 100000).cast("string"), 5, "0")
+    said = lambda pattern, *columns: F.format_string(pattern, *columns)
+    some_id = F.when(k == 0, F.concat(F.lit("see hep-th/99"), five)).when(k == 1, F.concat(F.lit("arXiv:2301."), five)).otherwise(F.col("p_name"))
+    message = F.when(k == 0, F.concat(F.lit("Hedging language: "), "p_name")).when(k == 1, F.concat(F.lit("Redundant phrase: "), "p_name")).otherwise(F.concat("p_name", F.lit(" found (3 times): "), "p_type"))
+    label = F.when(k == 0, "FIG:x").when(k == 1, "tab:y").when(k == 2, "other:z").otherwise(F.col("p_name"))
+    return table(spark, d, "part").select(
+        "p_partkey",
+        T.search_title(said("On: %s--of (some) %ss!", "p_name", "p_type")).alias("search_title"),
+        C.clean_context(said("see \\citep[p. 3]{%s}  and \\emph{%s}", "p_name", "p_type")).alias("clean_context"),
+        T.strip_doi(said("https://doi.org/10.1/%d", "p_partkey")).alias("strip_doi"),
+        T.comment_parity(said("a \\%% %s %% cut", "p_name")).alias("comment_parity"),
+        T.author_name(said("M{\\\"u}ller, %s.", "p_type")).alias("author_name"),
+        T.normalize_unicode(said("Größe Øre – %s", "p_name")).alias("normalize_unicode"),
+        T.for_comparison(said("The \\textbf{Größe}  of {%s}!", "p_name")).alias("for_comparison"),
+        T.rule_name(message).alias("rule_name"), T.label_type(label).alias("label_type"), T.arxiv_id(some_id).alias("arxiv_id"),
+        T.percent(F.col("p_size") / 1000, 1).alias("percent"),
+    )
 
 
 @query("""SELECT p_partkey, ['ann ' || p_partkey, 'grosse bo'] AS duplicate_authors, ['ann ' || p_partkey, 'bo grosse'] AS authors FROM part""")
@@ -484,10 +495,15 @@ def author_fields(spark, d):
     return table(spark, d, "part").select("p_partkey", T.duplicate_authors(people).alias("duplicate_authors"), T.author_list(people).alias("authors"))
 
 
-@query("""SELECT * FROM (VALUES ('dblp', 0), ('crossref_doi', 1), ('arxiv_id', 2)) AS v(name, place)""")
+@query("""SELECT r_name AS workflow, n_name AS step, (row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey % 3, n_nationkey) - 1)::INT AS place
+FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0""")
 def workflow_steps(spark, d):
-    text = '{"name": "own", "steps": [{"name": "arxiv_id", "priority": 5}, {"name": "openalex", "enabled": false, "priority": 0}, {"name": "dblp", "priority": 1}, {"name": "crossref_doi", "priority": 2}]}'
-    return spark.createDataFrame([(s["name"], i) for i, s in enumerate(S.load_workflow(text))], "name string, place int")
+    """A workflow document for each region, whose steps are its nations, loaded again."""
+    step = F.struct("n_nationkey", F.struct(F.col("n_name").alias("name"), (F.col("n_nationkey") % 4 != 0).alias("enabled"), (F.col("n_nationkey") % 3).alias("priority")).alias("s"))
+    steps = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.sort_array(F.collect_list(step)).alias("steps"))
+    documents = steps.select("r_name", F.to_json(F.struct(F.col("r_name").alias("name"), F.col("steps.s").alias("steps"))).alias("text"))
+    loaded = F.udf(lambda text: [s["name"] for s in S.load_workflow(text)], "array<string>")
+    return documents.select(F.col("r_name").alias("workflow"), F.posexplode(loaded("text")).alias("place", "step")).select("workflow", "step", "place")
 
 
 @query("""SELECT p_partkey::VARCHAR AS file_path, '@string{v = "V"}' || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '@article{k' || p_partkey || ', title = {' || p_name || '}}' || chr(10) ELSE '' END || '@comment{x}' || chr(10) AS content FROM part""")
@@ -498,10 +514,18 @@ def only_used_bibliographies(spark, d):
     return R.only_used(files, S.bib_entries(files), cited)
 
 
-@query("""SELECT field, count(*) AS n, sum(camera - review)::BIGINT AS extra_pages FROM (VALUES ('acl','Natural Language Processing',8,9),('emnlp','Natural Language Processing',8,9),('naacl','Natural Language Processing',8,9),('cvpr','Computer Vision',8,8),
-('iccv','Computer Vision',8,8),('eccv','Computer Vision',14,14),('neurips','Machine Learning',9,10),('icml','Machine Learning',8,9),('iclr','Machine Learning',10,10)) AS v(venue, field, review, camera) GROUP BY field""")
+_VENUES = """('acl','Natural Language Processing',8,9),('emnlp','Natural Language Processing',8,9),('naacl','Natural Language Processing',8,9),('cvpr','Computer Vision',8,8),
+('iccv','Computer Vision',8,8),('eccv','Computer Vision',14,14),('neurips','Machine Learning',9,10),('icml','Machine Learning',8,9),('iclr','Machine Learning',10,10)"""
+
+
+@query(f"""WITH v AS (SELECT *, row_number() OVER (ORDER BY venue) - 1 AS k FROM (VALUES {_VENUES}) AS v(venue, field, review, camera)), d AS (SELECT doc_id % 9 AS k, ceil(n_chars / 1000.0) AS pages FROM documents)
+SELECT venue, field, count(*) AS n, count(*) FILTER (pages > review) AS too_long_to_review, count(*) FILTER (pages > camera) AS too_long FROM v JOIN d USING (k) GROUP BY venue, field""")
 def venue_presets(spark, d):
-    return venues(spark).groupBy("field").agg(F.count("*").alias("n"), F.sum(F.col("page_limit_camera") - F.col("page_limit_review")).alias("extra_pages"))
+    """Which documents, dealt to the venues in turn, keep to their page limits at 1,000 characters a page."""
+    presets = venues(spark).withColumn("k", F.row_number().over(Window.orderBy("venue")) - 1)  # nine rows
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 9).alias("k"), F.ceil(F.col("n_chars") / 1000).alias("pages"))
+    over = lambda limit: F.count_if(F.col("pages") > F.col(limit))
+    return docs.join(F.broadcast(presets), "k").groupBy("venue", "field").agg(F.count("*").alias("n"), over("page_limit_review").alias("too_long_to_review"), over("page_limit_camera").alias("too_long"))
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:

@@ -14,9 +14,10 @@ from ..functions.text import duplicate_authors, for_comparison, some
 from ..operators import citations as C
 from ..operators import duplicates as find
 from ..operators import lookup, reports, rules, verify
-from ..operators.shared import ensure_checkpoint_dir
-from ..sources import bib_entries, lines_of, read_texts
+from ..operators.shared import ensure_checkpoint_dir, stored
+from ..sources import bib_entries, lines_of, read_bytes, read_texts
 from ..sources.settings import VENUES, Settings
+from ..sources.writers import Report, filesystem, merge_files, write_files
 
 
 @dataclass
@@ -36,12 +37,12 @@ class Audit:
     relevance: DataFrame | None = None
 
 
-def _source(spark: SparkSession, settings: Settings, one: str, glob: str) -> DataFrame:
+def _source(spark: SparkSession, settings: Settings, one: str, glob: str, read=read_texts) -> DataFrame:
     """Files of the input folder but those that an earlier run wrote, or the one named file."""
     if not settings.input_dir:
-        return read_texts(spark, settings.path(one), "*")
+        return read(spark, settings.path(one), "*")
     written = Path(settings.path(settings.output_dir)).resolve().as_uri().replace("file://", "file:")
-    return read_texts(spark, settings.path(settings.input_dir), glob).filter(~F.startswith("file_path", F.lit(written + "/")))
+    return read(spark, settings.path(settings.input_dir), glob).filter(~F.startswith("file_path", F.lit(written + "/")))
 
 
 def audit(spark: SparkSession, settings: Settings, catalogue: DataFrame | None = None, scorer=None) -> Audit:
@@ -93,76 +94,70 @@ def _place(path: str, root: str) -> Path:
         return Path(own.name)
 
 
-def _write_lines(place: Path, lines) -> None:
-    with place.open("w", encoding="utf-8") as f:
-        for line in lines:
-            f.write(line + "\n")
-
-
-def _originals(files: DataFrame):
-    """(path, bytes) of the files of a table, one at a time, as they are."""
-    spark = files.sparkSession
-    for r in files.select("file_path").orderBy("file_path").toLocalIterator():
-        yield r["file_path"], bytes(spark.read.format("binaryFile").load(r["file_path"]).first()["content"])
-
-
 def write(result: Audit, settings: Settings, made: str | None = None) -> dict[str, str]:
     """Reports, clean bibliographies and copies of the inputs in the output folder; names to paths.
 
-    Files are read one at a time, rows of reports one partition at a time, and lines are written as they
-    come. Copies are the bytes of the inputs; files of subfolders keep their folders.
+    Executors write all of it (``sources.writers``): each file of the input once, in one job for all of a kind, and
+    each report from sorted part files. Copies are the bytes of the inputs; files of subfolders keep their folders.
     """
-    out = Path(settings.path(settings.output_dir))
-    out.mkdir(parents=True, exist_ok=True)
+    spark = result.tex.sparkSession
+    out = settings.path(settings.output_dir)
     made = made or datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
-    written = {n: str(out / n) for n in ("bibliography_report.md", "latex_quality_report.md", "line_by_line_report.md")}
-    rows = entry_rows(result)
+    written = {}
+
+    def report(name: str, fill) -> None:
+        own = Report(spark, out, name)
+        try:
+            fill(own)
+            written[name] = own.close()
+        finally:
+            own.drop()
+
+    rows = stored(entry_rows(result))
+    findings = stored(result.findings)
     summary = reports.bibliography_summary(rows).first().asDict()
     if result.usage is None:
         summary["used"] = summary["unused"] = None
     if result.verified is None:
         summary["verified"] = None
+    duplicate_rows = stored(result.duplicates) if result.duplicates is not None else None
     summary["missing"] = result.missing.count() if result.missing is not None else None
-    summary["duplicate_groups"] = result.duplicates.count() if result.duplicates is not None else None
-    each = lambda df: df.toLocalIterator() if df is not None else ()
-    unused = rows.filter(~F.col("is_used")).orderBy("key").select("key", "title") if result.usage is not None else None
-    troubled = rows.filter("size(issues) > 0").orderBy("key").select("key", "issues")
-    missing = result.missing.orderBy("key") if result.missing is not None else None
-
-    def bibliography():
-        yield from reports.bibliography_lines(summary, each(missing), each(result.duplicates), each(unused), each(troubled), made)
+    summary["duplicate_groups"] = duplicate_rows.count() if duplicate_rows is not None else None
+    sections = {
+        "missing": result.missing,
+        "duplicates": duplicate_rows,
+        "unused": rows.filter(~F.col("is_used")) if result.usage is not None else None,
+        "issues": rows.filter("size(issues) > 0"),
+    }
+
+    def bibliography(own: Report) -> None:
+        reports.bibliography_report(own, summary, sections, made)
         if result.preprints is not None:
-            yield reports.render_preprints(result.preprints.first().asDict())
+            reports.preprint_section(own, result.preprints.first().asDict())
         if result.verified is not None:
-            yield reports.render_verified(rows.filter("is_match").orderBy("key").toLocalIterator(), settings.minimal_verified)
-        yield from ["---", f"Made on {made}"]
+            reports.verified_section(own, rows.filter("is_match"), settings.minimal_verified)
+        own.lines("---", f"Made on {made}")
 
-    _write_lines(out / "bibliography_report.md", bibliography())
     venue = next(({"name": v[1], "review": v[3], "final": v[4], "sections": v[5]} for v in VENUES if v[0] == settings.template), None)
-    _write_lines(out / "latex_quality_report.md", reports.quality_lines(result.findings, made, venue))
-    _write_lines(out / "line_by_line_report.md", reports.line_report_lines(result.findings, reports.blocks(result.tex), made))
+    report("bibliography_report.md", bibliography)
+    report("latex_quality_report.md", lambda own: reports.quality_report(own, findings, made, venue))
+    report("line_by_line_report.md", lambda own: reports.line_report(own, findings, reports.blocks(result.tex), made))
     root = settings.path(settings.input_dir) if settings.input_dir else ""
     used = C.used(result.entries, result.citations).groupBy("file_path").agg(F.collect_set("key").alias("keys"))
-    merged = []
-    for path, raw in _originals(result.bib):
-        place = _place(path, root)
-        (out / place).parent.mkdir(parents=True, exist_ok=True)
-        keys = used.filter(F.col("file_path") == path).first()
-        clean = reports.clean_bib(raw.decode("utf-8", "replace"), set(keys["keys"] if keys else ()))
-        name = str(place.with_name(f"{place.stem}_only_used.bib"))
-        merged.append(out / name)
-        written[name] = str(out / name)
-        (out / name).write_bytes(clean.encode("utf-8"))
-        (out / place).write_bytes(raw)
-    if len(merged) > 1:
-        written["merged_only_used.bib"] = str(out / "merged_only_used.bib")
-        with (out / "merged_only_used.bib").open("wb") as f:
-            for place in merged:
-                f.write(place.read_bytes() + b"\n")
-    for path, raw in _originals(result.tex):
-        place = out / _place(path, root)
-        place.parent.mkdir(parents=True, exist_ok=True)
-        place.write_bytes(raw)
+    bib = _source(spark, settings, settings.bib, "*.bib", read_bytes).join(used, "file_path", "left")
+    write_files(_source(spark, settings, settings.tex, "*.tex", read_bytes), out, lambda row: [(str(_place(row["file_path"], root)), row["content"])])
+
+    def both(row: dict):
+        place = _place(row["file_path"], root)
+        clean = reports.clean_bib(row["content"].decode("utf-8", "replace"), set(row["keys"] or ()))
+        return [(str(place), row["content"]), (str(place.with_name(f"{place.stem}_only_used.bib")), clean.encode("utf-8"))]
+
+    clean = write_files(bib, out, both).filter(F.endswith("place", F.lit("_only_used.bib")))
+    _, folder = filesystem(out)
+    written |= {r["place"]: f"{folder}/{r['place']}" for r in clean.select("place").toLocalIterator()}
+    if clean.count() > 1:
+        merge_files(clean, out, "merged_only_used.bib")
+        written["merged_only_used.bib"] = f"{folder}/merged_only_used.bib"
     return written
 
 

@@ -16,10 +16,15 @@ from ..functions.text import arxiv_id, normalize_whitespace, some, strip
 BIB_FIELDS = ["title", "author", "year", "abstract", "url", "doi", "journal", "booktitle", "publisher", "pages", "volume", "number"]
 
 
+def read_bytes(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
+    """(file_path, content) of all matching files, as bytes."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return raw.select(F.col("path").alias("file_path"), "content")
+
+
 def read_texts(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
     """(file_path, content) of all matching files, invalid UTF-8 replaced and line ends unified."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return raw.select(F.col("path").alias("file_path"), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n").alias("content"))
+    return read_bytes(spark, path, glob).withColumn("content", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:

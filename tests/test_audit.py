@@ -152,6 +152,11 @@ def test_every_finding_of_every_passage(spark):
         rules.findings(docs(spark, "x"), ["nothing"])
 
 
+def test_needles():
+    known = {r"\bin order to\b": ["in order to"], r"a(b|cd)?e+f": ["a"], r"(?:foo|ba[rz])\s+x": ["ba", "foo"], r"[abc]*": [], r"(x|)y?": [], r"(?<!\*)\*\*(?!q)": ["**"], r"ab{0,2}c{2}dd": ["dd"], r"\x41bc|\[d\]": ["[d]", "bc"], r"(?i:ab|c)d": ["ab", "c"]}
+    assert {p: sorted(rules.needles(p)) for p in known} == {p: sorted(w) for p, w in known.items()}
+
+
 @pytest.mark.parametrize("text", ["a\n\\begin{verbatim}\nb\n\\end{verbatim}\nc", "\\begin{minted}\nx\n\\begin{raw} \\end{raw}\ny\n\\end{minted}\n\\end{raw}\nz", "\\begin{comment}\na\nb", "", "a\n\nb\n"])
 def test_verbatim_blocks_against_a_plain_scan(spark, text):
     names, inside, want = "verbatim|lstlisting|minted|comment|raw|filecontents|tcolorbox", False, []
