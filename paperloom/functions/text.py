@@ -31,8 +31,16 @@ def normalize_latex(c: Column) -> Column:
     return F.regexp_replace(c, r"[{}]", "")
 
 
-#: Letters that decomposition leaves, by their ASCII spelling.
-_SPELLED = {"ß": "ss", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "œ": "oe", "ł": "l", "Ł": "L", "đ": "d", "–": "-", "—": "--", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "..."}
+#: Characters that decomposition leaves, by their ASCII spelling.
+_SPELLED = {"ß": "ss", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "þ": "th", "ð": "d", "ı": "i", "–": "-", "—": "--", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "..."}
+#: Greek and Cyrillic small letters in the order of their alphabets; capitals begin with a capital.
+_ALPHABETS = {
+    "αβγδεζηθικλμνξοπρσςτυφχψω": "a b g d e z e th i k l m n x o p r s s t u ph kh ps o",
+    "абвгдежзиклмнопрстуфхцчшщъыьэюяіјљњџєґ": "a b v g d e zh z i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia i j lj nj dzh ie g",
+}
+for _letters, _spellings in _ALPHABETS.items():
+    _small = dict(zip(_letters, _spellings.split(" "), strict=True))
+    _SPELLED |= {k.upper(): v.capitalize() for k, v in _small.items() if k != "ς"} | _small
 
 
 def normalize_unicode(c: Column) -> Column:
@@ -43,8 +51,8 @@ def normalize_unicode(c: Column) -> Column:
         import unicodedata
 
         def one(t):
-            t = "".join(_SPELLED.get(x, x) for x in t)
-            return unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
+            t = "".join(_SPELLED.get(x, x) for x in unicodedata.normalize("NFKD", t))
+            return t.encode("ascii", "ignore").decode()
 
         return texts.map(one, na_action="ignore")
 

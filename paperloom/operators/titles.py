@@ -17,6 +17,7 @@ indexed. A word with many titles is dealt to cells by the index already, so no t
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,22 +88,20 @@ def search(asked: DataFrame, index: TitleIndex, hits: int = 1) -> DataFrame:
     # Words that no title has are the rarest.
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.coalesce("often", F.lit(0)), "word"))
     words = stored(words.withColumn("p", place).filter("often IS NOT NULL").select("q", "source", "word", "n", "p", "blocks"))
-    best = None
+    best = []
     for s in BOUNDS:
-        found = _reaching(words, index, open_, s)
-        found = _best(found, hits)
+        found = stored(_best(_reaching(words, index, open_, s), hits))
         done = found.groupBy("q").agg(F.count("*").alias("hits")).filter(F.col("hits") >= hits).select("q")
-        found = stored(found)
-        kept = found.join(done, "q", "left_semi")
-        best = kept if best is None else best.unionByName(kept)
-        open_ = stored(open_.join(done, "q", "left_anti"))
+        best.append(found.join(done, "q", "left_semi"))
+        open_ = open_.join(done, "q", "left_anti")
+        words = words.join(done, "q", "left_anti")
         if open_.isEmpty():
             break
-        words = stored(words.join(open_.select("q"), "q", "left_semi"))
     else:
         near = words.join(index.shortest, ["source", "word"]).select("q", "id").distinct()
         rest = _compared(near, index, open_).unionByName(found.join(open_.select("q"), "q", "left_semi").drop("place")).distinct()
-        best = best.unionByName(_best(rest, hits))
+        best.append(_best(rest, hits))
+    best = reduce(DataFrame.unionByName, best)
     first = own.groupBy("source", "own").agg(F.min("question").alias("q"))
     return own.join(first, ["source", "own"]).select("question", "q").join(best, "q").select("question", "id", "place", "rank", "similarity")
 

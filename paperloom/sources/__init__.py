@@ -93,10 +93,14 @@ def _fields(body: str, strings: dict[str, str]) -> dict[str, str]:
     return out
 
 
+def months() -> dict[str, str]:
+    """The macros that every bibliography may use."""
+    return dict(zip("jan feb mar apr may jun jul aug sep oct nov dec".split(), "January February March April May June July August September October November December".split(), strict=True))
+
+
 def parse_bib(text: str) -> list[tuple[str, str, dict[str, str]]]:
     """(key, entry type, fields) in order; @string macros are filled in, @comment and @preamble left out."""
-    months = dict(zip("jan feb mar apr may jun jul aug sep oct nov dec".split(), "January February March April May June July August September October November December".split(), strict=True))
-    out, strings = [], months
+    out, strings = [], months()
     for start, end, kind, key in entry_ranges(text):
         inner = text[text.index("{", start) + 1 : end - 1]
         if kind == "string":

@@ -178,6 +178,11 @@ def test_accents_and_duplicate_authors(spark):
     assert scalar(spark, T.duplicate_authors, "") == []
 
 
+def test_other_alphabets(spark):
+    texts = {"Größe Øre – ﬁn…": "Grosse Ore - fin...", "Чайковский, Щука": "Chaikovskii, Shchuka", "Ένα θέμα ψυχής": "Ena thema psukhes", "Æsir Łódź": "AEsir Lodz", "中 x": " x"}
+    assert {t: scalar(spark, T.normalize_unicode, t) for t in texts} == texts
+
+
 def test_comment_classes(spark):
     assert scalar(spark, T.comment_lookbehind, "x \\\\% y") == "x \\\\% y"
     assert scalar(spark, T.comment_parity, "x \\\\% y") == "x \\\\"
