@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import citations as C
 from ..operators import duplicates, lookup, rules, titles, verify
 from ..operators import reports as R
-from ..sources.settings import venues
+from ..sources.settings import settings_of, venues
 from . import manuscripts as M
 
 QUERIES: dict = {}
@@ -506,6 +506,26 @@ def workflow_steps(spark, d):
     return documents.select(F.col("r_name").alias("workflow"), F.posexplode(loaded("text")).alias("place", "step")).select("workflow", "step", "place")
 
 
+@query("""SELECT n_name AS nation, CASE WHEN n_nationkey % 3 = 0 THEN 'acl' ELSE '' END AS template, 'base/' || n_name AS input_path, (10 - n_nationkey % 2 - (n_nationkey % 3 <> 0)::INT)::INT AS n_checkers,
+CASE WHEN n_nationkey % 2 = 0 THEN ['dblp', 'openalex'] ELSE ['openalex'] END AS workflow, n_nationkey % 5 = 0 AS minimal, n_nationkey / 100.0::DOUBLE AS threshold FROM nation""")
+def settings_documents(spark, d):
+    """A settings document for each nation, loaded: what it turns off, its steps, and its folder below a base."""
+    k = F.col("n_nationkey")
+    said = F.format_string(
+        "files: {input_dir: '%s'}\ntemplate: %s\nsubmission: {anonymization: false, caption: %s, number: %s}\nworkflow:\n- {name: dblp, enabled: %s}\n- {name: openalex}\noutput: {minimal_verified: %s}\nbibliography: {preprint_warning_threshold: %s}\n",
+        "n_name", F.when(k % 3 == 0, "acl").otherwise("''"), *[F.when(x, "true").otherwise("false") for x in (k % 2 == 0, k % 3 == 0, k % 2 == 0, k % 5 == 0)], (k / 100).cast("string"),
+    )
+
+    @F.udf("template string, input_path string, n_checkers int, workflow array<string>, minimal boolean, threshold double")
+    def loaded(text: str):
+        import yaml
+
+        s = settings_of(yaml.safe_load(text), "base")
+        return s.template, s.path(s.input_dir), len(s.checkers), s.workflow, s.minimal_verified, s.preprint_warning_threshold
+
+    return table(spark, d, "nation").select(F.col("n_name").alias("nation"), loaded(said).alias("s")).select("nation", "s.*")
+
+
 @query("""SELECT p_partkey::VARCHAR AS file_path, '@string{v = "V"}' || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '@article{k' || p_partkey || ', title = {' || p_name || '}}' || chr(10) ELSE '' END || '@comment{x}' || chr(10) AS content FROM part""")
 def only_used_bibliographies(spark, d):
     body = F.format_string('@string{v = "V"}\n@article{k%d, title = {%s}}\n@comment{x}\n', "p_partkey", "p_name")
