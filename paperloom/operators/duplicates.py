@@ -59,35 +59,58 @@ def _title_score(x: Column, y: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(common / (F.size(x) + F.size(y) - common))
 
 
-def _candidates(kinds: DataFrame) -> DataFrame:
-    """(i, j), i < j, of all classes that may be similar.
+def _title_pairs(titles: DataFrame) -> DataFrame:
+    """(x, y, title_score), x < y, of the pairs of titles (t, words, share) that share enough for any of their classes.
 
     Titles share TITLE_SHARE of their words at least; then they share a word among the rarest
     |x| - ceil(|x| * share) + 1 of each, and pairs meet on those, where what is left of both after the
     word can still reach the bound. If the first entry repeats authors, its author share may exceed 1, and
-    the bound on its title is less: the longer prefix of such a class meets all words of others. Where
-    even titles without a common word may do, classes meet on like names.
+    the bound on its title is less: the longer prefix of such a title meets all words of others.
     """
-    k = kinds.select("cls", "authors", "words", "share")
-    posted = k.select("cls", "share", F.size("words").alias("n"), F.explode("words").alias("w"))
+    posted = titles.select("t", "share", F.size("words").alias("n"), F.explode("words").alias("w"))
     frequency = posted.groupBy("w").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("cls").orderBy("often", "w"))
-    placed = stored(posted.join(frequency, "w").withColumn("p", place).select("cls", "w", "n", "p", "share"))
+    place = F.row_number().over(Window.partitionBy("t").orderBy("often", "w"))
+    placed = stored(posted.join(frequency, "w").withColumn("p", place).select("t", "w", "n", "p", "share"))
     prefix = lambda share: F.col("p") <= F.col("n") - F.ceil(F.col("n") * share) + 1
-    met = pairs_by_key(placed.filter(prefix(F.lit(TITLE_SHARE))).drop("share"), "w", "cls")
+    met = pairs_by_key(placed.filter(prefix(F.lit(TITLE_SHARE))).drop("share"), "w", "t")
     close = (F.col("n_i") >= F.col("n_j") * TITLE_SHARE) & (F.col("n_j") >= F.col("n_i") * TITLE_SHARE)
     # Words shared from here on, at most, against those that the similarity needs.
     close &= 1 + F.least(F.col("n_i") - F.col("p_i"), F.col("n_j") - F.col("p_j")) >= TITLE_SHARE / (1 + TITLE_SHARE) * (F.col("n_i") + F.col("n_j")) - F.least("p_i", "p_j") + 1
-    found = met.filter(close).select(F.col("cls_i").alias("x"), F.col("cls_j").alias("y"))
+    found = met.filter(close).select(F.col("t_i").alias("x"), F.col("t_j").alias("y"))
     # Lists that repeat a name are rare; their joins are planned where there are any.
-    least = k.agg(F.min("share")).first()[0]
-    if least is None or least >= TITLE_SHARE - 1e-6:
-        return found.select(F.col("x").alias("i"), F.col("y").alias("j")).distinct()
-    odd = placed.filter((F.col("share") < TITLE_SHARE - 1e-6) & (F.col("share") > 0)).filter(prefix(F.col("share")))
-    wide = join_spread(odd.select("w", F.col("cls").alias("x"), F.col("n").alias("nx"), "share"), placed.select("w", F.col("cls").alias("y"), F.col("n").alias("ny")), "w")
-    wide = wide.filter("x != y AND nx >= ny * share AND ny >= nx * share").select("x", "y")
-    both = found.unionByName(wide).unionByName(_by_author(k))
-    return both.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct()
+    if _least_share(titles) < TITLE_SHARE - 1e-6:
+        odd = placed.filter((F.col("share") < TITLE_SHARE - 1e-6) & prefix(F.greatest("share", F.lit(1e-9))))
+        wide = join_spread(odd.select("w", F.col("t").alias("x"), F.col("n").alias("nx"), "share"), placed.select("w", F.col("t").alias("y"), F.col("n").alias("ny")), "w")
+        wide = wide.filter("x != y AND nx >= ny * share AND ny >= nx * share")
+        found = found.unionByName(wide.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    a, b = (titles.select(F.col("t").alias(k), F.col("words").alias(f"words_{k}"), F.col("share").alias(f"share_{k}")) for k in "xy")
+    scored = found.distinct().join(a, "x").join(b, "y").withColumn("title_score", _title_score(F.col("words_x"), F.col("words_y")))
+    return scored.filter(F.col("title_score") >= F.least("share_x", "share_y")).select("x", "y", "title_score")
+
+
+def _least_share(rows: DataFrame) -> float:
+    least = rows.agg(F.min("share")).first()[0]
+    return TITLE_SHARE if least is None else least
+
+
+def _candidates(kinds: DataFrame) -> DataFrame:
+    """(i, j, title_score), i < j, of all classes that may be similar: those of similar titles, which are paired once for all
+    classes that have them, and those with like authors where even titles without a common word may do."""
+    named = kinds.select("cls", F.sort_array("words").alias("words"), "share")
+    titles = stored(named.groupBy("words").agg(F.min("cls").alias("t"), F.min("share").alias("share")))
+    of = stored(named.join(titles.select("words", "t"), "words").select("t", "cls"))
+    pairs = stored(_title_pairs(titles.filter(F.size("words") > 0)))
+    met = join_spread(pairs.withColumnRenamed("x", "t"), of.withColumnRenamed("cls", "x"), "t").drop("t")
+    met = join_spread(met.select(F.col("y").alias("t"), "x", "title_score"), of.withColumnRenamed("cls", "y"), "t").select("x", "y", "title_score")
+    same = pairs_by_key(of.join(titles.filter(F.size("words") > 0), "t", "left_semi"), "t", "cls")
+    met = met.unionByName(same.select(F.col("cls_i").alias("x"), F.col("cls_j").alias("y"), F.lit(1.0).alias("title_score")))
+    out = met.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "title_score")
+    if _least_share(kinds) > 0:
+        return out
+    words = kinds.select("cls", "words")
+    like = _by_author(kinds).select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct().join(out.select("i", "j"), ["i", "j"], "left_anti")
+    like = like.join(words.select(F.col("cls").alias("i"), F.col("words").alias("a")), "i").join(words.select(F.col("cls").alias("j"), F.col("words").alias("b")), "j")
+    return out.unionByName(like.select("i", "j", _title_score(F.col("a"), F.col("b")).alias("title_score")))
 
 
 def _by_author(k: DataFrame) -> DataFrame:
@@ -117,13 +140,13 @@ def _by_author(k: DataFrame) -> DataFrame:
 def class_links(kinds: DataFrame) -> DataFrame:
     """(i, j, score, back, title_score), i <= j, of similar classes: ``score`` of an entry of i before one of j,
     ``back`` of one of j before one of i (null where too low or there is none). A class that is similar to itself has i = j."""
-    columns = ("cls", "last", "words", "authors", "share")
+    columns = ("cls", "last", "authors", "share")
     x, y = (kinds.select(*[F.col(c).alias(p + c) for c in columns]) for p in ("x_", "y_"))
     pairs = _candidates(kinds).join(x, F.col("i") == F.col("x_cls")).join(y, F.col("j") == F.col("y_cls"))
-    itself = kinds.filter("n > 1").select(F.col("cls").alias("i"), F.col("cls").alias("j"), *[F.col(c).alias(p + c) for p in ("x_", "y_") for c in columns])
-    pairs = pairs.select(itself.columns).unionByName(itself).withColumn("title_score", _title_score(F.col("x_words"), F.col("y_words")))
+    itself = kinds.filter("n > 1").withColumn("title_score", _title_score(F.col("words"), F.col("words")))
+    itself = itself.select(F.col("cls").alias("i"), F.col("cls").alias("j"), "title_score", *[F.col(c).alias(p + c) for p in ("x_", "y_") for c in columns])
     # Titles first: most pairs end there, before authors are compared.
-    pairs = pairs.filter(F.col("title_score") >= F.least("x_share", "y_share"))
+    pairs = pairs.select(itself.columns).unionByName(itself).filter(F.col("title_score") >= F.least("x_share", "y_share"))
     enough = lambda s: F.when(s >= P.DUPLICATE_PAIR, s)
     there = _score(F.col("title_score"), author_similarity(F.col("x_authors"), F.col("y_authors")))
     back = _score(F.col("title_score"), author_similarity(F.col("y_authors"), F.col("x_authors")))
