@@ -104,7 +104,8 @@ def _candidates(kinds: DataFrame) -> DataFrame:
     met = join_spread(met.select(F.col("y").alias("t"), "x", "title_score"), of.withColumnRenamed("cls", "y"), "t").select("x", "y", "title_score")
     same = pairs_by_key(of.join(titles.filter(F.size("words") > 0), "t", "left_semi"), "t", "cls")
     met = met.unionByName(same.select(F.col("cls_i").alias("x"), F.col("cls_j").alias("y"), F.lit(1.0).alias("title_score")))
-    out = met.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "title_score")
+    # Few titles may stand for many classes: what they grow to is dealt anew before authors are compared.
+    out = met.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "title_score").repartition(int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i", "j")
     if _least_share(kinds) > 0:
         return out
     words = kinds.select("cls", "words")
