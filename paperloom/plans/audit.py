@@ -368,10 +368,10 @@ def catalogue_lookup(spark, d):
     """Parts are entries, some with an arXiv id or a DOI; one catalogue knows every third part, others every
     fifth by another spelling, and every seventh by its id."""
     p, key = table(spark, d, "part"), F.col("p_partkey")
-    doi, arxiv = F.concat(F.lit("10.1/"), key), F.concat(F.lit("2301."), F.lpad(key.cast("string"), 5, "0"))
+    doi, arxiv = F.concat(F.lit("10.1/"), key), F.format_string("2301.%05d", key)
     title = F.concat("p_name", F.lit(" "), F.md5(key.cast("string")))
     entries = p.select(key.alias("entry_id"), title.alias("title"), F.lit("Lee, Ann and M{\\\"u}ller, Bo").alias("author"), F.lit("2020").alias("year"), F.when(F.col("p_size") % 2 == 0, doi).otherwise("").alias("doi"), F.when(key % 7 == 0, arxiv).otherwise("").alias("arxiv_id"))
-    hit = [key.cast("int").alias("rank"), F.array(F.lit("Ann Lee"), F.lit("Bo Müller")).alias("authors"), F.lit("2020").alias("year"), F.lit("").alias("abstract")]
+    hit = [key.alias("rank"), F.array(F.lit("Ann Lee"), F.lit("Bo Müller")).alias("authors"), F.lit("2020").alias("year"), F.lit("").alias("abstract")]
     none = F.lit("")
     crossref = p.filter("p_partkey % 3 = 0").select(F.lit("crossref").alias("source"), title.alias("title"), F.concat(F.lit("https://doi.org/"), doi).alias("doi"), none.alias("arxiv_id"), *hit)
     dblp = p.filter("p_partkey % 5 = 0").select(F.lit("dblp").alias("source"), F.concat(F.lit("{"), F.upper(title), F.lit("}.")).alias("title"), none.alias("doi"), none.alias("arxiv_id"), *hit)
