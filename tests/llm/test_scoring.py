@@ -1,7 +1,10 @@
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -170,3 +173,23 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
 def test_rounds_use_every_shard_once():
     for n in (1, 2, 5, 40, 121):
         assert [s for a, b in scoring.rounds_of(n) for s in range(a, b)] == list(range(n))
+
+
+def test_training_reuses_freed_memory():
+    """Mini-batches take no new pages from the system once the first ones have run; in a process of its own, as workers are."""
+    code = """if True:
+        import resource
+        import numpy as np
+        from paperloom.llm import neural
+        neural.keep_freed_memory()
+        net, rng = neural.Network(np.full(4096, 1 / 4096), 0), np.random.default_rng(0)
+        leaf, pos = rng.integers(0, 4096, neural.BATCH), neural.positions(np.full(32, neural.BATCH // 32))
+        for k in range(6):
+            if k == 3:
+                before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+            net.train(leaf, pos, rng)
+        print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+    """
+    root = Path(scoring.__file__).resolve().parents[2]
+    faults = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    assert int(faults) < 1_500  # 10,000 and more if each batch's arrays are new pages
