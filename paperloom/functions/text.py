@@ -60,7 +60,8 @@ def normalize_unicode(c: Column) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    # Single spaces, which most white space is, are left alone.
+    return F.trim(F.regexp_replace(c, r"(?U) \s+|[\s&&[^ ]]\s*", " "))
 
 
 def remove_punctuation(c: Column) -> Column:

@@ -19,7 +19,7 @@ def extract(lines: DataFrame) -> DataFrame:
     text = comment_lookbehind(some("line"))
     pair = F.arrays_zip(F.regexp_extract_all(text, F.lit(P.CITE), 1).alias("command"), F.regexp_extract_all(text, F.lit(P.CITE), 2).alias("keys"))
     # The cheap test keeps most lines from the pattern.
-    found = lines.filter(F.contains(F.lower("line"), F.lit("\\cite"))).select("*", F.posexplode(pair).alias("match_ord", "m"))
+    found = lines.filter(_cites(F.col("line"))).select("*", F.posexplode(pair).alias("match_ord", "m"))
     keyed = found.select(*lines.columns, "match_ord", F.col("m.command").alias("command"), F.posexplode(F.split("m.keys", ",")).alias("key_ord", "key"))
     return keyed.withColumn("key", strip(F.col("key"))).filter("key != ''").withColumnRenamed("line", "raw_line")
 
@@ -30,14 +30,14 @@ def clean_context(c: Column) -> Column:
 
 
 def _sentences(c: Column) -> Column:
-    return F.filter(F.split(clean_context(c), r"(?<=[.!?])\s+"), lambda s: s != "")
+    """Sentences of a clean text, whose white space is single spaces."""
+    return F.filter(F.split(c, r" (?<=[.!?] )"), lambda s: s != "")
 
 
 def _with_contexts(rows: DataFrame) -> DataFrame:
-    """Cleans the windows ``_before`` and ``_after`` and keeps two sentences of each beside the line."""
-    before, after = _sentences(F.col("_before")), _sentences(F.col("_after"))
-    near = F.when(F.size(before) > SENTENCES, F.slice(before, -SENTENCES, SENTENCES)).otherwise(before)
-    out = rows.withColumn("context_before", F.array_join(near, " ")).withColumn("context_after", F.array_join(F.slice(after, 1, SENTENCES), " "))
+    """Keeps two sentences of each of the clean windows ``_before`` and ``_after`` beside the line."""
+    near = F.reverse(F.slice(F.reverse(_sentences(F.col("_before"))), 1, SENTENCES))
+    out = rows.withColumn("context_before", F.array_join(near, " ")).withColumn("context_after", F.array_join(F.slice(_sentences(F.col("_after")), 1, SENTENCES), " "))
     full = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (F.col("context_before"), clean_context(some("line")), F.col("context_after"))])
     return out.withColumn("full_context", full).drop("_before", "_after")
 
@@ -48,15 +48,47 @@ def _windows(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_before", join(order.rowsBetween(-BEFORE, -1))).withColumn("_after", join(order.rowsBetween(1, AFTER)))
 
 
+def _cleaned(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: clean_context(F.col(c)) for c in ("_before", "_after")})
+
+
 def contexts(lines: DataFrame) -> DataFrame:
     """Two sentences from the nine lines before, the line itself, two from the ten after; comments stay in."""
-    return _with_contexts(_windows(lines))
+    return _with_contexts(_cleaned(_windows(lines)))
+
+
+def _cites(line: Column) -> Column:
+    return F.contains(F.lower(line), F.lit("\\cite"))
 
 
 def cited_contexts(lines: DataFrame) -> DataFrame:
-    """The citations of ``extract`` with their contexts. Only lines that cite keep their windows and are cleaned."""
-    cited = extract(_windows(lines))
-    return _with_contexts(cited.withColumnRenamed("raw_line", "line")).withColumnRenamed("line", "raw_line")
+    """The citations of ``extract`` with their contexts. Only lines that cite keep their windows and are cleaned, once for all their keys."""
+    return extract(_with_contexts(_cleaned(_windows(lines).filter(_cites(F.col("line"))))))
+
+
+def cited_in_texts(texts: DataFrame) -> DataFrame:
+    """``cited_contexts`` of texts (file_path, lines: an array, null lines empty) that have a row each.
+
+    A line is cleaned once instead of in each of the windows that hold it. That is the same, as white space ends a
+    command, unless a command's bracket stays open at the end of a line: such texts' windows are cleaned whole. Each
+    line that cites takes its own windows only, so work grows with the lines of a text. Texts are dealt by their
+    names first, as a file's row groups may be few.
+    """
+    held = texts.repartition("file_path").select("file_path", F.transform("lines", some).alias("lines"))
+    open_ = F.exists("lines", lambda x: x.rlike(r"\\[a-zA-Z]+\*?\[[^\]]*\z"))
+    held = held.select("file_path", "lines", F.transform("lines", clean_context).alias("clean"), open_.alias("open"))
+
+    def window(start: Column, n: Column) -> Column:
+        whole = clean_context(F.array_join(F.slice("lines", start, n), " "))
+        return F.when(F.col("open"), whole).otherwise(F.array_join(F.filter(F.slice("clean", start, n), lambda x: x != ""), " "))
+
+    def place(i: Column) -> Column:
+        first = F.greatest(i - BEFORE, F.lit(1))
+        return F.struct(i.alias("line_number"), F.element_at("lines", i).alias("line"), window(first, i - first).alias("_before"), window(i + 1, F.lit(AFTER)).alias("_after"))
+
+    numbers = F.when(F.size("lines") > 0, F.sequence(F.lit(1), F.size("lines")))
+    citing = F.transform(F.filter(numbers, lambda i: _cites(F.element_at("lines", i))), place)
+    return extract(_with_contexts(held.select("file_path", F.explode(citing).alias("at")).select("file_path", "at.*")))
 
 
 def usage(entries: DataFrame, citations: DataFrame) -> DataFrame:

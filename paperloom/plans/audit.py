@@ -98,11 +98,12 @@ def citation_extraction(spark, d):
     return C.extract(lines).select("file_path", "line_number", "key", "key_ord")
 
 
-def _cited_lines(spark, d) -> DataFrame:
-    """All lines of all documents, with a command in front of each and a citation in every fifth."""
-    lines = S.lines_of(table(spark, d, "documents").select(F.format_string("doc%d.tex", "doc_id").alias("file_path"), F.coalesce("text", F.lit("")).alias("content")))
-    cite = F.when(F.col("line_number") % 5 == 2, F.format_string("\\citep[see]{k%d, both} ", F.col("line_number"))).otherwise("")
-    return lines.withColumn("line", F.concat(F.lit("\\emph{A}  b. "), cite, "line"))
+def _cited_texts(spark, d) -> DataFrame:
+    """All documents by lines, with a command in front of each line and a citation in every fifth."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    cite = lambda n: F.when(n % 5 == 2, F.format_string("\\citep[see]{k%d, both} ", n)).otherwise("")
+    marked = F.transform(lines, lambda line, at: F.concat(F.lit("\\emph{A}  b. "), cite(at + 1), line))
+    return table(spark, d, "documents").select(F.format_string("doc%d.tex", "doc_id").alias("file_path"), marked.alias("lines"))
 
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '\\[a-zA-Z]+\*?(\[[^\]]*\])?', '', 'g'), '[{{}}]', '', 'g'), '\s+', ' ', 'g'))"
@@ -115,7 +116,7 @@ s AS (SELECT f, n, {_CLEAN.format('line')} AS t, list_filter(string_split(regexp
 c AS (SELECT f, n, t, array_to_string(b[greatest(1, len(b) - 1):], ' ') AS b, array_to_string(a[:2], ' ') AS a FROM s)
 SELECT f AS file_path, n::INT AS line_number, k AS key, b AS context_before, a AS context_after, concat_ws(' ', nullif(b, ''), nullif(t, ''), nullif(a, '')) AS full_context FROM c, LATERAL (VALUES ('k' || n), ('both')) AS v(k)""")
 def citation_contexts(spark, d):
-    return C.cited_contexts(_cited_lines(spark, d)).select("file_path", "line_number", "key", "context_before", "context_after", "full_context")
+    return C.cited_in_texts(_cited_texts(spark, d)).select("file_path", "line_number", "key", "context_before", "context_after", "full_context")
 
 
 def all_findings(spark, d) -> DataFrame:
