@@ -1,14 +1,14 @@
-"""Near-duplicates by five-word shingles and a Jaccard similarity of 0.8: what the near_dedup stage takes.
+"""Near-duplicates by SimHash and five-word shingles of Jaccard similarity 0.8: what the near_dedup stage takes.
 
-SimHash cannot serve there: at 0.8 two fingerprints of 64 bits differ in about 10 bits, with a deviation
-of 3, and the Hamming balls that reach such pairs hold a share of all documents. So the stage keeps the
-frame of operator 6 (marks of distinct texts, keys, verified links, components, the first of each group)
-and takes its candidates from minima instead of fingerprint segments.
+The stage takes operator 6's steps for its own shingles: fingerprints of the distinct texts (here of five-word shingle
+sets), tables of their segments, links within RADIUS bits verified by the full distance, components, the first of each
+group. At 0.8 two fingerprints of 64 bits differ in about 10 bits, with a deviation of 3, and the Hamming balls that reach
+such pairs hold a share of all documents; so fingerprints alone would lose most pairs below 0.95. Their links are
+therefore joined by those of minima, and an exact check of the shingle sets follows for both.
 
-Candidates meet in BANDS bands of ROWS minima (a pair at exactly 0.8 misses all of them once in 100,000,
-at 0.85 once in 30 million) and are thinned there by a sketch of one bit for each of SKETCH minima; what is
-left is put into groups, and within these the shingle sets themselves decide. Texts with equal sets
-are one member throughout, so exact copies cost nothing.
+The minima meet in BANDS bands of ROWS (a pair at exactly 0.8 misses all of them once in 100,000, at 0.85 once in 30
+million) and are thinned there by a sketch of one bit for each of SKETCH minima. All links are put into groups, and within
+these the shingle sets decide. Texts with equal sets are one member throughout, so exact copies cost nothing.
 
 Groups are searched by growing components: a member is compared with those not reached yet, so a
 large group around one text takes few comparisons and no pair is ever written. Keys and groups above
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, in_blocks, partitions, runs, stored, text_chunks, tune, whole_groups
 from .components import components
-from .simhash import first_of_each, numbered, shingle_hashes
+from .simhash import fingerprint, first_of_each, numbered, shingle_hashes
+from .simhash import links as fingerprint_links
 
 WORDS = 5
 #: Jaccard similarity as a fraction, compared in whole numbers.
@@ -38,6 +39,8 @@ ROWS, BANDS = 4, 22
 #: At 0.8 two sketches differ in 12.8 bits, with a deviation of 3.4; FAR is five of these above.
 SKETCH, FAR = 128, 30
 SEED = 42
+#: Bits in which linked fingerprints differ at most; operator 6's tables find all pairs up to 5.
+RADIUS = 5
 BLOCK = 1024
 _PARTS = [f"s{i}" for i in range(SKETCH // 64)]
 
@@ -61,28 +64,30 @@ def minima(found: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``fp`` (a hash of the shingle set), the band ``keys`` and the sketch."""
+    """The columns ``keep`` of ``docs`` with ``fp`` (a hash of the shingle set), ``simhash`` (its fingerprint), the band
+    ``keys`` and the sketch."""
     tune(docs.sparkSession)
     rows = docs.select(*keep, "text")
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", fp long, keys array<long>, " + ", ".join(f"{c} long" for c in _PARTS)
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", fp long, simhash long, keys array<long>, " + ", ".join(f"{c} long" for c in _PARTS)
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            fps, keys, sketches = [], [], []
+            fps, simhashes, keys, sketches = [], [], [], []
             for _, chunk in text_chunks(b):
                 for raw in chunk:
                     found = shingles(raw)
                     fps.append(xxh64_intdigest(found.tobytes(), SEED))
+                    simhashes.append(fingerprint(found))
                     low = minima(found)
                     keys.append([xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)] if len(found) else [])
                     sketches.append(np.packbits((low * np.uint32(0x9E3779B1)) >> np.uint32(31) != 0).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.array(np.array([k for ks in keys for k in ks], np.uint64).view(np.int64))
             sketch = np.array(sketches, np.int64).reshape(-1, len(_PARTS))
-            cols = [*(b.column(c) for c in keep), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat), *(pa.array(np.ascontiguousarray(s)) for s in sketch.T)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "fp", "keys", *_PARTS])
+            cols = [*(b.column(c) for c in keep), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, simhashes)), pa.ListArray.from_arrays(pa.array(ends), flat), *(pa.array(np.ascontiguousarray(s)) for s in sketch.T)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "fp", "simhash", "keys", *_PARTS])
 
     return rows.mapInArrow(run, schema)
 
@@ -140,10 +145,25 @@ def _batch(links) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
 
 
-def candidates(marked: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct ``fp`` that share a band and have near sketches."""
-    spark = marked.sparkSession
-    one = stored(marked.filter(F.size("keys") > 0).select("fp", "keys", *_PARTS).dropDuplicates(["fp"]), "sketches")
+def distinct_sets(marked: DataFrame) -> DataFrame:
+    """A row for each ``fp`` of ``marked`` that has shingles."""
+    return stored(marked.filter(F.size("keys") > 0).select("fp", "simhash", "keys", *_PARTS).dropDuplicates(["fp"]), "sketches")
+
+
+def simhash_candidates(one: DataFrame) -> DataFrame:
+    """Links (a, b) between ``fp`` that join those whose fingerprints are within RADIUS bits, by operator 6's tables.
+
+    Of the ``fp`` with one fingerprint the least stands for all."""
+    least = stored(one.groupBy("simhash").agg(F.min("fp").alias("least")), "fingerprints")
+    same = one.join(least, "simhash").filter("fp != least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    near = fingerprint_links(least.select(F.col("simhash").alias("fp")), radius=RADIUS)
+    a, b = (least.select(F.col("simhash").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
+    return same.unionByName(near.join(a, "a").join(b, "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
+
+
+def candidates(one: DataFrame) -> DataFrame:
+    """Links (a, b) between ``fp`` that share a band and have near sketches."""
+    spark = one.sparkSession
     rows = one.select("fp", F.explode("keys").alias("key"), *_PARTS)
 
     def meet(batches):
@@ -164,7 +184,8 @@ def candidates(marked: DataFrame) -> DataFrame:
 def links(light: DataFrame, marked: DataFrame) -> DataFrame:
     """Links (a, b) between the ``fp`` of ``marked`` whose shingle sets are similar; ``light`` holds _row and text."""
     spark = light.sparkSession
-    near = components(candidates(marked))
+    one = distinct_sets(marked)
+    near = components(simhash_candidates(one).unionByName(candidates(one)))
     first = marked.groupBy("fp").agg(F.min("_row").alias("_at"))
     members = stored(first.join(near, F.col("fp") == F.col("node")).select("fp", "_at", "root"), "members")
     dealt = in_blocks(members, "root", F.xxhash64("fp"), _hot(members, "root")).select("root", "pair", "fp", "_at")

@@ -69,3 +69,30 @@ def test_set_links_are_exact():
                 x, y = want[a], want[b]
                 want = [x if u == y else u for u in want]
     assert len({(u, v) for u, v in zip(up, want)}) == len(set(want)) == len(set(up)) < len(sets)
+
+
+def test_near_dedup_links_fingerprints_within_the_radius(spark):
+    """The stage's fingerprint links join what all pairs of fingerprints within RADIUS bits join."""
+    rng = np.random.default_rng(8)
+    texts = ["", "one two", "a b c d e"]
+    for c in range(6):
+        base = [f"w{c}x{k}" for k in rng.integers(0, 10**6, 400)]
+        for n in (0, 0, 1, 1, 2, 3, 40):
+            copy = list(base)
+            for at in rng.choice(400, n, replace=False):
+                copy[at] = f"new{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = minhash.distinct_sets(minhash.marks(docs, ["doc_id"]))
+    rows = [(r["fp"], r["simhash"] % 2**64) for r in one.collect()]
+    assert sorted(s for _, s in rows) == sorted({minhash.fingerprint(minhash.shingles(t.encode())) for t in texts if t})
+
+    def parts(links):
+        of = {fp: fp for fp, _ in rows}
+        for a, b in links:
+            x, y = of[a], of[b]
+            of = {k: x if v == y else v for k, v in of.items()}
+        return {frozenset(k for k in of if of[k] == v) for v in of.values()}
+
+    near = [(a, b) for a, x in rows for b, y in rows if a < b and (x ^ y).bit_count() <= minhash.RADIUS]
+    assert near and parts((r["a"], r["b"]) for r in minhash.simhash_candidates(one).collect()) == parts(near)
