@@ -37,6 +37,17 @@ def _score(t: Column, authors: Column) -> Column:
     return F.when(t >= P.DUPLICATE_TITLE, t).otherwise(0.7 * t + 0.3 * authors)
 
 
+def normalized(raw: DataFrame, title: Column, authors: Column) -> DataFrame:
+    """The columns of ``raw`` but raw_title and raw_authors, with ``title`` and ``authors`` made of these two.
+
+    They are made once for each distinct pair of raw values, however many entries have it: that takes most of the time."""
+    pair = ["raw_title", "raw_authors"]
+    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = stored(raw.select(*pair).distinct().repartition(parts, *pair).select(*[F.col(c).alias(f"known_{c}") for c in pair], title.alias("title"), authors.alias("authors")))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"known_{c}")) for c in pair])
+    return raw.join(known, same).select(*[c for c in raw.columns if c not in pair], "title", "authors")
+
+
 # Similar pairs --------------------------------------------------------------------------------------
 
 

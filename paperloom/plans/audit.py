@@ -223,7 +223,8 @@ def _entries(spark, d):
     title = F.concat(F.lit("{A} Study of "), "p_name", F.lit("s: \\textbf{Parts} in "), "p_type", F.lit(" Supply"))
     author = F.concat(F.lit("Lee, "), "p_brand", F.lit("  and M{\\\"u}ller, J{\\'e}r{\\^o}me "), "p_brand")
     columns = [F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("key")]
-    return table(spark, d, "part").select(*columns, T.for_comparison(title).alias("title"), T.duplicate_authors(author).alias("authors"))
+    raw = table(spark, d, "part").select(*columns, title.alias("raw_title"), author.alias("raw_authors"))
+    return duplicates.normalized(raw, T.for_comparison(F.col("raw_title")), T.duplicate_authors(F.col("raw_authors")))
 
 
 #: Classes of equal titles and brands, and all pairs of them: names of a brand hold those of a brand that it begins with.
