@@ -5,6 +5,7 @@ import sys
 import zlib
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -193,3 +194,53 @@ def test_training_reuses_freed_memory():
     root = Path(scoring.__file__).resolve().parents[2]
     faults = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
     assert int(faults) < 1_500  # 10,000 and more if each batch's arrays are new pages
+
+
+def test_words_are_those_of_the_contract():
+    texts = ["", " \n\t ", None, "One", "  A\x0bb\x0cC\r\n\td  ", "no\x00break\x1c\x85\xa0 x É Z", "x " * 70_000]
+    assert [list(map(str.encode, row)) for row in scoring._words([(t or "").encode() for t in texts]).to_pylist()] == [tokens(t) for t in texts]
+
+
+def test_no_word_of_a_chunk_is_looked_up_twice(spark, monkeypatch):
+    """The lexicon is asked for the distinct words of a chunk, not for its tokens; run here, not in a worker."""
+    texts = two_tongues(300, np.random.default_rng(6))
+    docs = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "doc_id long, name string, text string")
+    lexicon, distinct = scoring.lexicon_of(scoring.word_counts(docs))
+    want, asked, codes = [lexicon.codes(tokens(t))[1].tolist() for t in texts], [], scoring.Lexicon.codes
+    monkeypatch.setattr(scoring.Lexicon, "codes", lambda self, words: asked.append(words) or codes(self, words))
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    local = SimpleNamespace(
+        schema=docs.schema, mapInArrow=lambda f, _: f, sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+    )
+    rows = [r for b in scoring.encoded(local, lexicon, distinct)(iter(docs.toArrow().to_batches())) for r in b.to_pylist()]
+    assert [np.frombuffer(r["leaves"], "<u2").tolist() for r in sorted(rows, key=lambda r: r["doc_id"])] == want
+    assert asked and all(len(set(words)) == len(words) for words in asked)
+
+
+def test_network_takes_few_numpy_calls_on_rows_of_a_group():
+    """A mini-batch's noise and data of a group are one product, and its softmaxes one: exponentials are counted."""
+    share = np.full(64, 1 / 64)
+    net, rng = neural.Network(share, 0), np.random.default_rng(0)
+    leaf, pos = rng.integers(0, 64, 400), neural.positions(np.full(4, 100))
+    made, exp = [], np.exp
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(np, "exp", lambda x, **kw: made.append(x.size) or exp(x, **kw))
+        net.log_probs(leaf, pos)
+        assert len(made) == len(net.groups)
+        made.clear()
+        net.train(leaf, pos, rng)
+    assert len(made) == len(net.groups) + 1
+    assert sum(made) == 400 * (neural.GROUP_NOISE + neural.LEAF_NOISE + 2)
+
+
+def test_log_probabilities_of_large_scores_are_normalized():
+    share = np.arange(1, 31) / np.arange(1, 31).sum()
+    net = neural.Network(share, 0)
+    net.inputs[:], net.leaves[:, :-1] = 9, np.random.default_rng(2).normal(0, 9, (30, neural.DIM))
+    before = np.array([3, 4])
+    logs = np.array([net.log_probs(np.append(before, leaf), np.arange(3))[-1] for leaf in range(30)])
+    assert np.isfinite(logs).all() and np.exp(logs).sum() == pytest.approx(1, abs=1e-3)
+    rng = np.random.default_rng(0)
+    with np.errstate(all="raise", under="ignore"):
+        net.train(rng.integers(0, 30, 400), neural.positions(np.full(4, 100)), rng)
+    assert np.isfinite(net.flat).all()
