@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of one key that meet in one piece of work: two blocks of so many at most.
@@ -33,6 +33,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made_once(rows: DataFrame, raw: str, made: Column, name: str) -> DataFrame:
+    """``rows`` with a column ``name``, ``made`` of the column ``raw`` once for each of its values (none for null)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = rows.select(raw).filter(F.col(raw).isNotNull()).distinct().repartition(parts, raw)
+    return rows.join(stored(values.withColumn(name, made)), raw, "left")
+
+
 def blocks_of(rows: DataFrame, *key: str) -> DataFrame:
     """(key, blocks) of the keys with more than BLOCK_ROWS rows."""
     load = rows.groupBy(*key).agg(F.count("*").alias("load")).filter(F.col("load") > BLOCK_ROWS)

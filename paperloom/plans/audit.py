@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import citations as C
 from ..operators import duplicates, lookup, rules, titles, verify
 from ..operators import reports as R
+from ..operators.shared import made_once
 from ..sources.settings import settings_of, venues
 from . import manuscripts as M
 
@@ -392,8 +393,13 @@ def _pieces(pattern: str) -> list[tuple[bool, str]]:
     return [(i % 2 == 1, x) for i, x in enumerate(re.split(r"\{(\w+)\}", pattern)) if x]
 
 
-def _said(pattern: str):
-    return T.for_comparison(F.concat(*[F.col(x).cast("string") if column else F.lit(x) for column, x in _pieces(pattern)]))
+def _raw(pattern: str):
+    return F.concat(*[F.col(x).cast("string") if column else F.lit(x) for column, x in _pieces(pattern)]).alias("raw")
+
+
+def _said(rows: DataFrame, title: str) -> DataFrame:
+    """``rows`` with the normalized ``title`` of raw ones, made once for all rows that have it."""
+    return made_once(rows, "raw", T.for_comparison(F.col("raw")), title).drop("raw")
 
 
 def _words_sql(pattern: str) -> str:
@@ -411,10 +417,10 @@ def title_search(spark, d):
     p = table(spark, d, "part")
     theirs = None
     for source, (k, pattern) in _KNOWN.items():
-        known = p.filter(F.col("p_partkey") % k == 0).select(F.lit(source).alias("source"), F.col("p_partkey").alias("rank"), _said(pattern).alias("_title"))
+        known = p.filter(F.col("p_partkey") % k == 0).select(F.lit(source).alias("source"), F.col("p_partkey").alias("rank"), _raw(pattern))
         theirs = known if theirs is None else theirs.unionByName(known)
-    index = titles.title_index(theirs.withColumn("id", F.xxhash64("source", "rank")))
-    asked = p.select("p_partkey", _said(_ASKED).alias("title"), F.explode(F.array(*map(F.lit, _KNOWN))).alias("source"))
+    index = titles.title_index(_said(theirs, "_title").withColumn("id", F.xxhash64("source", "rank")))
+    asked = _said(p.select("p_partkey", _raw(_ASKED)), "title").select("p_partkey", "title", F.explode(F.array(*map(F.lit, _KNOWN))).alias("source"))
     found = titles.search(asked.withColumn("question", F.struct("p_partkey", "source")), index, hits=3).filter(F.col("similarity") >= titles.BOUNDS[-1])
     return found.select(F.col("question.p_partkey").alias("question"), "question.source", "rank", "place", F.round("similarity", 9).alias("similarity"))
 
